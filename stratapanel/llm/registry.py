@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .decontamination_query import OP5_SQL, op5_decontamination
+from .language_query import op2_language
 from .media_query import op6_media
+from .quality_query import op1_quality
+from .toxicity_query import op3_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_media": op6_media,
 }
