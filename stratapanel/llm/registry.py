@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .chat_query import OP7_SQL, op7_chat
 from .decontamination_query import OP5_SQL, op5_decontamination
 from .language_query import op2_language
 from .media_query import op6_media
+from .pii_query import op8_pii
 from .quality_query import op1_quality
 from .toxicity_query import op3_toxicity
 
@@ -14,5 +16,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_media": op6_media,
+    "op7_chat": op7_chat,
+    "op8_pii": op8_pii,
 }
-ORACLES = {"op5_decontamination": OP5_SQL}
+ORACLES = {"op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL}
