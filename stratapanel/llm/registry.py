@@ -9,14 +9,16 @@ from .media_query import op6_media
 from .pii_query import op8_pii
 from .quality_query import op1_quality
 from .toxicity_query import op3_toxicity
+from .warc_query import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_media": op6_media,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
 }
-ORACLES = {"op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL}
+ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL}
