@@ -6,6 +6,7 @@ from .chat_query import OP7_SQL, op7_chat
 from .decontamination_query import OP5_SQL, op5_decontamination
 from .language_query import op2_language
 from .media_query import op6_media
+from .packing_query import op9_packing
 from .pii_query import op8_pii
 from .quality_query import op1_quality
 from .toxicity_query import op3_toxicity
@@ -20,5 +21,6 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
 }
 ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL}
