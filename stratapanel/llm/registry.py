@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_query import OP7_SQL, op7_chat
 from .decontamination_query import OP5_SQL, op5_decontamination
+from .jaccard_query import op10_jaccard_join
 from .language_query import op2_language
 from .media_query import op6_media
 from .packing_query import op9_packing
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL}
