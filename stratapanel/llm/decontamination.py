@@ -40,11 +40,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                hashes, firsts = words(data, offsets)
-                order = np.argsort(hashes, kind="stable")
-                ranked = hashes[order]
-                starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)])
-                packed = [firsts.astype("<u4"), ranked[starts].astype("<u8"), np.append(starts, len(ranked)).astype("<u4"), order.astype("<u4")]
+                packed = _postings(data, offsets)
                 ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
                     [ids, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["ids", "firsts", "terms", "lists", "positions"]
@@ -53,6 +49,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(index, f"ids array<{kind}>, firsts binary, terms binary, lists binary, positions binary")
 
 
+def _postings(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """``firsts``, ``terms``, ``lists`` and ``positions`` of a block of texts."""
+    hashes, firsts = words(data, offsets)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)])
+    return [firsts.astype("<u4"), ranked[starts].astype("<u8"), np.append(starts, len(ranked)).astype("<u4"), order.astype("<u4")]
+
+
 class Segment:
     """A row of the index."""
 
@@ -274,3 +279,24 @@ def search_near(
     for p in parts[1:]:
         found = found.unionByName(p)
     return found.withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs, all other rows and all columns as they are.
+
+    Each block of texts is indexed and searched where it is read; nothing is stored or shuffled.
+    """
+    for block in _blocks(items, item_id_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(TestSet(*block, window))
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index(text_col)
+                for lo, hi, data, offsets in text_blocks(batch.column(at)):
+                    _, pairs = sent.value.search(Segment(*_postings(data, offsets)))
+                    keep = np.ones(hi - lo, bool)
+                    keep[pairs[:, 0]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

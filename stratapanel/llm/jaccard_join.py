@@ -348,8 +348,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id; documents in no class stay."""
+    """``docs`` with one document of each class, that of the smallest id; documents in no class stay.
+
+    Of rows with equal id and text one stays; rows that share an id but not the text stand or fall together.
+    Rows with a null id stay.
+    """
     joined = jaccard_join(docs, id_col, text_col)
-    firsts = joined.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(id_col).distinct()
-    kept = docs.join(firsts, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    firsts = joined.where(F.col("class_id") == F.col(id_col)).select(id_col)
+    kept = docs.join(firsts, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

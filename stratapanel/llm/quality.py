@@ -208,3 +208,18 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     rows = docs.select(F.struct(F.col(id_col), *keep).alias("key"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(score, f"key {rows.schema['key'].dataType.simpleString()}, score double").select("key.*", "score")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns; texts without a token go."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo, hi, data, offsets in text_blocks(batch.column(at), _BLOCK):
+                features = sent.value.pool(data, offsets)
+                good = (features[:, -1] > 0) & (sent.value.scores(features) >= threshold)
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(kept, docs.schema)
