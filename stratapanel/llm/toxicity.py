@@ -23,7 +23,7 @@ from .learning import first_by_hash, sigmoid, text_sample
 from .textbuf import text_blocks
 
 #: bounds of the learning sample
-MAX_ROWS, MAX_BYTES = 6000, 32 << 20
+MAX_ROWS, MAX_BYTES = 6000, 16 << 20
 #: a stem has at least so many letters; an entry at least so many different surroundings; and so large a share of them in toxic texts
 MIN_STEM, MIN_SUPPORT, MIN_SHARE = 4, 5, 0.9
 MAX_ENTRIES = 5000
@@ -104,30 +104,39 @@ class Lexicon:
         return sigmoid(self.slope * weights / (1 + np.log1p(n_words)) + self.bias)
 
 
+def _folded(texts: list[str]) -> Iterator[tuple[range, str, np.ndarray]]:
+    """Some rows at a time: their numbers, folded text and starts."""
+    for at in range(0, len(texts), 64):
+        text, starts, _ = fold(texts[at : at + 64])
+        yield range(at, min(at + 64, len(texts))), text, starts
+
+
 def learn(texts: list[str], labels: np.ndarray) -> Lexicon:
     """Entries, exceptions, and the logistic curve.
 
     A word counts once for each distinct pair of neighbours, so copies of a text count once.
     """
-    around: dict[str, set[tuple[int, str, str]]] = defaultdict(set)
-    for at in range(0, len(texts), 64):
-        part = texts[at : at + 64]
-        text, starts, _ = fold(part)
+    numbers: dict[str, int] = {}
+    seen = [np.zeros(0, np.uint64)]
+    for part, text, starts in _folded(texts):
         for k in range(len(part)):
-            words = text[starts[k] : starts[k + 1]].split()
-            for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-                if len(word) < 64:
-                    around[word].add((int(labels[at + k]), before, after))
-    whole, stems = {}, defaultdict(lambda: [0, 0, 0])
-    for word, places in around.items():
-        bad = sum(p[0] for p in places)
-        whole[word] = (len(places) - bad, bad)
-        for n in range(MIN_STEM, len(word) + 1):
-            count = stems[word[:n]]
-            count[0] += len(places) - bad
-            count[1] += bad
-            count[2] += 1
-    clean, toxic = max(1, sum(v[0] for v in whole.values())), max(1, sum(v[1] for v in whole.values()))
+            row = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in text[starts[k] : starts[k + 1]].split() if len(w) < 64), 0], np.uint64)
+            around = (row[:-2] * np.uint64(0x9E3779B97F4A7C15) + row[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
+            # word, label and neighbours in one number
+            seen.append(np.unique((row[1:-1] << np.uint64(32)) | (around & np.uint64(0x7FFFFFFF)) << np.uint64(1) | np.uint64(labels[part.start + k])))
+    places = np.unique(np.concatenate(seen))
+    del seen
+    word, label = (places >> np.uint64(32)).astype(np.int64), (places & np.uint64(1)).astype(np.int64)
+    counts = np.bincount(word * 2 + label, minlength=2 * len(numbers) + 2).reshape(-1, 2)
+    clean, toxic = max(1, int(counts[:, 0].sum())), max(1, int(counts[:, 1].sum()))
+    whole = {w: tuple(counts[k].tolist()) for w, k in numbers.items() if counts[k, 1]}
+    stems = {w[:n]: [0, 0, 0] for w, (good, bad) in whole.items() if bad >= MIN_SHARE * (good + bad) for n in range(MIN_STEM, len(w) + 1)}
+    for w, k in numbers.items():
+        for n in range(MIN_STEM, len(w) + 1):
+            if (count := stems.get(w[:n])) is not None:
+                count[0] += int(counts[k, 0])
+                count[1] += int(counts[k, 1])
+                count[2] += 1
 
     def weight(good: int, bad: int) -> float | None:
         """Log odds against chance, where there is enough to go by."""
@@ -147,11 +156,14 @@ def learn(texts: list[str], labels: np.ndarray) -> Lexicon:
 
     # phrases with an entry that stand in clean texts only, in several surroundings
     phrases: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
-    for word, places in around.items():
-        if f" {word} " in entries or any(f" {word[:n]}" in entries for n in range(MIN_STEM, len(word) + 1)):
-            for label, before, after in places:
-                phrases[f" {before} {word} "][label].add(after)
-                phrases[f" {word} {after} "][label].add(before)
+    listed = {w for w in numbers if f" {w} " in entries or any(f" {w[:n]}" in entries for n in range(MIN_STEM, len(w) + 1))}
+    for part, text, starts in _folded(texts):
+        for k in range(len(part)):
+            row = ["", *text[starts[k] : starts[k + 1]].split(), ""]
+            for at in range(1, len(row) - 1):
+                if row[at] in listed:
+                    phrases[f" {row[at - 1]} {row[at]} "][int(labels[part.start + k])].add(row[at + 1])
+                    phrases[f" {row[at]} {row[at + 1]} "][int(labels[part.start + k])].add(row[at - 1])
     exceptions = sorted(p for p, (good, bad) in phrases.items() if len(good) >= 3 and not bad and "  " not in p)
     lexicon = Lexicon(entries, exceptions)
     automaton = lexicon.automaton()
