@@ -1,0 +1 @@
+"""Every source is a bounded batch, so there is no streaming operator here."""
