@@ -104,7 +104,9 @@ def _least_squares(rows: DataFrame, frame: WindowSpec, y: str, xs: tuple[str, ..
     out = out.withColumns({"_explained": explained, "_total": total})
     rsq = F.when(F.col("_total") > 0, 1 - (F.col("_s_yy") - F.col("_explained")) / F.col("_total"))
     results = {"alpha": F.col("_b0"), **{x: F.col(f"_b{i + 1}") for i, x in enumerate(xs)}, "rsq": rsq}
-    return out.select(*columns, *[F.when(F.col("_keep"), c).alias(names[k]) for k, c in results.items()], F.col("_n").alias(names["n_obs"]))
+    # a generator of one row: later filters on the results stay above it, and aren't spelled out in terms of the moments
+    fitted = F.struct(*[F.when(F.col("_keep"), c).alias(names[k]) for k, c in results.items()], F.col("_n").alias(names["n_obs"]))
+    return out.select(*columns, F.inline(F.array(fitted)))
 
 
 def rolling_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, str], window: int = 36, lag: int = 2, min_obs: int = 24) -> DataFrame:
@@ -117,7 +119,7 @@ def rolling_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, s
     numbered = rows.withColumn("_row", F.row_number().over(w))
     fits = F.col("_row") >= window + lag
     out = _least_squares(numbered, w.rowsBetween(-window - lag + 1, -lag), y, xs, names, fits & (F.col("_n") >= min_obs))
-    return out.withColumn(names["n_obs"], F.when(fits, F.col(names["n_obs"]))).drop("_row")
+    return out.withColumn(names["n_obs"], F.when(F.col("_row") >= window + lag, F.col(names["n_obs"]))).drop("_row")
 
 
 def calendar_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, str], months: int = 36, min_obs: int = 24) -> DataFrame:

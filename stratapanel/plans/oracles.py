@@ -101,7 +101,7 @@ SQL = {
     "ff12_range_lookup": f"WITH ff12(ff12_num, ff12_code, ff12_name, sic_lo, sic_hi, ord) AS (VALUES {_RANGES}), s AS (SELECT c_custkey, CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey * 97 % 10001 - 1 END AS INTEGER) siccd FROM customer) SELECT c_custkey, siccd, CASE WHEN siccd IS NULL THEN NULL ELSE coalesce(arg_max(ff12_num, ord), 12) END ff12_num, CASE WHEN siccd IS NULL THEN NULL ELSE coalesce(arg_max(ff12_code, ord), 'Other') END ff12_code FROM s LEFT JOIN ff12 ON siccd BETWEEN sic_lo AND sic_hi GROUP BY c_custkey, siccd",
     "daily_to_eom": f"WITH {PANEL} SELECT date_eom, round(ten_y, 4) ten_y FROM macro WHERE ten_y IS NOT NULL",
     "macro_full_join": f"WITH {PANEL} SELECT date_eom, round(ten_y, 4) ten_y, round(ffr, 4) ffr, round(vix, 4) vix FROM macro",
-    "panel_build": over_panel("SELECT permno, date_eom, round(ret, 6) ret, round(mktcap, 2) mktcap, round(mkt_rf, 6) mkt_rf, round(smb, 6) smb, round(hml, 6) hml, round(rmw, 6) rmw, round(cma, 6) cma, siccd, ff12_num, ff12_code, gsector, gics_sector_name, ticker, round(vix, 4) vix FROM panel"),
+    "panel_build": over_panel("SELECT permno, date_eom, round(ret, 6) ret, round(mktcap, 0) mktcap, round(mkt_rf, 6) mkt_rf, round(smb, 6) smb, round(hml, 6) hml, round(rmw, 6) rmw, round(cma, 6) cma, siccd, ff12_num, ff12_code, gsector, gics_sector_name, ticker, round(vix, 4) vix FROM panel"),
     "lagged_drivers": over_panel(f"SELECT permno, date_eom, round(lag(ten_y, 1) OVER {_W}, 4) ten_y_lag, round(lag(mkt_rf, 2) OVER {_W}, 6) mkt_rf_lag, round(lag(cma, 2) OVER {_W}, 6) cma_lag FROM panel"),
     "momentum_10m": over_panel(f"SELECT permno, date_eom, round(CASE WHEN row_number() OVER {_W} > 12 THEN product(1 + coalesce(ret, 0)) OVER (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) - 1 END, 6) mom_12_1 FROM panel"),
     "rolling_vol_12": over_panel(f"SELECT permno, date_eom, round(CASE WHEN row_number() OVER {_W} >= 12 THEN stddev_samp(ret) OVER (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END, 6) vol_12m FROM panel"),

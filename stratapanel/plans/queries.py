@@ -29,9 +29,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(rows: DataFrame, *keys: str, digits: int = 6, **of: int) -> DataFrame:
-    """``keys``, and the columns of ``of`` rounded to so many digits (or ``digits`` for 0)."""
-    return rows.select(*keys, *[F.round(c, d or digits).alias(c) for c, d in of.items()])
+def rounded(rows: DataFrame, *keys: str, **of: int) -> DataFrame:
+    """``keys``, and the columns of ``of`` rounded to so many digits."""
+    return rows.select(*keys, *[F.round(c, d).alias(c) for c, d in of.items()])
 
 
 @query
@@ -107,7 +107,7 @@ def macro_full_join(spark, d):
 @query
 def panel_build(spark, d):
     keys = (*KEY, "siccd", "ff12_num", "ff12_code", "gsector", "gics_sector_name", "ticker")
-    return rounded(panel(spark, d), *keys, ret=6, mktcap=2, mkt_rf=6, smb=6, hml=6, rmw=6, cma=6, vix=4)
+    return rounded(panel(spark, d), *keys, ret=6, mktcap=0, mkt_rf=6, smb=6, hml=6, rmw=6, cma=6, vix=4)
 
 
 @query
