@@ -84,11 +84,10 @@ summary AS (SELECT scheme, horizon, flagged, count(*) n, avg(xx) mean_fwd_alpha,
 _NAIVE = """, p AS (SELECT gics_sector_name grp, ret y, lag(ret, 1) OVER (PARTITION BY permno ORDER BY date_eom) h FROM panel),
 g AS (SELECT grp, count(*) n, 1 - sum((y - h) * (y - h)) / nullif(regr_syy(y, y), 0) r2_oos, avg(abs(y - h)) mae, sqrt(avg((y - h) * (y - h))) rmse, avg(CASE WHEN sign(y) = sign(h) THEN 1.0 ELSE 0.0 END) dir_acc
       FROM p WHERE y IS NOT NULL AND h IS NOT NULL GROUP BY 1)"""
-_PAIRS = """, k AS (SELECT permno e, date_eom t, ret_excess v, gics_sector_name g FROM panel WHERE ret_excess IS NOT NULL AND permno <= 60),
+_PAIRS = """, k AS (SELECT permno e, date_eom t, ret_excess v, gics_sector_name g FROM panel WHERE ret_excess IS NOT NULL),
 pairs AS (SELECT a.e a, b.e b, min(a.g) ga, min(b.g) gb, count(*) n,
                  CASE WHEN var_samp(a.v) > 1e-12 AND var_samp(b.v) > 1e-12 THEN corr(a.v, b.v) END c
           FROM k a JOIN k b ON a.t = b.t AND a.e < b.e GROUP BY 1, 2)"""
-_PAIRS = _PAIRS.replace(" AND permno <= 60", "")
 
 SQL = {
     "month_grid": "SELECT last_day(CAST(d AS DATE)) date_eom FROM (SELECT unnest(generate_series(DATE '2014-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) d)",
@@ -141,7 +140,7 @@ SQL = {
     "head_and_tail": "(SELECT o_orderkey, round(o_totalprice, 2) o_totalprice, 'head' part FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5) UNION ALL (SELECT o_orderkey, round(o_totalprice, 2), 'tail' FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 5)",
     "train_valid_split": over_panel("SELECT CASE WHEN date_eom BETWEEN DATE '1998-01-01' AND DATE '1999-12-31' THEN 'train' WHEN date_eom BETWEEN DATE '2000-01-01' AND DATE '2001-11-30' THEN 'test' END split, count(*) n FROM panel WHERE ret IS NOT NULL GROUP BY 1"),
     "months_cross_entities": "SELECT last_day(CAST(d AS DATE)) date_eom, s_suppkey permno FROM (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) d), supplier",
-    "silhouette_by_label": "WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 5 = 0), p AS (SELECT a.vec_id k, a.label c, b.label c2, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))))) d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), q AS (SELECT k, max(CASE WHEN c = c2 THEN d END) a, min(CASE WHEN c <> c2 THEN d END) b FROM p GROUP BY 1) SELECT k vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) silhouette FROM q".replace("WHERE vec_id % 5 = 0", ""),
-    "nearest_center_assign": "WITH c AS (SELECT label, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)), r AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT r.vec_id, c.vec_id cid, sqrt(list_sum(list_transform(list_zip(r.embedding, c.embedding), z -> (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) d FROM r, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)) c) SELECT vec_id, CAST(arg_min(cid, (d, cid)) + 1 AS INTEGER) cluster FROM d GROUP BY 1",
+    "silhouette_by_label": "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id k, a.label c, b.label c2, avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), q AS (SELECT k, max(CASE WHEN c = c2 THEN d END) a, min(CASE WHEN c <> c2 THEN d END) b FROM p GROUP BY 1) SELECT k vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) silhouette FROM q",
+    "nearest_center_assign": "WITH r AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT r.vec_id, c.vec_id cid, list_distance(CAST(r.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) d FROM r, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)) c) SELECT vec_id, CAST(arg_min(cid, (d, cid)) + 1 AS INTEGER) cluster FROM d GROUP BY 1",
     "leakage_invariants": "SELECT unnest(['forward label is the next realised alpha', 'loadings ignore later factors', 'lagged drivers match a plain lag']) test, unnest([0, 0, 0]) violations",
 }

@@ -14,7 +14,7 @@ from ..operators import expand, iforest, metrics, resample
 from ..operators.clustering import clusters_annual, match_labels
 from ..operators.elastic_net import long_schemes
 from ..operators.joins import point_in_time
-from ..operators.matrix import nearest_centre, pair_correlations, principal_components, silhouettes
+from ..operators.matrix import nearest_centre, pair_correlations, silhouettes
 from ..operators.windows import calendar_ols, log_lag, momentum, rolling_ols, rolling_sd, slide, with_lags
 from . import compare, features
 from .testbed import CONFIG, factors, macro_daily, panel, returns, table, with_industry
@@ -432,17 +432,13 @@ def kmeans_elbow(spark, d):
 
 @query
 def pca_embeddings(spark, d):
-    import numpy as np
-    import pandas as pd
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-
-    def scores(key, part):
-        part = part.sort_values("vec_id")
-        x = principal_components(np.stack(part["embedding"].to_numpy()).astype(float), 2)
-        return pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "pc1": x[:, 0], "pc2": x[:, 1]})
-
-    return rows.groupBy(F.lit(0)).applyInPandas(scores, "vec_id bigint, pc1 double, pc2 double")
+    rows = table(spark, d, "embeddings").withColumn("v", array_to_vector("embedding"))
+    centred = StandardScaler(inputCol="v", outputCol="x", withMean=True, withStd=False).fit(rows).transform(rows)
+    scores = PCA(k=2, inputCol="x", outputCol="pc").fit(centred).transform(centred).withColumn("pc", vector_to_array("pc"))
+    return scores.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
 
 
 @query
