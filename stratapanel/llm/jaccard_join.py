@@ -3,11 +3,11 @@
 A document is the set of its five-word shingles; documents of equal sets are one node. In each run
 a hash function per level chooses a few of a set's shingles (about ``BRANCH``, the same ones in similar
 sets). A path is one chosen shingle per level: sets that share a path share a bucket. A bucket of at most
-``LIMIT`` sets is compared pair by pair on sketches; a larger one is split by the next level's shingles. What
-is still larger at the last level holds near copies: it is split by salt, each part is tied to
-a few leaders, and the leaders of all parts to each other. Runs are repeated until the chance to miss a pair is below
-the target. What the sketches tie together forms candidate groups; within each, exact similarities are
-computed from the sets, in blocks, counting links without ever listing the pairs of a group.
+``LIMIT`` sets is compared pair by pair on sketches. A larger one is dealt by salt into parts; in each, sets near each other
+are tied into stars, and a few heads of each star and the sets near no other go on to the next level, where its
+shingles split the bucket. So near copies, which no shingle would split, shrink to a few heads. Runs are repeated until the
+chance to miss a pair is below the target. What the sketches tie together forms candidate groups; within each, exact
+similarities are computed from the sets, in blocks, counting links without ever listing the pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from .textbuf import mix, text_blocks, words
 SHINGLE, SIMILARITY = 5, (4, 5)  # words; similarity as a fraction
 BRANCH, LEVELS, RECALL = 4, 3, 0.9999
 #: sets in a bucket that is compared pair by pair; sets in a block of exact comparison; sets in a salted part
-LIMIT, BLOCK, PART = 100, 1000, 2000
+LIMIT, BLOCK, PART = 100, 2000, 2000
 #: paths with more than LIMIT sets that are split before they are dealt, the largest first
 HOT_PATHS = 50_000
 SKETCH = 64
-#: equal sketch bytes that tie two sets, and that make a leader stand for a set
-TIE, STAND_IN = 36, 58
+#: equal sketch bytes that tie two sets; and how many of a star's sets go on
+TIE, HEADS = 36, 3
 _BITS = np.uint64(46)
 _MASK = np.uint64((1 << 46) - 1)
 _RNG = np.random.default_rng(20)
@@ -199,23 +199,28 @@ def _compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _lead(key: tuple, rows: pa.Table) -> pa.Table:
-    """Ties of a part's leaders to all that are near them; the leaders come back as rows of kind 1."""
+    """Stars of a part's sets: ties to the first set of each star, and as rows of kind 1 what goes on to the next level."""
     node = rows.column("node").to_numpy()
     order = np.argsort(node)
     node, sketch = node[order], _sketch_rows(rows.column("sketch").combine_chunks())[order]
-    free = np.ones(len(node), bool)
-    leaders, ties = [], [np.zeros((0, 2), np.int64)]
+    star = np.full(len(node), -1)
     for k in range(len(node)):
-        if not free[k]:
+        if star[k] >= 0:
             continue
-        same = (sketch == sketch[k]).sum(1)
-        leaders.append(k)
-        free &= same < STAND_IN
-        near = np.flatnonzero((same >= TIE) & (node != node[k]))
-        ties.append(np.stack([np.full(len(near), node[k]), node[near]], 1))
-    tied = np.unique(np.sort(np.concatenate(ties), 1), axis=0)
-    path = key[0].as_py()
-    return pa.Table.from_batches([_found(0, tied[:, 0], tied[:, 1]), _found(1, node[leaders], np.full(len(leaders), path))])
+        near = np.flatnonzero((sketch == sketch[k]).sum(1) >= TIE)
+        met = np.unique(star[near])
+        star[near] = k
+        for old in met[met >= 0]:  # stars that share a set are one
+            star[star == old] = k
+    _, first, which, count = np.unique(star, return_index=True, return_inverse=True, return_counts=True)
+    head = node[first[which]]
+    tied = head != node
+    order = np.argsort(which, kind="stable")
+    place = np.empty(len(node), np.int64)
+    place[order] = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
+    on = place < HEADS
+    path, run = key[0].as_py(), rows.column("run")[0].as_py()
+    return pa.Table.from_batches([_found(0, head[tied], node[tied]), _found(1, node[on], np.full(int(on.sum()), path), run)])
 
 
 def candidate_ties(nodes: DataFrame, runs: int) -> DataFrame:
@@ -230,20 +235,21 @@ def candidate_ties(nodes: DataFrame, runs: int) -> DataFrame:
         dealt = rows.join(F.broadcast(hot), "path", "left_anti").select("path", "node", "n", "sketch", "run")
         found = materialise(dealt.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_buckets, _FOUND), "buckets")
         ties.append(found.where("kind = 0").select("a", "b"))
-        split = rows.join(F.broadcast(hot), "path", "left_semi").select("node", "path", "run").unionByName(found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run"))
-        split = materialise(split, "large-buckets")
-        if split.isEmpty():
+        large = rows.join(F.broadcast(hot), "path", "left_semi").select("node", "path", "run")
+        large = large.unionByName(found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run"))
+        large = materialise(large, "large-buckets")
+        for turn in range(2):  # the heads of all parts meet in the second turn
+            if large.isEmpty():
+                break
+            parts = large.join(large.groupBy("path").count(), "path").withColumn("part", F.pmod(F.xxhash64("node", "path", F.lit(turn)), F.ceil(F.col("count") / PART)))
+            led = parts.select("node", "path", "run", "part").join(slim, "node").select("path", "part", "node", "run", "sketch").groupBy("path", "part").applyInArrow(_lead, _FOUND)
+            led = materialise(led, "stars-of-buckets")
+            ties.append(led.where("kind = 0").select("a", "b"))
+            large = led.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run")
+        if level + 1 == LEVELS or large.isEmpty():
             break
-        if level + 1 < LEVELS:
-            deeper = split.join(nodes, "node").select("node", "n", "sketch", "run", "path", F.explode(_at_level(F.col("chosen"), level + 1)).alias("next"))
-            rows = deeper.where(_run(F.col("next")) == F.col("run")).select("node", "n", "sketch", "run", F.xxhash64("path", "next").alias("path"))
-            continue
-        sizes = split.groupBy("path").count()
-        parts = split.join(sizes, "path").join(slim, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / PART)))
-        led = materialise(parts.select("path", "part", "node", "sketch").groupBy("path", "part").applyInArrow(_lead, _FOUND), "leaders")
-        ties.append(led.where("kind = 0").select("a", "b"))
-        heads = led.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path")).join(slim, "node")
-        ties.append(heads.select("path", "node", "sketch").groupBy("path").applyInArrow(_lead, _FOUND).where("kind = 0").select("a", "b"))
+        deeper = large.join(nodes, "node").select("node", "n", "sketch", "run", "path", F.explode(_at_level(F.col("chosen"), level + 1)).alias("next"))
+        rows = deeper.where(_run(F.col("next")) == F.col("run")).select("node", "n", "sketch", F.xxhash64("path", "next").alias("path"), "run")
     out = ties[0]
     for t in ties[1:]:
         out = out.unionByName(t)
@@ -258,40 +264,41 @@ def _exact(key: tuple, rows: pa.Table) -> pa.Table:
     own, other = key[1].as_py(), key[2].as_py()
     node, first = np.unique(rows.column("node").to_numpy(), return_index=True)
     rows = rows.take(pa.array(first))
-    copies, block = rows.column("copies").to_numpy(), rows.column("block").to_numpy()
+    copies, left = rows.column("copies").to_numpy(), np.flatnonzero(rows.column("block").to_numpy() == own)
+    right = left if own == other else np.flatnonzero(rows.column("block").to_numpy() == other)
     sets = [np.frombuffer(x, "<u8") for x in rows.column("elements").to_pylist()]
-    size = np.array([len(s) for s in sets])
-    m = len(sets)
-    every = np.concatenate(sets)
-    _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count > 1
-    column = np.cumsum(shared) - 1
-    seen = shared[inverse]
+    m, size = len(sets), np.array([len(s) for s in sets])
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a shingle of one set alone is in no intersection
+    column, seen = np.cumsum(shared) - 1, shared[inverse]
     where, which = np.repeat(np.arange(m), size)[seen], column[inverse[seen]]
     order = np.argsort(which, kind="stable")
     where, which = where[order], which[order]
-    inter = np.zeros((m, m), np.float32)
-    step = 2048
-    for lo in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(which, [lo, lo + step])
-        part = np.zeros((m, min(step, int(shared.sum()) - lo)), np.float32)
+    inter = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(which, [lo, lo + 1024])
+        part = np.zeros((m, min(1024, int(shared.sum()) - lo)), np.float32)
         part[where[a:b], which[a:b] - lo] = 1
-        inter += part @ part.T
-    union = size[:, None] + size[None] - inter
-    linked = inter * SIMILARITY[1] >= union * SIMILARITY[0]
-    np.fill_diagonal(linked, False)
+        inter += part[left] @ part[right].T
+    # inter / (sizes - inter) >= p / q without division
+    linked = inter * (SIMILARITY[0] + SIMILARITY[1]) >= SIMILARITY[0] * (size[left][:, None] + size[right][None]).astype(np.float32)
+    if own == other:
+        np.fill_diagonal(linked, False)
+    links = np.zeros(m, np.int64)
+    links[left] = linked @ copies[right]
     if own != other:
-        linked &= block[:, None] != block[None]
-    links = linked @ copies
+        links[right] = linked.T @ copies[left]
     root = np.arange(m)
-    while True:  # smallest reachable number
-        least = np.minimum(root, np.where(linked, root[None], m).min(1)) if m else root
+    while True:  # the smallest number that links lead to
+        least = root.copy()
+        least[left] = np.minimum(least[left], np.where(linked, root[right][None], m).min(1, initial=m))
+        if own != other:
+            least[right] = np.minimum(least[right], np.where(linked, root[left][:, None], m).min(0, initial=m))
         least = least[least]
         if (least == root).all():
             break
         root = least
-    whole = rows.column("blocks").to_numpy() == 1
-    return pa.table({"node": node, "links": links.astype(np.int64), "root": node[root], "whole": pa.array(whole)})
+    return pa.table({"node": node, "links": links, "root": node[root], "whole": pa.array(rows.column("blocks").to_numpy() == 1)})
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
