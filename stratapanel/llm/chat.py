@@ -24,15 +24,21 @@ BOS, EOS = "<s>", "</s>"
 _HEADS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", f" {EOS}"), "system": ("<<SYS>>\n", "\n<</SYS>>\n\n")}
 #: what control strings begin with, and the escape sign itself
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
-_UNESCAPES = {v: k for k, v in _ESCAPES.items()}
+#: what besides could end a role's mark
+_ROLE_ESCAPES = {"]": "\\r", "\n": "\\n"}
+_UNESCAPES = {v: k for k, v in (_ESCAPES | _ROLE_ESCAPES).items()}
 _SPECIAL = re.compile(r"[\\<\[]")
-_ESCAPED = re.compile(r"\\[\\lb]")
+_ESCAPED = re.compile(r"\\[\\lbrn]")
 
 
 def escape(text: str) -> str:
     return _SPECIAL.sub(lambda m: _ESCAPES[m[0]], text)
 
 
+def escape_role(role: str) -> str:
+    return re.sub(r"[\]\n]", lambda m: _ROLE_ESCAPES[m[0]], escape(role))
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _UNESCAPES[m[0]], text)
 
@@ -41,13 +47,13 @@ def instruct_template(turns: list[Turn]) -> str:
     """Marks each turn with control strings, none of which a turn's text or role can contain."""
     out = [BOS]
     for role, text in turns:
-        head, tail = _HEADS.get(role) or (f"[ROLE {escape(role)}]\n", "\n[/ROLE]")
+        head, tail = _HEADS.get(role) or (f"[ROLE {escape_role(role)}]\n", "\n[/ROLE]")
         out += [head, escape(text), tail]
     return "".join(out)
 
 
 _PIECE = re.compile(
-    rf"(?:{re.escape(BOS)})?(?:\[INST\] (?P<user>[^<\[]*) \[/INST\]| (?P<assistant>[^<\[]*) </s>|<<SYS>>\n(?P<system>[^<\[]*)\n<</SYS>>\n\n|\[ROLE (?P<role>[^<\[\]]*(?:\][^<\[\]\n]*)*)\]\n(?P<other>[^<\[]*)\n\[/ROLE\])"
+    rf"(?:{re.escape(BOS)})?(?:\[INST\] (?P<user>[^<\[]*) \[/INST\]| (?P<assistant>[^<\[]*) </s>|<<SYS>>\n(?P<system>[^<\[]*)\n<</SYS>>\n\n|\[ROLE (?P<role>[^<\[\]\n]*)\]\n(?P<other>[^<\[]*)\n\[/ROLE\])"
 )
 
 

@@ -65,7 +65,7 @@ WITH t AS (
 s AS (
     SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))
               + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 19
-                     ELSE 16 + length(role) + length(regexp_replace(role, '[^\\<\[]', '', 'g')) END size
+                     ELSE 16 + length(role) + length(regexp_replace(role, '[^\\<\[\]\n]', '', 'g')) END size
     FROM t)
 SELECT conv_id, count(*) n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) turns_sha256,

@@ -76,7 +76,10 @@ class Lexicon:
 
         found = ahocorasick.Automaton()
         for entry, weight in self.entries.items():
-            found.add_word(entry, (len(entry), weight))
+            # a digit 1 was folded to i, and may have stood for l
+            for form in {entry.replace("l", "i"), entry}:
+                if form == entry or form not in self.entries:
+                    found.add_word(form, (len(form), weight))
         for phrase in self.exceptions:
             found.add_word(phrase, (len(phrase), None))
         found.make_automaton()
