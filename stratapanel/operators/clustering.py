@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from .elastic_net import no_rows
 from .matrix import correlation_matrix, kmeans, mean_silhouette, principal_components
 
 MIN_MONTHS, MIN_ENTITIES, MAX_COMPONENTS = 36, 5, 10
@@ -46,7 +47,7 @@ def fit_period(window: pd.DataFrame, grid: tuple[int, ...], force: int | None, s
     """permno, cluster_id (from 1), k and silhouette of one window; no rows if there is too little to go by."""
     who, x = embed(window["permno"].to_numpy(), window["date_eom"].to_numpy(), window["ret_excess"].to_numpy(float))
     if not len(who):
-        return pd.DataFrame({"permno": [], "cluster_id": [], "k": [], "silhouette": []})
+        return no_rows("permno", "cluster_id", "k", "silhouette")
     k, silhouette, _ = pick_k(x, grid, seed, starts)
     k = force or k
     label, _, _ = kmeans(x, k, 2 * starts, 200, seed)

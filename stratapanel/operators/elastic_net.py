@@ -18,6 +18,11 @@ MIN_TRAIN = 60
 PREDICTION = "scheme string, grp string, permno bigint, date_eom date, n_train bigint, y_true double, y_hat double"
 
 
+def no_rows(*names: str) -> pd.DataFrame:
+    """An empty frame whose columns fit any type."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 @dataclass
 class Gram:
     """Sufficient statistics of some rows."""
@@ -48,7 +53,7 @@ class Gram:
         return cov * inv[:, None] * inv, cxy * inv / sy if sy > 0 else cxy * 0, inv, my, mx, sy
 
 
-def descend(r: np.ndarray, c: np.ndarray, lam: float, alpha: float, start: np.ndarray, rounds: int = 1000, tolerance: float = 1e-7) -> np.ndarray:
+def descend(r: np.ndarray, c: np.ndarray, lam: float, alpha: float, start: np.ndarray, rounds: int = 300, tolerance: float = 1e-6) -> np.ndarray:
     b = start.copy()
     live = np.flatnonzero(np.diag(r) > 0)
     g = c - r @ b
@@ -120,7 +125,7 @@ def predict_groups(rows: DataFrame, features: tuple[str, ...], label: str, alpha
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         train, test = part[part["split"] == "train"], part[part["split"] == "test"].sort_values(["permno", "date_eom"])
         if len(train) < min_train or not len(test):
-            return pd.DataFrame({"scheme": [], "grp": [], "permno": [], "date_eom": [], "n_train": [], "y_true": [], "y_hat": []})
+            return no_rows("scheme", "grp", "permno", "date_eom", "n_train", "y_true", "y_hat")
         train = train.sort_values(["permno", "date_eom"])
         beta, _ = cross_validated(train[list(features)].to_numpy(float), train[label].to_numpy(float), train["fold"].to_numpy(), alpha)
         fitted = beta[0] + test[list(features)].to_numpy(float) @ beta[1:]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .elastic_net import no_rows
+
 SCORES = "scheme string, grp string, permno bigint, date_eom date, iso_score double"
 
 
@@ -83,7 +85,7 @@ def score_groups(rows: DataFrame, features: tuple[str, ...], trees: int = 200, m
         test = part if fit_is_score else part[part["split"] == "test"]
         train = part if fit_is_score else part[part["split"] == "train"]
         if len(train) < min_train or not len(test):
-            return pd.DataFrame({"scheme": [], "grp": [], "permno": [], "date_eom": [], "iso_score": []})
+            return no_rows("scheme", "grp", "permno", "date_eom", "iso_score")
         forest = IsolationForest(train[list(features)].to_numpy(float), trees, 256, seed + zlib.crc32(f"{key[0]}/{key[1]}".encode()))
         return pd.DataFrame({"scheme": key[0], "grp": key[1], "permno": test["permno"], "date_eom": test["date_eom"], "iso_score": forest.scores(test[list(features)].to_numpy(float))})
 

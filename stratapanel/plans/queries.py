@@ -16,6 +16,7 @@ from ..operators.elastic_net import long_schemes
 from ..operators.joins import point_in_time
 from ..operators.matrix import nearest_centre, pair_correlations, silhouettes
 from ..operators.windows import calendar_ols, log_lag, momentum, rolling_ols, rolling_sd, slide, with_lags
+from ..sources.cache import checkpointed
 from . import compare, features
 from .testbed import CONFIG, factors, macro_daily, panel, returns, table, with_industry
 
@@ -381,7 +382,7 @@ def nearest_center_assign(spark, d):
 
 @query
 def leakage_invariants(spark, d):
-    rows = panel(spark, d)
+    rows = checkpointed(panel(spark, d))
     return features.violations(features.build_features(rows, CONFIG), rows, CONFIG).withColumn("violations", F.col("violations").cast("int"))
 
 
@@ -395,7 +396,7 @@ def dev_sample(spark, d):
 
 
 def clustered(spark, d, starts=5):
-    rows = panel(spark, d)
+    rows = checkpointed(panel(spark, d))
     assigned, diagnosis = clusters_annual(rows, CONFIG, grid=(2, 3, 4, 5, 6), starts=starts)
     return rows, assigned, diagnosis
 
@@ -450,7 +451,7 @@ def label_match(spark, d):
 def compared(spark, d):
     """The feature panel with clusters."""
     rows, assigned, _ = clustered(spark, d)
-    return compare.attach_clusters(features.build_features(rows, CONFIG), assigned), rows
+    return checkpointed(compare.attach_clusters(features.build_features(rows, CONFIG), assigned)), rows
 
 
 @query

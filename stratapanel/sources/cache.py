@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,15 @@ def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read from there: later plans start short,
+    and a lost executor costs no recomputation. A temporary folder is set only where none is."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratapanel-"))
+    return df.checkpoint()
+
+
 def empty_table(spark: SparkSession, schema: StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -234,3 +234,14 @@ def test_cache_and_raw_sources(spark, tmp_path):
 
 def test_feature_list_is_built():
     assert len(FEATURE_COLS) == 16 and os.path.exists(os.path.dirname(__file__))
+
+
+def test_groups_with_too_few_rows_give_none(spark, synthetic):
+    _, df = synthetic
+    few = df.where("permno < 10004").withColumn("cluster_id", F.lit(1))
+    built = features.build_features(few, CONFIG)
+    groups, schemes = compare.prediction(built.where(F.col("date_eom") > F.lit(date(2022, 11, 1))), CONFIG)
+    assert groups.count() == 0 and {r.scheme for r in schemes.collect()} <= {"Pooled"}
+    flags, _, ahead = compare.anomalies(built.where(F.col("date_eom") > F.lit(date(2022, 11, 1))), CONFIG, trees=5)
+    assert flags.count() == 0 and ahead.count() == 0
+    assert clustering.fit_refits(few, CONFIG).count() == 0
