@@ -30,6 +30,8 @@ BRANCH, LEVELS, RECALL = 4, 3, 0.9999
 LIMIT, BLOCK, PART = 100, 2000, 2000
 #: paths with more than LIMIT sets that are split before they are dealt, the largest first
 HOT_PATHS = 50_000
+#: members of candidate groups (about 40 bytes each) up to which their texts are found by broadcast rather than by a shuffle of all texts
+BROADCAST_MEMBERS = 250_000
 SKETCH = 64
 #: equal sketch bytes that tie two sets; and how many of a star's sets go on
 TIE, HEADS = 36, 3
@@ -242,13 +244,13 @@ def candidate_ties(nodes: DataFrame, runs: int) -> DataFrame:
             if large.isEmpty():
                 break
             parts = large.join(large.groupBy("path").count(), "path").withColumn("part", F.pmod(F.xxhash64("node", "path", F.lit(turn)), F.ceil(F.col("count") / PART)))
-            led = parts.select("node", "path", "run", "part").join(slim, "node").select("path", "part", "node", "run", "sketch").groupBy("path", "part").applyInArrow(_lead, _FOUND)
+            led = parts.select("node", "path", "run", "part").join(slim.hint("merge"), "node").select("path", "part", "node", "run", "sketch").groupBy("path", "part").applyInArrow(_lead, _FOUND)
             led = materialise(led, "stars-of-buckets")
             ties.append(led.where("kind = 0").select("a", "b"))
             large = led.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run")
         if level + 1 == LEVELS or large.isEmpty():
             break
-        deeper = large.join(nodes, "node").select("node", "n", "sketch", "run", "path", F.explode(_at_level(F.col("chosen"), level + 1)).alias("next"))
+        deeper = large.join(nodes.hint("merge"), "node").select("node", "n", "sketch", "run", "path", F.explode(_at_level(F.col("chosen"), level + 1)).alias("next"))
         rows = deeper.where(_run(F.col("next")) == F.col("run")).select("node", "n", "sketch", F.xxhash64("path", "next").alias("path"), "run")
     out = ties[0]
     for t in ties[1:]:
@@ -330,7 +332,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(lo, hi - lo).drop_columns(["text"]).append_column("elements", pa.array(packed, pa.binary()))
                 yield part.filter(pa.array(right))
 
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(member, "rep")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(member) if member.count() <= BROADCAST_MEMBERS else member.hint("merge"), "rep")
     sets = texts.select("text", "node", "component", "copies", "block", "blocks").mapInArrow(
         elements, "node bigint, component bigint, copies bigint, block int, blocks int, elements binary"
     )
