@@ -6,7 +6,9 @@ sets). A path is one chosen shingle per level: sets that share a path share a bu
 ``LIMIT`` sets is compared pair by pair on sketches. A larger one is dealt by salt into parts; in each, sets near each other
 are tied into stars, and a few heads of each star and the sets near no other go on to the next level, where its
 shingles split the bucket. So near copies, which no shingle would split, shrink to a few heads. Runs are repeated until the
-chance to miss a pair is below the target. What the sketches tie together forms candidate groups; within each, exact
+chance to miss a pair is below the target. A set that is in
+many large buckets of a level goes into those that come first in one of ORDERS hash orders: similar sets, whose large paths are
+mostly the same, agree on at least one of them but for a negligible chance. What the sketches tie together forms candidate groups; within each, exact
 similarities are computed from the sets, in blocks, counting links without ever listing the pairs of a group.
 """
 
@@ -33,6 +35,8 @@ HOT_PATHS = 50_000
 #: members of candidate groups (about 40 bytes each) up to which their texts are found by broadcast rather than by a shuffle of all texts
 BROADCAST_MEMBERS = 250_000
 SKETCH = 64
+#: orders in which a set picks the first of its large paths; the others of these are left
+ORDERS = 10
 #: equal sketch bytes that tie two sets; and how many of a star's sets go on
 TIE, HEADS = 36, 3
 _BITS = np.uint64(46)
@@ -225,19 +229,52 @@ def _lead(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_found(0, head[tied], node[tied]), _found(1, node[on], np.full(int(on.sum()), path), run)])
 
 
+def _deal(hot: np.ndarray):
+    """Rows of a level, (path, node, n, sketch, run) by node, as those to compare (kind 0) and those in large buckets (kind 1)."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(batch.schema.get_field_index("paths"))
+            bounds = paths.offsets.to_numpy().astype(np.int64)
+            path = paths.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].view(np.uint64)
+            size = np.diff(bounds)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(hot, path), max(len(hot) - 1, 0))
+            large = hot[at] == path if len(hot) else np.zeros(len(path), bool)
+            kept = ~large
+            where = np.flatnonzero(large)
+            for k in range(ORDERS if len(where) else 0):
+                order = np.lexsort((mix(path[where] ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (2**64 - 1))), row[where]))
+                first = order[np.concatenate([[True], np.diff(row[where][order]) > 0])]
+                kept[where[first]] = True
+            keep = pa.array(row[kept])
+            columns = [batch.column(batch.schema.get_field_index(c)).take(keep) for c in ("node", "n", "sketch")]
+            run = ((path[kept] >> np.uint64(56)) & np.uint64(15)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(large[kept].astype(np.int32)), pa.array(path[kept].view(np.int64)), *columns, pa.array(run)], ["kind", "path", "node", "n", "sketch", "run"])
+
+    return deal
+
+
 def candidate_ties(nodes: DataFrame, runs: int) -> DataFrame:
     """Pairs (a, b) of nodes that some bucket ties together; ``nodes`` has node, n, sketch and chosen."""
     slim = nodes.select("node", "n", "sketch")
-    rows = nodes.select("node", "n", "sketch", F.explode(_at_level(F.col("chosen"), 0)).alias("path")).withColumn("run", _run(F.col("path")).cast("int"))
+    rows = nodes.select("node", F.explode(_at_level(F.col("chosen"), 0)).alias("path"))
     ties = []
     for level in range(LEVELS):
         # the largest paths are known before anything is dealt by path, so none of them meets in one task
         hot = rows.groupBy("path").count().where(F.col("count") > LIMIT).orderBy(F.desc("count"), "path").limit(HOT_PATHS).select("path")
-        hot = materialise(hot, "hot-paths")
-        dealt = rows.join(F.broadcast(hot), "path", "left_anti").select("path", "node", "n", "sketch", "run")
+        if level == 0:
+            # at most HOT_PATHS numbers, sent to the executors; a node's paths stay in one row until they are dealt
+            sent = np.sort(hot.toArrow().column("path").to_numpy().view(np.uint64))
+            lists = nodes.select("node", "n", "sketch", _at_level(F.col("chosen"), 0).alias("paths"))
+            split = lists.mapInArrow(_deal(sent), "kind int, path bigint, node bigint, n int, sketch binary, run int")
+            dealt, large = split.where("kind = 0").drop("kind"), split.where("kind = 1").select("node", "path", "run")
+        else:
+            hot = materialise(hot, "hot-paths")
+            dealt = rows.join(F.broadcast(hot), "path", "left_anti").select("path", "node", "n", "sketch", "run")
+            large = rows.join(F.broadcast(hot), "path", "left_semi").select("node", "path", "run")
         found = materialise(dealt.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_buckets, _FOUND), "buckets")
         ties.append(found.where("kind = 0").select("a", "b"))
-        large = rows.join(F.broadcast(hot), "path", "left_semi").select("node", "path", "run")
         large = large.unionByName(found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run"))
         large = materialise(large, "large-buckets")
         for turn in range(2):  # the heads of all parts meet in the second turn
