@@ -3,12 +3,12 @@
 A document is the set of its five-word shingles; documents of equal sets are one node. In each run
 a hash function per level chooses a few of a set's shingles (about ``BRANCH``, the same ones in similar
 sets). A path is one chosen shingle per level: sets that share a path share a bucket. A bucket of at most
-``LIMIT`` sets is compared pair by pair on sketches. A larger one is dealt by salt into parts; in each, sets near each other
-are tied into stars, and a few heads of each star and the sets near no other go on to the next level, where its
-shingles split the bucket. So near copies, which no shingle would split, shrink to a few heads. Runs are repeated until the
-chance to miss a pair is below the target. A set that is in
-many large buckets of a level goes into those that come first in one of ORDERS hash orders: similar sets, whose large paths are
-mostly the same, agree on at least one of them but for a negligible chance. What the sketches tie together forms candidate groups; within each, exact
+``LIMIT`` sets is compared pair by pair on sketches, one of at most ``PART`` sets by one task. A larger one is dealt by salt into
+parts, each of which ties its own sets together, and a few heads of each star of tied sets meet once more. Then only pairs of sets
+not yet tied together, directly or through others, are open. If all but ``PART`` sets of the bucket are
+tied together, as near copies are, the others are compared with all, block by block; if more are loose, all its sets go on to the next
+level, where their shingles split the bucket; what is still large after the last level is compared in all its open pairs, block by block. No set of a bucket is left out. Runs are repeated until the
+chance to miss a pair is below the target. What the sketches tie together forms candidate groups; within each, exact
 similarities are computed from the sets, in blocks, counting links without ever listing the pairs of a group.
 """
 
@@ -28,16 +28,14 @@ from .textbuf import mix, text_blocks, words
 
 SHINGLE, SIMILARITY = 5, (4, 5)  # words; similarity as a fraction
 BRANCH, LEVELS, RECALL = 4, 3, 0.9999
-#: sets in a bucket that is compared pair by pair; sets in a block of exact comparison; sets in a salted part
+#: sets in a bucket that is compared pair by pair; sets in a block of exact comparison; sets in a salted part or block of a large bucket
 LIMIT, BLOCK, PART = 100, 2000, 2000
 #: paths with more than LIMIT sets that are split before they are dealt, the largest first
 HOT_PATHS = 50_000
 #: members of candidate groups (about 40 bytes each) up to which their texts are found by broadcast rather than by a shuffle of all texts
 BROADCAST_MEMBERS = 250_000
 SKETCH = 64
-#: orders in which a set picks the first of its large paths; the others of these are left
-ORDERS = 10
-#: equal sketch bytes that tie two sets; and how many of a star's sets go on
+#: equal sketch bytes that tie two sets; and how many of a star's sets meet those of other parts
 TIE, HEADS = 36, 3
 _BITS = np.uint64(46)
 _MASK = np.uint64((1 << 46) - 1)
@@ -48,11 +46,18 @@ _SHINGLE_FACTORS = _RNG.integers(1 << 60, 1 << 63, SHINGLE, dtype=np.uint64) | n
 
 
 def runs_for(recall: float = RECALL, similarity: float = SIMILARITY[0] / SIMILARITY[1]) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall`` in buckets of the first level.
+    """Runs after which a pair at the threshold is tied with probability ``recall``, 16 at most.
 
-    The sets share a chosen shingle with probability 1 - exp(-similarity * BRANCH) in one run.
+    In one run the sets share about similarity * BRANCH chosen shingles (Poisson), and so in each level below a shared path.
+    At worst every bucket is split down to the last level, whose buckets are compared whole: a pair is missed where its
+    tree of shared paths dies out before. Besides, its sketches, the same in all runs, may have fewer than TIE equal bytes.
     """
-    return max(1, min(len(_PATH_FACTORS), math.ceil(math.log(1 - recall) / (-similarity * BRANCH)) + 1))
+    miss = 0.0
+    for _ in range(LEVELS):
+        miss = math.exp(-similarity * BRANCH * (1 - miss))
+    equal = similarity + (1 - similarity) / 256
+    unlike = sum(math.comb(SKETCH, k) * equal**k * (1 - equal) ** (SKETCH - k) for k in range(TIE))
+    return max(1, min(len(_PATH_FACTORS), math.ceil(math.log(max(1 - recall - unlike, 1e-300)) / math.log(miss))))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -204,29 +209,62 @@ def _compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from finish(*held)
 
 
+def _equal_bytes(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Number of bytes of each row of ``sketches`` that ``one`` shares."""
+    return (sketches == one).view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
+
+
+def _tie(sketch: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties that join all near pairs of ``left`` and ``right`` not yet of one label; ``label`` is brought up to date."""
+    own = left is right
+    if len(left) > len(right):
+        left, right = right, left
+    a, b = [], []
+    for place, k in enumerate(left):
+        rest = right[place + 1 :] if own else right
+        rest = rest[label[rest] != label[k]]
+        near = rest[_equal_bytes(sketch[rest], sketch[k]) >= TIE]
+        met, first = np.unique(label[near], return_index=True)
+        if len(met):
+            label[np.isin(label, met)] = label[k]
+            a.append(np.full(len(met), k))
+            b.append(near[first])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
 def _lead(key: tuple, rows: pa.Table) -> pa.Table:
-    """Stars of a part's sets: ties to the first set of each star, and as rows of kind 1 what goes on to the next level."""
+    """Ties of all near sets of a part, and as rows of kind 1 a few heads of each star, to meet those of the bucket's other parts."""
     node = rows.column("node").to_numpy()
     order = np.argsort(node)
     node, sketch = node[order], _sketch_rows(rows.column("sketch").combine_chunks())[order]
-    star = np.full(len(node), -1)
-    for k in range(len(node)):
-        if star[k] >= 0:
-            continue
-        near = np.flatnonzero((sketch == sketch[k]).sum(1) >= TIE)
-        met = np.unique(star[near])
-        star[near] = k
-        for old in met[met >= 0]:  # stars that share a set are one
-            star[star == old] = k
-    _, first, which, count = np.unique(star, return_index=True, return_inverse=True, return_counts=True)
-    head = node[first[which]]
-    tied = head != node
+    every, star = np.arange(len(node)), np.arange(len(node))
+    a, b = _tie(sketch, star, every, every)
+    _, which, count = np.unique(star, return_inverse=True, return_counts=True)
     order = np.argsort(which, kind="stable")
     place = np.empty(len(node), np.int64)
     place[order] = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
-    on = place < HEADS
+    on = (place < HEADS) & (count[which] > 1) & (rows.column("parts")[0].as_py() > 1)
     path, run = key[0].as_py(), rows.column("run")[0].as_py()
-    return pa.Table.from_batches([_found(0, head[tied], node[tied]), _found(1, node[on], np.full(int(on.sum()), path), run)])
+    return pa.Table.from_batches([_found(0, node[a], node[b]), _found(1, node[on], np.full(int(on.sum()), path), run)])
+
+
+def _cross(key: tuple, rows: pa.Table) -> pa.Table:
+    """Ties of a pair of blocks of a large bucket, between sets not yet tied together."""
+    node, block, label = (rows.column(c).to_numpy() for c in ("node", "block", "tied"))
+    sketch, label = _sketch_rows(rows.column("sketch").combine_chunks()), label.copy()
+    left = np.flatnonzero(block == key[1].as_py())
+    right = left if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
+    a, b = _tie(sketch, label, left, right)
+    return pa.table({"a": node[a], "b": node[b]})
+
+
+def _with(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``other``, which has one row per node: a node's rows are one list in the join."""
+    names = [c for c in rows.columns if c != "node"]
+    lists = rows.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    joined = lists.join(other.hint("merge"), "node", how)
+    return joined.withColumn("_row", F.explode("_rows")).select("node", *[f"_row.{c}" for c in names], *[c for c in other.columns if c != "node"])
 
 
 def _deal(hot: np.ndarray):
@@ -241,16 +279,9 @@ def _deal(hot: np.ndarray):
             row = np.repeat(np.arange(len(size)), size)
             at = np.minimum(np.searchsorted(hot, path), max(len(hot) - 1, 0))
             large = hot[at] == path if len(hot) else np.zeros(len(path), bool)
-            kept = ~large
-            where = np.flatnonzero(large)
-            for k in range(ORDERS if len(where) else 0):
-                order = np.lexsort((mix(path[where] ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (2**64 - 1))), row[where]))
-                first = order[np.concatenate([[True], np.diff(row[where][order]) > 0])]
-                kept[where[first]] = True
-            keep = pa.array(row[kept])
-            columns = [batch.column(batch.schema.get_field_index(c)).take(keep) for c in ("node", "n", "sketch")]
-            run = ((path[kept] >> np.uint64(56)) & np.uint64(15)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(large[kept].astype(np.int32)), pa.array(path[kept].view(np.int64)), *columns, pa.array(run)], ["kind", "path", "node", "n", "sketch", "run"])
+            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("node", "n", "sketch")]
+            run = ((path >> np.uint64(56)) & np.uint64(15)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(large.astype(np.int32)), pa.array(path.view(np.int64)), *columns, pa.array(run)], ["kind", "path", "node", "n", "sketch", "run"])
 
     return deal
 
@@ -277,22 +308,53 @@ def candidate_ties(nodes: DataFrame, runs: int) -> DataFrame:
         ties.append(found.where("kind = 0").select("a", "b"))
         large = large.unionByName(found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run"))
         large = materialise(large, "large-buckets")
+        if large.isEmpty():
+            break
+        meeting = large
         for turn in range(2):  # the heads of all parts meet in the second turn
-            if large.isEmpty():
-                break
-            parts = large.join(large.groupBy("path").count(), "path").withColumn("part", F.pmod(F.xxhash64("node", "path", F.lit(turn)), F.ceil(F.col("count") / PART)))
-            led = parts.select("node", "path", "run", "part").join(slim.hint("merge"), "node").select("path", "part", "node", "run", "sketch").groupBy("path", "part").applyInArrow(_lead, _FOUND)
+            counts = meeting.groupBy("path").agg(F.ceil(F.count("*") / PART).alias("parts"))
+            parts = meeting.join(counts, "path").withColumn("part", F.pmod(F.xxhash64("node", "path", F.lit(turn)), F.col("parts")))
+            led = _with(parts, slim.select("node", "sketch")).groupBy("path", "part").applyInArrow(_lead, _FOUND)
             led = materialise(led, "stars-of-buckets")
             ties.append(led.where("kind = 0").select("a", "b"))
-            large = led.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run")
-        if level + 1 == LEVELS or large.isEmpty():
+            meeting = led.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run")
+            if meeting.isEmpty():
+                break
+        # buckets of one part are settled; in the others, sets tied together by now need no comparison
+        wide = large.join(large.groupBy("path").count().where(F.col("count") > PART).select("path"), "path", "left_semi")
+        if wide.isEmpty():
             break
-        deeper = large.join(nodes.hint("merge"), "node").select("node", "n", "sketch", "run", "path", F.explode(_at_level(F.col("chosen"), level + 1)).alias("next"))
+        tied = components(_union(ties)).withColumnRenamed("component", "tied")
+        wide = _with(wide.select("node", "path", "run"), tied, "left").withColumn("tied", F.coalesce("tied", "node"))
+        wide = materialise(wide, "wide-buckets")
+        shares = wide.groupBy("path", "tied").count().groupBy("path").agg(F.max_by("tied", F.struct("count", "tied")).alias("most"), F.max("count").alias("same"), F.sum("count").alias("count"))
+        shares = materialise(shares.withColumn("others", F.col("count") - F.col("same")).where("others > 0"), "shares-of-buckets")
+        last = level + 1 == LEVELS
+        ties.append(_cross_ties(wide, shares if last else shares.where(F.col("others") <= PART), slim))
+        loose = wide.join(shares.where(F.col("others") > PART).select("path"), "path", "left_semi").select("node", "path", "run")
+        if last or loose.isEmpty():
+            break
+        deeper = _with(loose, nodes.select("node", "n", "sketch", "chosen")).withColumn("next", F.explode(_at_level(F.col("chosen"), level + 1)))
         rows = deeper.where(_run(F.col("next")) == F.col("run")).select("node", "n", "sketch", F.xxhash64("path", "next").alias("path"), "run")
+    return _union(ties).distinct()
+
+
+def _cross_ties(wide: DataFrame, shares: DataFrame, slim: DataFrame) -> DataFrame:
+    """Ties of all pairs in the buckets of ``shares`` but those within the largest tied share: blocks of others meet all blocks."""
+    own, others = F.ceil(F.col("same") / PART), F.ceil(F.col("others") / PART)
+    rows = wide.join(shares, "path").withColumns({"own": own, "all": own + others, "loose": F.col("tied") != F.col("most")})
+    block = F.when(F.col("loose"), F.col("own") + F.pmod(F.xxhash64("node", "path"), F.col("all") - F.col("own"))).otherwise(F.pmod(F.xxhash64("node", "path"), F.col("own")))
+    rows = _with(rows.select("node", "path", "tied", "loose", "own", "all", block.alias("block")), slim.select("node", "sketch"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("loose"), F.lit(0)).otherwise(F.col("own")), F.col("all") - 1)))
+    dealt = dealt.select("path", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "tied", "block", "sketch")
+    return materialise(dealt.groupBy("path", "low", "high").applyInArrow(_cross, "a bigint, b bigint"), "ties-of-blocks")
+
+
+def _union(ties: list[DataFrame]) -> DataFrame:
     out = ties[0]
     for t in ties[1:]:
         out = out.unionByName(t)
-    return out.distinct()
+    return out
 
 
 _EXACT = "node bigint, links bigint, root bigint, whole boolean"

@@ -464,6 +464,28 @@ def test_join_against_brute_force(spark, monkeypatch):
     assert got == brute_join(docs)
 
 
+def test_buckets_that_no_level_splits_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIMIT", 5)
+    monkeypatch.setattr(jaccard_join, "PART", 10)
+    rng = np.random.default_rng(14)
+    chosen = [(level << 60) | 7 for level in range(jaccard_join.LEVELS)]
+    sketches = [s.tobytes() for s in rng.integers(0, 256, (30, jaccard_join.SKETCH), dtype=np.uint8)]
+    copies = [(1000 + k, 50, sketches[0], chosen) for k in range(40)]
+    pairs = [(k, 50, sketches[k % 30], chosen) for k in range(1, 60) if k != 30]
+    nodes = spark.createDataFrame(copies + pairs, "node bigint, n int, sketch binary, chosen array<bigint>")
+    groups = {}
+    for r in jaccard_join.components(jaccard_join.candidate_ties(nodes, 1)).collect():
+        groups.setdefault(r.component, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[k, k + 30] for k in range(1, 30)] + [[1000 + k for k in range(40)]]
+
+
+def test_sets_go_into_all_their_large_paths():
+    paths = pa.array([[10, 20, 30, *range(100, 120)]], pa.list_(pa.int64()))
+    row = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([9], pa.int32()), pa.array([b"x"], pa.binary()), paths], ["node", "n", "sketch", "paths"])
+    out = next(jaccard_join._deal(np.arange(100, 120, dtype=np.uint64))(iter([row])))
+    assert sorted(zip(out.column("kind").to_pylist(), out.column("path").to_pylist(), strict=True)) == [(0, k) for k in (10, 20, 30)] + [(1, k) for k in range(100, 120)]
+
+
 def test_join_of_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.class_id, r.n_links) for r in jaccard_join.jaccard_join(odd).collect())
     assert got == [(-1, None, 0), (1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0)]
