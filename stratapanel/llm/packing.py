@@ -25,8 +25,8 @@ from .textbuf import ragged, span_hashes, text_blocks
 
 SEQUENCE, END_ID = 4096, 1
 GROUP_PIECES = 20_000
-#: nodes that one group's search may open
-NODES = 1500
+#: nodes that one group's search may open: so many, and so many more for each bin of the first solution (a node fills one bin)
+NODES, NODES_PER_BIN = 1500, 4
 #: distinct word pieces whose ids a worker keeps
 CACHE_PIECES = 600_000
 
@@ -256,13 +256,13 @@ def lower_bound(lengths: list[int], size: int) -> int:
     return max(best, len(large))
 
 
-def pack(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -> list[list[int]]:
-    """Bins of indexes into ``lengths``, none over ``size``: as few as a search of ``nodes`` nodes finds."""
+def pack(lengths: list[int], size: int = SEQUENCE, nodes: int | None = None) -> list[list[int]]:
+    """Bins of indexes into ``lengths``, none over ``size``: as few as a search of ``nodes`` nodes finds, by default a number that grows with the bins."""
     incumbent = best_fit(lengths, size)
     bound = lower_bound(lengths, size) if lengths else 0
     if len(incumbent) <= bound:
         return incumbent
-    best = _complete(lengths, size, bound, len(incumbent), nodes)
+    best = _complete(lengths, size, bound, len(incumbent), NODES + NODES_PER_BIN * len(incumbent) if nodes is None else nodes)
     if best is None:
         return incumbent
     pools: dict[int, list[int]] = {}
@@ -337,7 +337,7 @@ def _complete(lengths: list[int], size: int, bound: int, upper: int, nodes: int)
     return best
 
 
-def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, nodes: int = NODES, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id") -> DataFrame:
+def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, nodes: int | None = None, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id") -> DataFrame:
     """``pieces`` (which is evaluated more than once) with ``sequence_id`` and ``offset``.
 
     A piece of full ``size`` is a sequence of its own. Sequence numbers are unique, not consecutive. Equal lengths are

@@ -406,6 +406,14 @@ def test_packing_reaches_the_optimum_of_small_cases():
     assert len(packing.pack(hard, 100)) <= len(packing.best_fit(hard, 100))
 
 
+def test_search_of_a_large_group_reaches_whole_solutions():
+    rng = random.Random(15)
+    lengths = [rng.randint(900, 1800) for _ in range(6000)]
+    bins = packing.pack(lengths)
+    assert sorted(k for b in bins for k in b) == list(range(6000)) and all(sum(lengths[k] for k in b) <= packing.SEQUENCE for b in bins)
+    assert len(bins) <= 1.03 * packing.lower_bound(lengths, packing.SEQUENCE) < 0.97 * len(packing.best_fit(lengths, packing.SEQUENCE))
+
+
 # ---- Jaccard join
 
 
