@@ -487,7 +487,8 @@ def iforest_overlap(spark, d):
 @query
 def iforest_embeddings(spark, d):
     rows = table(spark, d, "embeddings")
-    names = tuple(f"x{k}" for k in range(8))
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = tuple(f"x{k}" for k in range(width))
     wide = rows.select(F.lit("label").alias("scheme"), F.lit("all").alias("grp"), F.col("vec_id").alias("permno"), F.lit(None).cast("date").alias("date_eom"), F.lit("test").alias("split"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
     return iforest.score_groups(wide, names, 100, 50, fit_is_score=True).select("permno", "iso_score")
 

@@ -187,6 +187,17 @@ def test_isolation_forest_finds_the_outlier():
     assert np.allclose(IsolationForest(np.ones((40, 3)), 5).scores(np.ones((2, 3))), IsolationForest(np.ones((40, 3)), 5).scores(np.ones((2, 3))))
 
 
+def test_forest_of_embeddings_sees_every_coordinate(spark, tmp_path):
+    from stratapanel.plans.queries import QUERIES
+
+    x = np.random.default_rng(16).normal(size=(200, 64))
+    x[17, 40:] = 9.0
+    rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    scores = {r.permno: r.iso_score for r in QUERIES["iforest_embeddings"](spark, str(tmp_path)).collect()}
+    assert len(scores) == 200 and max(scores, key=scores.get) == 17
+
+
 def test_parsers(spark, tmp_path):
     csv = tmp_path / "factors.csv"
     csv.write_text("preamble, 199901\n\n,Mkt-RF,SMB,HML,RMW,CMA,RF\n199901, 1.00,2,3,4,5,0.5\n199902,-1.0,x,3,4,5,0.5\n\n Annual\n1999,9,9,9,9,9,9\n")
