@@ -81,13 +81,13 @@ class Located:
 
 
 class Renderer:
-    """Locates turns one after the other, in memory bounded by ``context`` turns.
+    """Locates turns one after the other by rendering all turns up to each.
 
-    A template is rendered over the last ``context`` turns and the new one, so it may look back so far, and
-    may treat a conversation's first turns as it likes.
+    For a template declared turn-local, one whose output for a turn depends on no turn more than ``context`` before it but for whether
+    it is the first, only the last ``context`` turns and the new one are rendered, in bounded memory.
     """
 
-    def __init__(self, template: Template, context: int = 16):
+    def __init__(self, template: Template, context: int | None = None):
         self.template, self.context = template, context
         self.edges: dict[tuple, tuple[int, int]] = {}
         self.begin()
@@ -100,8 +100,10 @@ class Renderer:
 
     def _edges(self, role: str) -> tuple[int, int]:
         """Length of what stands before and behind a text of ``role`` in a turn's span, from two probes."""
-        key = (role, self.first, tuple(r for r, _ in self.turns[-2:]))
+        key = (role, self.first, tuple(r for r, _ in self.turns[-2:])) if self.context is not None else (role, *self.turns)
         if key not in self.edges:
+            if self.context is None:
+                self.edges.clear()  # what stands around a text may depend on all before it
             a, b = (self.template([*self.turns, (role, probe)]) for probe in ("qx", "zwk"))
             tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
             head = len(os.path.commonprefix([a, b]))
@@ -109,7 +111,7 @@ class Renderer:
         return self.edges[key]
 
     def add(self, role: str, text: str) -> Located:
-        if len(self.turns) > self.context:
+        if self.context is not None and len(self.turns) > self.context:
             self.turns = self.turns[-self.context :]
             self.last = self.template(self.turns)
         out = self.template([*self.turns, (role, text)])
@@ -125,7 +127,7 @@ class Renderer:
 
 
 def format_chats(
-    turns: DataFrame, template: Template = instruct_template, loss_roles: tuple[str, ...] = ("assistant",), context: int = 16,
+    turns: DataFrame, template: Template = instruct_template, loss_roles: tuple[str, ...] = ("assistant",), context: int | None = None,
     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> DataFrame:
     """A row for each turn of each conversation, in order within a conversation's partition.
@@ -134,7 +136,7 @@ def format_chats(
     are its formatted text), ``start``, ``end``, ``text_start``, ``text_end`` (offsets in that text, code points),
     ``in_loss`` and ``rewrites``. Turns go by ``turn``, ties by role and text; null roles and texts count as
     empty; rows with a null ``conv_id`` form one conversation. Repeated rows are turns of their own. A
-    conversation streams through one task, turn by turn, so its length isn't bound by memory.
+    conversation streams through one task, turn by turn; with ``context`` (see Renderer) its length isn't bound by memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

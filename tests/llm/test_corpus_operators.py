@@ -301,6 +301,20 @@ def test_templates_that_rewrite_history_are_seen():
 # ---- personal data
 
 
+def test_long_conversations_are_rendered_whole():
+    def numbered(turns):
+        return "".join(f"{k} {role}: {text}\n" for k, (role, text) in enumerate(turns))
+
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(40)]
+    renderer = chat.Renderer(numbered)
+    found = [renderer.add(*t) for t in turns]
+    whole = numbered(turns)
+    assert "".join(f.piece for f in found) == whole and not any(f.rewrites for f in found)
+    assert [whole[f.text_start : f.text_end] for f in found] == [text for _, text in turns]
+    late = chat.Renderer(lambda turns: "".join(f"{t}\n" for _, t in turns) if len(turns) < 30 else "cut")
+    assert [k for k in range(40) if late.add(*turns[k]).rewrites] == [29]
+
+
 def test_plain_matches_equal_the_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
