@@ -395,9 +395,9 @@ def dev_sample(spark, d):
     return expand.restrict(orders, expand.sample_keys(orders, "o_custkey", 50, CONFIG.seed), "o_custkey").groupBy("o_custkey").count()
 
 
-def clustered(spark, d, starts=5):
+def clustered(spark, d):
     rows = checkpointed(panel(spark, d))
-    assigned, diagnosis = clusters_annual(rows, CONFIG, grid=(2, 3, 4, 5, 6), starts=starts)
+    assigned, diagnosis = clusters_annual(rows, CONFIG)
     return rows, assigned, diagnosis
 
 
@@ -476,12 +476,12 @@ def elastic_net_pooled(spark, d):
 
 @query
 def iforest_group(spark, d):
-    return compare.anomalies(compared(spark, d)[0], CONFIG, trees=50)[0]
+    return compare.anomalies(compared(spark, d)[0], CONFIG)[0]
 
 
 @query
 def iforest_overlap(spark, d):
-    return compare.anomalies(compared(spark, d)[0], CONFIG, trees=50)[1]
+    return compare.anomalies(compared(spark, d)[0], CONFIG)[1]
 
 
 @query
@@ -496,6 +496,6 @@ def iforest_embeddings(spark, d):
 @query
 def bootstrap_ci(spark, d):
     rows = panel(spark, d).withColumn("k", F.concat_ws("/", "permno", "date_eom"))
-    return resample.bootstrap_mean(rows, "ret_excess", "k", ["gics_sector_name"], 200)
+    return resample.bootstrap_mean(rows, "ret_excess", "k", ["gics_sector_name"])
 
 

@@ -187,6 +187,20 @@ def test_isolation_forest_finds_the_outlier():
     assert np.allclose(IsolationForest(np.ones((40, 3)), 5).scores(np.ones((2, 3))), IsolationForest(np.ones((40, 3)), 5).scores(np.ones((2, 3))))
 
 
+def test_registered_models_do_the_operators_whole_work(spark, monkeypatch):
+    from stratapanel.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "panel", lambda spark, d: spark.range(1).select(F.lit(1).alias("permno"), F.lit("2020-01-31").alias("date_eom")))
+    monkeypatch.setattr(queries, "compared", lambda spark, d: (None, None))
+    monkeypatch.setattr(queries, "clusters_annual", lambda *a, **k: asked.append((a[2:], k)) or (None, None))
+    monkeypatch.setattr(queries.compare, "anomalies", lambda *a, **k: asked.append((a[2:], k)) or (None, None, None))
+    monkeypatch.setattr(queries.resample, "bootstrap_mean", lambda *a, **k: asked.append((a[4:], k)))
+    for name in ("clusters_annual_diagnosis", "iforest_group", "iforest_overlap", "bootstrap_ci"):
+        queries.QUERIES[name](spark, "")
+    assert asked == [((), {})] * 4
+
+
 def test_forest_of_embeddings_sees_every_coordinate(spark, tmp_path):
     from stratapanel.plans.queries import QUERIES
 
