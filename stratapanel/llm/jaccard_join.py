@@ -1,14 +1,16 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is the set of its five-word shingles; documents of equal sets are one node. In each run
-a hash function per level chooses a few of a set's shingles (about ``BRANCH``, the same ones in similar
-sets). A path is one chosen shingle per level: sets that share a path share a bucket. A bucket of at most
-``LIMIT`` sets is compared pair by pair on sketches, one of at most ``PART`` sets by one task. A larger one is dealt by salt into
-parts, each of which ties its own sets together, and a few heads of each star of tied sets meet once more. Then only pairs of sets
-not yet tied together, directly or through others, are open. If all but ``PART`` sets of the bucket are
-tied together, as near copies are, the others are compared with all, block by block; if more are loose, all its sets go on to the next
-level, where their shingles split the bucket; what is still large after the last level is compared in all its open pairs, block by block. No set of a bucket is left out. Runs are repeated until the
-chance to miss a pair is below the target. What the sketches tie together forms candidate groups; within each, exact
+A document is the set of its five-word shingles; documents of equal sets are one node. Of each set a hash chooses
+about ``BRANCH`` shingles a run, the same ones in similar sets; sets that share a chosen shingle share a bucket. What
+stands in no other set makes no bucket. A bucket of at most ``PART`` sets is compared whole, in one task. A
+larger one is dealt by hash into parts of that size, each compared whole. A set with enough of its chosen shingles in buckets
+compared whole is settled: the chance that a link of its was in none of them is below the target. What a large bucket still
+has to compare are pairs of sets neither of which is settled and that nothing ties together yet: the sets outside its largest tied
+share meet that share and each other, block by block, if they are ``PART`` at most; if more, its unsettled sets go on to the next
+level, where further chosen shingles split the bucket, and after the last level all that is open is compared block by block.
+
+Two sets are compared by parity sketches, whose differing bits never exceed the sets' symmetric difference: between sets of
+under 1024 shingles no link is missed, longer sets are thinned first. Ties join sets into candidate groups; within each, exact
 similarities are computed from the sets, in blocks, counting links without ever listing the pairs of a group.
 """
 
@@ -22,42 +24,55 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, roots
 from .storage import materialise
 from .textbuf import mix, text_blocks, words
 
 SHINGLE, SIMILARITY = 5, (4, 5)  # words; similarity as a fraction
-BRANCH, LEVELS, RECALL = 4, 3, 0.9999
-#: sets in a bucket that is compared pair by pair; sets in a block of exact comparison; sets in a salted part or block of a large bucket
-LIMIT, BLOCK, PART = 100, 2000, 2000
-#: paths with more than LIMIT sets that are split before they are dealt, the largest first
-HOT_PATHS = 50_000
-#: members of candidate groups (about 40 bytes each) up to which their texts are found by broadcast rather than by a shuffle of all texts
-BROADCAST_MEMBERS = 250_000
-SKETCH = 64
-#: equal sketch bytes that tie two sets; and how many of a star's sets meet those of other parts
-TIE, HEADS = 36, 3
-_BITS = np.uint64(46)
+#: chosen shingles a run; levels; chosen shingles below a large bucket, out of a pool; target
+BRANCH, LEVELS, DEEPER, POOL, RECALL = 4, 3, 2, 24, 0.9999
+#: sets in a bucket whose pairs are compared all at once; sets in a bucket or part that one task compares
+LIMIT, PART = 100, 2000
+#: sets, and shingles, in a block of exact comparison
+BLOCK, BLOCK_SHINGLES = 2000, 2 << 20
+#: bits of a sketch, and the largest set that isn't thinned for it
+BITS, UNTHINNED = 1024, 1023
+#: standard deviations of a thinned sketch that a link may be off
+SLACK = 4.5
+_SHINGLE_BITS = np.uint64(46)
 _MASK = np.uint64((1 << 46) - 1)
-_RNG = np.random.default_rng(20)
-_SKETCH_FACTORS = _RNG.integers(1 << 20, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
-_PATH_FACTORS = _RNG.integers(1 << 20, 1 << 32, (16, LEVELS), dtype=np.uint32) | np.uint32(1)
-_SHINGLE_FACTORS = _RNG.integers(1 << 60, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_SHINGLE_FACTORS = np.random.default_rng(20).integers(1 << 60, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_CHOICE, _SPARE, _SKETCH = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
-def runs_for(recall: float = RECALL, similarity: float = SIMILARITY[0] / SIMILARITY[1]) -> int:
-    """Runs after which a pair at the threshold is tied with probability ``recall``, 16 at most.
+def _share() -> float:
+    return SIMILARITY[0] / SIMILARITY[1]
 
-    In one run the sets share about similarity * BRANCH chosen shingles (Poisson), and so in each level below a shared path.
-    At worst every bucket is split down to the last level, whose buckets are compared whole: a pair is missed where its
-    tree of shared paths dies out before. Besides, its sketches, the same in all runs, may have fewer than TIE equal bytes.
+
+def runs_for(recall: float = RECALL) -> int:
+    """Runs after which a pair at the threshold has met with probability ``recall`` at the worst, all buckets being split to the last level.
+
+    A pair shares about similarity * BRANCH chosen shingles a run (Poisson), and similarity * DEEPER in each level below a shared one.
     """
-    miss = 0.0
-    for _ in range(LEVELS):
-        miss = math.exp(-similarity * BRANCH * (1 - miss))
-    equal = similarity + (1 - similarity) / 256
-    unlike = sum(math.comb(SKETCH, k) * equal**k * (1 - equal) ** (SKETCH - k) for k in range(TIE))
-    return max(1, min(len(_PATH_FACTORS), math.ceil(math.log(max(1 - recall - unlike, 1e-300)) / math.log(miss))))
+    dies = 0.0
+    for _ in range(LEVELS - 1):
+        dies = math.exp(-_share() * DEEPER * (1 - dies))
+    return max(1, math.ceil(-math.log(max(1 - recall, 1e-300)) / (_share() * BRANCH * (1 - dies))))
+
+
+def enough_whole(chosen: int, miss: float) -> int:
+    """Of ``chosen`` shingles, how many must be in buckets compared whole for a set to be settled.
+
+    A linked set lacks each of them with probability 1 - similarity at most; the link is missed only if it lacks all that are
+    compared whole. If no number is enough, ``chosen`` + 1.
+    """
+    p = 1 - _share()
+    tail = 0.0
+    for lacking in range(chosen, -1, -1):
+        tail += math.comb(chosen, lacking) * p**lacking * (1 - p) ** (chosen - lacking)
+        if tail > miss:
+            return lacking + 1
+    return 0
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +90,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
         inside = place + k < n[row]
         total[inside] += hashes[at[inside]] * _SHINGLE_FACTORS[k]
     start = (place + size <= n[row]) | (place == 0)
-    key = (row[start].astype(np.uint64) << _BITS) | (mix(total[start]) & _MASK)
+    value = mix(total[start]) & _MASK
+    if len(n) >= 1 << 18:  # more rows than a number has room for beside a shingle
+        order = np.lexsort([value, row[start]])
+        value, owner = value[order], row[start][order]
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[: len(value)]
+        return value[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
+    key = (row[start].astype(np.uint64) << _SHINGLE_BITS) | value
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
-    return key & _MASK, np.searchsorted(key >> _BITS, np.arange(len(n) + 1).astype(np.uint64))
+    return key & _MASK, np.searchsorted(key >> _SHINGLE_BITS, np.arange(len(n) + 1).astype(np.uint64))
 
 
 def set_numbers(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -88,142 +109,184 @@ def set_numbers(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix((total[starts[1:]] - total[starts[:-1]]) ^ size.astype(np.uint64)) >> np.uint64(1) | np.uint64(1), np.uint64(0)).astype(np.int64)
 
 
-def _sketches(low: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SKETCH bytes of min-wise hashes for each of the (nonempty) sets."""
-    out = np.zeros((len(starts), SKETCH), np.uint8)
-    for k, factor in enumerate(_SKETCH_FACTORS):
-        least = np.minimum.reduceat(low * factor, starts)
-        out[:, k] = (mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+def thinning(size: np.ndarray) -> np.ndarray:
+    """How often a set of ``size`` is halved for its sketch."""
+    return np.maximum(np.frexp(np.maximum(size, 1))[1] - (UNTHINNED + 1).bit_length() + 1, 0)
+
+
+def sketches(low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BITS bits for each set, as bytes: bit b tells if an odd number of (kept) shingles fall to b.
+
+    Of a set halved k times the shingles with a hash below 2**(32 - k) are kept, and fall to the bits in the hash's order.
+    """
+    size = np.diff(starts)
+    wide = BITS.bit_length() - 1
+    out = np.zeros((len(size), BITS // 8), np.uint8)
+    spread = low * _SKETCH
+    for lo in range(0, len(size), 512):
+        hi = min(lo + 512, len(size))
+        halved = np.repeat(thinning(size[lo:hi]), size[lo:hi]).astype(np.uint64)
+        part = spread[starts[lo] : starts[hi]].astype(np.uint64)
+        row = np.repeat(np.arange(hi - lo), size[lo:hi])
+        kept = (part >> (np.uint64(32) - halved)) == 0
+        bit = (part[kept] >> (np.uint64(32 - wide) - halved[kept])).astype(np.int64)
+        odd = np.bincount(row[kept] * BITS + bit, minlength=(hi - lo) * BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1, bitorder="little")
     return out
 
 
-def _choices(elements: np.ndarray, low: np.ndarray, size: np.ndarray, owner: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen shingles as level, run and hash in one number, ordered by their set; and their sets."""
-    bar = np.minimum(BRANCH / size[owner] * 2**32, 2**32 - 1).astype(np.uint32)
-    found, sets = [], []
-    for run in range(runs):
-        for level in range(LEVELS):
-            at = np.flatnonzero(low * _PATH_FACTORS[run, level] <= bar)
-            found.append(elements[at] | np.uint64((level << 60) | (run << 56)))
-            sets.append(owner[at])
-    sets = np.concatenate(sets)
-    order = np.argsort(sets, kind="stable")
-    return np.concatenate(found)[order], sets[order]
+class Sketches:
+    """The sketches of some sets and their sizes, to compare."""
+
+    def __init__(self, size: np.ndarray, packed: np.ndarray):
+        self.size, self.bits, self.halved = size.astype(np.int64), np.ascontiguousarray(packed).view(np.uint64), thinning(size)
+        self.mixed = bool(len(size)) and self.halved.min() != self.halved.max()
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """May the sets ``a`` and ``b`` (numbers) be linked."""
+        size_a, size_b = self.size[a], self.size[b]
+        out = np.minimum(size_a, size_b) * SIMILARITY[1] >= np.maximum(size_a, size_b) * SIMILARITY[0]
+        at = np.flatnonzero(out)
+        a, b = np.broadcast_to(a, out.shape)[at], np.broadcast_to(b, out.shape)[at]
+        halved = np.maximum(self.halved[a], self.halved[b])
+        unlike = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(1, dtype=np.int64)
+        bits = np.full(len(at), BITS)
+        if self.mixed and len(odd := np.flatnonzero(self.halved[a] != self.halved[b])):
+            swap = self.halved[a[odd]] > self.halved[b[odd]]
+            fine, coarse = np.where(swap, b[odd], a[odd]), np.where(swap, a[odd], b[odd])
+            # the first half of the finer sketch has what the coarser one has, two bits in one
+            first = self.bits[fine, : BITS // 128]
+            pairs = np.unpackbits(self.bits[coarse].view(np.uint8), axis=1, bitorder="little").reshape(len(odd), -1, 2)
+            folded = np.packbits(pairs[:, :, 0] ^ pairs[:, :, 1], axis=1, bitorder="little").view(np.uint64)
+            unlike[odd] = np.bitwise_count(first ^ folded).sum(1, dtype=np.int64)
+            bits[odd] = BITS // 2
+        # the symmetric difference of linked sets is at most (1 - s) / (1 + s) of both sizes
+        total = self.size[a] + self.size[b]
+        most = total * (SIMILARITY[1] - SIMILARITY[0]) // (SIMILARITY[1] + SIMILARITY[0])
+        if halved.any():
+            share = 0.5 * (1 - np.exp(-2 * (most / 2.0**halved) / bits))
+            most = np.where(halved > 0, bits * share + SLACK * np.sqrt(bits * share * (1 - share)), most)
+        out[at] = unlike <= most
+        return out
+
+
+def _chosen(low: np.ndarray, size: np.ndarray, owner: np.ndarray, factor: np.uint32, many: int) -> np.ndarray:
+    """Which elements are chosen: about ``many`` of each set, all of a smaller one."""
+    bar = np.minimum(many / size[owner] * 2.0**32, 2.0**32 - 1).astype(np.uint32)
+    return np.flatnonzero(low * factor <= bar)
 
 
 def describe(docs: DataFrame, runs: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``node`` (its set's number), ``n`` (of shingles), ``sketch`` and ``chosen`` shingles of each document."""
+    """``id``, ``node`` (its set's number), ``n`` (of shingles), ``sketch``, ``chosen`` shingles and the ``pool`` for deeper levels, of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 elements, starts = shingle_sets(data, offsets)
                 size = np.diff(starts)
-                full = np.flatnonzero(size)
-                sketch = np.zeros((hi - lo, SKETCH), np.uint8)
                 low = (mix(elements) >> np.uint64(32)).astype(np.uint32)
-                if len(full):
-                    sketch[full] = _sketches(low, starts[:-1][full])
-                chosen, sets = _choices(elements, low, np.maximum(size, 1), np.repeat(np.arange(hi - lo), size), runs)
-                bounds = pa.array(np.searchsorted(sets, np.arange(hi - lo + 1)), pa.int32())
+                owner = np.repeat(np.arange(hi - lo), size)
+                lists = []
+                for factor, many in ((_CHOICE, runs * BRANCH), (_SPARE, POOL)):
+                    at = _chosen(low, np.maximum(size, 1), owner, factor, many)
+                    bounds = pa.array(np.searchsorted(owner[at], np.arange(hi - lo + 1)), pa.int32())
+                    lists.append(pa.ListArray.from_arrays(bounds, pa.array(elements[at].view(np.int64))))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo), pa.array(set_numbers(elements, starts)), pa.array(size, pa.int32()),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(chosen.view(np.int64))),
-                    ],
-                    ["id", "node", "n", "sketch", "chosen"],
-                )
+                    [batch.column(0).slice(lo, hi - lo), pa.array(set_numbers(elements, starts)), pa.array(size, pa.int32()), _packed(sketches(low, starts)), *lists],
+                    ["id", "node", "n", "sketch", "chosen", "pool"],
+                )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node bigint, n int, sketch binary, chosen array<bigint>")
-
-
-def _at_level(chosen: Column, level: int) -> Column:
-    return F.filter(chosen, lambda c: F.shiftrightunsigned(c, 60) == level)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node bigint, n int, sketch binary, chosen array<bigint>, pool array<bigint>")
 
 
-def _run(chosen: Column) -> Column:
-    return F.shiftrightunsigned(chosen, 56).bitwiseAND(15)
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as a binary column."""
+    width = rows.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-_FOUND = "kind int, a bigint, b bigint, run int"  # kind 0: a tie of nodes a and b; 1: node a, whose path b is too large
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, run: np.ndarray | int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.broadcast_to(run, len(a)).astype(np.int32))], ["kind", "a", "b", "run"]
-    )
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, sketch, paths), a path being (path, count): a row for each path, of a large one with the number of the set's part."""
+    for batch in batches:
+        paths = batch.column(batch.schema.get_field_index("paths"))
+        bounds = paths.offsets.to_numpy().astype(np.int64)
+        flat = paths.values.slice(bounds[0], bounds[-1] - bounds[0])
+        path, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("path", "count"))
+        row = pa.array(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+        node, n, sketch = (batch.column(batch.schema.get_field_index(c)).take(row) for c in ("node", "n", "sketch"))
+        parts = (-(-count // PART)).astype(np.uint64)
+        part = mix(node.to_numpy().view(np.uint64) ^ path.view(np.uint64)) % parts
+        key = np.where(parts > 1, mix(path.view(np.uint64) + part) | np.uint64(1 << 63), path.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, n, sketch], ["path", "node", "n", "sketch"])
 
 
-def _sketch_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+def _ties(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
 
 
 def _compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, node, n, sketch, run) sorted by path: ties of the pairs within each path of at most LIMIT rows."""
+    """Rows (path, node, n, sketch) sorted by path: ties that join the near sets of each path, as few as will do."""
     held: tuple[np.ndarray, ...] | None = None
-    too_large = None  # a path that already has shown to be too large
 
-    def finish(path, node, n, sketch, run):
+    def finish(path, node, n, packed):
+        compare = Sketches(n, packed)
         cuts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
         count = np.diff(np.append(cuts, len(path)))
-        large = np.repeat(count > LIMIT, count)
-        if large.any():
-            yield _found(1, node[large], path[large], run[large])
         for size in np.unique(count[(count > 1) & (count <= LIMIT)]):
             a, b = np.triu_indices(size, 1)
             firsts = cuts[count == size]
             step = max(1, 20_000 // len(a))
             for lo in range(0, len(firsts), step):
-                x = (firsts[lo : lo + step, None] + a).ravel()
-                y = (firsts[lo : lo + step, None] + b).ravel()
-                near = (np.minimum(n[x], n[y]) * SIMILARITY[1] >= np.maximum(n[x], n[y]) * SIMILARITY[0]) & (node[x] != node[y])
-                x, y = x[near], y[near]
-                tied = (sketch[x] == sketch[y]).sum(1) >= TIE
-                pairs = np.unique(np.sort(np.stack([node[x[tied]], node[y[tied]]], 1), 1), axis=0)
-                yield _found(0, pairs[:, 0], pairs[:, 1])
+                first = firsts[lo : lo + step, None]
+                x, y = (first + a).ravel(), (first + b).ravel()
+                near = compare.near(x, y) & (node[x] != node[y])
+                members, which = np.unique(np.concatenate([x[near], y[near]]), return_inverse=True)
+                if len(members):
+                    root = roots(len(members), *which.reshape(2, -1))
+                    at = np.flatnonzero(root != np.arange(len(members)))
+                    yield _ties(node, members[at], members[root[at]])
+        for k in np.flatnonzero(count > LIMIT):
+            rows = np.arange(cuts[k], cuts[k] + count[k])
+            yield _ties(node, *_tie(compare, np.arange(len(node)), rows, rows))
 
     for batch in batches:
-        now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), _sketch_rows(batch.column(3)), batch.column(4).to_numpy(zero_copy_only=False))
+        now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), _unpacked(batch.column(3)))
         if held is not None:
             now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-        path = now[0]
-        open_at = int(np.searchsorted(path, path[-1])) if len(path) else 0  # the last path may go on
-        if too_large is not None and len(path):
-            end = int(np.searchsorted(path, too_large, "right"))
-            yield _found(1, now[1][:end], path[:end], now[4][:end])
-            now = tuple(x[end:] for x in now)
-            if end < len(path):
-                too_large = None
-            path, open_at = now[0], max(0, open_at - end)
-        if len(path) - open_at > LIMIT:
-            too_large = path[-1]
-            yield _found(1, now[1][open_at:], path[open_at:], now[4][open_at:])
-            now, held = tuple(x[:open_at] for x in now), None
-        else:
-            held = tuple(x[open_at:] for x in now)
-            now = tuple(x[:open_at] for x in now)
-        if len(now[0]):
-            yield from finish(*now)
+        if not len(now[0]):
+            continue
+        open_at = int(np.searchsorted(now[0], now[0][-1]))  # the last path may go on
+        held = tuple(x[open_at:] for x in now)
+        if open_at:
+            yield from finish(*(x[:open_at] for x in now))
     if held is not None and len(held[0]):
         yield from finish(*held)
 
 
-def _equal_bytes(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Number of bytes of each row of ``sketches`` that ``one`` shares."""
-    return (sketches == one).view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
-
-
-def _tie(sketch: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tie(compare: Sketches, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ties that join all near pairs of ``left`` and ``right`` not yet of one label; ``label`` is brought up to date."""
     own = left is right
     if len(left) > len(right):
         left, right = right, left
+    right = right[np.argsort(compare.size[right], kind="stable")]
+    left = right if own else left
+    size = compare.size[right]
     a, b = [], []
     for place, k in enumerate(left):
-        rest = right[place + 1 :] if own else right
+        # of sizes that a linked set can have
+        lo = place + 1 if own else int(np.searchsorted(size, -(-compare.size[k] * SIMILARITY[0] // SIMILARITY[1])))
+        rest = right[lo : int(np.searchsorted(size, compare.size[k] * SIMILARITY[1] // SIMILARITY[0], "right"))]
         rest = rest[label[rest] != label[k]]
-        near = rest[_equal_bytes(sketch[rest], sketch[k]) >= TIE]
+        if not len(rest):
+            continue
+        near = rest[compare.near(np.int64(k), rest)]
         met, first = np.unique(label[near], return_index=True)
         if len(met):
             label[np.isin(label, met)] = label[k]
@@ -233,130 +296,77 @@ def _tie(sketch: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _lead(key: tuple, rows: pa.Table) -> pa.Table:
-    """Ties of all near sets of a part, and as rows of kind 1 a few heads of each star, to meet those of the bucket's other parts."""
-    node = rows.column("node").to_numpy()
-    order = np.argsort(node)
-    node, sketch = node[order], _sketch_rows(rows.column("sketch").combine_chunks())[order]
-    every, star = np.arange(len(node)), np.arange(len(node))
-    a, b = _tie(sketch, star, every, every)
-    _, which, count = np.unique(star, return_inverse=True, return_counts=True)
-    order = np.argsort(which, kind="stable")
-    place = np.empty(len(node), np.int64)
-    place[order] = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
-    on = (place < HEADS) & (count[which] > 1) & (rows.column("parts")[0].as_py() > 1)
-    path, run = key[0].as_py(), rows.column("run")[0].as_py()
-    return pa.Table.from_batches([_found(0, node[a], node[b]), _found(1, node[on], np.full(int(on.sum()), path), run)])
-
-
 def _cross(key: tuple, rows: pa.Table) -> pa.Table:
     """Ties of a pair of blocks of a large bucket, between sets not yet tied together."""
-    node, block, label = (rows.column(c).to_numpy() for c in ("node", "block", "tied"))
-    sketch, label = _sketch_rows(rows.column("sketch").combine_chunks()), label.copy()
+    node, block, tied, n = (rows.column(c).to_numpy() for c in ("node", "block", "tied", "n"))
+    compare = Sketches(n, _unpacked(rows.column("sketch")))
     left = np.flatnonzero(block == key[1].as_py())
     right = left if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
-    a, b = _tie(sketch, label, left, right)
-    return pa.table({"a": node[a], "b": node[b]})
-
+    return pa.Table.from_batches([_ties(node, *_tie(compare, tied.copy(), left, right))])
 
-def _with(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``other``, which has one row per node: a node's rows are one list in the join."""
-    names = [c for c in rows.columns if c != "node"]
-    lists = rows.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("_rows"))
-    joined = lists.join(other.hint("merge"), "node", how)
-    return joined.withColumn("_row", F.explode("_rows")).select("node", *[f"_row.{c}" for c in names], *[c for c in other.columns if c != "node"])
 
-
-def _deal(hot: np.ndarray):
-    """Rows of a level, (path, node, n, sketch, run) by node, as those to compare (kind 0) and those in large buckets (kind 1)."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = batch.column(batch.schema.get_field_index("paths"))
-            bounds = paths.offsets.to_numpy().astype(np.int64)
-            path = paths.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].view(np.uint64)
-            size = np.diff(bounds)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(hot, path), max(len(hot) - 1, 0))
-            large = hot[at] == path if len(hot) else np.zeros(len(path), bool)
-            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("node", "n", "sketch")]
-            run = ((path >> np.uint64(56)) & np.uint64(15)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(large.astype(np.int32)), pa.array(path.view(np.int64)), *columns, pa.array(run)], ["kind", "path", "node", "n", "sketch", "run"])
-
-    return deal
-
-
-def candidate_ties(nodes: DataFrame, runs: int) -> DataFrame:
-    """Pairs (a, b) of nodes that some bucket ties together; ``nodes`` has node, n, sketch and chosen."""
+def candidate_groups(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFrame:
+    """``node`` and ``component`` of all nodes that may be linked to others; ``nodes`` has node, n, sketch, chosen and pool."""
     slim = nodes.select("node", "n", "sketch")
-    rows = nodes.select("node", F.explode(_at_level(F.col("chosen"), 0)).alias("path"))
-    ties = []
+    most = 4 * runs * BRANCH
+    enough = F.array(*[F.lit(enough_whole(k, (1 - recall) / 4)) for k in range(most + 1)])
+    rows = nodes.select("node", F.explode("chosen").alias("path"))
+    groups = None
     for level in range(LEVELS):
-        # the largest paths are known before anything is dealt by path, so none of them meets in one task
-        hot = rows.groupBy("path").count().where(F.col("count") > LIMIT).orderBy(F.desc("count"), "path").limit(HOT_PATHS).select("path")
+        counts = rows.groupBy("path").count().where("count > 1")
+        lists = rows.join(counts, "path").groupBy("node").agg(F.collect_list(F.struct("path", "count")).alias("paths"))
+        shared = materialise(nodes.select("node", "n", "sketch", F.size("chosen").alias("total")).join(lists, "node"), "shared-paths")
+        dealt = shared.select("node", "n", "sketch", "paths").mapInArrow(_deal, "path bigint, node bigint, n int, sketch binary")
+        ties = materialise(dealt.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_buckets, "a bigint, b bigint"), "ties")
+        groups = _joined(groups, ties)
+        large = F.filter("paths", lambda p: p["count"] > PART)
+        unsettled = F.size(large) > 0
         if level == 0:
-            # at most HOT_PATHS numbers, sent to the executors; a node's paths stay in one row until they are dealt
-            sent = np.sort(hot.toArrow().column("path").to_numpy().view(np.uint64))
-            lists = nodes.select("node", "n", "sketch", _at_level(F.col("chosen"), 0).alias("paths"))
-            split = lists.mapInArrow(_deal(sent), "kind int, path bigint, node bigint, n int, sketch binary, run int")
-            dealt, large = split.where("kind = 0").drop("kind"), split.where("kind = 1").select("node", "path", "run")
-        else:
-            hot = materialise(hot, "hot-paths")
-            dealt = rows.join(F.broadcast(hot), "path", "left_anti").select("path", "node", "n", "sketch", "run")
-            large = rows.join(F.broadcast(hot), "path", "left_semi").select("node", "path", "run")
-        found = materialise(dealt.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_buckets, _FOUND), "buckets")
-        ties.append(found.where("kind = 0").select("a", "b"))
-        large = large.unionByName(found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run"))
-        large = materialise(large, "large-buckets")
-        if large.isEmpty():
-            break
-        meeting = large
-        for turn in range(2):  # the heads of all parts meet in the second turn
-            counts = meeting.groupBy("path").agg(F.ceil(F.count("*") / PART).alias("parts"))
-            parts = meeting.join(counts, "path").withColumn("part", F.pmod(F.xxhash64("node", "path", F.lit(turn)), F.col("parts")))
-            led = _with(parts, slim.select("node", "sketch")).groupBy("path", "part").applyInArrow(_lead, _FOUND)
-            led = materialise(led, "stars-of-buckets")
-            ties.append(led.where("kind = 0").select("a", "b"))
-            meeting = led.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("path"), "run")
-            if meeting.isEmpty():
-                break
-        # buckets of one part are settled; in the others, sets tied together by now need no comparison
-        wide = large.join(large.groupBy("path").count().where(F.col("count") > PART).select("path"), "path", "left_semi")
-        if wide.isEmpty():
+            whole = F.col("total") - F.size(large)
+            unsettled &= (F.col("total") > most) | (whole < F.element_at(enough, F.least("total", F.lit(most)) + 1))
+        loose = materialise(shared.where(unsettled).select("node", F.explode(F.transform(large, lambda p: p["path"])).alias("path")), "unsettled")
+        if loose.isEmpty():
             break
-        tied = components(_union(ties)).withColumnRenamed("component", "tied")
-        wide = _with(wide.select("node", "path", "run"), tied, "left").withColumn("tied", F.coalesce("tied", "node"))
-        wide = materialise(wide, "wide-buckets")
-        shares = wide.groupBy("path", "tied").count().groupBy("path").agg(F.max_by("tied", F.struct("count", "tied")).alias("most"), F.max("count").alias("same"), F.sum("count").alias("count"))
+        loose = materialise(loose.join(groups.withColumnRenamed("component", "tied"), "node", "left").withColumn("tied", F.coalesce("tied", "node")), "unsettled-ties")
+        shares = loose.groupBy("path", "tied").count().groupBy("path").agg(F.max_by("tied", F.struct("count", "tied")).alias("most"), F.max("count").alias("same"), F.sum("count").alias("count"))
         shares = materialise(shares.withColumn("others", F.col("count") - F.col("same")).where("others > 0"), "shares-of-buckets")
         last = level + 1 == LEVELS
-        ties.append(_cross_ties(wide, shares if last else shares.where(F.col("others") <= PART), slim))
-        loose = wide.join(shares.where(F.col("others") > PART).select("path"), "path", "left_semi").select("node", "path", "run")
-        if last or loose.isEmpty():
+        if shares.isEmpty():
             break
-        deeper = _with(loose, nodes.select("node", "n", "sketch", "chosen")).withColumn("next", F.explode(_at_level(F.col("chosen"), level + 1)))
-        rows = deeper.where(_run(F.col("next")) == F.col("run")).select("node", "n", "sketch", F.xxhash64("path", "next").alias("path"), "run")
-    return _union(ties).distinct()
+        crossed = _cross_ties(loose, shares if last else shares.where(F.col("others") <= PART), slim)
+        if not crossed.isEmpty():
+            groups = _joined(groups, crossed)
+        deeper = loose.join(shares.where(F.col("others") > PART).select("path"), "path", "left_semi").select("node", "path")
+        if last or deeper.isEmpty():
+            break
+        rows = _next_paths(deeper.join(nodes.select("node", "n", "pool"), "node"), level)
+        rows = materialise(rows, "next-paths")
+    return groups
+
+
+def _joined(groups: DataFrame | None, ties: DataFrame) -> DataFrame:
+    """Components of what is grouped already and further ties."""
+    return components(ties if groups is None else ties.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+
 
+def _next_paths(rows: DataFrame, level: int) -> DataFrame:
+    """Of each row (node, n, path, pool) the paths that go on from ``path``: about DEEPER chosen shingles of the pool, by a hash of path and shingle."""
+    share = F.lit(DEEPER * 2.0**20) / F.least("n", F.lit(POOL))
+    chosen = F.filter("pool", lambda s: F.pmod(F.xxhash64("path", s, F.lit(level)), F.lit(1 << 20)) < share)
+    return rows.withColumn("next", F.explode(chosen)).select("node", F.xxhash64("path", "next").alias("path"))
 
-def _cross_ties(wide: DataFrame, shares: DataFrame, slim: DataFrame) -> DataFrame:
+
+def _cross_ties(loose: DataFrame, shares: DataFrame, slim: DataFrame) -> DataFrame:
     """Ties of all pairs in the buckets of ``shares`` but those within the largest tied share: blocks of others meet all blocks."""
     own, others = F.ceil(F.col("same") / PART), F.ceil(F.col("others") / PART)
-    rows = wide.join(shares, "path").withColumns({"own": own, "all": own + others, "loose": F.col("tied") != F.col("most")})
-    block = F.when(F.col("loose"), F.col("own") + F.pmod(F.xxhash64("node", "path"), F.col("all") - F.col("own"))).otherwise(F.pmod(F.xxhash64("node", "path"), F.col("own")))
-    rows = _with(rows.select("node", "path", "tied", "loose", "own", "all", block.alias("block")), slim.select("node", "sketch"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("loose"), F.lit(0)).otherwise(F.col("own")), F.col("all") - 1)))
-    dealt = dealt.select("path", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "tied", "block", "sketch")
+    rows = loose.join(shares, "path").withColumns({"own": own, "all": own + others, "other": F.col("tied") != F.col("most")})
+    block = F.when(F.col("other"), F.col("own") + F.pmod(F.xxhash64("node", "path"), F.col("all") - F.col("own"))).otherwise(F.pmod(F.xxhash64("node", "path"), F.col("own")))
+    rows = rows.select("node", "path", "tied", "other", "own", "all", block.alias("block")).join(slim, "node")
+    dealt = rows.withColumn("meets", F.explode(F.sequence(F.when(F.col("other"), F.lit(0)).otherwise(F.col("own")), F.col("all") - 1)))
+    dealt = dealt.select("path", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "node", "n", "tied", "block", "sketch")
     return materialise(dealt.groupBy("path", "low", "high").applyInArrow(_cross, "a bigint, b bigint"), "ties-of-blocks")
 
 
-def _union(ties: list[DataFrame]) -> DataFrame:
-    out = ties[0]
-    for t in ties[1:]:
-        out = out.unionByName(t)
-    return out
-
-
 _EXACT = "node bigint, links bigint, root bigint, whole boolean"
 
 
@@ -395,6 +405,7 @@ def _exact(key: tuple, rows: pa.Table) -> pa.Table:
         least[left] = np.minimum(least[left], np.where(linked, root[right][None], m).min(1, initial=m))
         if own != other:
             least[right] = np.minimum(least[right], np.where(linked, root[left][:, None], m).min(0, initial=m))
+        np.minimum.at(least, root, least)
         least = least[least]
         if (least == root).all():
             break
@@ -414,12 +425,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs_for(recall)
     described = materialise(describe(docs, runs, id_col, text_col), "sets")
     grouped = described.where("n > 0 and id is not null").groupBy("node").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("chosen").alias("chosen")
+        F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sketch", "chosen", "pool")]
     )
     nodes = materialise(grouped, "nodes")
-    groups = components(candidate_ties(nodes, runs))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = groups.join(sizes, "component").join(nodes.select("node", "rep", "copies"), "node")
+    groups = candidate_groups(nodes, runs, recall).join(nodes.select("node", "rep", "copies", "n"), "node")
+    sizes = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    member = groups.drop("n").join(sizes, "component")
     member = materialise(member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +443,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield part.filter(pa.array(right))
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(member) if member.count() <= BROADCAST_MEMBERS else member.hint("merge"), "rep")
+    texts = texts.join(member.hint("merge"), "rep")
     sets = texts.select("text", "node", "component", "copies", "block", "blocks").mapInArrow(
         elements, "node bigint, component bigint, copies bigint, block int, blocks int, elements binary"
     )

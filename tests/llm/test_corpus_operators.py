@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import struct
@@ -486,26 +487,73 @@ def test_join_against_brute_force(spark, monkeypatch):
     assert got == brute_join(docs)
 
 
-def test_buckets_that_no_level_splits_are_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LIMIT", 5)
-    monkeypatch.setattr(jaccard_join, "PART", 10)
-    rng = np.random.default_rng(14)
-    chosen = [(level << 60) | 7 for level in range(jaccard_join.LEVELS)]
-    sketches = [s.tobytes() for s in rng.integers(0, 256, (30, jaccard_join.SKETCH), dtype=np.uint8)]
-    copies = [(1000 + k, 50, sketches[0], chosen) for k in range(40)]
-    pairs = [(k, 50, sketches[k % 30], chosen) for k in range(1, 60) if k != 30]
-    nodes = spark.createDataFrame(copies + pairs, "node bigint, n int, sketch binary, chosen array<bigint>")
+def groups_of(ties):
     groups = {}
-    for r in jaccard_join.components(jaccard_join.candidate_ties(nodes, 1)).collect():
+    for r in jaccard_join.components(ties).collect():
         groups.setdefault(r.component, set()).add(r.node)
-    assert sorted(map(sorted, groups.values())) == [[k, k + 30] for k in range(1, 30)] + [[1000 + k for k in range(40)]]
+    return sorted(map(sorted, groups.values()))
 
 
-def test_sets_go_into_all_their_large_paths():
-    paths = pa.array([[10, 20, 30, *range(100, 120)]], pa.list_(pa.int64()))
-    row = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([9], pa.int32()), pa.array([b"x"], pa.binary()), paths], ["node", "n", "sketch", "paths"])
-    out = next(jaccard_join._deal(np.arange(100, 120, dtype=np.uint64))(iter([row])))
-    assert sorted(zip(out.column("kind").to_pylist(), out.column("path").to_pylist(), strict=True)) == [(0, k) for k in (10, 20, 30)] + [(1, k) for k in range(100, 120)]
+def test_buckets_that_no_level_splits_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIMIT", 5)
+    monkeypatch.setattr(jaccard_join, "PART", 10)
+    rng = np.random.default_rng(14)
+    sketches = [s.tobytes() for s in rng.integers(0, 256, (30, jaccard_join.BITS // 8), dtype=np.uint8)]
+    copies = [(1000 + k, 50, sketches[0], [7], [8]) for k in range(40)]
+    pairs = [(k, 50, sketches[k % 30], [7], [8]) for k in range(1, 60) if k != 30]
+    nodes = spark.createDataFrame(copies + pairs, "node bigint, n int, sketch binary, chosen array<bigint>, pool array<bigint>")
+    assert groups_of(jaccard_join.candidate_ties(nodes, 1)) == [[k, k + 30] for k in range(1, 30)] + [[1000 + k for k in range(40)]]
+
+
+def described(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    return jaccard_join.describe(frame, jaccard_join.runs_for(), "doc_id", "text").where("n > 0").dropDuplicates(["node"]).cache()
+
+
+def test_sets_that_share_most_paths_and_large_buckets(spark, monkeypatch):
+    """More than PART sets in a bucket, nearly all paths of each set large, and no set settled; some pairs are linked."""
+    monkeypatch.setattr(jaccard_join, "PART", 150)
+    rng = random.Random(21)
+    template = " ".join(f"t{k}" for k in range(150))
+    alone = [f"{template} " + " ".join(f"v{rng.randrange(10**7)}" for _ in range(60)) for _ in range(900)]  # about 0.55 alike
+    paired = [f"{template} " + " ".join(f"v{rng.randrange(10**7)}" for _ in range(60)) for _ in range(150)]
+    paired += [t[: t.rindex(" ")] + " other" for t in paired]
+    nodes = described(spark, alone + paired)
+    names = {r.id: r.node for r in nodes.select("id", "node").collect()}
+    found = {frozenset(g) for g in groups_of(jaccard_join.candidate_ties(nodes, jaccard_join.runs_for()))}
+    assert found == {frozenset((names[900 + k], names[1050 + k])) for k in range(150)}
+
+
+def test_strangers_on_one_template_form_no_group(spark):
+    rng = random.Random(22)
+    template = " ".join(f"t{k}" for k in range(160))
+    texts = [f"{template} " + " ".join(f"v{rng.randrange(10**8)}" for _ in range(40)) for _ in range(2500)]  # about 0.65 alike
+    groups = groups_of(jaccard_join.candidate_ties(described(spark, texts), jaccard_join.runs_for()))
+    assert max(map(len, groups), default=0) <= 3
+
+
+def test_sketches_miss_no_link():
+    rng = np.random.default_rng(23)
+    for size, trials in ((5, 50), (300, 50), (1000, 30), (1100, 60), (2040, 60), (5000, 30), (20_000, 10)):
+        for _ in range(trials):
+            both = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+            cut = rng.integers(0, size // 10 + 1)
+            a, b = np.unique(both[: size - cut]), np.unique(np.concatenate([both[cut:], rng.integers(0, 1 << 32, size // 50, dtype=np.uint32)]))
+            linked = len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b))
+            starts = np.array([0, len(a), len(a) + len(b)])
+            compare = jaccard_join.Sketches(np.diff(starts), jaccard_join.sketches(np.concatenate([a, b]), starts))
+            assert compare.near(np.array([0]), np.array([1]))[0] or not linked
+        strangers = np.concatenate([rng.integers(0, 1 << 32, size, dtype=np.uint32) for _ in range(2)])
+        starts = np.array([0, size, 2 * size])
+        assert size < 10 or not jaccard_join.Sketches(np.diff(starts), jaccard_join.sketches(strangers, starts)).near(np.array([0]), np.array([1]))[0]
+
+
+def test_settled_sets_have_met_their_links():
+    for chosen in range(1, 40):
+        need = jaccard_join.enough_whole(chosen, 2.5e-5)
+        tail = sum(math.comb(chosen, k) * 0.2**k * 0.8 ** (chosen - k) for k in range(need, chosen + 1))
+        assert tail <= 2.5e-5 and (need == chosen + 1 or need <= chosen)
+    assert jaccard_join.runs_for(0.9999) < jaccard_join.runs_for(0.999999999)
 
 
 def test_join_of_odd_rows(spark, odd, none):
