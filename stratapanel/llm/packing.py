@@ -6,7 +6,8 @@ sequence are cut; what fills a sequence exactly stays alone. The rest is dealt b
 about ``GROUP_PIECES``, a number of groups that grows with the input, and each group is packed on
 its own: best fit decreasing gives a first solution, then a branch-and-bound puts the largest remaining
 piece into a new bin, enumerates the undominated fillings around it and prunes by the waste that a better
-solution could still afford. A group wastes less than one sequence more than a joint packing of its lengths.
+solution could still afford. Fillings of any number of pieces are found one by one, fullest first, by the sums that the pieces
+left can make. A group wastes less than one sequence more than a joint packing of its lengths.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .textbuf import ragged, span_hashes, text_blocks
 
 SEQUENCE, END_ID = 4096, 1
 GROUP_PIECES = 20_000
-#: nodes that one group's search may open: so many, and so many more for each bin of the first solution (a node fills one bin)
-NODES, NODES_PER_BIN = 1500, 4
+#: steps that one group's search may take: so many, and so many more for each piece
+STEPS, STEPS_PER_PIECE = 200_000, 100
+#: views of the sums of what is left that a search keeps (1 MB or 2 each)
+VIEWS = 24
 #: distinct word pieces whose ids a worker keeps
 CACHE_PIECES = 600_000
 
@@ -196,47 +199,81 @@ def fits_into(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, most: int = 24, depth: int = 4, tries: int = 400) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths that leave no more than ``waste`` of ``room``, fullest first.
-
-    All sets of up to ``depth`` lengths are tried, longest first, until ``tries`` have been, and
-    the one that takes the longest that still fits, again and again.
-    """
-    lengths = sorted(counts, reverse=True)
-    negated = [-n for n in lengths]
-    found: list[tuple[int, ...]] = []
-    tried = 0
-
-    def extend(chosen: tuple[int, ...], left: int, at: int) -> None:
-        nonlocal tried
-        tried += 1
-        if left <= waste:
-            found.append(chosen)
-        for k in range(max(at, bisect_left(negated, -left)), len(lengths) if len(chosen) < depth else 0):
-            n = lengths[k]
-            if len(chosen) + 1 == depth and left - n > waste or tried >= tries:
-                return  # shorter ones leave still more
-            if chosen.count(n) < counts[n]:
-                extend((*chosen, n), left - n, k)
-
-    extend((), room, 0)
-    greedy, left, at = [], room, 0
-    while (at := max(at, bisect_left(negated, -left))) < len(lengths):
-        take = min(counts[lengths[at]], left // lengths[at])
-        greedy += [lengths[at]] * take
-        left -= lengths[at] * take
-        at += 1
-    if left <= waste and tuple(greedy) not in found:
-        found.append(tuple(greedy))
-    found.sort(key=lambda s: (-sum(s), len(s), tuple(-x for x in s)))
-    kept: list[tuple[int, ...]] = []
-    for s in found:
-        # a filling whose lengths fit inside those of another leaves the better rest to that one
-        if not any(len(k) <= len(s) <= 6 and fits_into(s, k) for k in kept):
-            kept.append(s)
-            if len(kept) == most:
-                break
-    return kept
+class Stock:
+    """The lengths left, and which sums they can make."""
+
+    def __init__(self, lengths: list[int], size: int):
+        self.size = size
+        self.lengths = sorted(set(lengths), reverse=True)
+        self.negated = [-n for n in self.lengths]
+        number = {n: k for k, n in enumerate(self.lengths)}
+        self.counts = [0] * len(self.lengths)
+        for n in lengths:
+            self.counts[number[n]] += 1
+        self.left, self.steps, self.seen = len(lengths), 0, 0
+        self.sums: list[int] = []
+        self.views: list[tuple[int, int, list[int]]] = []
+
+    def look(self, depth: int, again: bool = False) -> None:
+        """Set ``sums``: for each length the sums, as bits, that it and shorter ones can make.
+
+        While pieces are only taken away old sums stay an upper bound, so it suffices to look again from time to time; what was
+        seen deeper in the search than ``depth`` is forgotten, as those pieces are back.
+        """
+        while self.views and self.views[-1][0] > depth:
+            self.views.pop()
+        if self.views and not again and self.left > self.views[-1][1] * 7 // 8:
+            self.sums = self.views[-1][2]
+            return
+        every, sums = (1 << (self.size + 1)) - 1, 1
+        out = [1] * (len(self.lengths) + 1)
+        for k in range(len(self.lengths) - 1, -1, -1):
+            count, times = self.counts[k], 1
+            while count > 0:  # a length taken up to 1, 2, 4, ... times more
+                many = min(times, count)
+                sums |= sums << (many * self.lengths[k]) & every
+                count, times = count - many, times * 2
+            out[k] = sums
+        self.sums, self.seen = out, self.steps
+        self.views.append((depth, self.left, out))
+        if len(self.views) > VIEWS:
+            del self.views[1::2]
+
+    def subsets(self, target: int, at: int, chosen: list[int]) -> Iterator[tuple[int, ...]]:
+        """All sets of lengths, from number ``at`` on, that make ``target``, longest first; a set's pieces are taken while it is looked at."""
+        if not target:
+            yield tuple(chosen)
+            return
+        k = max(at, bisect_left(self.negated, -target))
+        while k < len(self.lengths) and self.sums[k] >> target & 1:
+            self.steps += 1
+            n = self.lengths[k]
+            if self.counts[k] and self.sums[k] >> (target - n) & 1:
+                self.counts[k] -= 1
+                self.left -= 1
+                chosen.append(n)
+                yield from self.subsets(target - n, k, chosen)
+                chosen.pop()
+                self.counts[k] += 1
+                self.left += 1
+            k += 1
+
+    def fillings(self, room: int, waste: int, depth: int, at: int) -> Iterator[tuple[int, ...]]:
+        """Undominated sets of lengths, from number ``at`` on, that leave no more than ``waste`` of ``room``, fullest first, each with its pieces taken.
+
+        A set is dominated if its lengths can be dealt to those of another as to bins, which leaves the better rest to the other; that one
+        is fuller, or as full with longer pieces, and so was given before.
+        """
+        kept: list[tuple[int, ...]] = []
+        target = room
+        while (open_ := self.sums[0] & ((1 << (target + 1)) - 1)) and (target := open_.bit_length() - 1) >= room - waste:
+            for found in self.subsets(target, at, []):
+                if not any(len(k) <= len(found) <= 6 and fits_into(found, k) for k in kept):
+                    kept.append(found)
+                    yield found
+            if self.steps - self.seen > len(self.lengths):  # sums that can't be made any more cost more than another look
+                self.look(depth, True)
+            target -= 1
 
 
 def lower_bound(lengths: list[int], size: int) -> int:
@@ -256,89 +293,90 @@ def lower_bound(lengths: list[int], size: int) -> int:
     return max(best, len(large))
 
 
-def pack(lengths: list[int], size: int = SEQUENCE, nodes: int | None = None) -> list[list[int]]:
-    """Bins of indexes into ``lengths``, none over ``size``: as few as a search of ``nodes`` nodes finds, by default a number that grows with the bins."""
+def pack(lengths: list[int], size: int = SEQUENCE, steps: float | None = None) -> tuple[list[list[int]], int]:
+    """Bins of indexes into ``lengths``, none over ``size``, as few as a search of ``steps`` steps finds; and the nodes that it opened.
+
+    By default the steps grow with the pieces; with ``math.inf`` the result is an optimum.
+    """
     incumbent = best_fit(lengths, size)
     bound = lower_bound(lengths, size) if lengths else 0
     if len(incumbent) <= bound:
-        return incumbent
-    best = _complete(lengths, size, bound, len(incumbent), NODES + NODES_PER_BIN * len(incumbent) if nodes is None else nodes)
+        return incumbent, 0
+    best, nodes = _complete(lengths, size, bound, len(incumbent), STEPS + STEPS_PER_PIECE * len(lengths) if steps is None else steps)
     if best is None:
-        return incumbent
+        return incumbent, nodes
     pools: dict[int, list[int]] = {}
     for k, n in enumerate(lengths):
         pools.setdefault(n, []).append(k)
-    return [[pools[n].pop() for n in b] for b in best]
+    return [[pools[n].pop() for n in b] for b in best], nodes
 
 
-def _complete(lengths: list[int], size: int, bound: int, upper: int, nodes: int) -> list[tuple[int, ...]] | None:
-    """Bin completion, depth first with an explicit stack; a better solution than ``upper`` bins or None."""
-    counts: dict[int, int] = {}
-    for n in lengths:
-        counts[n] = counts.get(n, 0) + 1
-    total, best = sum(lengths), None
+def _complete(lengths: list[int], size: int, bound: int, upper: int, steps: float) -> tuple[list[tuple[int, ...]] | None, int]:
+    """Bin completion, depth first with an explicit stack: a better solution than ``upper`` bins or None, and the nodes opened."""
+    stock = Stock(lengths, size)
+    total, best, nodes = sum(lengths), None, 1
     spare = (upper - 1) * size - total  # waste that a better solution can afford
-    path: list[tuple[int, ...]] = []
-    stack: list[Iterator[tuple[int, ...]]] = []
-
-    def take(items: tuple[int, ...], sign: int) -> None:
-        for n in items:
-            left = counts.get(n, 0) + sign
-            if left:
-                counts[n] = left
-            else:
-                counts.pop(n, None)
-
-    def options() -> Iterator[tuple[int, ...]]:
-        top = max(counts)
-        take((top,), -1)
-        found = fillings(counts, size - top, spare - wasted)
-        take((top,), 1)
-        return iter([(top, *f) for f in found])
-
-    wasted, opened = 0, 1
     if spare < 0:
-        return None
-    stack.append(options())
-    while stack and opened < nodes:
-        choice = next(stack[-1], None)
-        if choice is None:
+        return None, nodes
+    path: list[tuple[int, ...]] = []
+    #: for each bin begun: number of its longest piece, waste before it, and the fillings not yet tried
+    stack: list[tuple[int, int, Iterator[tuple[int, ...]]]] = []
+    wasted, unfilled = 0, 0
+
+    def begin(at: int) -> None:
+        """A bin around the longest piece left, whose number is ``at`` at least."""
+        while not stock.counts[at]:
+            at += 1
+        stock.counts[at] -= 1
+        stock.left -= 1
+        stock.look(len(stack))
+        stack.append((at, wasted, stock.fillings(size - stock.lengths[at], spare - wasted, len(stack), at)))
+
+    begin(0)
+    while stack and stock.steps + nodes < steps:
+        at, before, options = stack[-1]
+        if len(path) == len(stack):
+            path.pop()
+        # the filling tried last gives its pieces back, the next one takes its own
+        stock.look(len(stack) - 1)
+        filling = next(options, None)
+        top = stock.lengths[at]
+        lost = size - top - sum(filling) if filling is not None else 0
+        if filling is None or before + lost > spare:  # all that follow leave no less
+            options.close()
+            if filling is not None:
+                for n in filling:
+                    stock.counts[bisect_left(stock.negated, -n)] += 1
+                stock.left += len(filling)
+            stock.counts[at] += 1
+            stock.left += 1
             stack.pop()
-            if path:
-                last = path.pop()
-                take(last, 1)
-                wasted -= size - sum(last)
             continue
-        lost = size - sum(choice)
-        if wasted + lost > spare:
-            continue
-        take(choice, -1)
-        path.append(choice)
-        wasted += lost
-        opened += 1
-        if not counts:
+        path.append((top, *filling))
+        wasted = before + lost
+        nodes += 1
+        if not stock.left:
             best, upper = list(path), len(path)
             spare = (upper - 1) * size - total
             if upper <= bound:
-                return best
-            take(path.pop(), 1)
-            wasted -= lost
+                break
             continue
-        # the rest by best fit: often already better
-        if opened % 100 == 0 or len(path) == 1:
-            rest = [n for n, c in counts.items() for _ in range(c)]
+        unfilled -= 1
+        if unfilled < 0:  # the rest by best fit: often already better
+            rest = [n for n, c in zip(stock.lengths, stock.counts, strict=True) for _ in range(c)]
             filled = best_fit(rest, size)
+            unfilled = max(100, len(rest) // 20)
             if len(path) + len(filled) < upper:
                 best, upper = [*path, *(tuple(rest[k] for k in b) for b in filled)], len(path) + len(filled)
                 spare = (upper - 1) * size - total
                 if upper <= bound:
-                    return best
-        stack.append(options())
-    return best
+                    break
+        begin(at)
+    return best, nodes
 
 
-def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, nodes: int | None = None, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` (which is evaluated more than once) with ``sequence_id`` and ``offset``.
+def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, steps: float | None = None, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id") -> DataFrame:
+    """``pieces`` (which is evaluated more than once) with ``sequence_id``, ``offset`` and ``search_nodes``, that its group's search opened.
 
     A piece of full ``size`` is a sequence of its own. Sequence numbers are unique, not consecutive. Equal lengths are
     exchangeable; repeated rows are placed each for itself. An empty input gives an empty result.
@@ -346,23 +384,24 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, nodes: int | None = Non
     full = pieces.where(F.col("length") >= size)
     rest = pieces.where(F.col("length") < size)
     groups = 1 + rest.count() // group_pieces
-    shape = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    shape = pieces.drop("search_nodes").schema.add("sequence_id", "long").add("offset", "long").add("search_nodes", "long")
     names = [f.name for f in shape]
 
     def place(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
         lengths = rows["length"].tolist()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for number, members in enumerate(pack(lengths, size, nodes)):
+        bins, nodes = pack(lengths, size, steps)
+        for number, members in enumerate(bins):
             at = 0
             for k in members:
                 sequence[k], offset[k] = number, at
                 at += lengths[k]
-        return rows.assign(sequence_id=sequence + (int(group[0]) << 32), offset=offset)[names]
+        return rows.assign(sequence_id=sequence + (int(group[0]) << 32), offset=offset, search_nodes=nodes)[names]
 
     dealt = rest.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(groups)))
     placed = dealt.groupBy("_group").applyInPandas(place, shape)
-    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumns({"offset": F.lit(0).cast("bigint"), "search_nodes": F.lit(0).cast("bigint")})
     return placed.unionByName(alone)
 
 

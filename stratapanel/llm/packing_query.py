@@ -16,4 +16,4 @@ def tokenizer_path() -> str:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = count_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
-    return pack_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "search_nodes")

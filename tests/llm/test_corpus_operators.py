@@ -410,23 +410,53 @@ def test_packing_reaches_the_optimum_of_small_cases():
         return best[0]
 
     rng = random.Random(11)
-    better = 0
+    better, opened = 0, 0
     for _ in range(120):
         lengths = sorted((rng.randint(15, 60) for _ in range(rng.randint(0, 11))), reverse=True)
-        bins = packing.pack(lengths, 100)
+        bins, nodes = packing.pack(lengths, 100, math.inf)
+        opened += nodes
         assert sorted(k for b in bins for k in b) == list(range(len(lengths))) and all(sum(lengths[k] for k in b) <= 100 for b in bins)
         assert packing.lower_bound(lengths, 100) <= len(bins) == exact(lengths, 100) if lengths else not bins
         better += len(bins) < len(packing.best_fit(lengths, 100))
     hard = [51, 27, 26, 23, 22, 51, 27, 26, 23, 22, 51, 27, 24, 25, 50, 24, 26]
-    assert len(packing.pack(hard, 100)) <= len(packing.best_fit(hard, 100))
+    assert len(packing.pack(hard, 100)[0]) <= len(packing.best_fit(hard, 100))
+    assert better and opened > 20
 
 
 def test_search_of_a_large_group_reaches_whole_solutions():
     rng = random.Random(15)
     lengths = [rng.randint(900, 1800) for _ in range(6000)]
-    bins = packing.pack(lengths)
+    bins, nodes = packing.pack(lengths)
+    assert nodes > len(bins)
     assert sorted(k for b in bins for k in b) == list(range(6000)) and all(sum(lengths[k] for k in b) <= packing.SEQUENCE for b in bins)
-    assert len(bins) <= 1.03 * packing.lower_bound(lengths, packing.SEQUENCE) < 0.97 * len(packing.best_fit(lengths, packing.SEQUENCE))
+    assert len(bins) <= 1.02 * packing.lower_bound(lengths, packing.SEQUENCE) < 0.97 * len(packing.best_fit(lengths, packing.SEQUENCE))
+
+
+def test_fillings_are_whole_and_undominated():
+    rng = random.Random(16)
+    for _ in range(60):
+        lengths = [rng.randint(3, 30) for _ in range(rng.randint(1, 12))]
+        room, waste = rng.randint(10, 60), rng.randint(0, 12)
+        stock = packing.Stock(lengths, 100)
+        stock.look(0)
+        counts = {n: lengths.count(n) for n in lengths}
+        every = {()}
+        for n, c in sorted(counts.items(), reverse=True):
+            every |= {(*s, *[n] * k) for s in every for k in range(1, c + 1) if sum(s) + n * k <= room}
+        every = {s for s in every if sum(s) >= room - waste}
+        found = list(stock.fillings(room, waste, 0, 0))
+        assert len(found) == len(set(found)) and set(found) <= every and stock.left == len(lengths) and [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+        assert all(any(packing.fits_into(s, f) for f in found) for s in every)
+
+
+def test_pieces_that_need_the_search(spark):
+    """Lengths that best fit packs badly, through the operator: its search opens nodes and saves sequences."""
+    rng = random.Random(17)
+    lengths = [rng.randint(20, 45) for _ in range(400)]
+    rows = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id bigint, piece int, length bigint")
+    placed = packing.pack_pieces(rows, size=100).toPandas()
+    assert placed.search_nodes.min() > 0 and placed.groupby("sequence_id").length.sum().max() <= 100 and len(placed) == 400
+    assert placed.sequence_id.nunique() < len(packing.best_fit(lengths, 100))
 
 
 # ---- Jaccard join
@@ -487,9 +517,9 @@ def test_join_against_brute_force(spark, monkeypatch):
     assert got == brute_join(docs)
 
 
-def groups_of(ties):
+def groups_of(members):
     groups = {}
-    for r in jaccard_join.components(ties).collect():
+    for r in members.collect():
         groups.setdefault(r.component, set()).add(r.node)
     return sorted(map(sorted, groups.values()))
 
@@ -502,7 +532,7 @@ def test_buckets_that_no_level_splits_are_compared_whole(spark, monkeypatch):
     copies = [(1000 + k, 50, sketches[0], [7], [8]) for k in range(40)]
     pairs = [(k, 50, sketches[k % 30], [7], [8]) for k in range(1, 60) if k != 30]
     nodes = spark.createDataFrame(copies + pairs, "node bigint, n int, sketch binary, chosen array<bigint>, pool array<bigint>")
-    assert groups_of(jaccard_join.candidate_ties(nodes, 1)) == [[k, k + 30] for k in range(1, 30)] + [[1000 + k for k in range(40)]]
+    assert groups_of(jaccard_join.candidate_groups(nodes, 1)) == [[k, k + 30] for k in range(1, 30)] + [[1000 + k for k in range(40)]]
 
 
 def described(spark, texts):
@@ -520,7 +550,7 @@ def test_sets_that_share_most_paths_and_large_buckets(spark, monkeypatch):
     paired += [t[: t.rindex(" ")] + " other" for t in paired]
     nodes = described(spark, alone + paired)
     names = {r.id: r.node for r in nodes.select("id", "node").collect()}
-    found = {frozenset(g) for g in groups_of(jaccard_join.candidate_ties(nodes, jaccard_join.runs_for()))}
+    found = {frozenset(g) for g in groups_of(jaccard_join.candidate_groups(nodes, jaccard_join.runs_for()))}
     assert found == {frozenset((names[900 + k], names[1050 + k])) for k in range(150)}
 
 
@@ -528,7 +558,7 @@ def test_strangers_on_one_template_form_no_group(spark):
     rng = random.Random(22)
     template = " ".join(f"t{k}" for k in range(160))
     texts = [f"{template} " + " ".join(f"v{rng.randrange(10**8)}" for _ in range(40)) for _ in range(2500)]  # about 0.65 alike
-    groups = groups_of(jaccard_join.candidate_ties(described(spark, texts), jaccard_join.runs_for()))
+    groups = groups_of(jaccard_join.candidate_groups(described(spark, texts), jaccard_join.runs_for()))
     assert max(map(len, groups), default=0) <= 3
 
 
