@@ -70,13 +70,17 @@ def parse_piece(piece: str) -> Turn:
 
 @dataclass
 class Located:
-    """A turn in the formatted conversation: the span [start, end), its text's span, and if earlier output changed."""
+    """A turn in the formatted conversation: the span [start, end), its text's span, if that is known, and if earlier output changed.
+
+    Spans are places in the output up to this turn; where no turn rewrites history they hold in the whole.
+    """
 
     piece: str
     start: int
     end: int
     text_start: int
     text_end: int
+    located: bool
     rewrites: bool
 
 
@@ -89,7 +93,7 @@ class Renderer:
 
     def __init__(self, template: Template, context: int | None = None):
         self.template, self.context = template, context
-        self.edges: dict[tuple, tuple[int, int]] = {}
+        self.edges: dict[tuple, tuple[str | None, str]] = {}
         self.begin()
 
     def begin(self) -> None:
@@ -98,17 +102,18 @@ class Renderer:
         self.first = True
         self.last = ""
 
-    def _edges(self, role: str) -> tuple[int, int]:
-        """Length of what stands before and behind a text of ``role`` in a turn's span, from two probes."""
-        key = (role, self.first, tuple(r for r, _ in self.turns[-2:])) if self.context is not None else (role, *self.turns)
-        if key not in self.edges:
-            if self.context is None:
-                self.edges.clear()  # what stands around a text may depend on all before it
+    def _edges(self, role: str) -> tuple[str, str]:
+        """What stands before and behind a text of ``role`` in the output, from two probes; before it only what comes after all earlier output, if that stays."""
+        key = (role, self.first, tuple(r for r, _ in self.turns[-2:])) if self.context is not None else None
+        if key is None or key not in self.edges:
             a, b = (self.template([*self.turns, (role, probe)]) for probe in ("qx", "zwk"))
-            tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
-            head = len(os.path.commonprefix([a, b]))
-            self.edges[key] = (head - len(self.last), tail)
-        return self.edges[key]
+            head, tail = os.path.commonprefix([a, b]), os.path.commonprefix([a[::-1], b[::-1]])[::-1]
+            found = (head[len(self.last) :] if head.startswith(self.last) else None, head, tail)
+            if key is None:
+                return found[1:]
+            self.edges[key] = (found[0], tail)
+        head, tail = self.edges[key]
+        return (self.last + head if head is not None else ""), tail
 
     def add(self, role: str, text: str) -> Located:
         if self.context is not None and len(self.turns) > self.context:
@@ -118,12 +123,19 @@ class Renderer:
         rewrites = not out.startswith(self.last)
         shared = len(self.last) if not rewrites else len(os.path.commonprefix([out, self.last]))
         piece = out[shared:]
-        head, tail = self._edges(role) if not rewrites else (0, 0)
-        start = self.size - (len(self.last) - shared)
-        found = Located(piece, start, start + len(piece), start + head, start + len(piece) - tail, rewrites)
+        head, tail = self._edges(role)
+        # the probes' edges must be the text's own, and the text behind all that stays
+        located = len(head) >= shared and len(head) + len(tail) <= len(out) and out.startswith(head) and out.endswith(tail)
+        base = self.size - len(self.last)  # of the output, in the whole conversation's
+        start, end = base + shared, base + len(out)
+        text_start, text_end = (base + len(head), end - len(tail)) if located else (start, start)
         self.turns.append((role, text))
-        self.last, self.size, self.first = out, found.end, False
-        return found
+        self.last, self.size, self.first = out, end, False
+        return Located(piece, start, end, text_start, text_end, located, rewrites)
+
+
+_NAMES = ["conv_id", "seq", "role", "piece", "start", "end", "text_start", "text_end", "in_loss", "rewrites"]
+_KINDS = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.bool_()]
 
 
 def format_chats(
@@ -134,7 +146,7 @@ def format_chats(
 
     Columns: ``conv_id``, ``seq`` (from 0), ``role``, ``piece`` (the formatted turn; a conversation's pieces, joined,
     are its formatted text), ``start``, ``end``, ``text_start``, ``text_end`` (offsets in that text, code points),
-    ``in_loss`` and ``rewrites``. Turns go by ``turn``, ties by role and text; null roles and texts count as
+    ``in_loss`` (whose text span is that of a loss role and is known; else it is empty) and ``rewrites``. Turns go by ``turn``, ties by role and text; null roles and texts count as
     empty; rows with a null ``conv_id`` form one conversation. Repeated rows are turns of their own. A
     conversation streams through one task, turn by turn; with ``context`` (see Renderer) its length isn't bound by memory.
     """
@@ -148,13 +160,15 @@ def format_chats(
                     conv, seq = key, 0
                     renderer.begin()
                 t = renderer.add(role, text)
-                out.append((key, seq, role, t.piece, t.start, t.end, t.text_start, t.text_end, role in loss_roles, t.rewrites))
+                out.append((seq, role, t.piece, t.start, t.end, t.text_start, t.text_end, t.located and role in loss_roles, t.rewrites))
                 seq += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape) if out else shape.empty_table().to_batches()[0]
+            if out:
+                arrays = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), _KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], _NAMES)
 
     rows = turns.select(
-        F.col(conv_col).cast("bigint").alias("conv_id"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(turn_col).alias("turn")
+        F.col(conv_col).alias("conv_id"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(turn_col).alias("turn")
     )
-    shape = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("in_loss", pa.bool_()), ("rewrites", pa.bool_())])
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, "conv_id bigint, seq bigint, role string, piece string, start bigint, end bigint, text_start bigint, text_end bigint, in_loss boolean, rewrites boolean")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return ordered.mapInArrow(run, f"conv_id {kind}, seq bigint, role string, piece string, start bigint, end bigint, text_start bigint, text_end bigint, in_loss boolean, rewrites boolean")

@@ -6,33 +6,38 @@ segment, starts from the term with the shortest list there, and intersects the o
 shifted by their offsets. Neither step shuffles, and what is sent to the executors is the test set,
 in blocks of a checked size.
 
-Terms are 64-bit hashes of words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z).
+Terms are 64-bit hashes of words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z); words are told apart by them alone, so a
+window of ten could match wrongly only where hashes of different words collide, with a chance below 1e-19 a pair of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbuf import ragged, text_blocks, words
 
 WINDOW = 10
-#: bytes of test text that one search pass sends to the executors
-BLOCK_TEXT_BYTES = 32 << 20
+#: bytes of test text that one search pass sends to the executors, as 4 bytes a word and 8 a distinct word
+BLOCK_TEXT_BYTES = 8 << 20
+#: windows searched at a time
+WINDOWS = 1 << 15
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings of every word of every document, a row for each segment.
 
-    Columns: ``ids`` (the segment's documents in order), ``firsts`` (index of each document's first word
+    Columns: ``segment`` (its number), ``ids`` (the segment's documents in order), ``firsts`` (index of each document's first word
     and, last, the number of words), ``terms`` (sorted distinct word hashes), ``lists`` (where each term's
     list starts) and ``positions`` (the lists, one after the other); the last four are packed
     little-endian arrays of u4, u8, u4 and u4. Null or empty texts have no words; repeated rows are
-    documents of their own.
+    documents of their own. An index is to be stored before it is searched, as several passes may go over it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -46,7 +51,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     [ids, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["ids", "firsts", "terms", "lists", "positions"]
                 )
 
-    return rows.mapInArrow(index, f"ids array<{kind}>, firsts binary, terms binary, lists binary, positions binary")
+    segments = rows.mapInArrow(index, f"ids array<{kind}>, firsts binary, terms binary, lists binary, positions binary")
+    return segments.select(F.monotonically_increasing_id().alias("segment"), "*")
 
 
 def _postings(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -115,54 +121,66 @@ def phrase_matches(segment: Segment, phrases: np.ndarray) -> tuple[np.ndarray, n
 
 
 class TestSet:
-    """Windows of the test items: ``window`` consecutive words, or the whole of a shorter item."""
+    """Test items as numbers of terms; their windows (``window`` consecutive words, or the whole of a shorter item) are places in them."""
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int = WINDOW):
-        self.ids = ids
-        pieces: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.items: list[np.ndarray] = []
-        for lo, hi, data, offsets in text_blocks(texts):
-            hashes, firsts = words(data, offsets)
-            for k in range(hi - lo):
-                item = hashes[firsts[k] : firsts[k + 1]]
-                self.items.append(item)
-                if len(item):
-                    size = min(window, len(item))
-                    view = np.lib.stride_tricks.sliding_window_view(item, size)
-                    pieces.setdefault(size, []).append((view, np.full(len(view), lo + k)))
-        every = [x[0].ravel() for group in pieces.values() for x in group]
-        self.terms = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        #: for each length: distinct windows as numbers of terms, and (window, item) pairs sorted by window
-        self.windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for group in pieces.values():
-            rows = np.searchsorted(self.terms, np.concatenate([x[0] for x in group]))
-            distinct, number = np.unique(rows, axis=0, return_inverse=True)
-            pairs = np.unique(np.stack([number.ravel(), np.concatenate([x[1] for x in group])], 1), axis=0)
-            self.windows.append((distinct, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))))
+        self.ids, self.window = ids, window
+        parts, firsts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for _, _, data, offsets in text_blocks(texts):
+            hashes, first = words(data, offsets)
+            parts.append(hashes)
+            firsts.append(first[1:] + firsts[-1][-1])
+        hashes = np.concatenate(parts)
+        self.firsts = np.concatenate(firsts)  # where each item's words begin
+        self.terms, number = np.unique(hashes, return_inverse=True)
+        self.words = number.astype(np.uint32)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where windows begin; made where they are searched, not sent."""
+        size = np.diff(self.firsts)
+        item = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(self.words)) - self.firsts[item]
+        return np.flatnonzero((place + self.window <= size[item]) | (place == 0))
+
+    def item_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, places, "right") - 1
 
     def search(self, segment: Segment) -> tuple[np.ndarray, np.ndarray]:
         """Which words of the segment are hit, and the distinct (document, item) pairs."""
         known = segment.find(self.terms)
         marks = np.zeros(segment.n + 1, np.int64)
         found = [np.zeros((0, 2), np.int64)]
-        for distinct, items, starts in self.windows:
-            who, at = phrase_matches(segment, known[distinct])
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + distinct.shape[1], -1)
-            count = starts[who + 1] - starts[who]
-            found.append(np.stack([np.repeat(segment.documents(at), count), items[ragged(starts[who], count)]], 1))
+        absent = np.concatenate([[0], np.cumsum(known[self.words] < 0)])
+        starts = self.starts
+        item = self.item_of(starts)
+        ends = np.minimum(starts + self.window, self.firsts[item + 1])
+        live = np.flatnonzero(absent[ends] == absent[starts])  # all of a window's words occur in the segment
+        for size in np.unique(ends[live] - starts[live]):
+            some = live[ends[live] - starts[live] == size]
+            for lo in range(0, len(some), WINDOWS):
+                part = some[lo : lo + WINDOWS]
+                who, at = phrase_matches(segment, known[self.words[starts[part][:, None] + np.arange(size)]])
+                np.add.at(marks, at, 1)
+                np.add.at(marks, at + size, -1)
+                found.append(np.unique(np.stack([segment.documents(at), item[part[who]]], 1), axis=0))
         return np.cumsum(marks)[: segment.n] > 0, np.unique(np.concatenate(found), axis=0)
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[list[str], pa.Array]]:
-    """The test items on the driver, in blocks of bounded bytes."""
+def _sent(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> list[Broadcast]:
+    """The test items as broadcasts of bounded size. Each block is read, built and sent before the next one is read, so the driver holds one.
+
+    A block's number is a hash of the item's id and text; an item of its own size is never cut.
+    """
+    context = items.sparkSession.sparkContext
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // BLOCK_TEXT_BYTES
     out = []
     for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).toArrow()
-        out.append((block.column("id").to_pylist(), block.column("text").combine_chunks()))
+        block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow()
+        out.append(context.broadcast(TestSet(block.column("id").to_pylist(), block.column("text").combine_chunks(), window)))
+        del block
     return out
 
 
@@ -176,18 +194,15 @@ def search_phrases(
     with a null id never match; an empty test set hits nothing. Of an empty index nothing is returned.
     """
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    shape = f"id {kind}, n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<string>"
+    shape = f"segment bigint, place int, id {kind}, n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<string>"
     span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    blocks = _blocks(items, item_id_col, item_text_col)
-
-    def searcher(spark, block):
-        sent = spark.sparkContext.broadcast(TestSet(*block, window))
 
+    def searcher(sent):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = sent.value
             for batch in batches:
                 for row in range(batch.num_rows):
-                    segment = Segment(*(batch.column(k)[row].as_buffer() for k in range(1, 5)))
+                    segment = Segment(*(batch.column(k)[row].as_buffer() for k in range(2, 6)))
                     hit, pairs = tests.search(segment)
                     n = len(segment.firsts) - 1
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
@@ -205,26 +220,21 @@ def search_phrases(
                         names[doc].append(tests.ids[item])
                     names = [sorted(set(x)) for x in names]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[row].values, pa.array(np.diff(segment.firsts), pa.int64()), spans.cast(span_kind), pa.array(names, pa.list_(pa.string()))],
-                        ["id", "n_words", "spans", "item_ids"],
+                        [pa.array(np.full(n, batch.column(0)[row].as_py()), pa.int64()), pa.array(np.arange(n), pa.int32()), batch.column(1)[row].values, pa.array(np.diff(segment.firsts), pa.int64()), spans.cast(span_kind), pa.array(names, pa.list_(pa.string()))],
+                        ["segment", "place", "id", "n_words", "spans", "item_ids"],
                     )
 
         return search
 
-    parts = [index.mapInArrow(searcher(index.sparkSession, block), shape) for block in blocks]
+    parts = [index.mapInArrow(searcher(sent), shape) for sent in _sent(items, item_id_col, item_text_col, window)]
     found = parts[0]
-    if len(parts) > 1:  # one row for each document and block meets here
-        numbered = [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)]
-        found = numbered[0]
-        for p in numbered[1:]:
+    if len(parts) > 1:  # one row for each document and block meets here, told apart by its place in the index
+        for p in parts[1:]:
             found = found.unionByName(p)
-        # repeated rows of a document are told apart by their rank within a block
-        from pyspark.sql import Window
-
-        found = found.withColumn("copy", F.row_number().over(Window.partitionBy("id", "block").orderBy("n_words", F.to_json("spans"), "item_ids")))
-        found = found.groupBy("id", "copy", "n_words").agg(
-            _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
-        )
+        found = found.groupBy("segment", "place").agg(
+            F.first("id").alias("id"), F.first("n_words").alias("n_words"), _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        )
     return found.select(F.col("id").alias(id_col), "n_words", "spans", "item_ids")
 
 
@@ -248,17 +258,17 @@ def search_near(
     item's rarest term stands in a document with all its other terms within ``reach`` words."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
     parts = []
-    for block in _blocks(items, item_id_col, item_text_col):
-        sent = index.sparkSession.sparkContext.broadcast(TestSet(*block))
+    for sent in _sent(items, item_id_col, item_text_col):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             tests = sent.value
             for batch in batches:
                 for row in range(batch.num_rows):
-                    segment = Segment(*(batch.column(k)[row].as_buffer() for k in range(1, 5)))
+                    segment = Segment(*(batch.column(k)[row].as_buffer() for k in range(2, 6)))
                     out: list[tuple[int, str, int]] = []
-                    for name, item in zip(tests.ids, tests.items, strict=True):
-                        terms = segment.find(np.unique(item))
+                    known = segment.find(tests.terms)
+                    for k, name in enumerate(tests.ids):
+                        terms = known[np.unique(tests.words[tests.firsts[k] : tests.firsts[k + 1]])]
                         if not len(terms) or (terms < 0).any():
                             continue
                         terms = terms[np.argsort(segment.sizes(terms), kind="stable")]
@@ -271,7 +281,7 @@ def search_near(
                             places = segment.positions[segment.lists[term] : segment.lists[term + 1]]
                             kept &= np.searchsorted(places, low) < np.searchsorted(places, high)
                         out += [(d, name, p) for d, p in zip(doc[kept].tolist(), (at - segment.firsts[doc])[kept].tolist(), strict=True)]
-                    docs = batch.column(0)[row].values.take(pa.array([x[0] for x in out], pa.int64()))
+                    docs = batch.column(1)[row].values.take(pa.array([x[0] for x in out], pa.int64()))
                     yield pa.RecordBatch.from_arrays([docs, pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], ["id", "item_id", "position"])
 
         parts.append(index.mapInArrow(search, f"id {kind}, item_id string, position bigint"))
@@ -286,8 +296,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, t
 
     Each block of texts is indexed and searched where it is read; nothing is stored or shuffled.
     """
-    for block in _blocks(items, item_id_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(TestSet(*block, window))
+    for sent in _sent(items, item_id_col, item_text_col, window):
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,6 +1,6 @@
 """Language identification by a byte convolutional network.
 
-A text's bytes are folded to 64 codes (letters without case, UTF-8 bytes, one code for all else) and cut
+A text's bytes are folded to 143 codes (letters without case, each byte of UTF-8 characters, one code for all else) and cut
 into windows of fixed length. Filters of several widths run over the codes' embeddings; their maxima over
 a window go through a softmax layer. A text's languages are the windows' probabilities, weighted by
 their letters. Training is plain numpy. As a convolution is linear in the embedding, scoring looks up
@@ -20,20 +20,17 @@ from pyspark.sql import functions as F
 from .learning import Adam, first_by_hash, text_sample
 from .textbuf import ragged, text_blocks
 
-#: bounds of the learning sample
-MAX_PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 300, 24 << 20, 200
-WINDOW, WIDTHS, FILTERS, EMBED, CODES = 128, (2, 3, 4), 8, 8, 96
+#: bounds of the learning sample: documents of a language (fewer where languages are many) and of all, bytes, and windows of a document
+MAX_PER_LANGUAGE, MAX_DOCUMENTS, MAX_BYTES, MAX_WINDOWS = 300, 30_000, 24 << 20, 16
+WINDOW, WIDTHS, FILTERS, EMBED, CODES = 128, (2, 3, 4), 8, 8, 143
 _BLOCK = 1 << 18
 UNKNOWN = "und"
 
-#: 0 padding, 1 all that isn't a letter, 2-27 a-z, 28 UTF-8 lead bytes of rare scripts, then lead and other bytes
+#: 0 padding, 1 all that isn't a letter, 2-27 a-z, 28-91 the bytes that continue a character, 92-142 those that begin one
 _CODE = np.ones(256, np.uint8)
 _CODE[97:123] = np.arange(2, 28)
-_CODE[128:192] = 32 + np.arange(64)
-_CODE[192:] = 28
-_CODE[195] = 29
-_CODE[[0xD0, 0xD1]] = 30
-_CODE[[0xCE, 0xCF]] = 31
+_CODE[128:192] = 28 + np.arange(64)
+_CODE[0xC2:0xF5] = 92 + np.arange(0xF5 - 0xC2)
 
 
 def codes(data: np.ndarray) -> np.ndarray:
@@ -148,11 +145,14 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 8, s
 def fit_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = MAX_PER_LANGUAGE, max_bytes: int = MAX_BYTES
 ) -> LanguageModel:
-    """Learn from at most ``per_language`` documents of each language and ``max_bytes`` of text, with up to
-    16 windows evenly from the whole of each text. Rows with a null language or text are left out."""
+    """Learn every language that occurs, from at most ``per_language`` documents of each (fewer, but one at least, where that makes more
+    than MAX_DOCUMENTS) and ``max_bytes`` of text, with up to MAX_WINDOWS windows evenly from the whole of each text.
+
+    Rows with a null language or text are left out, copies of an id count once, and ties of an id's texts go as ``text_sample`` says.
+    """
     known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label")).where("id is not null and label is not null")
-    names = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
-    rows = first_by_hash(known.where(F.col("label").isin(names)), per_language, "label") if names else known
+    languages = known.select("label").distinct().count()
+    rows = first_by_hash(known, max(1, min(per_language, MAX_DOCUMENTS // max(languages, 1))), "label")
     sample = text_sample(docs, rows, max_bytes, id_col, text_col)
     names = sorted(set(sample.column("label").to_pylist()))
     labels = np.array([names.index(x) for x in sample.column("label").to_pylist()], np.int64)
@@ -161,7 +161,7 @@ def fit_language(
         x, rows_at = windows(data, offsets)
         for k in range(hi - lo):
             n = rows_at[k + 1] - rows_at[k]
-            at = rows_at[k] + np.unique(np.linspace(0, max(n - 1, 0), min(n, 16)).astype(np.int64))
+            at = rows_at[k] + np.unique(np.linspace(0, max(n - 1, 0), min(n, MAX_WINDOWS)).astype(np.int64))
             at = at[(x[at] > 1).sum(1) >= 4] if n else at[:0]
             xs.append(x[at])
             ys.append(np.full(len(at), labels[lo + k]))

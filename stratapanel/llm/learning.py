@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 
 
 def bucket(id_col: str | Column, parts: int) -> Column:
@@ -18,27 +18,29 @@ def bucket(id_col: str | Column, parts: int) -> Column:
 def text_sample(docs: DataFrame, rows: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
     """The whole texts of ``rows`` (``id``, ``label``; at most a few thousand) up to ``max_bytes`` in all.
 
-    Rows come in the order of a hash of the id. A text that doesn't fit any more is passed over, so the
-    driver never holds more than ``max_bytes`` of text. Null texts are left out; of repeated ids all rows count.
+    Rows come in the order of a hash of the id. A text that doesn't fit any more is passed over, so the driver never holds more than
+    ``max_bytes`` of text and one entry for each row of ``rows``. Null texts are left out; of rows with one id and label the
+    shortest text counts, of equally long ones that of the least hash, and copies count once.
     """
+    size, key = F.octet_length("text").alias("size"), F.xxhash64("text").alias("key")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sized = texts.join(F.broadcast(rows), "id").select("id", "label", F.octet_length("text").alias("size")).toPandas()
-    sized["rank"] = sized["id"].map(lambda x: hash_of(x))
-    sized = sized.sort_values(["rank", "size"])
+    sized = texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(F.min(F.struct(size, key)).alias("least")).select("id", "label", "least.*").toPandas()
+    sized["rank"] = sized["id"].map(hash_of)
+    sized = sized.sort_values(["rank", "size", "label"])
     left, chosen = max_bytes, []
-    for at, size in zip(sized.index, sized["size"], strict=True):
-        if size <= left:
+    for at, n in zip(sized.index, sized["size"], strict=True):
+        if n <= left:
             chosen.append(at)
-            left -= size
-    kept = sized.loc[chosen, ["id", "label", "size"]].drop_duplicates()
-    spark = docs.sparkSession
+            left -= n
+    kept = sized.loc[chosen, ["id", "label", "size", "key"]]
     if kept.empty:
         return pa.table({"id": [], "label": [], "text": []})
-    small = spark.createDataFrame(kept, rows.select("id", "label").schema.add("size", IntegerType()))
-    found = texts.withColumn("size", F.octet_length("text")).join(F.broadcast(small), ["id", "size"])
+    schema = rows.select("id", "label").schema.add("size", IntegerType()).add("key", LongType())
+    small = F.broadcast(docs.sparkSession.createDataFrame(kept, schema))
+    found = texts.select("id", "text", size, key).join(small, ["id", "size", "key"]).groupBy("id", "label", "size", "key").agg(F.first("text").alias("text"))
     out = found.select("id", "label", "text").toArrow()
-    order = np.argsort([hash_of(x) for x in out.column("id").to_pylist()], kind="stable")
-    return out.take(pa.array(order))
+    order = sorted(range(len(out)), key=lambda k: (hash_of(ids[k]), labels[k])) if (ids := out.column("id").to_pylist()) and (labels := out.column("label").to_pylist()) else []
+    return out.take(pa.array(order, pa.int64()))
 
 
 def hash_of(x: object) -> int:
@@ -49,12 +51,20 @@ def hash_of(x: object) -> int:
 
 
 def first_by_hash(rows: DataFrame, n: int, per: str | None = None) -> DataFrame:
-    """``n`` rows (for each value of ``per``) that come first in a hash order of ``id``."""
+    """``n`` distinct rows (id, label), or ``n`` for each value of ``per``, that come first in a hash order of ``id``; ties go by label.
+
+    With ``per``, all but about the first 2 n of a value's rows are left out by their hash before the rest is ranked, so that no task
+    holds more than that of one value.
+    """
+    rows = rows.select("id", "label").distinct()
     key = F.xxhash64(F.col("id").cast("string"))
     if per is None:
         return rows.orderBy(key, "label").limit(n)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(key)))
-    return ranked.where(F.col("rank") <= n).drop("rank")
+    share = (2 * n + 100) / F.count("*") * float(1 << 30)
+    bars = rows.groupBy(per).agg(share.alias("bar"))
+    near = rows.join(bars, per).where(F.pmod(key, F.lit(1 << 30)) < F.col("bar"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(F.pmod(key, F.lit(1 << 30)), key, "label")))
+    return ranked.where(F.col("rank") <= n).select("id", "label")
 
 
 class Adam:

@@ -47,17 +47,24 @@ def _decode_netpbm(media: bytes) -> np.ndarray:
     kind, at, numbers = media[1] - 48, 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         found = _TOKEN.match(media, at)
-        if not found:
+        if not found or len(found[1]) > 9:
             raise ValueError("netpbm: broken header")
         numbers.append(int(found[1]))
         at = found.end()
+    if len(numbers) == 3 and not 0 < numbers[2] < 65536:
+        raise ValueError("netpbm: greatest value out of range")
     width, height = numbers[:2]
     channels = 3 if kind in (3, 6) else 1
     if kind == 1:  # digits of a plain bitmap need no space between them
         bits = re.sub(rb"#[^\n]*|\s", b"", media[at:])
         return ((49 - np.frombuffer(bits, np.uint8, width * height)) * 255).astype(np.uint8).reshape(height, width)
     if kind in (2, 3):
-        samples = np.array(re.sub(rb"#[^\n]*", b"", media[at:]).split()[: width * height * channels], np.int64)
+        words = re.sub(rb"#[^\n]*", b"", media[at:]).split()[: width * height * channels]
+        if max(map(len, words), default=0) > 5:
+            raise ValueError("netpbm: sample out of range")
+        samples = np.array(words, np.int64)
+        if (samples > numbers[2]).any() or (samples < 0).any():
+            raise ValueError("netpbm: sample out of range")
         image = (samples * 255 // numbers[2]).astype(np.uint8)
     elif kind == 4:
         packed = np.frombuffer(media, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
@@ -66,7 +73,7 @@ def _decode_netpbm(media: bytes) -> np.ndarray:
         wide = numbers[2] > 255
         image = np.frombuffer(media, ">u2" if wide else np.uint8, width * height * channels, at + 1)
         if numbers[2] != 255:
-            image = (image.astype(np.int64) * 255 // numbers[2]).astype(np.uint8)
+            image = (np.minimum(image, numbers[2]).astype(np.int64) * 255 // numbers[2]).astype(np.uint8)
     return image.reshape((height, width, 3) if channels == 3 else (height, width))
 
 
@@ -168,7 +175,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
                     image = decode(raw or b"")
                     if not image.size:
                         raise ValueError("no samples")
-                except (ValueError, IndexError, struct.error):
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error):
                     out.append((None,) * 6)
                     continue
                 out.append((*image.shape[:2], image.tobytes(), stored_length(raw), npy_tile(image), difference_hash(image)))

@@ -25,4 +25,21 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key.facts.media_bytes").alias("media_bytes"),
         F.col("key.facts.media_sha256").alias("media_sha256"),
         F.col("dhash").alias("feature"),
+        "tile",
     )
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6 plain SQL can say, too: the payload read back and the stored form."""
+    return op6_media(spark, sf_dir).drop("feature", "tile", "tail_crc32")
+
+
+MEDIA_PAYLOADS_SQL = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) bytes FROM documents),
+hexed AS (SELECT doc_id, hex(bytes) h, octet_length(bytes) n, greatest(64, (octet_length(bytes) + 63) // 64 * 64) size FROM raw),
+padded AS (SELECT doc_id, n, size, unhex(h || repeat('00', CAST(size - n AS INTEGER))) payload FROM hexed),
+stored AS (SELECT *, unhex(hex(encode('P5' || chr(10) || '# bytes ' || n || chr(10) || '64 ' || size // 64 || chr(10) || '255' || chr(10))) || hex(payload)) media FROM padded)
+SELECT doc_id, CAST(n AS BIGINT) n_bytes, CAST(size AS BIGINT) payload_bytes, sha256(payload) payload_sha256,
+       CAST(octet_length(media) AS BIGINT) media_bytes, sha256(media) media_sha256
+FROM stored
+"""

@@ -6,7 +6,7 @@ from .chat_query import OP7_SQL, op7_chat
 from .decontamination_query import OP5_SQL, op5_decontamination
 from .jaccard_query import op10_jaccard_join
 from .language_query import op2_language
-from .media_query import op6_media
+from .media_query import MEDIA_PAYLOADS_SQL, media_payloads, op6_media
 from .packing_query import op9_packing
 from .pii_query import op8_pii
 from .quality_query import op1_quality
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "media_payloads": media_payloads,
 }
-ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL}
+ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL, "media_payloads": MEDIA_PAYLOADS_SQL}

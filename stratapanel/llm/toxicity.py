@@ -1,13 +1,15 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick in folded text, normalised by length.
 
-Folding lower-cases, maps homoglyphs and digits that stand for letters to those letters, and turns all
-that is no letter into a space. Lexicon entries (whole words, or stems at a word's start) and their
+Folding lower-cases, drops invisible characters, maps homoglyphs and digits that stand for letters to those letters
+(l, i and 1 to one), and turns all that is no letter into a space; entries without accents are matched
+in the text without its accents, too. Lexicon entries (whole words, or stems at a word's start) and their
 weights are learned from labelled texts; entries inside an exception phrase don't count. What a text's
 entries weigh, over the logarithm of its length, gives the score by a fitted logistic curve.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import first_by_hash, sigmoid, text_sample
-from .textbuf import text_blocks
+from .textbuf import ragged, text_blocks
 
 #: bounds of the learning sample
 MAX_ROWS, MAX_BYTES = 6000, 16 << 20
-#: a stem has at least so many letters; an entry at least so many different surroundings; and so large a share of them in toxic texts
-MIN_STEM, MIN_SUPPORT, MIN_SHARE = 4, 5, 0.9
-MAX_ENTRIES = 5000
+#: a stem has at least and at most so many letters; an entry at least so many different surroundings; and so large a share of them in toxic texts
+MIN_STEM, MAX_STEM, MIN_SUPPORT, MIN_SHARE = 4, 40, 5, 0.9
 _BLOCK = 1 << 18
 
 #: letters of other scripts that look like Latin ones
@@ -34,34 +35,74 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ʟ": "l", "ո": "n", "օ": "o", "ѵ": "v", "ԛ": "q", "ԝ": "w",
 }
-#: digits and signs that stand for letters
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: digits and signs that stand for letters; l, i and 1 stand for one another, so all are folded to i
+SUBSTITUTES = {"0": "o", "1": "i", "l": "i", "|": "i", "!": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+_PLANES = 0x20000
+
+
+def _folded_char(c: int) -> str:
+    """What a character folds to: letters and digits, nothing for marks and format characters, a space for all else."""
+    if 0xD800 <= c < 0xE000:
+        return " "
+    out = []
+    for char in unicodedata.normalize("NFKC", chr(c)).lower():
+        if unicodedata.category(char) in ("Cf", "Mn", "Me"):
+            continue
+        char = HOMOGLYPHS.get(char, char)
+        char = SUBSTITUTES.get(char, char)
+        if char == "i" and chr(c) in "!|":
+            char = "\x01"  # a letter only inside a word
+        out.append(char if char.isalnum() or char == "\x01" or unicodedata.category(char) == "Mc" else " ")
+    return "".join(out)
 
 
 @cache
-def fold_table() -> np.ndarray:
-    """Folded code point of each code point below 0x20000."""
-    table = np.full(0x20000, 32, np.uint32)
-    for c in range(0x20000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        char = unicodedata.normalize("NFKC", chr(c)) if c > 127 else chr(c)
-        char = char.lower() if len(char.lower()) == 1 else char
-        char = HOMOGLYPHS.get(char, SUBSTITUTES.get(char, char))
-        if len(char) == 1 and (char.isalnum() or unicodedata.category(char)[0] == "M"):
-            table[c] = ord(char)
-    return table
+def fold_table() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point below 0x20000: how many it folds to, where these are in the third array, that array; and each letter without its accent."""
+    parts = [_folded_char(c) for c in range(_PLANES)]
+    size = np.array([len(p) for p in parts], np.int64)
+    flat = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+    bare = np.arange(_PLANES, dtype=np.uint32)
+    for c in range(0xC0, 0x2000):
+        base = unicodedata.normalize("NFD", chr(c))[:1]
+        if base.isalpha():
+            bare[c] = ord(SUBSTITUTES.get(base, base))
+    return size, np.cumsum(size) - size, flat, bare
+
+
+#: marks that compose with the letter before them
+_MARKS = re.compile("[\u0300-\u036f]")
 
 
-def fold(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The folded texts, each between spaces, as one string; where each begins; and how many words each has."""
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def fold(texts: list[str]) -> tuple[str, str, np.ndarray, np.ndarray]:
+    """The folded texts, each between spaces, as one string; the same without accents; where each text begins; and how many words each has."""
+    texts = [unicodedata.normalize("NFC", t) if not t.isascii() and _MARKS.search(t) else t for t in texts]
     raw = np.frombuffer((" ".join(texts).join("  ")).encode("utf-32-le"), "<u4")
-    wide = fold_table()[np.minimum(raw, 0x1FFFF)]
-    wide[raw >= 0x20000] = raw[raw >= 0x20000]
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) + 1
+    size, at, flat, bare = fold_table()
+    known = np.minimum(raw, _PLANES - 1)
+    n = np.where(raw < _PLANES, size[known], 1)
+    wide = flat[ragged(at[known], n).clip(0, len(flat) - 1)]
+    ends = np.cumsum(n)
+    far = np.flatnonzero(raw >= _PLANES)
+    wide[ends[far] - 1] = raw[far]
+    starts = ends[np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])]  # of the folded text
     wide[starts - 1] = 32
+    sign = np.flatnonzero(wide == 1)  # a sign for i counts where a letter follows
+    after = wide[np.minimum(sign + 1, len(wide) - 1)]
+    wide[sign] = np.where((after != 32) & (after != 1), ord("i"), 32)
     solid = np.concatenate([[0], np.cumsum((wide[1:] != 32) & (wide[:-1] == 32))])
-    return wide.astype("<u4").tobytes().decode("utf-32-le"), starts, np.diff(solid[starts - 1])
+    kept = _text(wide)
+    plain = kept if kept.isascii() else _text(np.where(wide < _PLANES, bare[np.minimum(wide, _PLANES - 1)], wide))
+    return kept, plain, starts, np.diff(solid[starts - 1])
+
+
+def fold_entry(entry: str) -> str:
+    """An entry or phrase as it stands in folded text; spaces at its ends stay."""
+    return (" " if entry.startswith(" ") else "") + " ".join(fold([entry])[0].split()) + (" " if entry.endswith(" ") else "")
 
 
 @dataclass
@@ -71,28 +112,31 @@ class Lexicon:
     slope: float = 1.0
     bias: float = -2.0
 
-    def automaton(self):
+    def automata(self) -> list:
+        """Of what has accents, for the folded text, and of all else, for the text without accents; None where there is nothing."""
         import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for entry, weight in self.entries.items():
-            # a digit 1 was folded to i, and may have stood for l
-            for form in {entry.replace("l", "i"), entry}:
-                if form == entry or form not in self.entries:
-                    found.add_word(form, (len(form), weight))
-        for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
-        found.make_automaton()
-        return found if len(self.entries) else None
-
-    def weights(self, automaton, text: str, starts: np.ndarray) -> np.ndarray:
+        found: list = [ahocorasick.Automaton(), ahocorasick.Automaton()]
+        weights: dict[str, float] = {}
+        for entry, weight in self.entries.items():  # forms that fold alike are one, with the greatest weight
+            form = fold_entry(entry)
+            weights[form] = max(weight, weights.get(form, weight))
+        for form in {fold_entry(p) for p in self.exceptions} | weights.keys():
+            found[form.isascii()].add_word(form, (len(form), weights.get(form)))
+        for k, automaton in enumerate(found):
+            if len(automaton):
+                automaton.make_automaton()
+            else:
+                found[k] = None
+        return found
+
+    def weights(self, automata: list, kept: str, plain: str, starts: np.ndarray) -> np.ndarray:
         """Summed weight of the entries in each of the texts that ``fold`` joined."""
         out = np.zeros(len(starts) - 1)
-        if automaton is None:
-            return out
         hits, shields = [], []
-        for end, (size, weight) in automaton.iter(text):
-            (shields if weight is None else hits).append((end + 1 - size, end + 1, weight))
+        for automaton, text in zip(automata, (kept, plain), strict=True):
+            for end, (size, weight) in automaton.iter(text) if automaton is not None else ():
+                (shields if weight is None else hits).append((end + 1 - size, end + 1, weight))
         if shields:
             shields.sort()
             begins = np.array([s[0] for s in shields])
@@ -110,7 +154,7 @@ class Lexicon:
 def _folded(texts: list[str]) -> Iterator[tuple[range, str, np.ndarray]]:
     """Some rows at a time: their numbers, folded text and starts."""
     for at in range(0, len(texts), 64):
-        text, starts, _ = fold(texts[at : at + 64])
+        text, _, starts, _ = fold(texts[at : at + 64])
         yield range(at, min(at + 64, len(texts))), text, starts
 
 
@@ -123,7 +167,7 @@ def learn(texts: list[str], labels: np.ndarray) -> Lexicon:
     seen = [np.zeros(0, np.uint64)]
     for part, text, starts in _folded(texts):
         for k in range(len(part)):
-            row = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in text[starts[k] : starts[k + 1]].split() if len(w) < 64), 0], np.uint64)
+            row = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in text[starts[k] : starts[k + 1]].split()), 0], np.uint64)
             around = (row[:-2] * np.uint64(0x9E3779B97F4A7C15) + row[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
             # word, label and neighbours in one number
             seen.append(np.unique((row[1:-1] << np.uint64(32)) | (around & np.uint64(0x7FFFFFFF)) << np.uint64(1) | np.uint64(labels[part.start + k])))
@@ -133,9 +177,9 @@ def learn(texts: list[str], labels: np.ndarray) -> Lexicon:
     counts = np.bincount(word * 2 + label, minlength=2 * len(numbers) + 2).reshape(-1, 2)
     clean, toxic = max(1, int(counts[:, 0].sum())), max(1, int(counts[:, 1].sum()))
     whole = {w: tuple(counts[k].tolist()) for w, k in numbers.items() if counts[k, 1]}
-    stems = {w[:n]: [0, 0, 0] for w, (good, bad) in whole.items() if bad >= MIN_SHARE * (good + bad) for n in range(MIN_STEM, len(w) + 1)}
+    stems = {w[:n]: [0, 0, 0] for w, (good, bad) in whole.items() if bad >= MIN_SHARE * (good + bad) for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}
     for w, k in numbers.items():
-        for n in range(MIN_STEM, len(w) + 1):
+        for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1):
             if (count := stems.get(w[:n])) is not None:
                 count[0] += int(counts[k, 0])
                 count[1] += int(counts[k, 1])
@@ -154,12 +198,11 @@ def learn(texts: list[str], labels: np.ndarray) -> Lexicon:
         # a stem covers several forms; one inside a longer stem would count twice
         if forms > 1 and (w := weight(good, bad)) and not any(f" {stem[:n]}" in entries for n in range(MIN_STEM, len(stem))):
             entries[f" {stem}"] = w
-    entries = {e: w for e, w in entries.items() if e.endswith(" ") is False or not any(e[: n + 1] in entries for n in range(MIN_STEM, len(e) - 1))}
-    entries = dict(sorted(entries.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES])
+    entries = {e: w for e, w in entries.items() if e.endswith(" ") is False or not any(e[: n + 1] in entries for n in range(MIN_STEM, min(len(e) - 2, MAX_STEM) + 1))}
 
     # phrases with an entry that stand in clean texts only, in several surroundings
     phrases: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
-    listed = {w for w in numbers if f" {w} " in entries or any(f" {w[:n]}" in entries for n in range(MIN_STEM, len(w) + 1))}
+    listed = {w for w in numbers if f" {w} " in entries or any(f" {w[:n]}" in entries for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1))}
     for part, text, starts in _folded(texts):
         for k in range(len(part)):
             row = ["", *text[starts[k] : starts[k + 1]].split(), ""]
@@ -169,11 +212,11 @@ def learn(texts: list[str], labels: np.ndarray) -> Lexicon:
                     phrases[f" {row[at]} {row[at + 1]} "][int(labels[part.start + k])].add(row[at - 1])
     exceptions = sorted(p for p, (good, bad) in phrases.items() if len(good) >= 3 and not bad and "  " not in p)
     lexicon = Lexicon(entries, exceptions)
-    automaton = lexicon.automaton()
+    automata = lexicon.automata()
     x, y = [np.zeros(0)], labels.astype(float)
     for at in range(0, len(texts), 64):
-        text, starts, n = fold(texts[at : at + 64])
-        x.append(lexicon.weights(automaton, text, starts) / (1 + np.log1p(n)))
+        kept, plain, starts, n = fold(texts[at : at + 64])
+        x.append(lexicon.weights(automata, kept, plain, starts) / (1 + np.log1p(n)))
     design = np.stack([np.concatenate(x), np.ones(len(y))], 1)
     beta = np.array([1.0, -2.0])
     for _ in range(50 if len(y) else 0):  # Newton steps; the small penalty keeps separable data finite
@@ -190,7 +233,7 @@ def fit_toxicity(
 ) -> Lexicon:
     """Learn from at most ``max_rows`` labels, half of them toxic where there are as many, and ``max_bytes`` of text.
 
-    Rows with a null id or label are left out. Without labelled texts the lexicon is empty.
+    Rows with a null id or label are left out, repeated ones count once. Without labelled texts the lexicon is empty.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     rows = first_by_hash(known, max_rows // 2, "label")
@@ -207,14 +250,14 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = sent.value
-        automaton = lexicon.automaton()
+        automata = lexicon.automata()
         for batch in batches:
             parts = [np.zeros(0)]
             for _, _, data, offsets in text_blocks(batch.column(1), _BLOCK):
                 raw = data.tobytes()
                 cuts = offsets.tolist()
-                text, starts, n = fold([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-                parts.append(lexicon.scores(lexicon.weights(automaton, text, starts), n))
+                kept, plain, starts, n = fold([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                parts.append(lexicon.scores(lexicon.weights(automata, kept, plain, starts), n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts), pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratapanel.llm import chat, decontamination, jaccard_join, language, media, packing, pii, quality, toxicity, warc
+from stratapanel.llm import chat, decontamination, jaccard_join, language, learning, media, packing, pii, quality, toxicity, warc
 from stratapanel.llm.components import components
 from stratapanel.llm.packing_query import tokenizer_path
 
@@ -128,6 +128,50 @@ def test_toxicity_folds_learns_and_shields(spark, odd, none):
     assert toxicity.learn([], np.zeros(0, int)).entries == {}
 
 
+def test_folding_undoes_disguises():
+    lexicon = toxicity.Lexicon({" killer ": 5.0, " réeux": 3.0}, [" killer whale "], 1.0, -2.0)
+    automata = lexicon.automata()
+    for text in ("killer", "KILLER!", "ki11er", "ki1ler", "kil1er", "k\u200biller", "kille\u0301r", "killér", "k!ller", "kіller", "ﬁsh killer", "a killer"):
+        assert lexicon.weights(automata, *toxicity.fold([text])[:3]).tolist() == [5], text
+    for text in ("miller", "killers", "", "!", "killer whale", "KILLER WHA1E", "reeux", "kill er"):
+        assert lexicon.weights(automata, *toxicity.fold([text])[:3]).tolist() == [0], text
+    assert lexicon.weights(automata, *toxicity.fold(["re\u0301euxla", "ré\u200beux"])[:3]).tolist() == [3, 3]
+
+
+def test_matches_equal_a_plain_search():
+    rng = random.Random(31)
+    entries = {" " + "".join(rng.choice("abil") for _ in range(rng.randint(2, 4))) + rng.choice([" ", ""]): float(rng.randint(1, 9)) for _ in range(25)}
+    phrases = [" " + " ".join("".join(rng.choice("abil") for _ in range(3)) for _ in range(2)) + " " for _ in range(12)]
+    lexicon = toxicity.Lexicon(entries, phrases)
+    texts = ["".join(rng.choice("abilABIL14 ,é") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    kept, plain, starts, n = toxicity.fold(texts)
+    got = lexicon.weights(lexicon.automata(), kept, plain, starts)
+    folded = {}
+    for e, w in entries.items():
+        folded[toxicity.fold_entry(e)] = max(w, folded.get(toxicity.fold_entry(e), w))
+    shields = {toxicity.fold_entry(p) for p in phrases} - folded.keys()
+    for k, text in enumerate(texts):
+        t = " " + toxicity.fold([text])[1].strip("\0")[1:]
+        covered = [(p, p + len(s)) for s in shields for p in range(len(t)) if t.startswith(s, p)]
+        want = sum(w for e, w in folded.items() for p in range(len(t)) if t.startswith(e, p) and not any(a <= p and p + len(e) <= b for a, b in covered))
+        assert got[k] == want, text
+        assert n[k] == len(t.split())
+
+
+def test_learning_samples_are_bounded(spark):
+    rows = [(1, "x" * 1000 + str(k % 5)) for k in range(300)] + [(k, "y" * (100 + k)) for k in range(2, 40)] + [(None, "z"), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in [1, 1, *range(2, 60)]], "id bigint, label int")
+    found = learning.text_sample(docs, known.distinct(), 2500).to_pydict()
+    assert 0 < sum(map(len, found["text"])) <= 2500 and len(set(found["id"])) == len(found["id"])
+    every = learning.text_sample(docs, known.distinct(), 10**6).to_pydict()
+    assert sorted(every["id"]) == list(range(1, 40))  # copies count once
+    many = spark.range(20_000).select(F.col("id"), (F.col("id") % 1000 == 0).cast("int").alias("label"))
+    first = learning.first_by_hash(many.unionByName(many), 300, "label").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in first} == {0: 300, 1: 20}
+    assert learning.first_by_hash(many.where("false"), 10, "label").count() == 0
+
+
 # ---- WARC
 
 
@@ -252,8 +296,8 @@ def test_media_round_trip_and_features(spark, odd, none):
         assert np.load(io.BytesIO(r.tile)).shape == (32, 32) and len(r.dhash) == 16
     assert got[0].dhash == got[1].dhash
     assert media.media_features(media.text_to_media(none)).count() == 0
-    bad = spark.createDataFrame([(1, None), (2, bytearray(b"no image")), (3, bytearray(b"P5\n0 0\n255\n"))], "doc_id bigint, media binary")
-    assert {r.dhash for r in media.media_features(bad).collect()} == {None}
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"no image")), (3, bytearray(b"P5\n0 0\n255\n")), (4, bytearray(b"P5 99999999999999999999 9 255\n")), (5, bytearray(b"P2 1 1 255\n" + b"9" * 23)), (6, bytearray(b"P5 1 1 0\na")), (7, bytearray(b"P2 1 1 9\n12")), (8, bytearray(b"P5 900000000 9 255\na")), (9, bytearray(b"BM" + b"\xff" * 60)), (10, bytearray(b"P6 1"))], "doc_id bigint, media binary")
+    assert {(r.dhash, r.tile, r.samples) for r in media.media_features(bad).collect()} == {(None, None, None)} and media.media_features(bad).count() == 10
 
 
 def test_decoders_and_area_means():
@@ -316,6 +360,28 @@ def test_long_conversations_are_rendered_whole():
     assert [k for k in range(40) if late.add(*turns[k]).rewrites] == [29]
 
 
+def test_text_spans_of_any_template(spark):
+    turns = [("user" if k % 2 == 0 else "assistant", f"  text {k} ") for k in range(30)]
+
+    def rewrites_late(t):
+        first = "short: " if len(t) < 20 else "long: "
+        return first + "".join(f"<{r}>{x}</{r}>" for r, x in t)
+
+    r = chat.Renderer(rewrites_late)
+    found = [r.add(*t) for t in turns]
+    assert [k for k in range(30) if found[k].rewrites] == [19]
+    for k, f in enumerate(found):
+        whole = rewrites_late(turns[: k + 1])
+        assert f.located and whole[f.text_start : f.text_end] == turns[k][1], k
+    trimming = chat.Renderer(lambda t: "".join(f"{x.strip()}|" for _, x in t))
+    assert [trimming.add(*t).located for t in turns[:3]] == [True] * 3
+    choosy = chat.Renderer(lambda t: "".join(f"[{'long' if len(x) > 5 else 'brief'}]{x}" for _, x in t))
+    assert [choosy.add("user", x).located for x in ("abc", "abcdefgh")] == [True, False]
+    frame = spark.createDataFrame([("a", 0, "user", "x"), ("a", 1, "assistant", "abcdefgh"), (None, 0, "assistant", "y")], "conv_id string, turn int, role string, text string")
+    rows = chat.format_chats(frame, template=lambda t: "".join(f"[{'long' if len(x) > 5 else 'brief'}]{x}" for _, x in t)).collect()
+    assert {(r.conv_id, r.role, r.in_loss) for r in rows} == {("a", "user", False), ("a", "assistant", False), (None, "assistant", True)}
+
+
 def test_plain_matches_equal_the_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
