@@ -46,6 +46,11 @@ def sample_keys(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
+def random_rows(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """``n`` rows drawn by a seeded hash of their key, the same ones whatever the partitioning; ties go by the key."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
 def restrict(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_semi")
 

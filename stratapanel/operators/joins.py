@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def point_in_time(
     keys: DataFrame, spans: DataFrame, on: str, at: str, start: str, end: str, values: list[str], tie: str | None = None, match: Column | None = None
 ) -> DataFrame:
-    """``keys`` with the values of the span that holds at ``at``: both ends included, the latest start first, then the least ``tie``.
+    """``keys`` with the values of the span that holds at ``at``: both ends included, the latest start first, then the least ``tie``, then the greatest values.
 
     Spans are pre-aggregated to their key by the join itself: an equi-join on ``on`` with the interval as residual condition, so
     no pair of rows with different keys is ever made. A row of ``keys`` is identified by (``on``, ``at``), which must be unique.
     """
     right = spans.select(F.col(on).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), *[F.col(v).alias(f"_v_{v}") for v in values], (F.col(tie) if tie else F.lit(0)).alias("_t"))
     pairs = keys.select(on, at).join(right, (F.col(on) == F.col("_k")) & F.col(at).between(F.col("_s"), F.col("_e")))
-    best = F.max_by(F.struct(*[f"_v_{v}" for v in values]), F.struct("_s", (-F.col("_t")).alias("_t")))
+    found = F.struct(*[f"_v_{v}" for v in values])
+    best = F.max_by(found, F.struct("_s", (-F.col("_t")).alias("_t"), found))
     found = pairs.groupBy(on, at).agg(best.alias("_best")).select(on, at, *[F.col(f"_best._v_{v}").alias(v) for v in values])
     return keys.join(found, [on, at], "left")
 
@@ -44,6 +45,11 @@ def range_lookup(rows: DataFrame, value: str, ranges: DataFrame, low: str, high:
     return found.select(*rows.columns, *filled)
 
 
+def with_suffix(left: DataFrame, right: DataFrame, on: list[str], suffix: str, how: str = "left") -> DataFrame:
+    """An equi-join in which the right's columns that the left has, too, get ``suffix``."""
+    return left.join(right.withColumnsRenamed({c: c + suffix for c in right.columns if c in left.columns and c not in on}), on, how)
+
+
 def assert_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows``, which fail at once if a key occurs twice: a repeated key would multiply rows in later joins."""
     twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()

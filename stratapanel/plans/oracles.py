@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .testbed import FF12_RANGES
+from .testbed import FF12_RANGES, INDUSTRY_CODES
 
-_RANGES = ", ".join(f"({n}, '{c}', '{t}', {lo}, {hi}, {k})" for k, (n, c, t, lo, hi) in enumerate(FF12_RANGES))
+RANGES = ", ".join(f"({n}, '{c}', '{t}', {lo}, {hi}, {k})" for k, (n, c, t, lo, hi) in enumerate(FF12_RANGES))
 
 #: the panel as a chain of common tables
 PANEL = f"""
@@ -23,7 +23,7 @@ f AS (SELECT date_eom, avg(ret) mkt_rf,
              avg(CASE WHEN permno % 3 = 0 THEN ret END) - avg(CASE WHEN permno % 3 <> 0 THEN ret END) rmw,
              avg(CASE WHEN rich = 1 THEN ret END) - avg(CASE WHEN rich = 0 THEN ret END) cma
       FROM x GROUP BY 1),
-ff12(ff12_num, ff12_code, ff12_name, sic_lo, sic_hi, ord) AS (VALUES {_RANGES}),
+ff12(ff12_num, ff12_code, ff12_name, sic_lo, sic_hi, ord) AS (VALUES {RANGES}),
 ind AS (SELECT permno, siccd, coalesce(ff12_num, 12) ff12_num, coalesce(ff12_code, 'Other') ff12_code, coalesce(ff12_name, 'Other') ff12_name
         FROM (SELECT DISTINCT s_suppkey permno, CAST(s_suppkey * 97 % 10000 AS INTEGER) siccd FROM supplier) LEFT JOIN ff12 ON siccd BETWEEN sic_lo AND sic_hi),
 sec AS (SELECT s_suppkey permno, CAST(r_regionkey AS VARCHAR) gsector, r_name gics_sector_name, s_name ticker
@@ -71,6 +71,10 @@ def over_panel(tail: str) -> str:
     return f"WITH {PANEL} {tail}"
 
 
+def with_loadings(tail: str) -> str:
+    return over_panel(f", {_OLS} {tail}")
+
+
 _SCORED = """, z AS (SELECT permno, date_eom, gics_sector_name, ff12_code, ret,
     CASE WHEN coalesce(stddev_samp(ret) OVER d, 0) = 0 THEN 0 ELSE (ret - avg(ret) OVER d) / stddev_samp(ret) OVER d END s
     FROM panel WINDOW d AS (PARTITION BY date_eom)),
@@ -85,10 +89,24 @@ _NAIVE = """, p AS (SELECT gics_sector_name grp, ret y, lag(ret, 1) OVER (PARTIT
 g AS (SELECT grp, count(*) n, 1 - sum((y - h) * (y - h)) / nullif(regr_syy(y, y), 0) r2_oos, avg(abs(y - h)) mae, sqrt(avg((y - h) * (y - h))) rmse, avg(CASE WHEN sign(y) = sign(h) THEN 1.0 ELSE 0.0 END) dir_acc
       FROM p WHERE y IS NOT NULL AND h IS NOT NULL GROUP BY 1)"""
 _PAIRS = """, k AS (SELECT permno e, date_eom t, ret_excess v, gics_sector_name g FROM panel WHERE ret_excess IS NOT NULL),
+enough AS (SELECT e FROM k GROUP BY 1 HAVING count(*) >= 36),
 pairs AS (SELECT a.e a, b.e b, min(a.g) ga, min(b.g) gb, count(*) n,
                  CASE WHEN var_samp(a.v) > 1e-12 AND var_samp(b.v) > 1e-12 THEN corr(a.v, b.v) END c
           FROM k a JOIN k b ON a.t = b.t AND a.e < b.e GROUP BY 1, 2)"""
 
+_LAGS = ", ".join([f"round(lag({m}, 1) OVER {_W}, 4) {m}_lag" for m in ("ten_y", "ffr", "vix")] + [f"round(lag({x}, 2) OVER {_W}, 6) {x}_lag" for x in _FACTORS])
+_Z = ", ".join(f"CASE WHEN coalesce(stddev_samp({b}) OVER d, 0) = 0 THEN 0 ELSE ({b} - avg({b}) OVER d) / stddev_samp({b}) OVER d END z_{b}" for b in _BETAS)
+_FEATURES = ", ".join(
+    [f"round({c}, 6) {c}" for c in ("ret", "ret_excess", *_FACTORS, "alpha", *_BETAS, "rsq", "alpha_realized", *(f"z_{b}" for b in _BETAS))]
+    + [f"round(lead(alpha_realized, {h}) OVER {_W}, 6) alpha_fwd_{h}m" for h in (1, 3, 6)]
+    + [
+        f"round(CASE WHEN row_number() OVER {_W} > 12 THEN product(1 + coalesce(ret, 0)) OVER (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) - 1 END, 6) mom_12_1",
+        f"round(CASE WHEN row_number() OVER {_W} >= 12 THEN stddev_samp(ret) OVER (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END, 6) vol_12m",
+        f"round(ln(lag(mktcap, 1) OVER {_W}), 6) log_mktcap_lag",
+        _LAGS,
+    ]
+)
+
 SQL = {
     "month_grid": "SELECT last_day(CAST(d AS DATE)) date_eom FROM (SELECT unnest(generate_series(DATE '2014-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) d)",
     "membership_expand": "SELECT DISTINCT permno, last_day(CAST(mm AS DATE)) date_eom FROM (SELECT o_custkey permno, unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) mm FROM orders GROUP BY 1)",
@@ -97,23 +115,23 @@ SQL = {
     "delisting_case_when": over_panel(", t AS (SELECT permno, date_eom, ret, CASE WHEN permno % 7 = 0 THEN -0.3 END dl FROM panel) SELECT permno, date_eom, round(CASE WHEN ret IS NOT NULL AND dl IS NOT NULL THEN (1 + ret) * (1 + dl) - 1 WHEN ret IS NOT NULL THEN ret WHEN dl IS NOT NULL THEN dl END, 6) ret_total FROM t"),
     "latest_name_per_key": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) k FROM orders) WHERE k = 1",
     "pit_code_join": "WITH s AS (SELECT o_custkey, CAST(o_orderdate AS DATE) namedt, coalesce(CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE) - 1, DATE '9999-12-31') nameenddt, o_orderpriority code, o_orderkey k FROM orders), g AS (SELECT DISTINCT o_custkey, last_day(CAST(o_orderdate AS DATE)) date_eom FROM orders) SELECT g.o_custkey, g.date_eom, arg_max(code, (namedt, -k)) code FROM g LEFT JOIN s ON g.o_custkey = s.o_custkey AND g.date_eom BETWEEN namedt AND nameenddt GROUP BY 1, 2",
-    "ff12_range_lookup": f"WITH ff12(ff12_num, ff12_code, ff12_name, sic_lo, sic_hi, ord) AS (VALUES {_RANGES}), s AS (SELECT c_custkey, CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey * 97 % 10001 - 1 END AS INTEGER) siccd FROM customer) SELECT c_custkey, siccd, CASE WHEN siccd IS NULL THEN NULL ELSE coalesce(arg_max(ff12_num, ord), 12) END ff12_num, CASE WHEN siccd IS NULL THEN NULL ELSE coalesce(arg_max(ff12_code, ord), 'Other') END ff12_code FROM s LEFT JOIN ff12 ON siccd BETWEEN sic_lo AND sic_hi GROUP BY c_custkey, siccd",
+    "ff12_range_lookup": f"WITH ff12(ff12_num, ff12_code, ff12_name, sic_lo, sic_hi, ord) AS (VALUES {RANGES}), s AS (SELECT c_custkey, CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey * 97 % 10001 - 1 END AS INTEGER) siccd FROM customer) SELECT c_custkey, siccd, CASE WHEN siccd IS NULL THEN NULL ELSE coalesce(arg_max(ff12_num, ord), 12) END ff12_num, CASE WHEN siccd IS NULL THEN NULL ELSE coalesce(arg_max(ff12_code, ord), 'Other') END ff12_code FROM s LEFT JOIN ff12 ON siccd BETWEEN sic_lo AND sic_hi GROUP BY c_custkey, siccd",
     "daily_to_eom": f"WITH {PANEL} SELECT date_eom, round(ten_y, 4) ten_y FROM macro WHERE ten_y IS NOT NULL",
     "macro_full_join": f"WITH {PANEL} SELECT date_eom, round(ten_y, 4) ten_y, round(ffr, 4) ffr, round(vix, 4) vix FROM macro",
-    "panel_build": over_panel("SELECT permno, date_eom, round(ret, 6) ret, round(mktcap, 0) mktcap, round(mkt_rf, 6) mkt_rf, round(smb, 6) smb, round(hml, 6) hml, round(rmw, 6) rmw, round(cma, 6) cma, siccd, ff12_num, ff12_code, gsector, gics_sector_name, ticker, round(vix, 4) vix FROM panel"),
-    "lagged_drivers": over_panel(f"SELECT permno, date_eom, round(lag(ten_y, 1) OVER {_W}, 4) ten_y_lag, round(lag(mkt_rf, 2) OVER {_W}, 6) mkt_rf_lag, round(lag(cma, 2) OVER {_W}, 6) cma_lag FROM panel"),
+    "panel_build": over_panel("SELECT permno, date_eom, round(ret, 6) ret, round(mktcap, 0) mktcap, round(mkt_rf, 6) mkt_rf, round(smb, 6) smb, round(hml, 6) hml, round(rmw, 6) rmw, round(cma, 6) cma, siccd, ff12_num, ff12_code, ff12_name, gsector, gics_sector_name, ticker, round(prc, 4) prc, round(shrout, 2) shrout, 0.001 rf, round(ret_excess, 6) ret_excess, round(ten_y, 4) ten_y, round(ffr, 4) ffr, round(vix, 4) vix FROM panel"),
+    "lagged_drivers": over_panel(f"SELECT permno, date_eom, {_LAGS} FROM panel"),
     "momentum_10m": over_panel(f"SELECT permno, date_eom, round(CASE WHEN row_number() OVER {_W} > 12 THEN product(1 + coalesce(ret, 0)) OVER (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) - 1 END, 6) mom_12_1 FROM panel"),
     "rolling_vol_12": over_panel(f"SELECT permno, date_eom, round(CASE WHEN row_number() OVER {_W} >= 12 THEN stddev_samp(ret) OVER (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END, 6) vol_12m FROM panel"),
     "log_mktcap_lag": over_panel(f"SELECT permno, date_eom, round(ln(lag(mktcap, 1) OVER {_W}), 6) log_mktcap_lag FROM panel"),
     "slide_complete": over_panel("SELECT permno, date_eom, CASE WHEN count(*) OVER w >= 3 THEN round(avg(ret) OVER w, 6) END mean_3_before FROM panel WINDOW w AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"),
-    "rolling_beta_1f": over_panel(f", o AS (SELECT *, row_number() OVER {_W} pos, count(CASE WHEN ret_excess IS NOT NULL AND mkt_rf IS NOT NULL THEN 1 END) OVER w n, regr_slope(ret_excess, mkt_rf) OVER w b FROM panel WINDOW w AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 37 PRECEDING AND 2 PRECEDING)) SELECT permno, date_eom, CASE WHEN pos >= 38 AND n >= 24 THEN round(b, 6) END beta_mkt FROM o"),
+    "rolling_beta_1f": over_panel(f", o AS (SELECT *, row_number() OVER {_W} pos, count(CASE WHEN ret_excess IS NOT NULL AND mkt_rf IS NOT NULL THEN 1 END) OVER w n, regr_slope(ret_excess, mkt_rf) OVER w b, regr_intercept(ret_excess, mkt_rf) OVER w a, regr_r2(ret_excess, mkt_rf) OVER w q FROM panel WINDOW w AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 37 PRECEDING AND 2 PRECEDING)) SELECT permno, date_eom, CASE WHEN pos >= 38 AND n >= 24 THEN round(b, 6) END beta_mkt, CASE WHEN pos >= 38 AND n >= 24 THEN round(a, 6) END alpha, CASE WHEN pos >= 38 AND n >= 24 THEN round(q, 6) END rsq, CASE WHEN pos >= 38 THEN n END n_obs FROM o"),
     "rolling_ols_5f": over_panel(f", {_OLS} SELECT permno, date_eom, round(alpha, 6) alpha, {', '.join(f'round({b}, 6) {b}' for b in _BETAS)}, round(rsq, 6) rsq, n_obs FROM loadings"),
     "realized_alpha": over_panel(f", {_ALPHA} SELECT permno, date_eom, round(alpha_realized, 6) alpha_realized FROM realised"),
     "fwd_alpha_1_3_6": over_panel(f", {_ALPHA} SELECT permno, date_eom, round(lead(alpha_realized, 1) OVER {_W}, 6) alpha_fwd_1m, round(lead(alpha_realized, 3) OVER {_W}, 6) alpha_fwd_3m, round(lead(alpha_realized, 6) OVER {_W}, 6) alpha_fwd_6m FROM realised"),
     "calendar_beta": over_panel(", c AS (SELECT *, year(date_eom) * 12 + month(date_eom) mm FROM panel) SELECT permno, date_eom, n_obs, CASE WHEN n_obs >= 24 THEN round(b, 6) END beta_mkt FROM (SELECT permno, date_eom, count(CASE WHEN ret_excess IS NOT NULL AND mkt_rf IS NOT NULL THEN 1 END) OVER w n_obs, regr_slope(ret_excess, mkt_rf) OVER w b FROM c WINDOW w AS (PARTITION BY permno ORDER BY mm RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING))"),
     "cs_zscore": over_panel("SELECT permno, date_eom, round(CASE WHEN coalesce(stddev_samp(ret) OVER d, 0) = 0 THEN 0 ELSE (ret - avg(ret) OVER d) / stddev_samp(ret) OVER d END, 6) z_ret FROM panel WINDOW d AS (PARTITION BY date_eom)"),
     "winsorize_returns": over_panel("SELECT permno, date_eom, round(CASE WHEN ret IS NOT NULL THEN least(greatest(ret, quantile_cont(ret, 0.01) OVER d), quantile_cont(ret, 0.99) OVER d) END, 6) ret_w FROM panel WINDOW d AS (PARTITION BY date_eom)"),
-    "feature_panel": over_panel(f", {_ALPHA}, zz AS (SELECT permno, date_eom, alpha_realized, lead(alpha_realized, 1) OVER {_W} fwd, CASE WHEN coalesce(stddev_samp(beta_mkt) OVER d, 0) = 0 THEN 0 ELSE (beta_mkt - avg(beta_mkt) OVER d) / stddev_samp(beta_mkt) OVER d END z FROM realised WINDOW d AS (PARTITION BY date_eom)) SELECT permno, date_eom, round(alpha_realized, 6) alpha_realized, round(fwd, 6) alpha_fwd_1m, round(z, 6) z_beta_mkt FROM zz"),
+    "feature_panel": over_panel(f", {_ALPHA}, zz AS (SELECT realised.*, p.ret, p.mktcap, p.gics_sector_name, p.ff12_code, p.ten_y, p.ffr, p.vix, {_Z} FROM realised JOIN panel p USING (permno, date_eom) WINDOW d AS (PARTITION BY date_eom)) SELECT permno, date_eom, gics_sector_name, ff12_code, n_obs, {_FEATURES} FROM zz"),
     "coverage_profile": over_panel("SELECT count(*) n, count(DISTINCT permno) n_stocks, count(DISTINCT date_eom) n_months, min(date_eom) first_month, max(date_eom) last_month, count(ret) n_ret, round(avg(CASE WHEN ret IS NOT NULL AND mktcap > 0 THEN 1.0 ELSE 0.0 END), 6) usable FROM panel"),
     "sector_counts": over_panel("SELECT gics_sector_name, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM panel GROUP BY 1"),
     "range_counts": over_panel("SELECT ff12_num, ff12_code, ff12_name, count(*) n FROM panel GROUP BY 1, 2, 3"),
@@ -121,10 +139,10 @@ SQL = {
     "histogram_60": over_panel(", e AS (SELECT min(mktcap) low, max(mktcap) high FROM panel) SELECT CAST(least(floor((mktcap - low) / nullif((high - low) / 60, 0)), 59) AS INTEGER) bin, count(*) n FROM panel, e WHERE mktcap IS NOT NULL GROUP BY 1"),
     "mode_value": over_panel("SELECT ff12_code FROM panel GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1"),
     "contingency": over_panel("SELECT gics_sector_name, ff12_code, count(*) n FROM panel WHERE date_eom = (SELECT max(date_eom) FROM panel) GROUP BY 1, 2"),
-    "contingency_wide": over_panel("SELECT gics_sector_name, count(*) FILTER (WHERE ff12_code = 'Other') Other, count(*) FILTER (WHERE ff12_code = 'Money') Money, count(*) FILTER (WHERE ff12_code = 'Shops') Shops FROM panel GROUP BY 1"),
+    "contingency_wide": over_panel("SELECT gics_sector_name, " + ", ".join(f"count(*) FILTER (WHERE ff12_code = '{c}') {c}" for c in INDUSTRY_CODES) + " FROM panel GROUP BY 1"),
     "adjusted_rand": over_panel(", c AS (SELECT gics_sector_name a, ff12_code b, count(*) n FROM panel WHERE date_eom = (SELECT max(date_eom) FROM panel) GROUP BY 1, 2), t AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) ij, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) n FROM c GROUP BY a)) i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) n FROM c GROUP BY b)) j, (SELECT sum(n) FROM c) n) SELECT round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)), 6) adj_rand, CAST(n AS BIGINT) n_stocks FROM t"),
     "alpha_dispersion": over_panel(f", {_ALPHA}, c AS (SELECT date_eom, gics_sector_name, stddev_samp(alpha_realized) sd FROM realised JOIN sec USING (permno) WHERE alpha_realized IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5) SELECT round(avg(sd), 6) mean_alpha_sd, round(median(sd), 6) median_alpha_sd FROM c"),
-    "pairwise_corr": over_panel(_PAIRS + " SELECT a, b, n, round(c, 5) corr FROM pairs"),
+    "pairwise_corr": over_panel(_PAIRS + " SELECT a, b, n, round(c, 5) corr FROM pairs WHERE a IN (SELECT e FROM enough) AND b IN (SELECT e FROM enough)"),
     "within_group_corr": over_panel(_PAIRS + ", gg AS (SELECT ga, avg(c) c FROM pairs WHERE ga = gb AND c IS NOT NULL GROUP BY 1) SELECT ga grp, round(c, 6) mean_corr FROM gg"),
     "regression_metrics": over_panel(_NAIVE + " SELECT grp, n, round(r2_oos, 6) r2_oos, round(mae, 6) mae, round(rmse, 6) rmse, round(dir_acc, 6) dir_acc FROM g"),
     "weighted_metrics": over_panel(_NAIVE + " SELECT CAST(sum(n) AS BIGINT) n_test_total, round(sum(r2_oos * n) / sum(CASE WHEN r2_oos IS NOT NULL THEN n END), 6) r2_oos_weighted, round(sum(mae * n) / sum(n), 6) mae_weighted, round(sum(dir_acc * n) / sum(n), 6) dir_acc_weighted, count(*) n_groups FROM g"),

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import BETAS, FACTORS
+from ..config import BETAS, FACTORS, FEATURE_COLS, MACRO
 from ..functions.columns import direction_hits, mean_abs_error, r_squared, rmse, share, winsorize, zscore
 from ..operators import expand, iforest, metrics, resample
 from ..operators.clustering import clusters_annual, match_labels
@@ -18,7 +18,7 @@ from ..operators.matrix import nearest_centre, pair_correlations, silhouettes
 from ..operators.windows import calendar_ols, log_lag, momentum, rolling_ols, rolling_sd, slide, with_lags
 from ..sources.cache import checkpointed
 from . import compare, features
-from .testbed import CONFIG, factors, macro_daily, panel, returns, table, with_industry
+from .testbed import CONFIG, INDUSTRY_CODES, factors, macro_daily, panel, returns, table, with_industry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,13 +107,13 @@ def macro_full_join(spark, d):
 
 @query
 def panel_build(spark, d):
-    keys = (*KEY, "siccd", "ff12_num", "ff12_code", "gsector", "gics_sector_name", "ticker")
-    return rounded(panel(spark, d), *keys, ret=6, mktcap=0, mkt_rf=6, smb=6, hml=6, rmw=6, cma=6, vix=4)
+    keys = (*KEY, "siccd", "ff12_num", "ff12_code", "ff12_name", "gsector", "gics_sector_name", "ticker", "rf")
+    return rounded(panel(spark, d), *keys, prc=4, shrout=2, ret=6, ret_excess=6, mktcap=0, ten_y=4, ffr=4, vix=4, **dict.fromkeys(FACTORS, 6))
 
 
 @query
 def lagged_drivers(spark, d):
-    return rounded(features.with_lagged_drivers(panel(spark, d), CONFIG), *KEY, ten_y_lag=4, mkt_rf_lag=6, cma_lag=6)
+    return rounded(features.with_lagged_drivers(panel(spark, d), CONFIG), *KEY, **{f"{m}_lag": 4 for m in MACRO}, **{f"{f}_lag": 6 for f in FACTORS})
 
 
 @query
@@ -145,7 +145,7 @@ def excess(spark, d):
 @query
 def rolling_beta_1f(spark, d):
     names = {"alpha": "alpha", "mkt_rf": "beta_mkt", "rsq": "rsq", "n_obs": "n_obs"}
-    return rounded(rolling_ols(excess(spark, d), "ret_excess", ("mkt_rf",), names), *KEY, beta_mkt=6)
+    return rounded(rolling_ols(excess(spark, d), "ret_excess", ("mkt_rf",), names), *KEY, "n_obs", alpha=6, beta_mkt=6, rsq=6)
 
 
 @query
@@ -182,7 +182,8 @@ def winsorize_returns(spark, d):
 
 @query
 def feature_panel(spark, d):
-    return rounded(features.build_features(panel(spark, d), CONFIG), *KEY, alpha_realized=6, alpha_fwd_1m=6, z_beta_mkt=6)
+    digits = dict.fromkeys(("ret", "ret_excess", *FACTORS, "alpha", *BETAS, "rsq", "alpha_realized", *(f"alpha_fwd_{h}m" for h in features.HORIZONS), *FEATURE_COLS), 6)
+    return rounded(features.build_features(panel(spark, d), CONFIG), *KEY, "gics_sector_name", "ff12_code", "n_obs", **digits | {f"{m}_lag": 4 for m in MACRO})
 
 
 @query
@@ -230,7 +231,7 @@ def contingency(spark, d):
 
 @query
 def contingency_wide(spark, d):
-    return metrics.contingency_wide(panel(spark, d), "gics_sector_name", "ff12_code", ["Other", "Money", "Shops"])
+    return metrics.contingency_wide(panel(spark, d), "gics_sector_name", "ff12_code", INDUSTRY_CODES)
 
 
 @query
@@ -253,7 +254,7 @@ def alpha_dispersion(spark, d):
 @query
 def pairwise_corr(spark, d):
     rows = returns(spark, d).withColumn("ret_excess", F.col("ret") - 0.001)
-    return rounded(pair_correlations(rows, "permno", "date_eom", "ret_excess", 1), "a", "b", "n", corr=5)
+    return rounded(pair_correlations(rows, "permno", "date_eom", "ret_excess", 36), "a", "b", "n", corr=5)
 
 
 @query

@@ -42,6 +42,7 @@ FF12_RANGES = [
     (10, "Hlth", "Healthcare", 3840, 3859), (10, "Hlth", "Healthcare", 8000, 8099), (11, "Money", "Finance", 6000, 6999),
 ]
 OTHER = {"ff12_num": 12, "ff12_code": "Other", "ff12_name": "Other"}
+INDUSTRY_CODES = [*dict.fromkeys(r[1] for r in FF12_RANGES), "Other"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

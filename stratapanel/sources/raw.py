@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.expand import last_value_per_month, latest_per_key
 from .cache import empty_table
+from .text import parse_factor_csv, parse_range_list
 
 DELISTING_SCHEMA = "permno int, date_eom date, dlret double, dlstcd int"
 FIRST_DATE, LAST_DATE = date(1900, 1, 1), date(9999, 12, 31)
@@ -89,8 +90,18 @@ def macro_table(series: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def load_macro_sources(series: dict[str, DataFrame], start: date, end: date) -> DataFrame:
+    """Macro values of the months between two dates."""
+    return macro_table(series).where(F.col("date_eom").between(F.lit(start), F.lit(end)))
+
+
+def load_factor_sources(factor_lines: DataFrame, range_lines: DataFrame) -> dict[str, DataFrame]:
+    """Monthly factors and industry ranges from the lines of their files."""
+    return {"ff5": parse_factor_csv(factor_lines), "ff12_def": parse_range_list(range_lines)}
+
+
 def load_panel_sources(tables: dict[str, DataFrame], index_id: str, start: date, end: date, spark: SparkSession, keep: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All equity sources from the raw tables ``members``, ``months``, ``names`` and ``company``; with ``keep`` only its permnos."""
+    """All equity sources from the raw tables ``members``, ``months``, ``names`` and ``company``; with ``keep`` (a development sample) only its permnos."""
     out = {
         "members": membership(tables["members"], index_id, start, end),
         "monthly": with_delistings(monthly_returns(tables["months"], tables["members"], index_id, start, end), no_delistings(spark)),

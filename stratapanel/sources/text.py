@@ -5,9 +5,11 @@ Files are small reference tables; each is read as one row and split, so a line's
 
 from __future__ import annotations
 
-import os
+import io
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,25 +68,41 @@ def parse_range_list(text: DataFrame) -> DataFrame:
     )
 
 
-def read_series_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``date`` and ``value`` of a two-column CSV with a header; the tokens of NA_TOKENS are nulls."""
-    raw = spark.read.csv(path, header=True, schema="date string, value string", nullValue="\0", emptyValue="")
+def parse_series(raw: DataFrame) -> DataFrame:
+    """``date`` and ``value`` from two columns of text; the tokens of NA_TOKENS, and what is no number, are null values."""
     value = F.trim("value")
     return raw.select(F.expr("try_cast(date AS date)").alias("date"), F.when(~value.isin(*NA_TOKENS), F.expr("try_cast(trim(value) AS double)")).alias("value"))
 
 
+def series_lines(text: DataFrame) -> DataFrame:
+    """``parse_series`` of the ``lines`` of a two-column CSV with a header."""
+    parts = F.split("line", ",")
+    body = text.where((F.col("pos") > 0) & (F.trim("line") != "")).select(F.get(parts, F.lit(0)).alias("date"), F.get(parts, F.lit(1)).alias("value"))
+    return parse_series(body)
+
+
+def read_series_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_series`` of a two-column CSV file with a header."""
+    return parse_series(spark.read.csv(path, header=True, schema="date string, value string", nullValue="\0", emptyValue=""))
+
+
 def series_url(base: str, series_id: str) -> str:
     return f"{base}?id={series_id}"
 
 
-def stage_zip(archive: str, folder: str) -> list[str]:
-    """Extract a local archive into ``folder`` unless its files are there; their paths. Runs on the driver, for small archives."""
-    with zipfile.ZipFile(archive) as packed:
-        names = [n for n in packed.namelist() if not n.endswith("/")]
-        for name in names:
-            target = os.path.realpath(os.path.join(folder, name))
-            if not target.startswith(os.path.realpath(folder) + os.sep):
-                raise ValueError(f"{name} would leave the folder")
-            if not os.path.exists(target):
-                packed.extract(name, folder)
-    return [os.path.join(folder, n) for n in names]
+def read_zipped(spark: SparkSession, archive: str, member: str) -> DataFrame:
+    """``lines`` of a text member of ZIP archives, which are read by Spark from any store it knows; nothing is unpacked to a disk.
+
+    ``member`` is matched without its folders. Meant for reference files: an archive's bytes are held by one task.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as packed:
+                    for name in packed.namelist():
+                        if name.rsplit("/", 1)[-1] == member:
+                            rows = packed.read(name).decode("utf-8", "replace").splitlines()
+                            yield pa.RecordBatch.from_arrays([pa.array([f"{path}!{name}"] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.string())], ["file", "pos", "line"])
+
+    return spark.read.format("binaryFile").load(archive).select("path", "content").mapInArrow(unpack, "file string, pos int, line string")
