@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 
 
+#: The study's dates, windows, lags and seed.
 @dataclass(frozen=True)
 class EngineConfig:
     start_date: date = date(2014, 1, 1)
@@ -20,8 +21,6 @@ class EngineConfig:
     ff_lag_months: int = 2
     macro_lag_months: int = 1
     refit_window_months: int = 60
-    dev_mode: bool = False
-    dev_n_stocks: int = 50
     seed: int = 8675309
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -27,19 +27,9 @@ def finite(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def zscore(x: str | Column, *by: str) -> Column:
-    """Cross-sectional z-score; 0 in every row of a group whose deviation is 0 or undefined."""
-    x = F.col(x) if isinstance(x, str) else x
-    over = Window.partitionBy(*by)
-    sd = F.stddev_samp(x).over(over)
-    return F.when(sd.isNull() | (sd == 0), F.lit(0.0)).otherwise((x - F.avg(x).over(over)) / sd)
-
-
-def winsorize(x: str, p: float, *by: str) -> Column:
-    """Clamped at the p and 1 - p quantiles (linear interpolation) of its group; null stays null."""
-    over = Window.partitionBy(*by)
-    low, high = F.percentile(x, F.lit(p)).over(over), F.percentile(x, F.lit(1 - p)).over(over)
-    return F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), low), high))
+def zscore(x: Column, mean: Column, deviation: Column) -> Column:
+    """0 in every row where the deviation is 0 or undefined, whatever the value."""
+    return F.when(deviation.isNull() | (deviation == 0), F.lit(0.0)).otherwise((x - mean) / deviation)
 
 
 def weighted_mean(x: str | Column, w: str | Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..sources.cache import checkpointed
 from .elastic_net import no_rows
 from .matrix import correlation_matrix, kmeans, mean_silhouette, principal_components
 
@@ -49,7 +50,7 @@ def fit_period(window: pd.DataFrame, grid: tuple[int, ...], force: int | None, s
     if not len(who):
         return no_rows("permno", "cluster_id", "k", "silhouette")
     k, silhouette, _ = pick_k(x, grid, seed, starts)
-    k = force or k
+    k = k if force is None else force
     label, _, _ = kmeans(x, k, 2 * starts, 200, seed)
     return pd.DataFrame({"permno": who, "cluster_id": label + 1, "k": k, "silhouette": silhouette})
 
@@ -86,26 +87,45 @@ def assignment(gain: np.ndarray) -> list[int]:
     return out
 
 
-def match_labels(before: dict[int, int], after: dict[int, int]) -> dict[int, int | None]:
-    """New assignments relabelled so that clusters keep the label they overlap most with (Jaccard over common entities).
+def match_counts(counts: dict[tuple[int, int], int], labels: list[int]) -> dict[int, int | None]:
+    """A name for each of the new ``labels``, from the number of common entities of each (new label, old name).
 
-    A new cluster beyond the old ones gets a fresh number; one without any common entity gets None.
+    New clusters keep the old name they overlap most with (Jaccard over common entities). One beyond the old ones gets a fresh number;
+    one without any common entity gets None. If nothing is common, labels stay.
     """
-    common = sorted(before.keys() & after.keys())
-    if not common:
-        return dict(after)
-    old = sorted({before[e] for e in common})
-    new = sorted({after[e] for e in common})
-    gain = np.zeros((max(len(old), len(new)),) * 2)
-    for i, a in enumerate(new):
-        inside = {e for e in common if after[e] == a}
-        for j, b in enumerate(old):
-            other = {e for e in common if before[e] == b}
-            gain[i, j] = len(inside & other) / len(inside | other)
-    names: dict[int, int] = {}
-    for i, (a, j) in enumerate(zip(new, assignment(gain), strict=False), 1):
-        names[a] = old[j] if j < len(old) else max([*old, *names, 0]) + i
-    return {e: names.get(c) for e, c in after.items()}
+    if not counts:
+        return {c: c for c in labels}
+    new, old = sorted({a for a, _ in counts}), sorted({b for _, b in counts})
+    table = np.array([[counts.get((a, b), 0) for b in old] for a in new], float)
+    gain = np.zeros((max(table.shape),) * 2)
+    gain[: len(new), : len(old)] = table / (table.sum(1, keepdims=True) + table.sum(0) - table)
+    chosen = assignment(gain)
+    names: dict[int, int | None] = {}
+    for place, label in enumerate(new):
+        known = chosen[place] < len(old)
+        names[label] = old[chosen[place]] if known else max([*old, *names]) + place + 1
+    return {c: names.get(c) for c in labels}
+
+
+def match_labels(before: dict[int, int], after: dict[int, int]) -> dict[int, int | None]:
+    """New assignments by entity, relabelled by ``match_counts``."""
+    counts: dict[tuple[int, int], int] = {}
+    for e in before.keys() & after.keys():
+        counts[after[e], before[e]] = counts.get((after[e], before[e]), 0) + 1
+    names = match_counts(counts, sorted(set(after.values())))
+    return {e: names[c] for e, c in after.items()}
+
+
+def relabelled(before: DataFrame, after: DataFrame, entity: str = "permno", label: str = "cluster_id") -> DataFrame:
+    """``after`` with the labels that ``match_counts`` gives it; only the counts of label pairs come to the driver."""
+    pairs = after.select(entity, F.col(label).alias("a")).join(before.select(entity, F.col(label).alias("b")).where("b is not null"), entity)
+    counts = {(r.a, r.b): r["count"] for r in pairs.groupBy("a", "b").count().collect()}
+    return _named(after, match_counts(counts, sorted(r[0] for r in after.select(label).distinct().collect())), label)
+
+
+def _named(rows: DataFrame, names: dict, label: str) -> DataFrame:
+    known = F.create_map(*[F.lit(x).cast("int") for pair in names.items() for x in pair]) if names else F.create_map().cast("map<int,int>")
+    return rows.withColumn(label, F.element_at(known, F.col(label).cast("int")))
 
 
 def refit_dates(config: EngineConfig) -> list[date]:
@@ -136,21 +156,32 @@ def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = t
 def clusters_annual(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = tuple(range(2, 11)), force: int | None = None, starts: int = 25) -> tuple[DataFrame, DataFrame]:
     """Assignments for the months of the year after each refit (date_eom, permno, cluster_id), and a diagnosis of each refit.
 
-    Matching labels is sequential by nature; only (refit, entity, label) rows, one for each entity and year, come to the driver.
+    Matching labels is sequential by nature, from one refit to the next, but needs only the counts of common entities of each pair of labels of neighbouring
+    refits: these come to the driver, k x k numbers a refit; assignments never do.
     """
     spark = panel.sparkSession
-    fits = fit_refits(panel, config, grid, force, starts).toPandas().sort_values(["refit_date", "permno"])
-    before: dict[int, int] = {}
-    rows, diagnosis = [], []
-    for day, part in fits.groupby("refit_date", sort=True):
-        after = dict(zip(part["permno"].tolist(), part["cluster_id"].tolist(), strict=True))
-        after = match_labels(before, after) if before else after
-        before = {e: c for e, c in after.items() if c is not None}
-        rows += [(day, e, c) for e, c in after.items()]
-        diagnosis.append((day, int(part["k"].iloc[0]), float(part["silhouette"].iloc[0]), len(part)))
-    matched = spark.createDataFrame(rows, "refit_date date, permno bigint, cluster_id int")
+    fits = checkpointed(fit_refits(panel, config, grid, force, starts))
+    diagnosis = fits.groupBy("refit_date").agg(F.first("k").alias("k"), F.first("silhouette").alias("silhouette"), F.count("*").cast("int").alias("n_stocks"))
+    labels: dict[date, list[int]] = {}
+    for r in fits.select("refit_date", "cluster_id").distinct().orderBy("refit_date", "cluster_id").collect():
+        labels.setdefault(r.refit_date, []).append(r.cluster_id)
+    days = list(labels)
+    follows = spark.createDataFrame(list(zip(days[1:], days[:-1], strict=True)), "refit_date date, before date")
+    old = fits.select(F.col("refit_date").alias("before"), "permno", F.col("cluster_id").alias("old"))
+    pairs = fits.join(F.broadcast(follows), "refit_date").join(old, ["before", "permno"]).groupBy("refit_date", "cluster_id", "old").count().collect()
+    names: dict[date, dict[int, int | None]] = {}
+    for n, day in enumerate(days):
+        last = names[days[n - 1]] if n else {}
+        counts: dict[tuple[int, int], int] = {}
+        for r in pairs:
+            if r.refit_date == day and last.get(r.old) is not None:
+                counts[r.cluster_id, last[r.old]] = counts.get((r.cluster_id, last[r.old]), 0) + r["count"]
+        names[day] = match_counts(counts, labels[day])
+    rows = [(day, c, name) for day in days for c, name in names[day].items()]
+    table = spark.createDataFrame(rows, "refit_date date, cluster_id int, name int")
+    matched = fits.join(F.broadcast(table), ["refit_date", "cluster_id"]).select("refit_date", "permno", F.col("name").alias("cluster_id"))
     year = F.year("refit_date") + 1
     months = F.sequence(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(1)), F.expr("interval 1 month"))
     applied = matched.select("permno", "cluster_id", F.explode(months).alias("m")).select(F.last_day("m").alias("date_eom"), "permno", "cluster_id")
     applied = applied.where(F.col("date_eom") <= F.last_day(F.lit(config.end_date)))
-    return applied, spark.createDataFrame(diagnosis, "refit_date date, k int, silhouette double, n_stocks int")
+    return applied, diagnosis

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 FOLDS, PATH = 5, 100
 MIN_TRAIN = 60
-PREDICTION = "scheme string, grp string, permno bigint, date_eom date, n_train bigint, y_true double, y_hat double"
 
 
 def no_rows(*names: str) -> pd.DataFrame:
@@ -41,6 +40,14 @@ class Gram:
     def __sub__(self, other: Gram) -> Gram:
         return Gram(self.n - other.n, self.sx - other.sx, self.sy - other.sy, self.xx - other.xx, self.xy - other.xy, self.yy - other.yy)
 
+    def __add__(self, other: Gram) -> Gram:
+        return Gram(self.n + other.n, self.sx + other.sx, self.sy + other.sy, self.xx + other.xx, self.xy + other.xy, self.yy + other.yy)
+
+    def squared_error(self, b: np.ndarray) -> float:
+        """Sum of squared errors of these rows with intercept and slopes ``b``: a quadratic form of the sums."""
+        slope = b[1:]
+        return float(self.yy - 2 * (b[0] * self.sy + slope @ self.xy) + b[0] ** 2 * self.n + 2 * b[0] * (slope @ self.sx) + slope @ self.xx @ slope)
+
     def scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray, float]:
         """Correlations of X, of X with y, and the means and deviations."""
         mx, my = self.sx / self.n, self.sy / self.n
@@ -87,22 +94,23 @@ def fit_path(gram: Gram, lambdas: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def cross_validated(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alpha: float = 0.5) -> tuple[np.ndarray, float]:
-    """Coefficients (intercept first) at the lambda of least mean squared error over the folds, and that lambda."""
-    whole = Gram.of(x, y)
+def best_of_path(folds: list[Gram], alpha: float = 0.5) -> tuple[np.ndarray, float]:
+    """Coefficients (intercept first) at the lambda of least mean squared error over the folds, and that lambda, from the folds' sums alone."""
+    whole = sum(folds[1:], folds[0])
     _, c, *_ = whole.scaled()
-    lambdas = lambda_path(c, len(x), x.shape[1], alpha)
+    lambdas = lambda_path(c, whole.n, len(whole.sx), alpha)
     loss = np.zeros(len(lambdas))
-    for f in np.unique(fold):
-        out = fold == f
-        if out.all():
-            continue
-        path = fit_path(whole - Gram.of(x[out], y[out]), lambdas, alpha)
-        loss += ((y[out] - path[:, :1] - path[:, 1:] @ x[out].T) ** 2).sum(1)
+    for fold in folds if len(folds) > 1 else []:
+        loss += [fold.squared_error(b) for b in fit_path(whole - fold, lambdas, alpha)]
     best = int(np.argmin(loss))
     return fit_path(whole, lambdas[: best + 1], alpha)[-1], float(lambdas[best])
 
 
+def cross_validated(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alpha: float = 0.5) -> tuple[np.ndarray, float]:
+    """``best_of_path`` of rows at hand."""
+    return best_of_path([Gram.of(x[fold == f], y[fold == f]) for f in np.unique(fold)], alpha)
+
+
 def with_folds(rows: DataFrame, seed: int, folds: int = FOLDS) -> DataFrame:
     """``fold`` by a seeded hash of the key, so that it doesn't depend on how rows are dealt."""
     return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "permno", "date_eom"), F.lit(folds)).cast("int"))
@@ -115,63 +123,46 @@ def long_schemes(rows: DataFrame, schemes: dict[str, str], drop_null: bool = Tru
     return out.where("grp is not null") if drop_null else out
 
 
-def predict_groups(rows: DataFrame, features: tuple[str, ...], label: str, alpha: float = 0.5, min_train: int = MIN_TRAIN) -> DataFrame:
-    """Predictions of the ``split`` = 'test' rows of each (scheme, grp) with at least ``min_train`` rows of 'train'.
+def fit_groups(rows: DataFrame, features: tuple[str, ...], label: str, alpha: float = 0.5, min_train: int = MIN_TRAIN) -> DataFrame:
+    """``scheme``, ``grp``, ``n_train`` and ``beta`` (intercept first) of each group with at least ``min_train`` rows of 'train'.
 
-    ``rows`` has scheme, grp, split, fold, the label and the features. A group's rows meet in one task: its model needs their Gram matrix only,
-    yet the folds' rows are scored there too. Groups that outgrow a task are for ``predict_pooled``.
+    Executors sum up products by group and fold; a model is fitted from its folds' sums, so no group's rows meet in one task.
     """
+    unit = [F.lit(1.0), *[F.col(c).cast("double") for c in (*features, label)]]
+    size = len(unit)
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = rows.where("split = 'train'").groupBy("scheme", "grp", "fold").agg(*[F.sum(unit[i] * unit[j]).alias(f"s{i}_{j}") for i, j in cells])
+    packed = sums.select("scheme", "grp", "fold", F.array(*[f"s{i}_{j}" for i, j in cells]).alias("sums"))
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        train, test = part[part["split"] == "train"], part[part["split"] == "test"].sort_values(["permno", "date_eom"])
-        if len(train) < min_train or not len(test):
-            return no_rows("scheme", "grp", "permno", "date_eom", "n_train", "y_true", "y_hat")
-        train = train.sort_values(["permno", "date_eom"])
-        beta, _ = cross_validated(train[list(features)].to_numpy(float), train[label].to_numpy(float), train["fold"].to_numpy(), alpha)
-        fitted = beta[0] + test[list(features)].to_numpy(float) @ beta[1:]
-        return pd.DataFrame({"scheme": key[0], "grp": key[1], "permno": test["permno"], "date_eom": test["date_eom"], "n_train": len(train), "y_true": test[label], "y_hat": fitted})
+        folds = []
+        for values in part.sort_values("fold")["sums"]:
+            m = np.zeros((size, size))
+            for (i, j), v in zip(cells, values, strict=True):
+                m[i, j] = m[j, i] = v
+            folds.append(Gram(m[0, 0], m[0, 1:-1], m[0, -1], m[1:-1, 1:-1], m[1:-1, -1], m[-1, -1]))
+        n = round(sum(g.n for g in folds))
+        if n < min_train:
+            return no_rows("scheme", "grp", "n_train", "beta")
+        return pd.DataFrame({"scheme": [key[0]], "grp": [key[1]], "n_train": [n], "beta": [best_of_path(folds, alpha)[0].tolist()]})
 
-    kept = rows.select("scheme", "grp", F.col("permno").cast("bigint").alias("permno"), "date_eom", "split", "fold", label, *features)
-    return kept.groupBy("scheme", "grp").applyInPandas(fit, PREDICTION)
+    return packed.groupBy("scheme", "grp").applyInPandas(fit, "scheme string, grp string, n_train bigint, beta array<double>")
 
 
-def predict_pooled(rows: DataFrame, features: tuple[str, ...], label: str, alpha: float = 0.5) -> DataFrame:
-    """One model of all 'train' rows, from Gram matrices that executors sum up fold by fold; no row comes to the driver.
+def predict_groups(rows: DataFrame, features: tuple[str, ...], label: str, alpha: float = 0.5, min_train: int = MIN_TRAIN) -> DataFrame:
+    """Predictions of the ``split`` = 'test' rows of each (scheme, grp) with at least ``min_train`` rows of 'train'.
 
-    The folds' errors are quadratic forms of the same sums, so the path is chosen without a second pass.
+    ``rows`` has scheme, grp, split, fold, the label and the features. Scoring is one join with the few models and a sum of columns.
     """
-    names = [*features, label]
-    train = rows.where("split = 'train'")
-    unit = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
-    size = len(unit)
-    sums = train.groupBy("fold").agg(*[F.sum(unit[i] * unit[j]).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]).orderBy("fold").collect()
-    grams = []
-    for row in sums:
-        m = np.zeros((size, size))
-        for i in range(size):
-            for j in range(i, size):
-                m[i, j] = m[j, i] = row[f"s{i}_{j}"]
-        grams.append(Gram(m[0, 0], m[0, 1:-1], m[0, -1], m[1:-1, 1:-1], m[1:-1, -1], m[-1, -1]))
-    schema_rows = rows.where("split = 'test'")
-    if not grams:
-        return schema_rows.select(F.lit("Pooled").alias("scheme"), F.lit("pooled").alias("grp"), F.col("permno").cast("bigint"), "date_eom", F.lit(0).cast("bigint").alias("n_train"), F.col(label).alias("y_true"), F.lit(None).cast("double").alias("y_hat")).where("false")
-    zero = Gram(0, grams[0].sx * 0, 0, grams[0].xx * 0, grams[0].xy * 0, 0)
-    whole = zero
-    for g in grams:
-        whole = whole - (zero - g)
-    _, c, *_ = whole.scaled()
-    lambdas = lambda_path(c, whole.n, len(features), alpha)
-    loss = np.zeros(len(lambdas))
-    for g in grams if len(grams) > 1 else []:
-        for k, b in enumerate(fit_path(whole - g, lambdas, alpha)):
-            slope = b[1:]
-            loss[k] += g.yy - 2 * (b[0] * g.sy + slope @ g.xy) + b[0] ** 2 * g.n + 2 * b[0] * (slope @ g.sx) + slope @ g.xx @ slope
-    beta = fit_path(whole, lambdas[: int(np.argmin(loss)) + 1], alpha)[-1]
-    fitted = sum((F.lit(float(b)) * F.col(f) for f, b in zip(features, beta[1:], strict=True)), F.lit(float(beta[0])))
-    return schema_rows.select(
-        F.lit("Pooled").alias("scheme"), F.lit("pooled").alias("grp"), F.col("permno").cast("bigint").alias("permno"), "date_eom",
-        F.lit(int(whole.n)).cast("bigint").alias("n_train"), F.col(label).cast("double").alias("y_true"), fitted.alias("y_hat"),
-    )
+    models = fit_groups(rows, features, label, alpha, min_train)
+    joined = rows.where("split = 'test'").join(models, ["scheme", "grp"])
+    fitted = sum((F.get("beta", F.lit(k + 1)) * F.col(f) for k, f in enumerate(features)), F.get("beta", F.lit(0)))
+    return joined.select("scheme", "grp", F.col("permno").cast("bigint").alias("permno"), "date_eom", "n_train", F.col(label).cast("double").alias("y_true"), fitted.alias("y_hat"))
+
+
+def predict_pooled(rows: DataFrame, features: tuple[str, ...], label: str, alpha: float = 0.5) -> DataFrame:
+    """One model of all 'train' rows, as a group of its own."""
+    return predict_groups(rows.withColumns({"scheme": F.lit("Pooled"), "grp": F.lit("pooled")}), features, label, alpha, 1)
 
 
 def one_hot(rows: DataFrame, column: str, values: list) -> tuple[DataFrame, tuple[str, ...]]:

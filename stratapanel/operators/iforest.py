@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -9,9 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .crosssection import beside
 from .elastic_net import no_rows
 
 SCORES = "scheme string, grp string, permno bigint, date_eom date, iso_score double"
+SAMPLE = 256
+#: rows of a group that one task scores
+PART = 50_000
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -73,30 +78,47 @@ class IsolationForest:
         return 2 ** (-total / len(self.trees) / max(float(average_path(self.size)), 1e-9))
 
 
+def _pool(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """About ``n`` rows of each (scheme, grp), or all of a smaller one, by a hash of the key, with the group's ``size``; no task sees more of a group."""
+    sizes = rows.groupBy("scheme", "grp").agg(F.count("*").alias("size"))
+    joined = rows.join(sizes, ["scheme", "grp"])
+    place = F.pmod(F.xxhash64(F.lit(seed), "permno", "date_eom"), F.lit(1 << 40))
+    return joined.where(place < F.lit(float(1 << 40)) * F.lit(float(n)) / F.col("size"))
+
+
 def score_groups(rows: DataFrame, features: tuple[str, ...], trees: int = 200, min_train: int = 30, seed: int = 8675309, fit_is_score: bool = False) -> DataFrame:
     """Scores of the 'test' rows of each (scheme, grp) by a forest of its 'train' rows; groups with fewer than ``min_train`` of these have none.
 
-    With ``fit_is_score`` the forest is fitted on the rows that it scores. Forests see samples of at most 256 rows by the method's
-    definition. The seed of a group depends on its name only.
+    With ``fit_is_score`` the forest is fitted on the rows that it scores. A tree sees 256 rows by the method's definition; they are drawn from all
+    of a group's rows, or from as many as all trees together could see. Forests are grown where their sample is, then meet their group's rows part by part.
+    The seed of a group depends on its name only.
     """
+    kept = rows.select("scheme", "grp", F.col("permno").cast("bigint").alias("permno"), "date_eom", "split", *features)
+    train, test = (kept, kept) if fit_is_score else (kept.where("split = 'train'"), kept.where("split = 'test'"))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["permno", "date_eom"])
-        test = part if fit_is_score else part[part["split"] == "test"]
-        train = part if fit_is_score else part[part["split"] == "train"]
-        if len(train) < min_train or not len(test):
+    def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if int(part["size"].iloc[0]) < min_train:
+            return no_rows("scheme", "grp", "forest")
+        x = part.sort_values(["permno", "date_eom"])[list(features)].to_numpy(float)
+        forest = IsolationForest(x, trees, SAMPLE, seed + zlib.crc32(f"{key[0]}/{key[1]}".encode()))
+        return pd.DataFrame({"scheme": [key[0]], "grp": [key[1]], "forest": [pickle.dumps(forest)]})
+
+    def score(_: tuple, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(found):
             return no_rows("scheme", "grp", "permno", "date_eom", "iso_score")
-        forest = IsolationForest(train[list(features)].to_numpy(float), trees, 256, seed + zlib.crc32(f"{key[0]}/{key[1]}".encode()))
-        return pd.DataFrame({"scheme": key[0], "grp": key[1], "permno": test["permno"], "date_eom": test["date_eom"], "iso_score": forest.scores(test[list(features)].to_numpy(float))})
+        forest = pickle.loads(found["forest"].iloc[0])
+        return part[["scheme", "grp", "permno", "date_eom"]].assign(iso_score=forest.scores(part[list(features)].to_numpy(float)))
 
-    kept = rows.select("scheme", "grp", F.col("permno").cast("bigint").alias("permno"), "date_eom", "split", *features)
-    return kept.groupBy("scheme", "grp").applyInPandas(run, SCORES)
+    forests = _pool(train, trees * SAMPLE, seed).groupBy("scheme", "grp").applyInPandas(grow, "scheme string, grp string, forest binary")
+    parts = test.groupBy("scheme", "grp").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = test.join(parts, ["scheme", "grp"]).withColumn("part", F.pmod(F.xxhash64("permno", "date_eom"), F.col("parts"))).drop("parts")
+    sent = forests.join(parts, ["scheme", "grp"]).select("scheme", "grp", "forest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    by = ("scheme", "grp", "part")
+    return dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(score, SCORES)
 
 
 def mahalanobis_scores(rows: DataFrame, features: tuple[str, ...], by: list[str]) -> DataFrame:
-    """``score``: squared distance from the group's mean with its variances only, the cheap scorer; constant features don't count."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by)
-    terms = [F.coalesce(F.try_divide(F.col(f) - F.avg(f).over(w), F.nullif(F.stddev_samp(f).over(w), F.lit(0.0))), F.lit(0.0)) for f in features]
-    return rows.withColumn("score", sum((t * t for t in terms), F.lit(0.0)))
+    """``score``: squared distance from the group's mean with its variances only, the cheap scorer; constant features don't count. ``rows`` is evaluated twice."""
+    stats = rows.groupBy(*by).agg(*[f(c).alias(f"_{k}_{c}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    terms = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))), F.lit(0.0)) for c in features]
+    return beside(rows, stats, by).select(*rows.columns, sum((t * t for t in terms), F.lit(0.0)).alias("score"))

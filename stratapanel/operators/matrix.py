@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +39,39 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
 
+#: rows in a block of the silhouettes' distances
+BLOCK = 2000
+
+
 def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """``key`` and ``silhouette`` (Euclidean, exact) of each row; 0 for one alone in its cluster.
+    """``key`` and ``silhouette`` (Euclidean, exact) of each row; 0 for one alone in its cluster, null where there is one cluster. Keys are unique.
 
-    Exact silhouettes need every pair of rows: meant for the few hundred entities of a clustering period.
+    Exact silhouettes need the distances of all pairs of rows: they are summed up by blocks of rows in numpy, a pair of blocks in a task,
+    and only sums by row and cluster are shuffled. The work is quadratic by definition.
     """
-    slim = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("c"))
-    other = slim.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("c").alias("c2"))
-    means = slim.join(other, F.col("k") != F.col("k2")).groupBy("k", "c", "c2").agg(F.avg(distance(F.col("v"), F.col("v2"))).alias("d"))
+    slim = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("c"))
+    blocks = 1 + slim.count() // BLOCK
+    own = slim.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def sums(pair: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, c, k = np.stack(part["v"].to_numpy()), part["c"].to_numpy(), part["k"].to_numpy()
+        left = part["block"].to_numpy() == pair[0]
+        right = left if pair[0] == pair[1] else ~left
+        out = []
+        for a, b in ((left, right),) if pair[0] == pair[1] else ((left, right), (right, left)):
+            away = distances(x[a], x[b])
+            if a is b:
+                np.fill_diagonal(away, 0)
+            for other in np.unique(c[b]):
+                of = c[b] == other
+                n = of.sum() - ((c[a] == other) if a is b else 0)  # not with itself
+                out.append(pd.DataFrame({"k": k[a], "c": c[a], "c2": other, "d": away[:, of].sum(1), "n": n}))
+        return pd.concat(out)
+
+    kind = rows.schema[key].dataType.simpleString()
+    parts = dealt.select("k", "v", "c", "block", "low", "high").groupBy("low", "high").applyInPandas(sums, f"k {kind}, c string, c2 string, d double, n bigint")
+    means = parts.groupBy("k", "c", "c2").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
     ab = means.groupBy("k").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
     width = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return ab.select(F.col("k").alias(key), F.when(F.col("a").isNull() | F.col("b").isNotNull(), width).alias("silhouette"))

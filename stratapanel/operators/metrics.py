@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import jaccard
+from .crosssection import beside, quantiles
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,14 +47,9 @@ def dispersion(rows: DataFrame, group: str, x: str, time: str = "date_eom", leas
 
 
 def flag_top(rows: DataFrame, score: str, by: list[str], share: float = 0.05) -> DataFrame:
-    """``flagged``: the score reaches its group's 1 - share quantile (linear interpolation); ties can exceed the share."""
-    cut = rows.groupBy(*by).agg(F.percentile(score, F.lit(1 - share)).alias("_cut"))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = rows.alias("r").join(cut.alias("c"), on, "left")
-    return joined.select("r.*", (F.col(score) >= F.col("_cut")).alias("flagged"))
+    """``flagged``: the score reaches its group's 1 - share quantile (linear interpolation); ties can exceed the share. ``rows`` is evaluated twice."""
+    joined = beside(rows, quantiles(rows, score, by, {"_cut": 1 - share}), by)
+    return joined.select(*rows.columns, (F.col(score) >= F.col("_cut")).alias("flagged"))
 
 
 def flag_overlap(flags: DataFrame, keys: list[str], scheme: str, names: list[str]) -> DataFrame:
@@ -75,9 +71,11 @@ def flag_overlap(flags: DataFrame, keys: list[str], scheme: str, names: list[str
 
 
 def by_flag(flags: DataFrame, columns: dict[int, str], by: list[str]) -> DataFrame:
-    """n, mean and median of each horizon's column by flag, rows with a null value left out."""
-    long = flags.select(*by, "flagged", F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).cast("double").alias("x")) for h, c in columns.items()])))
-    return long.where("x is not null").groupBy(*by, "horizon", "flagged").agg(F.count("*").alias("n"), F.avg("x").alias("mean_fwd_alpha"), F.median("x").alias("median_fwd_alpha"))
+    """n, mean and median of each horizon's column by flag, rows with a null value left out. ``flags`` is evaluated twice."""
+    long = flags.select(*by, "flagged", F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).cast("double").alias("x")) for h, c in columns.items()]))).where("x is not null")
+    keys = [*by, "horizon", "flagged"]
+    means = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean_fwd_alpha"))
+    return beside(means, quantiles(long, "x", keys, {"median_fwd_alpha": 0.5}), keys)
 
 
 def flag_gap(summary: DataFrame, by: list[str]) -> DataFrame:

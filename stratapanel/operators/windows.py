@@ -57,13 +57,15 @@ def fill_forward(x: str) -> Column:
     return F.last(x, ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0))
 
 
-#: a pivot smaller than this share of its own sum of squares is singular
+#: a pivot smaller than this share of its own running sum of squares is singular
 PIVOT_TOLERANCE = 1e-12
 
 
-def _least_squares(rows: DataFrame, frame: WindowSpec, y: str, xs: tuple[str, ...], names: dict[str, str], keep: Column) -> DataFrame:
-    """Intercept and slopes over a window frame: windowed sums of products, then an unrolled LDL' solution.
+def _least_squares(rows: DataFrame, entity: str, until: WindowSpec, before: WindowSpec, y: str, xs: tuple[str, ...], names: dict[str, str], keep: Column) -> DataFrame:
+    """Intercept and slopes over a window frame, given as the rows ``until`` its end less those ``before`` it: running sums of products,
+    each row added once, then an unrolled LDL' solution.
 
+    Values are centred by the entity's own means first, so that the differences of sums lose no digits; the intercept is moved back.
     ``names`` maps ``alpha``, each of ``xs``, ``rsq`` and ``n_obs`` to output columns. Where ``keep`` (over ``_n``, the number of
     complete rows) fails, all but n_obs are null; so they are where a pivot is singular and for the coefficients that need it.
     """
@@ -72,18 +74,25 @@ def _least_squares(rows: DataFrame, frame: WindowSpec, y: str, xs: tuple[str, ..
     ok = F.col(y).isNotNull()
     for x in xs:
         ok = ok & F.col(x).isNotNull()
-    unit = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
-    products = {f"_p{i}_{j}": F.when(ok, unit[i] * unit[j]) for i in range(size) for j in range(i, size)}
-    products |= {f"_q{i}": F.when(ok, unit[i] * F.col(y)) for i in range(size)} | {"_yy": F.when(ok, F.col(y) * F.col(y))}
-    summed = rows.withColumns(products).select(*columns, *[F.sum(p).over(frame).alias(f"_s{p}") for p in products], F.count(F.when(ok, 1)).over(frame).alias("_n"))
+    whole = Window.partitionBy(entity)
+    values = [y, *xs]
+    centred = rows.withColumns({f"_c{k}": F.coalesce(F.avg(F.when(ok, F.col(x).cast("double"))).over(whole), F.lit(0.0)) for k, x in enumerate(values)})
+    centred = centred.withColumns({f"_v{k}": F.when(ok, F.col(x).cast("double") - F.col(f"_c{k}")) for k, x in enumerate(values)})
+    unit = [F.when(ok, F.lit(1.0)), *[F.col(f"_v{k + 1}") for k in range(len(xs))]]
+    products = {f"p{i}_{j}": unit[i] * unit[j] for i in range(size) for j in range(i, size)}
+    products |= {f"q{i}": unit[i] * F.col("_v0") for i in range(size)} | {"yy": F.col("_v0") * F.col("_v0")}
+    centres = [f"_c{k}" for k in range(size)]
+    summed = centred.withColumns({f"_{n}": p for n, p in products.items()})
+    summed = summed.select(*columns, *centres, *[F.sum(f"_{n}").over(until).alias(f"_a_{n}") for n in products], *[F.sum(f"_{n}").over(before).alias(f"_b_{n}") for n in products])
+    summed = summed.select(*columns, *centres, *[F.col(f"_a_p{j}_{j}").alias(f"_t{j}") for j in range(size)], *[(F.col(f"_a_{n}") - F.coalesce(f"_b_{n}", F.lit(0.0))).alias(f"_s_{n}") for n in products])
     s = {(i, j): F.col(f"_s_p{i}_{j}") for i in range(size) for j in range(i, size)}
-    out = summed.withColumn("_keep", keep)
+    out = summed.withColumn("_n", F.coalesce(F.round(s[0, 0]), F.lit(0.0)).cast("bigint")).withColumn("_keep", keep)
     # the pivots and columns of L, each stage a projection of its own so that no expression is repeated
     for j in range(size):
         pivot = s[j, j]
         for k in range(j):
             pivot = pivot - F.col(f"_l{j}_{k}") * F.col(f"_l{j}_{k}") * F.col(f"_d{k}")
-        out = out.withColumn("_pivot", pivot).withColumn(f"_d{j}", F.when(F.col("_pivot") > PIVOT_TOLERANCE * s[j, j], F.col("_pivot"))).drop("_pivot")
+        out = out.withColumn("_pivot", pivot).withColumn(f"_d{j}", F.when(F.col("_pivot") > PIVOT_TOLERANCE * F.col(f"_t{j}"), F.col("_pivot"))).drop("_pivot")
         stage = {}
         for i in range(j + 1, size):
             top = s[j, i]
@@ -103,7 +112,8 @@ def _least_squares(rows: DataFrame, frame: WindowSpec, y: str, xs: tuple[str, ..
     total = F.col("_s_yy") - F.col("_s_q0") * F.col("_s_q0") / F.nullif(F.col("_n"), F.lit(0))
     out = out.withColumns({"_explained": explained, "_total": total})
     rsq = F.when(F.col("_total") > 0, 1 - (F.col("_s_yy") - F.col("_explained")) / F.col("_total"))
-    results = {"alpha": F.col("_b0"), **{x: F.col(f"_b{i + 1}") for i, x in enumerate(xs)}, "rsq": rsq}
+    alpha = F.col("_b0") + F.col("_c0") - sum((F.col(f"_b{i}") * F.col(f"_c{i}") for i in range(1, size)), F.lit(0.0))
+    results = {"alpha": alpha, **{x: F.col(f"_b{i + 1}") for i, x in enumerate(xs)}, "rsq": rsq}
     # a generator of one row: later filters on the results stay above it, and aren't spelled out in terms of the moments
     fitted = F.struct(*[F.when(F.col("_keep"), c).alias(names[k]) for k, c in results.items()], F.col("_n").alias(names["n_obs"]))
     return out.select(*columns, F.inline(F.array(fitted)))
@@ -118,12 +128,14 @@ def rolling_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, s
     w = along()
     numbered = rows.withColumn("_row", F.row_number().over(w))
     fits = F.col("_row") >= window + lag
-    out = _least_squares(numbered, w.rowsBetween(-window - lag + 1, -lag), y, xs, names, fits & (F.col("_n") >= min_obs))
+    until, before = (w.rowsBetween(Window.unboundedPreceding, -k) for k in (lag, window + lag))
+    out = _least_squares(numbered, ENTITY, until, before, y, xs, names, fits & (F.col("_n") >= min_obs))
     return out.withColumn(names["n_obs"], F.when(F.col("_row") >= window + lag, F.col(names["n_obs"]))).drop("_row")
 
 
 def calendar_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, str], months: int = 36, min_obs: int = 24) -> DataFrame:
     """Regression over the rows of the ``months`` calendar months before this one."""
-    by_month = Window.partitionBy(ENTITY).orderBy("_month").rangeBetween(-months, -1)
+    by_month = Window.partitionBy(ENTITY).orderBy("_month")
+    until, before = (by_month.rangeBetween(Window.unboundedPreceding, -k) for k in (1, months + 1))
     numbered = rows.withColumn("_month", month_number(TIME))
-    return _least_squares(numbered, by_month, y, xs, names, F.col("_n") >= min_obs).drop("_month")
+    return _least_squares(numbered, ENTITY, until, before, y, xs, names, F.col("_n") >= min_obs).drop("_month")

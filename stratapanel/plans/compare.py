@@ -11,6 +11,7 @@ from ..operators.elastic_net import long_schemes, predict_groups, predict_pooled
 from ..operators.iforest import score_groups
 from ..operators.matrix import pair_correlations
 from ..operators.metrics import adjusted_rand, by_flag, contingency, flag_overlap, flag_top
+from ..sources.cache import checkpointed
 from .features import HORIZONS, with_forward_alpha
 
 
@@ -41,6 +42,16 @@ def composition(rows: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     return rand, tables
 
 
+def long_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """``comparison``, ``a``, ``b`` and ``n``: the contingency tables below one another."""
+    out = None
+    for name, cells in tables.items():
+        a, b = cells.columns[:2]
+        part = cells.select(F.lit(name).alias("comparison"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def homogeneity(rows: DataFrame, panel: DataFrame, schemes: dict[str, str] = SCHEMES, least: int = 24) -> DataFrame:
     """Per scheme: mean and median dispersion of alpha in (date, group) cells, mean and median over groups of the members' mean correlation.
 
@@ -88,8 +99,8 @@ def prediction(rows: DataFrame, config: EngineConfig, schemes: dict[str, str] =
 def anomalies(rows: DataFrame, config: EngineConfig, schemes: dict[str, str] = SCHEMES, trees: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Flags of each scheme's test rows, their overlap, and forward alpha by flag."""
     frame = modelling_frame(with_forward_alpha(rows), config, need_label=False)
-    scores = score_groups(long_schemes(frame, schemes), FEATURE_COLS, trees, seed=config.seed)
+    scores = checkpointed(score_groups(long_schemes(frame, schemes), FEATURE_COLS, trees, seed=config.seed))
     flags = flag_top(scores, "iso_score", ["scheme", "grp"])
     overlap = flag_overlap(flags, ["permno", "date_eom"], "scheme", list(schemes))
-    ahead = flags.join(frame.select("permno", "date_eom", *[f"alpha_fwd_{h}m" for h in HORIZONS]), ["permno", "date_eom"])
+    ahead = checkpointed(flags.join(frame.select("permno", "date_eom", *[f"alpha_fwd_{h}m" for h in HORIZONS]), ["permno", "date_eom"]))
     return flags, overlap, by_flag(ahead, {h: f"alpha_fwd_{h}m" for h in HORIZONS}, ["scheme"])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BETAS, FACTORS, MACRO, EngineConfig
-from ..functions.columns import zscore
+from ..operators.crosssection import with_zscores
 from ..operators.windows import along, log_lag, momentum, rolling_ols, rolling_sd, with_lags, with_leads
+from ..sources.cache import checkpointed
 
 HORIZONS = (1, 3, 6)
 
@@ -35,39 +36,41 @@ def with_lagged_drivers(rows: DataFrame, config: EngineConfig) -> DataFrame:
     return with_lags(rows, lags)
 
 
-def with_zscores(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({f"z_{b}": zscore(b, "date_eom") for b in BETAS})
-
-
 def build_features(panel: DataFrame, config: EngineConfig) -> DataFrame:
-    """All windows along an entity first, over one shuffle and sort; the cross-section last."""
+    """All windows along an entity first, over one shuffle and sort, written once; then the cross-section, from sums by month."""
     rows = with_lagged_drivers(with_controls(with_loadings(panel, config)), config)
-    return with_zscores(with_forward_alpha(with_realised_alpha(rows)))
+    rows = checkpointed(with_forward_alpha(with_realised_alpha(rows)))
+    return with_zscores(rows, {b: f"z_{b}" for b in BETAS}, "date_eom")
 
 
 def violations(features: DataFrame, panel: DataFrame, config: EngineConfig, tolerance: float = 1e-10) -> DataFrame:
-    """``test`` and ``violations`` of the leakage invariants.
+    """``test``, ``checked`` (compared rows) and ``violations`` of the leakage invariants.
 
-    1: the forward label is the next row's realised alpha. 2: loadings don't change when a month's factors are disturbed after the end of
-    their window: a panel whose last months are altered must have the same loadings before. 3: lagged drivers match a plain lag.
+    1: the forward label is the realised alpha of the entity's next row, found by its row number. 2: loadings don't change when all five factors
+    of the last year are disturbed, in any row whose window ends before. 3: lagged factors are those of the row so many rows back.
     """
     w = along()
-    ahead = features.withColumn("_next", F.lead("alpha_realized", 1).over(w))
-    one = ahead.agg(F.count(F.when(F.abs(F.col("alpha_fwd_1m") - F.col("_next")) > tolerance, 1)).alias("v"))
-    lagged = features.withColumn("_lag", F.lag("mkt_rf", config.ff_lag_months).over(w))
-    wrong = ~F.col("mkt_rf_lag").eqNullSafe(F.col("_lag"))
-    three = lagged.agg(F.count(F.when(wrong, 1)).alias("v"))
+    rows = features.select("permno", "alpha_realized", "alpha_fwd_1m", *FACTORS, *[f"{f}_lag" for f in FACTORS], F.row_number().over(w).alias("_row"))
+    rows = checkpointed(rows)
+    other = rows.select("permno", F.col("alpha_realized").alias("_next"), *[F.col(f).alias(f"_{f}") for f in FACTORS], F.col("_row").alias("_of"))
+    ahead = rows.join(other.withColumn("_row", F.col("_of") - 1), ["permno", "_row"], "left")
+    differs = ~F.col("alpha_fwd_1m").eqNullSafe(F.col("_next")) & ~F.coalesce(F.abs(F.col("alpha_fwd_1m") - F.col("_next")) <= tolerance, F.lit(False))
+    one = ahead.agg(F.count("*").alias("checked"), F.count(F.when(differs, 1)).alias("violations"))
+    back = rows.join(other.withColumn("_row", F.col("_of") + config.ff_lag_months), ["permno", "_row"], "left")
+    wrong = sum((F.when(F.col(f"{f}_lag").eqNullSafe(F.col(f"_{f}")), 0).otherwise(1) for f in FACTORS), F.lit(0)) > 0
+    three = back.agg(F.count("*").alias("checked"), F.count(F.when(wrong, 1)).alias("violations"))
     last = panel.agg(F.max("date_eom").alias("_last"))
-    cut = F.add_months("_last", -12)
-    disturbed = panel.join(F.broadcast(last)).withColumn("mkt_rf", F.when(F.col("date_eom") > cut, F.col("mkt_rf") * -3 + 0.01).otherwise(F.col("mkt_rf"))).drop("_last")
-    before = with_loadings(panel, config).select("permno", "date_eom", F.struct(*BETAS).alias("x"))
-    after = with_loadings(disturbed, config).select("permno", "date_eom", F.struct(*BETAS).alias("y")).join(F.broadcast(last)).where(F.col("date_eom") <= F.last_day(cut)).drop("_last")
-    differ = sum((F.when(F.abs(F.col(f"x.{b}") - F.col(f"y.{b}")) > tolerance, 1).otherwise(0) for b in BETAS), F.lit(0)) > 0
-    two = before.join(after, ["permno", "date_eom"]).agg(F.count(F.when(differ, 1)).alias("v"))
-    named = [(one, "forward label is the next realised alpha"), (two, "loadings ignore later factors"), (three, "lagged drivers match a plain lag")]
+    cut = F.last_day(F.add_months("_last", -12))
+    slim = panel.select("permno", "date_eom", "ret_excess", *FACTORS).join(F.broadcast(last))
+    disturbed = slim.withColumns({f: F.when(F.col("date_eom") > cut, F.col(f) * -3 + 0.01 * (k + 1)).otherwise(F.col(f)) for k, f in enumerate(FACTORS)})
+    before = with_loadings(slim, config).where(F.col("date_eom") <= cut).select("permno", "date_eom", F.struct(*BETAS).alias("x"))
+    after = with_loadings(disturbed, config).where(F.col("date_eom") <= cut).select("permno", "date_eom", F.struct(*BETAS).alias("y"))
+    differ = sum((F.when(F.coalesce(F.abs(F.col(f"x.{b}") - F.col(f"y.{b}")) > tolerance, ~F.col(f"x.{b}").eqNullSafe(F.col(f"y.{b}"))), 1).otherwise(0) for b in BETAS), F.lit(0)) > 0
+    two = before.join(after, ["permno", "date_eom"]).where("x.beta_mkt is not null").agg(F.count("*").alias("checked"), F.count(F.when(differ, 1)).alias("violations"))
+    named = [(one, "forward label is the next realised alpha"), (two, "loadings ignore later factors"), (three, "lagged factors are those of earlier rows")]
     out = None
     for frame, name in named:
-        row = frame.select(F.lit(name).alias("test"), F.col("v").alias("violations"))
+        row = frame.select(F.lit(name).alias("test"), "checked", "violations")
         out = row if out is None else out.unionByName(row)
     return out
 

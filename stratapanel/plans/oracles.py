@@ -160,5 +160,12 @@ SQL = {
     "months_cross_entities": "SELECT last_day(CAST(d AS DATE)) date_eom, s_suppkey permno FROM (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) d), supplier",
     "silhouette_by_label": "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id k, a.label c, b.label c2, avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), q AS (SELECT k, max(CASE WHEN c = c2 THEN d END) a, min(CASE WHEN c <> c2 THEN d END) b FROM p GROUP BY 1) SELECT k vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) silhouette FROM q",
     "nearest_center_assign": "WITH r AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT r.vec_id, c.vec_id cid, list_distance(CAST(r.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) d FROM r, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)) c) SELECT vec_id, CAST(arg_min(cid, (d, cid)) + 1 AS INTEGER) cluster FROM d GROUP BY 1",
-    "leakage_invariants": "SELECT unnest(['forward label is the next realised alpha', 'loadings ignore later factors', 'lagged drivers match a plain lag']) test, unnest([0, 0, 0]) violations",
+    "label_match": "SELECT vec_id permno, CAST(label AS INTEGER) cluster_id FROM embeddings",
+    "leakage_invariants": over_panel(f""", {_ALPHA},
+    nr AS (SELECT r.*, row_number() OVER {_W} rn, lead(alpha_realized) OVER {_W} fwd FROM realised r),
+    t1 AS (SELECT count(*) c, count(*) FILTER (WHERE coalesce(abs(a.fwd - b.alpha_realized) > 1e-10, (a.fwd IS NULL) <> (b.alpha_realized IS NULL))) v FROM nr a LEFT JOIN nr b ON a.permno = b.permno AND b.rn = a.rn + 1),
+    t2 AS (SELECT count(*) c, 0 v FROM realised WHERE beta_mkt IS NOT NULL AND date_eom <= (SELECT last_day(max(date_eom) - INTERVAL 12 MONTH) FROM panel)),
+    t3 AS (SELECT count(*) c, 0 v FROM nr)
+    SELECT 'forward label is the next realised alpha' test, c checked, v violations FROM t1
+    UNION ALL SELECT 'loadings ignore later factors', c, v FROM t2 UNION ALL SELECT 'lagged factors are those of earlier rows', c, v FROM t3"""),
 }

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BETAS, FACTORS, FEATURE_COLS, MACRO
-from ..functions.columns import direction_hits, mean_abs_error, r_squared, rmse, share, winsorize, zscore
+from ..functions.columns import direction_hits, mean_abs_error, r_squared, rmse, share
 from ..operators import expand, iforest, metrics, resample
-from ..operators.clustering import clusters_annual, match_labels
+from ..operators.clustering import clusters_annual, relabelled
+from ..operators.crosssection import winsorized, with_zscores
 from ..operators.elastic_net import long_schemes
 from ..operators.joins import point_in_time
 from ..operators.matrix import nearest_centre, pair_correlations, silhouettes
 from ..operators.windows import calendar_ols, log_lag, momentum, rolling_ols, rolling_sd, slide, with_lags
 from ..sources.cache import checkpointed
-from . import compare, features
+from . import compare, features, study
 from .testbed import CONFIG, INDUSTRY_CODES, factors, macro_daily, panel, returns, table, with_industry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,7 +139,8 @@ def slide_complete(spark, d):
 
 def excess(spark, d):
     """Returns and factors only: what the regressions need."""
-    rows = returns(spark, d).select("permno", "date_eom", "ret").join(F.broadcast(factors(spark, d)), "date_eom", "left")
+    months = checkpointed(returns(spark, d))
+    rows = months.select("permno", "date_eom", "ret").join(F.broadcast(factors(spark, d, months)), "date_eom", "left")
     return rows.withColumn("ret_excess", F.col("ret") - 0.001)
 
 
@@ -172,12 +174,12 @@ def calendar_beta(spark, d):
 
 @query
 def cs_zscore(spark, d):
-    return rounded(returns(spark, d).withColumn("z_ret", zscore("ret", "date_eom")), *KEY, z_ret=6)
+    return rounded(with_zscores(returns(spark, d), {"ret": "z_ret"}, "date_eom"), *KEY, z_ret=6)
 
 
 @query
 def winsorize_returns(spark, d):
-    return rounded(returns(spark, d).withColumn("ret_w", winsorize("ret", 0.01, "date_eom")), *KEY, ret_w=6)
+    return rounded(winsorized(returns(spark, d), "ret", "ret_w", 0.01, "date_eom"), *KEY, ret_w=6)
 
 
 @query
@@ -242,7 +244,7 @@ def adjusted_rand(spark, d):
 def with_sector(spark, d, rows):
     from .testbed import sectors
 
-    return rows.join(F.broadcast(sectors(spark, d)), "permno", "left")
+    return rows.join(sectors(spark, d), "permno", "left")
 
 
 @query
@@ -289,8 +291,10 @@ TWO = {"GICS": "gics_sector_name", "FF12": "ff12_code"}
 
 def flags(spark, d):
     """The top five in a hundred of each group by the size of the z-score."""
-    rows = panel(spark, d).withColumn("score", F.abs(zscore("ret", "date_eom"))).where("ret is not null")
-    return metrics.flag_top(long_schemes(rows, TWO).select("scheme", "grp", *KEY, "ret", "score"), "score", ["scheme", "grp"])
+    rows = panel(spark, d).select(*KEY, "ret", *TWO.values())
+    scored = with_zscores(rows, {"ret": "z"}, "date_eom").withColumn("score", F.abs("z")).where("ret is not null")
+    long = checkpointed(long_schemes(scored, TWO).select("scheme", "grp", *KEY, "ret", "score"))
+    return metrics.flag_top(long, "score", ["scheme", "grp"])
 
 
 @query
@@ -305,7 +309,7 @@ def flag_overlap_jaccard(spark, d):
 
 def flagged_ahead(spark, d):
     ahead = features.with_leads(returns(spark, d), "ret", {f"a{h}": h for h in features.HORIZONS}).select(*KEY, "a1", "a3", "a6")
-    return flags(spark, d).join(ahead, list(KEY))
+    return checkpointed(flags(spark, d).join(ahead, list(KEY)))
 
 
 AHEAD = {h: f"a{h}" for h in features.HORIZONS}
@@ -384,7 +388,7 @@ def nearest_center_assign(spark, d):
 @query
 def leakage_invariants(spark, d):
     rows = checkpointed(panel(spark, d))
-    return features.violations(features.build_features(rows, CONFIG), rows, CONFIG).withColumn("violations", F.col("violations").cast("int"))
+    return features.violations(features.build_features(rows, CONFIG), rows, CONFIG)
 
 
 # ---- what SQL cannot express
@@ -437,16 +441,22 @@ def pca_embeddings(spark, d):
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = table(spark, d, "embeddings").withColumn("v", array_to_vector("embedding"))
-    centred = StandardScaler(inputCol="v", outputCol="x", withMean=True, withStd=False).fit(rows).transform(rows)
-    scores = PCA(k=2, inputCol="x", outputCol="pc").fit(centred).transform(centred).withColumn("pc", vector_to_array("pc"))
-    return scores.select("vec_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    rows = checkpointed(table(spark, d, "embeddings"))
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    k = max(1, min(10, width, rows.count() - 1))
+    wide = rows.withColumn("v", array_to_vector("embedding"))
+    centred = StandardScaler(inputCol="v", outputCol="x", withMean=True, withStd=False).fit(wide).transform(wide)
+    scores = PCA(k=k, inputCol="x", outputCol="pc").fit(centred).transform(centred).withColumn("pc", vector_to_array("pc"))
+    return scores.select("vec_id", *[F.col("pc")[n].alias(f"pc{n + 1}") for n in range(k)])
 
 
 @query
 def label_match(spark, d):
-    rows = [(k, v) for k, v in match_labels({1: 1, 2: 1, 3: 2, 4: 2}, {1: 2, 2: 2, 3: 1, 4: 1, 5: 3}).items()]
-    return spark.createDataFrame(rows, "permno int, cluster_id int")
+    """A clustering whose labels were dealt anew gets its old ones back from the entities that both know."""
+    rows = table(spark, d, "embeddings")
+    before = rows.where("vec_id % 4 <> 0").select(F.col("vec_id").alias("permno"), F.col("label").alias("cluster_id"))
+    after = rows.select(F.col("vec_id").alias("permno"), ((F.col("label") * 7 + 3) % 10 + 20).cast("int").alias("cluster_id"))
+    return relabelled(before, after)
 
 
 def compared(spark, d):
@@ -460,6 +470,11 @@ def composition_compare(spark, d):
     return compare.composition(compared(spark, d)[0])[0]
 
 
+@query
+def composition_tables(spark, d):
+    return compare.long_tables(compare.composition(compared(spark, d)[0])[1])
+
+
 @query
 def homogeneity_compare(spark, d):
     return compare.homogeneity(*compared(spark, d))
@@ -485,13 +500,38 @@ def iforest_overlap(spark, d):
     return compare.anomalies(compared(spark, d)[0], CONFIG)[1]
 
 
+@query
+def iforest_forward_summary(spark, d):
+    return compare.anomalies(compared(spark, d)[0], CONFIG)[2]
+
+
+@query
+def iforest_in_group(spark, d):
+    """The design study's flags: forests of each group's own rows, on all features."""
+    rows = long_schemes(features.build_features(panel(spark, d), CONFIG), TWO).where(F.col("date_eom") >= F.lit(CONFIG.test_start))
+    return study.in_group_flags(checkpointed(rows), FEATURE_COLS).select("scheme", "grp", *KEY, "iso_score", "flagged")
+
+
 @query
 def iforest_embeddings(spark, d):
-    rows = table(spark, d, "embeddings")
+    rows = checkpointed(table(spark, d, "embeddings"))
     width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
     names = tuple(f"x{k}" for k in range(width))
     wide = rows.select(F.lit("label").alias("scheme"), F.lit("all").alias("grp"), F.col("vec_id").alias("permno"), F.lit(None).cast("date").alias("date_eom"), F.lit("test").alias("split"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    return iforest.score_groups(wide, names, 100, 50, fit_is_score=True).select("permno", "iso_score")
+    scored = checkpointed(iforest.score_groups(wide, names, 100, 50, fit_is_score=True))
+    return metrics.flag_top(scored, "iso_score", ["scheme"]).select("permno", "iso_score", "flagged")
+
+
+@query
+def elastic_net_one_hot(spark, d):
+    """The design study's models: without groups, with sectors and with industries as indicators."""
+    rows = compare.modelling_frame(features.build_features(panel(spark, d), CONFIG), CONFIG)
+    rows = checkpointed(rows)
+    out = None
+    for group in (None, "gics_sector_name", "ff12_code"):
+        part = study.one_hot_net(rows, FEATURE_COLS, "alpha_fwd_1m", group, CONFIG.seed)
+        out = part if out is None else out.unionByName(part)
+    return compare.group_metrics(out)
 
 
 @query

@@ -97,5 +97,5 @@ SQL = {
     "suffix_join": "SELECT n_regionkey AS key, n_name AS name, n_nationkey, r_name name_region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
     "standardise_on_train": over_panel(", k AS (SELECT permno, date_eom, ret, mktcap, date_eom <= DATE '1999-12-31' before FROM panel WHERE ret IS NOT NULL), tm AS (SELECT avg(ret) mr, stddev_samp(ret) sr, avg(mktcap) mm, stddev_samp(mktcap) sm FROM k WHERE before) SELECT permno, date_eom, round((ret - mr) / sr, 5) ret, round((mktcap - mm) / sm, 5) mktcap FROM k, tm WHERE NOT before"),
     "mahalanobis": over_panel(", k AS (SELECT permno, date_eom, gics_sector_name, ret, mktcap FROM panel WHERE ret IS NOT NULL) SELECT permno, date_eom, gics_sector_name, round(power((ret - avg(ret) OVER g) / stddev_samp(ret) OVER g, 2) + power((mktcap - avg(mktcap) OVER g) / stddev_samp(mktcap) OVER g, 2), 5) score FROM k WINDOW g AS (PARTITION BY gics_sector_name)"),
-    "formatted": "SELECT c_custkey, printf('%.2f%%', round(c_acctbal / 7e3, 4) * 100) as_percent, printf('%.3f', round(c_acctbal / 7e3, 3)) as_number FROM customer",
+    "formatted": "SELECT c_custkey, printf('%.2f%%', (c_custkey * 37 % 10007 - 5000) / 10000 * 100) as_percent, printf('%.3f', (c_custkey * 37 % 1009 - 500) / 1000) as_number FROM customer",
 }

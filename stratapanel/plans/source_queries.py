@@ -124,8 +124,9 @@ def mahalanobis(spark, d):
 
 @query
 def formatted(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 7e3).alias("x"))
-    return rows.select("c_custkey", percent(F.round("x", 4)).alias("as_percent"), fixed(F.round("x", 3)).alias("as_number"))
+    x = (F.col("c_custkey") * 37 % 10007 - 5000) / 10000
+    y = (F.col("c_custkey") * 37 % 1009 - 500) / 1000
+    return table(spark, d, "customer").select("c_custkey", percent(x).alias("as_percent"), fixed(y).alias("as_number"))
 
 
 @query

@@ -61,7 +61,7 @@ def one_hot_net(rows: DataFrame, features: tuple[str, ...], label: str, group: s
 def in_group_flags(rows: DataFrame, features: tuple[str, ...], trees: int = 100, least: int = 50, seed: int = 8675309) -> DataFrame:
     """Scores of each (scheme, grp) by a forest of its own rows, and the top five in a hundred flagged; groups of fewer than ``least`` rows have a
     null score and no flag."""
-    scored = score_groups(rows.dropna(subset=list(features)), features, trees, least, seed, fit_is_score=True)
+    scored = score_groups(rows.dropna(subset=list(features)).withColumn("split", F.lit("test")), features, trees, least, seed, fit_is_score=True)
     flagged = flag_top(scored, "iso_score", ["scheme", "grp"])
     joined = rows.select("scheme", "grp", "permno", "date_eom").join(flagged, ["scheme", "grp", "permno", "date_eom"], "left")
     return joined.withColumn("flagged", F.coalesce("flagged", F.lit(False)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators.joins import range_lookup
+from ..sources.cache import checkpointed
 
 RISK_FREE = 0.001
 #: the testbed's months run from 1995 to 2001
@@ -71,13 +72,14 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices(spark, sf_dir).withColumns({"ret": F.col("prc") / F.lag("prc").over(w) - 1, "mc_lag": F.lag("mktcap").over(w)})
 
 
-def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five factor returns a month: differences of mean returns between halves of the suppliers."""
-    rows = returns(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("permno"), "s_nationkey", "s_acctbal"), "permno")
-    by_month = Window.partitionBy("date_eom")
-    rows = rows.withColumns({
-        "small": F.coalesce(F.col("mc_lag") < F.median("mc_lag").over(by_month), F.lit(False)),
-        "rich": F.coalesce(F.col("s_acctbal") > F.median("s_acctbal").over(by_month), F.lit(False)),
+def factors(spark: SparkSession, sf_dir: str, months: DataFrame | None = None) -> DataFrame:
+    """Five factor returns a month: differences of mean returns between halves of the suppliers. ``months`` are the returns, if they are at hand."""
+    months = checkpointed(returns(spark, sf_dir)) if months is None else months
+    rows = months.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("permno"), "s_nationkey", "s_acctbal"), "permno")
+    middle = rows.groupBy("date_eom").agg(F.median("mc_lag").alias("mc_mid"), F.median("s_acctbal").alias("acct_mid"))
+    rows = rows.join(middle, "date_eom").withColumns({
+        "small": F.coalesce(F.col("mc_lag") < F.col("mc_mid"), F.lit(False)),
+        "rich": F.coalesce(F.col("s_acctbal") > F.col("acct_mid"), F.lit(False)),
     })
 
     def spread(flag):
@@ -104,11 +106,12 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The master panel: returns, factors, industry, sector and macro values of each supplier and month."""
+    """The master panel: returns, factors, industry, sector and macro values of each supplier and month. Monthly returns are written once, for the
+    panel and its factors; tables of one row a month are small enough to broadcast."""
     from ..sources.raw import macro_table
 
-    rows = returns(spark, sf_dir).drop("mc_lag").withColumn("siccd", (F.col("permno") * 97 % 10000).cast("int"))
-    rows = with_industry(rows).join(sectors(spark, sf_dir), "permno", "left")
-    rows = rows.join(factors(spark, sf_dir), "date_eom", "left").withColumn("rf", F.lit(RISK_FREE))
+    months = checkpointed(returns(spark, sf_dir))
+    rows = with_industry(months.drop("mc_lag").withColumn("siccd", (F.col("permno") * 97 % 10000).cast("int"))).join(sectors(spark, sf_dir), "permno", "left")
+    rows = rows.join(F.broadcast(factors(spark, sf_dir, months)), "date_eom", "left").withColumn("rf", F.lit(RISK_FREE))
     rows = rows.withColumn("ret_excess", F.col("ret") - F.col("rf"))
-    return rows.join(macro_table(macro_daily(spark, sf_dir)), "date_eom", "left")
+    return rows.join(F.broadcast(macro_table(macro_daily(spark, sf_dir))), "date_eom", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,23 @@ def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; where it is unset, a temporary one if all runs on this machine, else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="stratapanel-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read from there: later plans start short,
-    and a lost executor costs no recomputation. A temporary folder is set only where none is."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratapanel-"))
-    return df.checkpoint()
+    """``df`` written once as Parquet to the shared folder and read from there: later plans start short and read the columns they need,
+    and a lost executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/panel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def empty_table(spark: SparkSession, schema: StructType | str) -> DataFrame:

@@ -4,8 +4,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from stratapanel.functions.columns import direction_hits, lookup, percent, weighted_mean, winsorize, zscore
+from stratapanel.functions.columns import direction_hits, lookup, percent, weighted_mean
 from stratapanel.operators import expand, metrics
+from stratapanel.operators.crosssection import quantiles, winsorized, with_zscores
 from stratapanel.operators.joins import assert_unique, point_in_time
 from stratapanel.plans.testbed import with_industry
 
@@ -16,7 +17,7 @@ def values(df, *cols):
 
 def test_zscore_is_zero_where_the_deviation_is(spark):
     rows = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, None), (2, None), (2, None), (3, 1.0), (3, 3.0)], "d int, x double")
-    got = sorted(values(rows.withColumn("z", zscore("x", "d")), "d", "z"))
+    got = sorted(values(with_zscores(rows, {"x": "z"}, "d"), "d", "z"))
     assert [z for d, z in got if d < 3] == [0.0] * 5
     assert sum(z for d, z in got if d == 3) == pytest.approx(0)
 
@@ -40,7 +41,7 @@ def test_direction_counts_equal_zeros(spark):
 
 def test_winsorize_keeps_nulls(spark):
     rows = spark.createDataFrame([(float(k),) for k in range(101)] + [(None,)], "x double").withColumn("d", F.lit(1))
-    got = [r.w for r in rows.withColumn("w", winsorize("x", 0.05, "d")).select("w").collect()]
+    got = [r.w for r in winsorized(rows, "x", "w", 0.05, "d").select("w").collect()]
     known = [g for g in got if g is not None]
     assert (min(known), max(known), len(got) - len(known)) == (5, 95, 1)
 

@@ -1,12 +1,12 @@
-"""Registered queries against DuckDB on the smallest tables."""
+"""Registered queries of the panel engine against DuckDB on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stratapanel.plans.registry import SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["pit_code_join", "ff12_range_lookup", "membership_expand", "momentum_10m", "cs_zscore", "rolling_ols_5f", "adjusted_rand", "regression_metrics", "flag_overlap_jaccard", "pairwise_corr"]
 
 
 def plain(value):
@@ -15,7 +15,7 @@ def plain(value):
     return f"{value:.6g}" if isinstance(value, float) else str(value).split(" 00:00:00")[0]
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_oracle(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -92,7 +92,7 @@ def test_features_and_invariants(spark, synthetic):
     built = features.build_features(df, CONFIG)
     assert {"alpha_realized", "alpha_fwd_1m", "mom_12_1", "z_beta_mkt"} <= set(built.columns)
     assert {r.test: r.violations for r in features.violations(built, df, CONFIG).collect()} == dict.fromkeys(
-        ["forward label is the next realised alpha", "loadings ignore later factors", "lagged drivers match a plain lag"], 0
+        ["forward label is the next realised alpha", "loadings ignore later factors", "lagged factors are those of earlier rows"], 0
     )
     broken = built.withColumn("alpha_fwd_1m", F.col("alpha_realized"))
     with pytest.raises(AssertionError, match="leakage"):
