@@ -376,7 +376,7 @@ def _complete(lengths: list[int], size: int, bound: int, upper: int, steps: floa
 
 
 def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, steps: float | None = None, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` (which is evaluated more than once) with ``sequence_id``, ``offset`` and ``search_nodes``, that its group's search opened.
+    """``pieces`` (a stored table, as it is evaluated more than once) with ``sequence_id``, ``offset`` and ``search_nodes``, that its group's search opened.
 
     A piece of full ``size`` is a sequence of its own. Sequence numbers are unique, not consecutive. Equal lengths are
     exchangeable; repeated rows are placed each for itself. An empty input gives an empty result.
@@ -399,7 +399,8 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, steps: float | None = N
                 at += lengths[k]
         return rows.assign(sequence_id=sequence + (int(group[0]) << 32), offset=offset, search_nodes=nodes)[names]
 
-    dealt = rest.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(groups)))
+    # by the place of a row in its stored file, so that rows that repeat one another are spread, too
+    dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     placed = dealt.groupBy("_group").applyInPandas(place, shape)
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumns({"offset": F.lit(0).cast("bigint"), "search_nodes": F.lit(0).cast("bigint")})
     return placed.unionByName(alone)

@@ -109,8 +109,12 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?(?:(?:{_WORD}|[0-9])[\x20.-]{{1,3}}){{6,}}(?:{_WORD}|[0-9])(?!\w)", re.I)
-_SPELLED_TOKEN = re.compile(rf"plus[\x20-]+|{_WORD}", re.I)
+_DOT_WORD = r"[\x20]+(?:dot|point|punkt|punto)[\x20]+"
+#: three or more spelled digits and numbers in a row, joined by blanks, hyphens, dots or spelled dots
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?(?:(?:{_WORD}|[0-9]+)(?:{_DOT_WORD}|[\x20.-]{{1,3}})){{2,}}(?:{_WORD}|[0-9]+)(?!\w)", re.I)
+_SPELLED_TOKEN = re.compile(rf"(?P<plus>plus[\x20-]+)|(?P<word>{_WORD})|(?P<number>[0-9]+)|(?P<dot>{_DOT_WORD})|(?P<gap>[\x20.-]{{1,3}})", re.I)
+#: without one of these no run has anything spelled
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORD})(?:{_DOT_WORD}|[\x20.-]{{1,3}})(?:{_WORD}|[0-9])|[0-9](?:{_DOT_WORD}(?:{_WORD}|[0-9])|[\x20-]{{1,3}}(?:{_WORD})(?!\w))", re.I)
 _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@|ät)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s?", re.I)
 _WORDY = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20+at\x20+)[A-Za-z0-9-]+(?:(?:\x20+dot\x20+|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
@@ -157,10 +161,23 @@ def homoglyphs(t: Transduced) -> Transduced:
 
 
 def spelled_digits(t: Transduced) -> Transduced:
+    """Digit words as digits, side by side where nothing but a blank or hyphen stood between them, and spelled dots between numbers as dots.
+
+    What of it is an identifier is left to the detectors.
+    """
     edits = []
-    for run in _SPELLED.finditer(t.text):
-        for word in _SPELLED_TOKEN.finditer(t.text, run.start(), run.end()):
-            edits.append((*word.span(), "+" if word[0].lower().startswith("plus") else DIGIT_WORDS[word[0].lower()]))
+    for run in _SPELLED.finditer(t.text) if _SPELLED_HINT.search(t.text) else ():
+        tokens = list(_SPELLED_TOKEN.finditer(t.text, run.start(), run.end()))
+        for k, token in enumerate(tokens):
+            kind = token.lastgroup
+            if kind == "plus":
+                edits.append((*token.span(), "+"))
+            elif kind == "word":
+                edits.append((*token.span(), DIGIT_WORDS[token[0].lower()]))
+            elif kind == "dot":
+                edits.append((*token.span(), "."))
+            elif kind == "gap" and "." not in token[0] and tokens[k - 1].lastgroup == tokens[k + 1].lastgroup == "word":
+                edits.append((*token.span(), ""))
     return t.rewrite(edits)
 
 
@@ -170,10 +187,10 @@ def at_and_dot(t: Transduced) -> Transduced:
         t = t.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(t.text)])
     t = t.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(t.text)])
     edits = []
-    if " dot " in low or "@" not in low:
+    if " dot " in low:
         for m in _WORDY.finditer(t.text):
-            if " dot " not in m[0].lower() and "@" not in m[0]:
-                continue  # "see you at example.com" names no mailbox
+            if " dot " not in m[0].lower():
+                continue  # with a plain domain behind it, "at" is rather a place than a sign: "see you at example.com"
             edits.append((*m.span("at"), "@"))
             edits += [(*d.span(), ".") for d in _WORDY_DOT.finditer(t.text, m.end("at"), m.end())]
     return t.rewrite(edits)
@@ -187,7 +204,7 @@ _ODD = re.compile(r"[^\x00-\x7f¡-©«-±¶-¸»-ɏḀ-ỿ]")
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Further spans that show once the disguises are undone, each with at least one rewritten sign."""
     odd = not text.isascii() and _ODD.search(text)
-    if not (odd or _DISGUISE.search(text) or _SPELLED.search(text)):
+    if not (odd or _DISGUISE.search(text) or _SPELLED_HINT.search(text)):
         return []
     t = at_and_dot(spelled_digits(homoglyphs(Transduced(text))))
     found = set(plain_spans(t.text))

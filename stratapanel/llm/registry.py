@@ -8,7 +8,7 @@ from .jaccard_query import op10_jaccard_join
 from .language_query import op2_language
 from .media_query import MEDIA_PAYLOADS_SQL, media_payloads, op6_media
 from .packing_query import op9_packing
-from .pii_query import op8_pii
+from .pii_query import PII_COUNTS_SQL, op8_pii, pii_counts
 from .quality_query import op1_quality
 from .toxicity_query import op3_toxicity
 from .warc_query import OP4_SQL, op4_warc
@@ -25,5 +25,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "media_payloads": media_payloads,
+    "pii_counts": pii_counts,
 }
-ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL, "media_payloads": MEDIA_PAYLOADS_SQL}
+ORACLES = {"op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_chat": OP7_SQL, "media_payloads": MEDIA_PAYLOADS_SQL, "pii_counts": PII_COUNTS_SQL}

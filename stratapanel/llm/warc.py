@@ -181,8 +181,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of equal payloads of at least 100 bytes the smallest page_id is the response and the others revisit
     it; rows that repeat that page_id are responses too. Smaller payloads are all responses. Null html
-    is an empty payload; a null page_id revisits where another page has its payload. The payloads with the most
-    copies (a bounded number) are joined by broadcast, so none of them is dealt to one task.
+    is an empty payload; a null page_id revisits where another page has its payload. Page ids are whole numbers, also as text; any other text is
+    an error. The payloads with the most copies (a bounded number) are joined by broadcast; of the others a very
+    frequent one is a skewed key of a left join with one row on its right, which Spark splits.
     """
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")

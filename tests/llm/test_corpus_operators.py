@@ -196,6 +196,19 @@ def test_warc_round_trip(spark):
     assert warc.read_packages(warc.write_packages(warc.plan_records(empty), warc.packages_folder(empty))).count() == 0
 
 
+def test_frequent_payloads_and_very_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_COPIES", 5)
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", 1)
+    body = ["<p>first</p>" * 20, "<p>second</p>" * 20, "<p>third</p>" * 20, "long " * 200_000]
+    rows = [(k, "u", body[0 if k % 2 else 1 if k % 3 else 2 if k < 60 else 3], None) for k in range(70)]
+    frame = pages(spark, rows).repartition(5)
+    got = warc.read_packages(warc.write_packages(warc.plan_records(frame), warc.packages_folder(frame))).collect()
+    first = {b: min(k for k, _, h, _ in rows if h == b) for b in body}
+    assert {(r.page_id, r.kind, r.refers_to) for r in got} == {(k, "response" if k == first[h] else "revisit", None if k == first[h] else first[h]) for k, _, h, _ in rows}
+    assert {r.page_id: r.payload.decode() for r in got if r.payload is not None} == {first[b]: b for b in body}
+    assert all(r.digest == hashlib.sha256(rows[r.page_id][2].encode()).hexdigest() for r in got)
+
+
 def test_zip64_records_and_compressed_members():
     out = io.BytesIO()
     writer = warc.PackageWriter(out)
@@ -411,6 +424,9 @@ def test_plain_matches_equal_the_patterns():
         ("bob [at] site [dot] org", "email", "bob [at] site [dot] org"),
         ("call plus one five five five two three four five six seven eight ok", "phone", "plus one five five five two three four five six seven eight"),
         ("Rуan＠exаmple．com!", "email", "Rуan＠exаmple．com"),
+        ("host 192 dot 168 dot 1 dot 20 is up", "ip", "192 dot 168 dot 1 dot 20"),
+        ("host one nine two dot one six eight dot one dot one is up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("ring +1 five five five 234 5678 today", "phone", "+1 five five five 234 5678"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, found):
@@ -424,7 +440,7 @@ def test_pii_rows(spark, odd, none):
     assert all(not r.base and not r.added for r in pii.find_pii(odd).collect())
     masked = pii.mask_pii(odd)
     assert masked.schema == odd.schema and sorted(map(str, masked.collect())) == sorted(map(str, odd.collect()))
-    for clean in ("Meet me at noon. The dot is red.", "Она живёт в доме", "one two three", "version 1.2.3"):
+    for clean in ("Meet me at noon. The dot is red.", "Она живёт в доме", "one two three", "version 1.2.3", "un 5 deux 7", "see you at example.com", "one dot two", "three point five percent of 12 items"):
         assert pii.plain_spans(clean) == pii.disguised_spans(clean, []) == []
 
 
