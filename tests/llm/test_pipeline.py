@@ -82,3 +82,19 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_that_clash_and_long_texts(spark, tables):
+    folder, texts, _ = tables
+    rng = random.Random(2)
+    vocabulary = sorted({w for k in range(120) for w in (texts[k] or "").split()})
+    long = " ".join(rng.choice(vocabulary) for _ in range(30_000))
+    rows = [(k, texts[k], None, None, None, f"i{k}", 1.0, "n", k) for k in range(12)] + [(500, long, "en", "s", len(long), None, None, None, None), (500, long, "en", "s", len(long), None, None, None, None), (None, texts[20], None, "s", None, "x", 0.0, "n", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, score double, node string, key bigint")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "id", "score", "node", "key"], name
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert set(kept) == {*range(12), 500, None} and docs.count() == 14 and kept[500].text == long and kept[3].id == "i3" and kept[3].key == 3
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).toPandas()
+    assert packed[packed.doc_id == 500].length.sum() > 30_000 and packed[packed.doc_id == 500].piece.nunique() > 7
