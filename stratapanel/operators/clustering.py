@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..sources.cache import checkpointed
 from .elastic_net import no_rows
-from .matrix import correlation_matrix, kmeans, mean_silhouette, principal_components
+from .matrix import correlation_matrix, distances, kmeans, mean_silhouette, principal_components
 
 MIN_MONTHS, MIN_ENTITIES, MAX_COMPONENTS = 36, 5, 10
 FIT_SCHEMA = "refit_date date, permno bigint, cluster_id int, k int, silhouette double"
@@ -21,11 +21,12 @@ FIT_SCHEMA = "refit_date date, permno bigint, cluster_id int, k int, silhouette
 def pick_k(x: np.ndarray, grid: tuple[int, ...], seed: int, starts: int = 25) -> tuple[int | None, float | None, list[tuple[int, float, float | None]]]:
     """The k of ``grid`` with the greatest mean silhouette (the first of ties), and (k, within, silhouette) for each."""
     scores: list[tuple[int, float, float | None]] = []
+    away = distances(x, x)
     for k in grid:
         if k > len(x):
             continue
         label, _, within = kmeans(x, k, starts, 100, seed)
-        scores.append((k, within, mean_silhouette(x, label) if 2 <= k < len(x) else None))
+        scores.append((k, within, mean_silhouette(x, label, away) if 2 <= k < len(x) else None))
     known = [s for s in scores if s[2] is not None]
     best = max(known, key=lambda s: s[2]) if known else (None, None, None)
     return best[0], best[2], scores

@@ -27,55 +27,51 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 
 
 class IsolationForest:
-    def __init__(self, x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 0):
+    """All trees are grown together, level by level: node arrays hold every tree's nodes, the first ones being the roots."""
+
+    def __init__(self, x: np.ndarray, trees: int = 200, sample: int = SAMPLE, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.size = min(sample, len(x))
-        limit = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], limit, rng) for _ in range(trees)]
-
-    @staticmethod
-    def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        feature, cut, left, value = [], [], [], []
-        todo = [(np.arange(len(x)), 0, -1, False)]
-        right: list[int] = []
-        while todo:
-            rows, depth, parent, is_right = todo.pop()
-            at = len(feature)
-            if parent >= 0:
-                (right if is_right else left)[parent] = at
-            part = x[rows]
-            low, high = part.min(0), part.max(0)
-            vary = np.flatnonzero(high > low)
-            leaf = depth >= limit or len(rows) < 2 or not len(vary)
-            left.append(-1)
-            right.append(-1)
-            value.append(depth + float(average_path(len(rows))))
-            if leaf:
-                feature.append(-1)
-                cut.append(0.0)
-                continue
-            f = int(rng.choice(vary))
-            c = rng.uniform(low[f], high[f])
-            below = part[:, f] <= c
-            if below.all():  # a cut at the very top
-                c = np.nextafter(high[f], -np.inf)
-                below = part[:, f] <= c
-            feature.append(f)
-            cut.append(c)
-            todo += [(rows[~below], depth + 1, at, True), (rows[below], depth + 1, at, False)]
-        return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(value)
+        self.count, self.size = trees, min(sample, len(x))
+        self.depth = int(np.ceil(np.log2(max(self.size, 2))))
+        rows = np.concatenate([rng.choice(len(x), self.size, replace=False) for _ in range(trees)])
+        node, first = np.repeat(np.arange(trees), self.size), 0
+        levels = []
+        for depth in range(self.depth + 1):
+            order = np.argsort(node, kind="stable")
+            rows, node = rows[order], node[order]
+            starts = np.flatnonzero(np.diff(node, prepend=-1))
+            count = np.diff(np.append(starts, len(node)))
+            points, m = x[rows], len(starts)
+            low, high = np.minimum.reduceat(points, starts, 0), np.maximum.reduceat(points, starts, 0)
+            vary = high > low
+            split = vary.any(1) & (depth < self.depth)
+            chosen = (np.cumsum(vary, 1) > np.floor(rng.random(m) * vary.sum(1))[:, None]).argmax(1)
+            at = np.arange(m)
+            bottom, top = low[at, chosen], high[at, chosen]
+            cut = np.minimum(bottom + rng.random(m) * (top - bottom), np.nextafter(top, -np.inf))  # never at the very top
+            child = first + m + 2 * (np.cumsum(split) - 1)
+            levels.append((np.where(split, chosen, -1), cut, np.where(split, child, -1), depth + average_path(count)))
+            of = np.repeat(at, count)
+            kept = np.flatnonzero(split[of])
+            if not len(kept):
+                break
+            of = of[kept]
+            node = child[of] + (points[kept, chosen[of]] > cut[of])
+            rows, first = rows[kept], first + m
+        self.feature, self.cut, self.left, self.value = (np.concatenate(c) for c in zip(*levels, strict=True))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean depth / average depth): near 1 is anomalous."""
-        total = np.zeros(len(x))
-        for feature, cut, left, right, value in self.trees:
-            at = np.zeros(len(x), int)
-            while (inner := feature[at] >= 0).any():
-                rows = np.flatnonzero(inner)
-                node = at[rows]
-                at[rows] = np.where(x[rows, feature[node]] <= cut[node], left[node], right[node])
-            total += value[at]
-        return 2 ** (-total / len(self.trees) / max(float(average_path(self.size)), 1e-9))
+        out = np.zeros(len(x))
+        step = max(1, (1 << 20) // self.count)
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            at, row = np.tile(np.arange(self.count), (len(part), 1)), np.arange(len(part))[:, None]
+            while (inner := self.feature[at] >= 0).any():
+                right = part[row, np.maximum(self.feature[at], 0)] > self.cut[at]
+                at = np.where(inner, self.left[at] + right, at)
+            out[lo : lo + step] = self.value[at].mean(1)
+        return 2 ** (-out / max(float(average_path(self.size)), 1e-9))
 
 
 def _pool(rows: DataFrame, n: int, seed: int) -> DataFrame:

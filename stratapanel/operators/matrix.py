@@ -117,36 +117,51 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start its points' nearest centres, the first of ties, and the squared distances; ``centres`` is starts x k x columns."""
+    cost = (centres**2).sum(2)[:, :, None] - 2 * (centres @ x.T)
+    best, label = cost[:, 0].copy(), np.zeros((len(centres), len(x)), np.int64)
+    for c in range(1, centres.shape[1]):
+        closer = cost[:, c] < best
+        best[closer] = cost[:, c][closer]
+        label[closer] = c
+    return label, np.maximum(best + (x**2).sum(1), 0)
+
+
 def kmeans(x: np.ndarray, k: int, starts: int = 25, rounds: int = 100, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Labels (from 0), centres and within sum of squares of the best of several k-means++ starts."""
+    """Labels (from 0), centres and within sum of squares of the best of several k-means++ starts, which are run side by side."""
     rng = np.random.default_rng(seed)
-    best = None
-    for _ in range(starts):
-        centres = x[rng.integers(len(x), size=1)]
-        while len(centres) < k:
-            gap = (distances(x, centres) ** 2).min(1)
-            p = gap / gap.sum() if gap.sum() > 0 else None
-            centres = np.vstack([centres, x[rng.choice(len(x), p=p)]])
-        label = None
-        for _ in range(rounds):
-            away = distances(x, centres)
-            new = away.argmin(1)
-            for c in np.setdiff1d(np.arange(k), new):  # an empty cluster takes the point farthest from its centre
-                far = away[np.arange(len(x)), new].argmax()
-                new[far] = c
-                away[far] = 0
-            if label is not None and (new == label).all():
-                break
-            label = new
-            centres = np.stack([x[label == c].mean(0) for c in range(k)])
-        within = float(((x - centres[label]) ** 2).sum())
-        if best is None or within < best[2] - 1e-12:
-            best = label, centres, within
-    return best
-
-
-def mean_silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    away, count = distances(x, x), np.bincount(label)
+    centres = x[rng.integers(len(x), size=(starts, 1))]
+    while centres.shape[1] < k:
+        _, gap = _nearest(x, centres)
+        total = gap.sum(1, keepdims=True)
+        share = np.cumsum(np.where(total > 0, gap, 1) / np.where(total > 0, total, len(x)), 1)
+        picked = np.minimum((share < rng.random((starts, 1))).sum(1), len(x) - 1)
+        centres = np.concatenate([centres, x[picked][:, None]], 1)
+    labels = np.full((starts, len(x)), -1)
+    live = np.arange(starts)
+    for _ in range(rounds):
+        new, away = _nearest(x, centres[live])
+        member = new[:, None] == np.arange(k)[None, :, None]
+        for n, c in zip(*np.nonzero(~member.any(2)), strict=True):  # an empty cluster takes the point farthest from its centre
+            far = away[n].argmax()
+            member[n, :, far] = False
+            member[n, c, far] = True
+            new[n, far], away[n, far] = c, 0
+        moved = (new != labels[live]).any(1)
+        labels[live] = new
+        live = live[moved]
+        if not len(live):
+            break
+        centres[live] = (member[moved].astype(float) @ x) / np.maximum(member[moved].sum(2), 1)[:, :, None]
+    within = ((x - np.take_along_axis(centres, labels[:, :, None], 1)) ** 2).sum((1, 2))
+    best = int(np.flatnonzero(within <= within.min() + 1e-12)[0])
+    return labels[best], centres[best], float(within[best])
+
+
+def mean_silhouette(x: np.ndarray, label: np.ndarray, away: np.ndarray | None = None) -> float:
+    """Of the points ``x``, whose distances may be at hand."""
+    away, count = distances(x, x) if away is None else away, np.bincount(label)
     sums = np.stack([away[:, label == c].sum(1) for c in range(len(count))], 1)
     own = count[label] - 1
     a = sums[np.arange(len(x)), label] / np.maximum(own, 1)

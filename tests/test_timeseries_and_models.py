@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.config import BETAS, FACTORS, FEATURE_COLS, EngineConfig
 from stratapanel.operators import clustering, matrix
-from stratapanel.operators.elastic_net import Gram, cross_validated, descend, fit_path
+from stratapanel.operators.elastic_net import Gram, cross_validated, descend, fit_path, minimise
 from stratapanel.operators.iforest import IsolationForest
 from stratapanel.operators.windows import momentum, rolling_ols, rolling_sd, with_lags
 from stratapanel.plans import compare, features
@@ -172,6 +172,14 @@ def test_elastic_net_reaches_the_optimum():
         return b @ r @ b / 2 - c @ b + lam * (alpha * np.abs(b).sum() + (1 - alpha) / 2 * b @ b)
 
     assert all(objective(b) <= objective(b + rng.normal(0, 0.01, 6) * (np.arange(6) < 5)) for _ in range(200))
+    twins = np.column_stack([x, x[:, 0], x[:, 1] + 1e-6 * rng.normal(size=200)])
+    for wide in (x, twins):
+        r, c, *_ = Gram.of(wide, y).scaled()
+        start = np.zeros(len(c))
+        for lam in np.geomspace(1, 1e-4, 30):
+            start = minimise(r, c, lam, alpha, start)
+            g = c - r @ start - lam * (1 - alpha) * start  # the conditions of a minimum
+            assert np.all(np.abs(g[(start == 0) & (np.diag(r) > 0)]) <= lam * alpha + 1e-6) and np.allclose(g[start != 0], lam * alpha * np.sign(start[start != 0]), atol=1e-5)
     free = fit_path(Gram.of(x[:, :5], y), np.zeros(1), 0.5)[0]
     exact, *_ = np.linalg.lstsq(np.column_stack([np.ones(200), x[:, :5]]), y, rcond=None)
     assert np.allclose(free, exact, atol=1e-4)
