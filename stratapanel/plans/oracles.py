@@ -75,6 +75,14 @@ def with_loadings(tail: str) -> str:
     return over_panel(f", {_OLS} {tail}")
 
 
+def with_alpha(tail: str) -> str:
+    return over_panel(f", {_ALPHA} {tail}")
+
+
+def with_features(tail: str) -> str:
+    return with_alpha(f", zz AS (SELECT realised.*, p.ret, p.mktcap, p.gics_sector_name, p.ff12_code, p.ten_y, p.ffr, p.vix, {_Z} FROM realised JOIN panel p USING (permno, date_eom) WINDOW d AS (PARTITION BY date_eom)), features AS (SELECT permno, date_eom, gics_sector_name, ff12_code, n_obs, {_FEATURES} FROM zz) {tail}")
+
+
 _SCORED = """, z AS (SELECT permno, date_eom, gics_sector_name, ff12_code, ret,
     CASE WHEN coalesce(stddev_samp(ret) OVER d, 0) = 0 THEN 0 ELSE (ret - avg(ret) OVER d) / stddev_samp(ret) OVER d END s
     FROM panel WINDOW d AS (PARTITION BY date_eom)),
@@ -131,7 +139,7 @@ SQL = {
     "calendar_beta": over_panel(", c AS (SELECT *, year(date_eom) * 12 + month(date_eom) mm FROM panel) SELECT permno, date_eom, n_obs, CASE WHEN n_obs >= 24 THEN round(b, 6) END beta_mkt FROM (SELECT permno, date_eom, count(CASE WHEN ret_excess IS NOT NULL AND mkt_rf IS NOT NULL THEN 1 END) OVER w n_obs, regr_slope(ret_excess, mkt_rf) OVER w b FROM c WINDOW w AS (PARTITION BY permno ORDER BY mm RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING))"),
     "cs_zscore": over_panel("SELECT permno, date_eom, round(CASE WHEN coalesce(stddev_samp(ret) OVER d, 0) = 0 THEN 0 ELSE (ret - avg(ret) OVER d) / stddev_samp(ret) OVER d END, 6) z_ret FROM panel WINDOW d AS (PARTITION BY date_eom)"),
     "winsorize_returns": over_panel("SELECT permno, date_eom, round(CASE WHEN ret IS NOT NULL THEN least(greatest(ret, quantile_cont(ret, 0.01) OVER d), quantile_cont(ret, 0.99) OVER d) END, 6) ret_w FROM panel WINDOW d AS (PARTITION BY date_eom)"),
-    "feature_panel": over_panel(f", {_ALPHA}, zz AS (SELECT realised.*, p.ret, p.mktcap, p.gics_sector_name, p.ff12_code, p.ten_y, p.ffr, p.vix, {_Z} FROM realised JOIN panel p USING (permno, date_eom) WINDOW d AS (PARTITION BY date_eom)) SELECT permno, date_eom, gics_sector_name, ff12_code, n_obs, {_FEATURES} FROM zz"),
+    "feature_panel": with_features("SELECT * FROM features"),
     "coverage_profile": over_panel("SELECT count(*) n, count(DISTINCT permno) n_stocks, count(DISTINCT date_eom) n_months, min(date_eom) first_month, max(date_eom) last_month, count(ret) n_ret, round(avg(CASE WHEN ret IS NOT NULL AND mktcap > 0 THEN 1.0 ELSE 0.0 END), 6) usable FROM panel"),
     "sector_counts": over_panel("SELECT gics_sector_name, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM panel GROUP BY 1"),
     "range_counts": over_panel("SELECT ff12_num, ff12_code, ff12_name, count(*) n FROM panel GROUP BY 1, 2, 3"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import PANEL, RANGES, over_panel, with_loadings
+from ..config import FEATURE_COLS
+from .oracles import PANEL, RANGES, over_panel, with_alpha, with_features, with_loadings
 from .vendor import FACTOR_TEXT, RANGE_TEXT, SERIES_TEXT
 
 
@@ -94,6 +95,23 @@ SQL = {
     FROM b WINDOW n3 AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), n6 AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING),
          m AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 12 PRECEDING AND 3 PRECEDING), v AS (PARTITION BY permno ORDER BY date_eom ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"""),
     "risk_adjusted_alpha": with_loadings(", q AS (SELECT *, beta_mkt * mkt_rf + beta_smb * smb + beta_hml * hml + beta_rmw * rmw + beta_cma * cma x FROM loadings) SELECT permno, date_eom, round(x, 6) expected_factor_return, round(ret_excess - x, 6) abnormal_1m FROM q"),
+    "cached_returns": over_panel("SELECT permno, date_eom, round(ret, 6) ret, round(mktcap, 0) mktcap FROM panel"),
+    "attach_clusters": over_panel("SELECT permno, date_eom, round(ret, 6) ret, CASE WHEN year(date_eom) = 2000 THEN CAST(permno % 3 + 1 AS INTEGER) END cluster_id FROM panel"),
+    "modelling_rows": with_features(
+        ", k AS (SELECT *, CASE WHEN date_eom BETWEEN DATE '1998-01-01' AND DATE '1999-12-31' THEN 'train' WHEN date_eom BETWEEN DATE '2000-01-01' AND DATE '2001-11-30' THEN 'test' END split FROM features WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in (*FEATURE_COLS, "alpha_fwd_1m"))
+        + ") SELECT split, gics_sector_name, count(*) n, count(DISTINCT permno) n_stocks, round(avg(alpha_fwd_1m), 6) mean_label FROM k WHERE split IS NOT NULL GROUP BY 1, 2"
+    ),
+    "homogeneity_of_codes": with_alpha(""", long AS (SELECT permno, date_eom, alpha_realized, unnest(['GICS', 'FF12']) scheme, unnest([gics_sector_name, ff12_code]) grp FROM realised JOIN (SELECT permno, date_eom, gics_sector_name, ff12_code FROM panel) USING (permno, date_eom) WHERE alpha_realized IS NOT NULL),
+        cells AS (SELECT scheme, stddev_samp(alpha_realized) sd FROM long WHERE grp IS NOT NULL GROUP BY scheme, date_eom, grp HAVING count(*) >= 5),
+        spread AS (SELECT scheme, avg(sd) mean_alpha_sd, median(sd) median_alpha_sd FROM cells GROUP BY 1),
+        mem AS (SELECT DISTINCT scheme, grp, permno FROM long WHERE grp IS NOT NULL), v AS (SELECT permno, date_eom, ret_excess x FROM panel WHERE ret_excess IS NOT NULL),
+        full_ AS (SELECT permno FROM v GROUP BY 1 HAVING count(*) >= 24), many AS (SELECT * FROM mem WHERE permno IN (SELECT permno FROM full_)),
+        pc AS (SELECT a.scheme, a.grp, va.permno i, vb.permno j, CASE WHEN var_samp(va.x) > 1e-12 AND var_samp(vb.x) > 1e-12 THEN corr(va.x, vb.x) END c
+               FROM many a JOIN many b ON a.scheme = b.scheme AND a.grp = b.grp AND a.permno < b.permno JOIN v va ON va.permno = a.permno JOIN v vb ON vb.permno = b.permno AND vb.date_eom = va.date_eom GROUP BY 1, 2, 3, 4),
+        gc AS (SELECT scheme, grp, avg(c) c FROM pc WHERE c IS NOT NULL GROUP BY 1, 2), wc AS (SELECT scheme, avg(c) mc, median(c) dc FROM gc GROUP BY 1)
+        SELECT scheme, round(mean_alpha_sd, 6) mean_alpha_sd, round(median_alpha_sd, 6) median_alpha_sd, round(mc, 5) mean_within_corr, round(dc, 5) median_within_corr FROM spread LEFT JOIN wc USING (scheme)"""),
+    "best_month": over_panel(", k AS (SELECT permno, date_eom, round(ret, 6) ret FROM panel WHERE ret IS NOT NULL) SELECT permno, date_eom, ret FROM (SELECT *, row_number() OVER (PARTITION BY permno ORDER BY ret DESC, date_eom) n FROM k) WHERE n = 1"),
     "suffix_join": "SELECT n_regionkey AS key, n_name AS name, n_nationkey, r_name name_region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
     "standardise_on_train": over_panel(", k AS (SELECT permno, date_eom, ret, mktcap, date_eom <= DATE '1999-12-31' before FROM panel WHERE ret IS NOT NULL), tm AS (SELECT avg(ret) mr, stddev_samp(ret) sr, avg(mktcap) mm, stddev_samp(mktcap) sm FROM k WHERE before) SELECT permno, date_eom, round((ret - mr) / sr, 5) ret, round((mktcap - mm) / sm, 5) mktcap FROM k, tm WHERE NOT before"),
     "mahalanobis": over_panel(", k AS (SELECT permno, date_eom, gics_sector_name, ret, mktcap FROM panel WHERE ret IS NOT NULL) SELECT permno, date_eom, gics_sector_name, round(power((ret - avg(ret) OVER g) / stddev_samp(ret) OVER g, 2) + power((mktcap - avg(mktcap) OVER g) / stddev_samp(mktcap) OVER g, 2), 5) score FROM k WINDOW g AS (PARTITION BY gics_sector_name)"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import FACTORS
@@ -9,10 +11,10 @@ from ..functions.columns import fixed, percent
 from ..operators import expand, iforest
 from ..operators.joins import with_suffix
 from ..operators.matrix import standardise
-from ..sources import raw, text
-from . import features, study
+from ..sources import cache, raw, text
+from . import compare, features, study
 from .panel import build_panel
-from .queries import KEY, excess, query, rounded
+from .queries import KEY, TWO, excess, query, rounded
 from .testbed import CONFIG, factors, panel, returns, table
 from .vendor import FACTOR_TEXT, INDEX, RANGE_TEXT, SERIES_TEXT, panel_sources, raw_tables, text_lines
 
@@ -129,6 +131,41 @@ def formatted(spark, d):
     return table(spark, d, "customer").select("c_custkey", percent(x).alias("as_percent"), fixed(y).alias("as_number"))
 
 
+@query
+def cached_returns(spark, d):
+    """Computed once, written, and read from the cache."""
+    path = f"{cache.shared_folder(spark)}/cached-{uuid.uuid4().hex}"
+    cache.cached_table(spark, path, lambda: returns(spark, d).select(*KEY, "ret", "mktcap"))
+    return rounded(cache.cached_table(spark, path, lambda: spark.range(0)), *KEY, ret=6, mktcap=0)
+
+
+@query
+def attach_clusters(spark, d):
+    rows = returns(spark, d).select(*KEY, "ret")
+    known = rows.where(F.year("date_eom") == 2000).select(*KEY, (F.col("permno") % 3 + 1).cast("int").alias("cluster_id"))
+    return rounded(compare.attach_clusters(rows, known), *KEY, "cluster_id", ret=6)
+
+
+@query
+def modelling_rows(spark, d):
+    frame = compare.modelling_frame(features.build_features(panel(spark, d), CONFIG), CONFIG)
+    return frame.groupBy("split", "gics_sector_name").agg(F.count("*").alias("n"), F.count_distinct("permno").alias("n_stocks"), F.round(F.avg("alpha_fwd_1m"), 6).alias("mean_label"))
+
+
+@query
+def homogeneity_of_codes(spark, d):
+    rows = panel(spark, d)
+    built = features.with_realised_alpha(features.with_loadings(rows, CONFIG))
+    found = compare.homogeneity(built, rows, TWO)
+    return rounded(found, "scheme", mean_alpha_sd=6, median_alpha_sd=6, mean_within_corr=5, median_within_corr=5)
+
+
+@query
+def best_month(spark, d):
+    """The row with the greatest return of each entity, the earliest of ties."""
+    return expand.latest_per_key(returns(spark, d).where("ret is not null").select(*KEY, F.round("ret", 6).alias("ret")), ["permno"], "ret", ["date_eom"])
+
+
 @query
 def random_rows(spark, d):
     return expand.random_rows(table(spark, d, "orders"), 8, CONFIG.seed, "o_orderkey").select("o_orderkey", "o_custkey")
