@@ -153,3 +153,19 @@ def test_bootstrap_intervals_cover_the_mean(spark):
         assert (got[g].high - got[g].low) / 2 == pytest.approx(half, rel=0.2)
     again = {r.g: r for r in resample.bootstrap_mean(frame.repartition(5), "x", "k", ["g"], 400).collect()}
     assert again["a"].low == pytest.approx(got["a"].low)
+
+
+def test_remote_tables_push_down(spark):
+    """The JDBC sources against the in-memory database that ships with Spark."""
+    from stratapanel.sources import cache
+
+    options = {"url": "jdbc:derby:memory:panel;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    assert cache.jdbc_options("h", "db", "u", "p")["url"] == "jdbc:postgresql://h:5432/db?sslmode=require"
+    rows = spark.createDataFrame([(k, float(k) / 2) for k in range(100)], "k int, x double")
+    rows.write.format("jdbc").options(**options).option("dbtable", "months").mode("overwrite").save()
+    lazy = cache.jdbc_table(spark, options, "months", ("k", 0, 100, 4))
+    assert lazy.rdd.getNumPartitions() == 4 and lazy.count() == 100
+    some = lazy.where("k > 90").select("x")
+    plan = some._jdf.queryExecution().executedPlan().toString().lower()
+    assert "pushedfilters: [" in plan and "greaterthan(k,90)" in plan and some.count() == 9
+    assert cache.jdbc_query(spark, options, 'SELECT MAX("x") AS m FROM months').first()[0] == 49.5
