@@ -53,17 +53,17 @@ def hash_of(x: object) -> int:
 def first_by_hash(rows: DataFrame, n: int, per: str | None = None) -> DataFrame:
     """``n`` distinct rows (id, label), or ``n`` for each value of ``per``, that come first in a hash order of ``id``; ties go by label.
 
-    With ``per``, all but about the first 2 n of a value's rows are left out by their hash before the rest is ranked, so that no task
-    holds more than that of one value.
+    All but about the first 2 n ids (of a value) are left out by their hash where they are read, as the number of different ids is known well enough;
+    only the rest is shuffled, made distinct and ranked. ``rows`` is evaluated twice.
     """
-    rows = rows.select("id", "label").distinct()
-    key = F.xxhash64(F.col("id").cast("string"))
+    key = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40))
+    ids = F.greatest(F.approx_count_distinct("id"), F.lit(1))
+    share = (2 * n + 100) * float(1 << 40)
     if per is None:
-        return rows.orderBy(key, "label").limit(n)
-    share = (2 * n + 100) / F.count("*") * float(1 << 30)
-    bars = rows.groupBy(per).agg(share.alias("bar"))
-    near = rows.join(bars, per).where(F.pmod(key, F.lit(1 << 30)) < F.col("bar"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(F.pmod(key, F.lit(1 << 30)), key, "label")))
+        near = rows.where(key < F.lit(share / rows.agg(ids).first()[0])).select("id", "label").distinct()
+        return near.orderBy(key, "label").limit(n)
+    near = rows.join(rows.groupBy(per).agg((share / ids).alias("bar")), per).where(key < F.col("bar")).select("id", "label").distinct()
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(key, "label")))
     return ranked.where(F.col("rank") <= n).select("id", "label")
 
 
