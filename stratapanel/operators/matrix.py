@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: rows, or entities, in a block of pairwise work
+BLOCK = 2000
+
 # ---- long form: nothing is pivoted, so the number of entities is not a number of columns
 
 
@@ -34,15 +37,41 @@ def pair_correlations(rows: DataFrame, entity: str, time: str, x: str, least: in
     return sums.select(*by, "a", "b", "n", corr.alias("corr"))
 
 
+def mean_correlations(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str]) -> DataFrame:
+    """``by`` and ``corr``: the mean correlation of the pairs of each group's entities, over the times that both have; pairs where one doesn't
+    vary don't count, nor entities with fewer than ``least`` values. A group without a pair has a null.
+
+    An entity's series is one row; a pair of blocks of entities is a task's matrices, and only its sum and count are shuffled. The work is quadratic in a group's
+    entities by definition.
+    """
+    known = rows.where(F.col(x).isNotNull()).select(*by, F.col(entity).alias("e"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
+    series = known.groupBy(*by, "e").agg(F.collect_list(F.struct("t", "v")).alias("s")).where(F.size("s") >= least)
+    series = series.select(*by, "e", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
+    blocks = series.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = series.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        times, place = np.unique(np.concatenate(part["t"].to_list()), return_inverse=True)
+        size = part["t"].str.len().to_numpy()
+        wide = np.full((len(times), len(part)), np.nan)
+        wide[place, np.repeat(np.arange(len(part)), size)] = np.concatenate(part["v"].to_list())
+        left = part["block"].to_numpy() == key[-2]
+        same = key[-2] == key[-1]
+        corr = cross_correlations(wide[:, left], wide[:, left if same else ~left])
+        pairs = corr[np.triu_indices(len(corr), 1)] if same else corr.ravel()
+        return pd.DataFrame([[*key[: len(by)], np.nansum(pairs), int((~np.isnan(pairs)).sum())]], columns=[*by, "s", "n"])
+
+    shape = dealt.select(*by).schema.add("s", "double").add("n", "long")
+    parts = dealt.select(*by, "t", "v", "block", "low", "high").groupBy(*by, "low", "high").applyInPandas(sums, shape)
+    return parts.groupBy(*by).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("corr"))
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
 
-#: rows in a block of the silhouettes' distances
-BLOCK = 2000
-
-
 def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """``key`` and ``silhouette`` (Euclidean, exact) of each row; 0 for one alone in its cluster, null where there is one cluster. Keys are unique.
 
@@ -93,17 +122,22 @@ def standardise(train: DataFrame, other: DataFrame, columns: list[str]) -> DataF
 # ---- numpy kernels for one period's few hundred entities
 
 
+def cross_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairwise-complete correlations of the columns of ``x`` with those of ``y``; NaN where one doesn't vary over the rows that both have."""
+    (seen_x, own_x), (seen_y, own_y) = ((s, np.where(s, z - np.nanmean(np.where(s.any(0), z, 0), axis=0), 0)) for z in (x, y) for s in [~np.isnan(z)])
+    seen_x, seen_y = seen_x.astype(float), seen_y.astype(float)
+    n, sx, sy = seen_x.T @ seen_y, own_x.T @ seen_y, seen_x.T @ own_y
+    sxx, syy, sxy = (own_x**2).T @ seen_y, seen_x.T @ own_y**2, own_x.T @ own_y
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vx, vy = sxx - sx**2 / n, syy - sy**2 / n
+        out = np.clip((sxy - sx * sy / n) / np.sqrt(vx * vy), -1, 1)
+    out[(n < 2) | ~(vx > 1e-12 * sxx) | ~(vy > 1e-12 * syy)] = np.nan
+    return out
+
+
 def correlation_matrix(x: np.ndarray) -> np.ndarray:
     """Pairwise-complete correlations of the columns of ``x``; 0 where undefined, on the diagonal too."""
-    seen = ~np.isnan(x)
-    centred = np.where(seen, x - np.nanmean(np.where(seen.any(0), x, 0), axis=0), 0)
-    s = seen.astype(float)
-    n, sx, sxx, sxy = s.T @ s, centred.T @ s, (centred**2).T @ s, centred.T @ centred
-    with np.errstate(invalid="ignore", divide="ignore"):
-        va, vb = sxx - sx**2 / n, sxx.T - sx.T**2 / n
-        out = (sxy - sx * sx.T / n) / np.sqrt(va * vb)
-        out[(n < 2) | (va <= 1e-12 * sxx) | (vb <= 1e-12 * sxx.T)] = 0
-    return np.nan_to_num(np.clip(out, -1, 1))
+    return np.nan_to_num(cross_correlations(x, x))
 
 
 def principal_components(x: np.ndarray, k: int) -> np.ndarray:

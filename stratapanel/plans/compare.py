@@ -9,7 +9,7 @@ from ..config import FEATURE_COLS, SCHEMES, EngineConfig
 from ..functions.columns import direction_hits, mean_abs_error, r_squared, weighted_mean
 from ..operators.elastic_net import long_schemes, predict_groups, predict_pooled, with_folds
 from ..operators.iforest import score_groups
-from ..operators.matrix import pair_correlations
+from ..operators.matrix import mean_correlations
 from ..operators.metrics import adjusted_rand, by_flag, contingency, flag_overlap, flag_top
 from ..sources.cache import checkpointed
 from .features import HORIZONS, with_forward_alpha
@@ -62,8 +62,7 @@ def homogeneity(rows: DataFrame, panel: DataFrame, schemes: dict[str, str] = SCH
     spread = cells.groupBy("scheme").agg(F.avg("sd").alias("mean_alpha_sd"), F.median("sd").alias("median_alpha_sd"))
     members = long.select("scheme", "grp", "permno").distinct()
     returns = panel.select("permno", "date_eom", "ret_excess").join(members, "permno")
-    corr = pair_correlations(returns, "permno", "date_eom", "ret_excess", least, ["scheme", "grp"])
-    groups = corr.where("corr is not null").groupBy("scheme", "grp").agg(F.avg("corr").alias("c"))
+    groups = mean_correlations(returns, "permno", "date_eom", "ret_excess", least, ["scheme", "grp"]).where("corr is not null").withColumnRenamed("corr", "c")
     within = groups.groupBy("scheme").agg(F.avg("c").alias("mean_within_corr"), F.median("c").alias("median_within_corr"))
     return spread.join(within, "scheme", "left")
 

@@ -15,7 +15,7 @@ from ..operators.clustering import clusters_annual, relabelled
 from ..operators.crosssection import winsorized, with_zscores
 from ..operators.elastic_net import long_schemes
 from ..operators.joins import point_in_time
-from ..operators.matrix import nearest_centre, pair_correlations, silhouettes
+from ..operators.matrix import mean_correlations, nearest_centre, pair_correlations, silhouettes
 from ..operators.windows import calendar_ols, log_lag, momentum, rolling_ols, rolling_sd, slide, with_lags
 from ..sources.cache import checkpointed
 from . import compare, features, study
@@ -262,8 +262,8 @@ def pairwise_corr(spark, d):
 @query
 def within_group_corr(spark, d):
     rows = with_sector(spark, d, returns(spark, d).withColumn("ret_excess", F.col("ret") - 0.001)).withColumnRenamed("gics_sector_name", "grp")
-    corr = pair_correlations(rows, "permno", "date_eom", "ret_excess", 24, ["grp"])
-    return corr.where("corr is not null").groupBy("grp").agg(F.round(F.avg("corr"), 6).alias("mean_corr"))
+    corr = mean_correlations(rows.where("grp is not null"), "permno", "date_eom", "ret_excess", 24, ["grp"])
+    return corr.where("corr is not null").select("grp", F.round("corr", 6).alias("mean_corr"))
 
 
 def naive(spark, d):

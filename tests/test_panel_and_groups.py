@@ -169,3 +169,15 @@ def test_remote_tables_push_down(spark):
     plan = some._jdf.queryExecution().executedPlan().toString().lower()
     assert "pushedfilters: [" in plan and "greaterthan(k,90)" in plan and some.count() == 9
     assert cache.jdbc_query(spark, options, 'SELECT MAX("x") AS m FROM months').first()[0] == 49.5
+
+
+def test_mean_correlations_by_blocks(spark, monkeypatch):
+    from stratapanel.operators import matrix
+
+    rng = np.random.default_rng(8)
+    rows = [(e % 3, e, t, float(rng.normal() + (t % 5) * (e % 2)) if e else 1.0) for e in range(40) for t in range(30) if rng.random() < 0.8]
+    frame = spark.createDataFrame(rows, "g int, e int, t int, v double")
+    pairs = matrix.pair_correlations(frame, "e", "t", "v", 24, ["g"]).where("corr is not null").groupBy("g").agg(F.avg("corr").alias("c")).collect()
+    monkeypatch.setattr(matrix, "BLOCK", 5)
+    got = {r.g: r["corr"] for r in matrix.mean_correlations(frame, "e", "t", "v", 24, ["g"]).collect()}
+    assert got == pytest.approx({r.g: r.c for r in pairs}) and len(got) == 3
