@@ -76,6 +76,74 @@ def test_pooling_ignores_how_rows_are_batched():
     assert np.allclose(whole, single, atol=1e-5)
 
 
+def test_quality_scores_equal_a_plain_version(spark):
+    """Token by token in Python: the word's vector or its shape's, mean and deviation, repeats, length, and the two layers."""
+    from stratapanel.llm.textbuf import span_hashes
+
+    rng = random.Random(41)
+    texts = [prose(rng, n) for n in (1, 3, 40, 120, 400)] + ["ODD!! 12a Ünï  ...", "", "   ", "a a a a b a b a"]
+    model = quality.train(pa.array(texts * 5), np.array([k % 2 for k in range(len(texts) * 5)]), np.arange(len(texts) * 5) % 5 == 0)
+
+    def plain(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+", text.encode())
+        if not tokens:
+            return 0.0
+        vectors = []
+        for t in tokens:
+            raw = np.frombuffer(t, np.uint8)
+            h = span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+            slot = model.slots[int(h) & (quality.SLOTS - 1)]
+            if slot >= 0 and model.hashes[slot] == h:
+                vectors.append(model.vectors[slot])
+                continue
+            if re.match(rb"[0-9A-Za-z\x80-\xff]", t):
+                upper = sum(65 <= b <= 90 for b in t)
+                case = 0 if not upper else 2 if upper == len(t) else 1 if upper == 1 and 65 <= t[0] <= 90 else 3
+                n = min(len(t), 64)
+                size = 0 if n < 2 else 1 if n < 4 else 2 if n < 7 else 3 if n < 11 else 4
+                shape = ((case * 2 + any(48 <= b <= 57 for b in t)) * 2 + any(b >= 128 for b in t)) * 5 + size
+            else:
+                shape = 80 + min(len(t), 9)
+            vectors.append(model.vectors[len(model.hashes) + shape])
+        mean = np.mean([v[: quality.DIM] for v in vectors], 0)
+        square = np.mean([v[quality.DIM :] for v in vectors], 0)
+        again = [sum(tokens[k] == tokens[k - lag] for k in range(lag, len(tokens))) / len(tokens) for lag in (1, 2)]
+        x = (np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), again, [np.log1p(len(tokens))]]) - model.mean) / model.scale
+        w1, b1, w2, b2 = model.layers
+        z = (np.tanh(x @ w1 + b1) @ w2 + b2)[0] / model.temperature
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = by_id(quality.score_quality(docs, model))
+    assert all(got[k]["score"] == pytest.approx(plain(t), abs=1e-4) for k, t in enumerate(texts))
+
+
+def test_languages_equal_a_plain_vote(spark):
+    rng = random.Random(42)
+    texts = ["".join(rng.choice("abcdeéßжЖ中 ,.") for _ in range(n)) for n in (5, 100, 128, 129, 700)] + ["12 34", "é", ""]
+    x = np.concatenate([language.windows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts])
+    model = language.train(x, np.arange(len(x)) % 3, ["a", "b", "c"], epochs=2)
+
+    def plain(text):
+        raw = text.encode()
+        votes = np.zeros(3)
+        code = language.codes(np.frombuffer(raw, np.uint8)) if raw else np.zeros(0, np.uint8)
+        for lo in range(0, len(raw), language.WINDOW):
+            w = np.zeros(language.WINDOW, int)
+            w[: len(code[lo : lo + language.WINDOW])] = code[lo : lo + language.WINDOW]
+            pooled = []
+            for f, bias in zip(model.filters, model.biases, strict=True):
+                spans = [sum(model.embedding[w[p + j]] @ f[j] for j in range(len(f))) for p in range(language.WINDOW - len(f) + 1)]
+                pooled.append(np.maximum(np.max(spans, 0) + bias, 0))
+            z = np.concatenate(pooled) @ model.top + model.top_bias
+            votes += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * (w > 1).sum()
+        return ("und", 0.0) if not any(c.isalpha() for c in text) else (model.languages[int(votes.argmax())], votes.max() / votes.sum())
+
+    got = by_id(language.score_language(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model))
+    for k, t in enumerate(texts):
+        assert (got[k]["lang_pred"], got[k]["score"]) == (plain(t)[0], pytest.approx(plain(t)[1], abs=1e-4)), t
+
+
 def test_language_learns_and_scores_odd_rows(spark, odd, none):
     rng = random.Random(3)
     sounds = {"en": ["the", "ing", "tion", "wh"], "fr": ["é", "eau", "que", "ç"]}
