@@ -5,6 +5,8 @@ All of them share one window, (permno ordered by date_eom), so a plan that stack
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -61,62 +63,55 @@ def fill_forward(x: str) -> Column:
 PIVOT_TOLERANCE = 1e-12
 
 
-def _least_squares(rows: DataFrame, entity: str, until: WindowSpec, before: WindowSpec, y: str, xs: tuple[str, ...], names: dict[str, str], keep: Column) -> DataFrame:
-    """Intercept and slopes over a window frame, given as the rows ``until`` its end less those ``before`` it: running sums of products,
+def _least_squares(rows: DataFrame, frame: tuple[str, str], y: str, xs: tuple[str, ...], names: dict[str, str], keep: str) -> DataFrame:
+    """Intercept and slopes over a window frame, given as the rows up to its end and those before it (two OVER clauses): running sums of products,
     each row added once, then an unrolled LDL' solution.
 
     Values are centred by the entity's own means first, so that the differences of sums lose no digits; the intercept is moved back.
     ``names`` maps ``alpha``, each of ``xs``, ``rsq`` and ``n_obs`` to output columns. Where ``keep`` (over ``_n``, the number of
-    complete rows) fails, all but n_obs are null; so they are where a pivot is singular and for the coefficients that need it.
+    complete rows) fails, all but n_obs are null; so they are where a pivot is singular and for the coefficients that need it. Expressions are written as SQL, a stage
+    in one projection, as planning would otherwise cost more than the work on a small table.
     """
-    size = len(xs) + 1
-    columns = rows.columns
-    ok = F.col(y).isNotNull()
-    for x in xs:
-        ok = ok & F.col(x).isNotNull()
-    whole = Window.partitionBy(entity)
-    values = [y, *xs]
-    centred = rows.withColumns({f"_c{k}": F.coalesce(F.avg(F.when(ok, F.col(x).cast("double"))).over(whole), F.lit(0.0)) for k, x in enumerate(values)})
-    centred = centred.withColumns({f"_v{k}": F.when(ok, F.col(x).cast("double") - F.col(f"_c{k}")) for k, x in enumerate(values)})
-    unit = [F.when(ok, F.lit(1.0)), *[F.col(f"_v{k + 1}") for k in range(len(xs))]]
-    products = {f"p{i}_{j}": unit[i] * unit[j] for i in range(size) for j in range(i, size)}
-    products |= {f"q{i}": unit[i] * F.col("_v0") for i in range(size)} | {"yy": F.col("_v0") * F.col("_v0")}
+    until, before = frame
+    size, columns, values = len(xs) + 1, [f"`{c}`" for c in rows.columns], [y, *xs]
+    ok = " AND ".join(f"`{v}` IS NOT NULL" for v in values)
+    centre = [f"coalesce(avg(CASE WHEN {ok} THEN CAST(`{v}` AS DOUBLE) END) OVER (PARTITION BY {ENTITY}), 0D) AS _c{k}" for k, v in enumerate(values)]
+    out = rows.selectExpr(*columns, *centre)
     centres = [f"_c{k}" for k in range(size)]
-    summed = centred.withColumns({f"_{n}": p for n, p in products.items()})
-    summed = summed.select(*columns, *centres, *[F.sum(f"_{n}").over(until).alias(f"_a_{n}") for n in products], *[F.sum(f"_{n}").over(before).alias(f"_b_{n}") for n in products])
-    summed = summed.select(*columns, *centres, *[F.col(f"_a_p{j}_{j}").alias(f"_t{j}") for j in range(size)], *[(F.col(f"_a_{n}") - F.coalesce(f"_b_{n}", F.lit(0.0))).alias(f"_s_{n}") for n in products])
-    s = {(i, j): F.col(f"_s_p{i}_{j}") for i in range(size) for j in range(i, size)}
-    out = summed.withColumn("_n", F.coalesce(F.round(s[0, 0]), F.lit(0.0)).cast("bigint")).withColumn("_keep", keep)
-    # the pivots and columns of L, each stage a projection of its own so that no expression is repeated
+    out = out.selectExpr(*columns, *centres, f"CASE WHEN {ok} THEN 1D END AS _u0", *[f"CASE WHEN {ok} THEN CAST(`{v}` AS DOUBLE) - _c{k} END AS _v{k}" for k, v in enumerate(values)])
+    unit = ["_u0", *[f"_v{k + 1}" for k in range(len(xs))]]
+    products = {f"p{i}_{j}": f"{unit[i]} * {unit[j]}" for i in range(size) for j in range(i, size)} | {f"q{i}": f"{unit[i]} * _v0" for i in range(size)} | {"yy": "_v0 * _v0"}
+    out = out.selectExpr(*columns, *centres, *[f"{p} AS _{n}" for n, p in products.items()])
+    out = out.selectExpr(*columns, *centres, *[f"sum(_{n}) OVER ({w}) AS _{k}_{n}" for n in products for k, w in (("a", until), ("b", before))])
+    out = out.selectExpr(*columns, *centres, *[f"_a_p{j}_{j} AS _t{j}" for j in range(size)], *[f"_a_{n} - coalesce(_b_{n}, 0D) AS {n}" for n in products])
+    # pivots, columns of L and the right side, one after the other; each name is used by those below it
+    stage = {"_n": "CAST(coalesce(round(p0_0), 0D) AS BIGINT)"}
     for j in range(size):
-        pivot = s[j, j]
-        for k in range(j):
-            pivot = pivot - F.col(f"_l{j}_{k}") * F.col(f"_l{j}_{k}") * F.col(f"_d{k}")
-        out = out.withColumn("_pivot", pivot).withColumn(f"_d{j}", F.when(F.col("_pivot") > PIVOT_TOLERANCE * F.col(f"_t{j}"), F.col("_pivot"))).drop("_pivot")
-        stage = {}
+        stage[f"_w{j}"] = f"p{j}_{j}" + "".join(f" - _l{j}_{k} * _l{j}_{k} * _d{k}" for k in range(j))
+        stage[f"_d{j}"] = f"CASE WHEN _w{j} > {PIVOT_TOLERANCE}D * _t{j} THEN _w{j} END"
         for i in range(j + 1, size):
-            top = s[j, i]
-            for k in range(j):
-                top = top - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}") * F.col(f"_d{k}")
-            stage[f"_l{i}_{j}"] = top / F.col(f"_d{j}")
-        z = F.col(f"_s_q{j}")
-        for k in range(j):
-            z = z - F.col(f"_l{j}_{k}") * F.col(f"_z{k}")
-        out = out.withColumns(stage | {f"_z{j}": z})
+            stage[f"_l{i}_{j}"] = f"(p{j}_{i}" + "".join(f" - _l{i}_{k} * _l{j}_{k} * _d{k}" for k in range(j)) + f") / _d{j}"
+        stage[f"_z{j}"] = f"q{j}" + "".join(f" - _l{j}_{k} * _z{k}" for k in range(j))
     for i in reversed(range(size)):
-        b = F.col(f"_z{i}") / F.col(f"_d{i}")
-        for k in range(i + 1, size):
-            b = b - F.col(f"_l{k}_{i}") * F.col(f"_b{k}")
-        out = out.withColumn(f"_b{i}", b)
-    explained = sum((F.col(f"_b{i}") * F.col(f"_s_q{i}") for i in range(1, size)), F.col("_b0") * F.col("_s_q0"))
-    total = F.col("_s_yy") - F.col("_s_q0") * F.col("_s_q0") / F.nullif(F.col("_n"), F.lit(0))
-    out = out.withColumns({"_explained": explained, "_total": total})
-    rsq = F.when(F.col("_total") > 0, 1 - (F.col("_s_yy") - F.col("_explained")) / F.col("_total"))
-    alpha = F.col("_b0") + F.col("_c0") - sum((F.col(f"_b{i}") * F.col(f"_c{i}") for i in range(1, size)), F.lit(0.0))
-    results = {"alpha": alpha, **{x: F.col(f"_b{i + 1}") for i, x in enumerate(xs)}, "rsq": rsq}
+        stage[f"_b{i}"] = f"_z{i} / _d{i}" + "".join(f" - _l{k}_{i} * _b{k}" for k in range(i + 1, size))
+    stage["_total"] = "yy - q0 * q0 / nullif(_n, 0)"
+    stage["_rest"] = "yy" + "".join(f" - _b{i} * q{i}" for i in range(size))
+    results = {"alpha": "_b0 + _c0" + "".join(f" - _b{i} * _c{i}" for i in range(1, size)), **{x: f"_b{i + 1}" for i, x in enumerate(xs)}, "rsq": "CASE WHEN _total > 0 THEN 1 - _rest / _total END"}
+    out = _in_stages(out, stage)
     # a generator of one row: later filters on the results stay above it, and aren't spelled out in terms of the moments
-    fitted = F.struct(*[F.when(F.col("_keep"), c).alias(names[k]) for k, c in results.items()], F.col("_n").alias(names["n_obs"]))
-    return out.select(*columns, F.inline(F.array(fitted)))
+    fitted = ", ".join([f"'{names[k]}', CASE WHEN {keep} THEN {c} END" for k, c in results.items()] + [f"'{names['n_obs']}', _n"])
+    return out.selectExpr(*columns, f"inline(array(named_struct({fitted})))")
+
+
+def _in_stages(rows: DataFrame, named: dict[str, str]) -> DataFrame:
+    """``rows`` with the SQL expressions ``named``, which may use names above them: as many projections as the longest chain of uses, so that none
+    is spelled out in terms of another's expression."""
+    depth: dict[str, int] = {}
+    for name, text in named.items():
+        depth[name] = 1 + max((depth[w] for w in re.findall(r"\w+", text) if w in depth), default=-1)
+    for level in range(max(depth.values()) + 1):
+        rows = rows.selectExpr("*", *[f"{text} AS {name}" for name, text in named.items() if depth[name] == level])
+    return rows
 
 
 def rolling_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, str], window: int = 36, lag: int = 2, min_obs: int = 24) -> DataFrame:
@@ -125,17 +120,14 @@ def rolling_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, s
     The whole window must exist, ``min_obs`` complete rows must be in it. n_obs is null where the window doesn't exist, and the
     count where only the observations are too few.
     """
-    w = along()
-    numbered = rows.withColumn("_row", F.row_number().over(w))
-    fits = F.col("_row") >= window + lag
-    until, before = (w.rowsBetween(Window.unboundedPreceding, -k) for k in (lag, window + lag))
-    out = _least_squares(numbered, ENTITY, until, before, y, xs, names, fits & (F.col("_n") >= min_obs))
+    numbered = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {ENTITY} ORDER BY {TIME}) AS _row")
+    frame = tuple(f"PARTITION BY {ENTITY} ORDER BY {TIME} ROWS BETWEEN UNBOUNDED PRECEDING AND {k} PRECEDING" for k in (lag, window + lag))
+    out = _least_squares(numbered, frame, y, xs, names, f"_row >= {window + lag} AND _n >= {min_obs}")
     return out.withColumn(names["n_obs"], F.when(F.col("_row") >= window + lag, F.col(names["n_obs"]))).drop("_row")
 
 
 def calendar_ols(rows: DataFrame, y: str, xs: tuple[str, ...], names: dict[str, str], months: int = 36, min_obs: int = 24) -> DataFrame:
     """Regression over the rows of the ``months`` calendar months before this one."""
-    by_month = Window.partitionBy(ENTITY).orderBy("_month")
-    until, before = (by_month.rangeBetween(Window.unboundedPreceding, -k) for k in (1, months + 1))
     numbered = rows.withColumn("_month", month_number(TIME))
-    return _least_squares(numbered, ENTITY, until, before, y, xs, names, F.col("_n") >= min_obs).drop("_month")
+    frame = tuple(f"PARTITION BY {ENTITY} ORDER BY _month RANGE BETWEEN UNBOUNDED PRECEDING AND {k} PRECEDING" for k in (1, months + 1))
+    return _least_squares(numbered, frame, y, xs, names, f"_n >= {min_obs}").drop("_month")

@@ -181,3 +181,14 @@ def test_mean_correlations_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(matrix, "BLOCK", 5)
     got = {r.g: r["corr"] for r in matrix.mean_correlations(frame, "e", "t", "v", 24, ["g"]).collect()}
     assert got == pytest.approx({r.g: r.c for r in pairs}) and len(got) == 3
+
+
+def test_principal_components_of_embeddings(spark, tmp_path):
+    from stratapanel.plans.queries import QUERIES
+
+    x = np.random.default_rng(9).normal(size=(60, 12)) * np.arange(1, 13)
+    spark.createDataFrame([(k, r.tolist(), 0) for k, r in enumerate(x)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["pca_embeddings"](spark, str(tmp_path)).orderBy("vec_id").toPandas().drop(columns="vec_id").to_numpy()
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = (u * s)[:, :10]
+    assert got.shape == (60, 10) and np.allclose(np.abs(got), np.abs(want), atol=1e-3)
