@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: rows, or entities, in a block of pairwise work
 BLOCK = 2000
+#: entities in a block whose pairs are the result, and pairs in a strip of it
+PAIRS, STRIP = 1000, 200_000
 
 # ---- long form: nothing is pivoted, so the number of entities is not a number of columns
 
@@ -16,25 +22,46 @@ BLOCK = 2000
 def pair_correlations(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str] | None = None) -> DataFrame:
     """``a``, ``b`` (a < b), ``n`` and ``corr`` over the times that both have; null where one doesn't vary.
 
-    Entities with fewer than ``least`` values are left out. With ``by``, pairs are made within its groups only. The pairs of
-    entities are the result itself: a correlation matrix is quadratic in the entities, not in the rows.
+    Entities with fewer than ``least`` values are left out; an entity has one value at a time. With ``by``, pairs are made within its groups only. The pairs of
+    entities are the result itself: a correlation matrix is quadratic in the entities, not in the rows. Products by time are never rows: an
+    entity's series is one row, a pair of blocks of entities is a task's matrices, and finished pairs leave them strip by strip.
     """
     by = by or []
-    known = rows.where(F.col(x).isNotNull()).select(*by, F.col(entity).alias("e"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
-    kept = known.groupBy(*by, "e").agg(F.count("*").alias("c"), F.avg("v").alias("m")).where(F.col("c") >= least).drop("c")
-    # centred by the entity's own mean, so that the sums of products lose no digits
-    centred = known.join(kept, [*by, "e"]).select(*by, "e", "t", (F.col("v") - F.col("m")).alias("v"))
-    left = centred.select(*by, F.col("e").alias("a"), "t", F.col("v").alias("va"))
-    right = centred.select(*by, F.col("e").alias("b"), "t", F.col("v").alias("vb"))
-    pairs = left.join(right, [*by, "t"]).where("a < b")
-    sums = pairs.groupBy(*by, "a", "b").agg(
-        F.count("*").alias("n"), F.sum("va").alias("sa"), F.sum("vb").alias("sb"), F.sum(F.col("va") * F.col("va")).alias("saa"), F.sum(F.col("vb") * F.col("vb")).alias("sbb"), F.sum(F.col("va") * F.col("vb")).alias("sab")
-    )
-    n = F.col("n")
-    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
-    vary = (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb"))
-    corr = F.when(vary, (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(F.when(vary, va * vb)))
-    return sums.select(*by, "a", "b", "n", corr.alias("corr"))
+    known = rows.where(F.col(x).isNotNull() & F.col(entity).isNotNull()).select(*by, F.col(entity).alias("e"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
+    series = known.groupBy(*by, "e").agg(F.collect_list(F.struct("t", "v")).alias("s")).where(F.size("s") >= least)
+    series = series.withColumn("s", F.filter("s", lambda p: p["t"].isNotNull()))
+    series = series.select(*by, "e", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
+    sizes = series.groupBy(*by).agg(F.ceil(F.count("*") / PAIRS).alias("blocks"))
+    dealt = (series.join(sizes, by) if by else series.crossJoin(F.broadcast(sizes))).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    shape = dealt.select(*by, F.col("e").alias("a"), F.col("e").alias("b")).schema.add("n", "long").add("corr", "double")
+    names = shape.names
+
+    def strips(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        part = part.take(pc.sort_indices(part, [("e", "ascending")]))  # so that a pair's smaller entity is that of the smaller place
+        who, when = part["e"].combine_chunks(), part["t"].combine_chunks().flatten().dictionary_encode()
+        size = pc.list_value_length(part["t"]).to_numpy().astype(int)
+        column = np.repeat(np.arange(len(part)), size)
+        seen, wide = np.zeros((len(when.dictionary), len(part)), bool), np.zeros((len(when.dictionary), len(part)))
+        at = when.indices.to_numpy(zero_copy_only=False)
+        seen[at, column], wide[at, column] = True, part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        block = part["block"].to_numpy()
+        left, right = np.flatnonzero(block == key[-2].as_py()), np.flatnonzero(block == key[-1].as_py())
+        step = max(1, STRIP // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            i = left[lo : lo + step]
+            corr, n = cross_correlations(wide[:, i], wide[:, right], seen[:, i], seen[:, right], counts=True)
+            keep = n > 0
+            if key[-2] == key[-1]:
+                keep &= i[:, None] < right
+            p, q = np.nonzero(keep)
+            a, b = np.minimum(i[p], right[q]), np.maximum(i[p], right[q])
+            corr = corr[p, q]
+            groups = [pa.repeat(k, len(p)) for k in key[: len(by)]]
+            yield pa.RecordBatch.from_arrays([*groups, who.take(pa.array(a)), who.take(pa.array(b)), pa.array(n[p, q].astype("int64")), pa.array(corr, mask=np.isnan(corr))], names)
+
+    return dealt.select(*by, "e", "t", "v", "block", "low", "high").groupBy(*by, "low", "high").applyInArrow(strips, shape)
 
 
 def mean_correlations(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str]) -> DataFrame:
@@ -122,17 +149,22 @@ def standardise(train: DataFrame, other: DataFrame, columns: list[str]) -> DataF
 # ---- numpy kernels for one period's few hundred entities
 
 
-def cross_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairwise-complete correlations of the columns of ``x`` with those of ``y``; NaN where one doesn't vary over the rows that both have."""
-    (seen_x, own_x), (seen_y, own_y) = ((s, np.where(s, z - np.nanmean(np.where(s.any(0), z, 0), axis=0), 0)) for z in (x, y) for s in [~np.isnan(z)])
+def cross_correlations(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray | None = None, seen_y: np.ndarray | None = None, counts: bool = False):
+    """Pairwise-complete correlations of the columns of ``x`` with those of ``y``; NaN where one doesn't vary over the rows that both have.
+
+    What isn't ``seen`` is missing, by default what is NaN. With ``counts`` the numbers of rows that both have come, too.
+    """
+    seen_x, seen_y = (~np.isnan(z) if s is None else s for z, s in ((x, seen_x), (y, seen_y)))
+    with np.errstate(invalid="ignore"):  # a column with an infinite value has no correlations
+        own_x, own_y = (np.where(s, z - np.where(s, z, 0).sum(0) / np.maximum(s.sum(0), 1), 0) for z, s in ((x, seen_x), (y, seen_y)))
     seen_x, seen_y = seen_x.astype(float), seen_y.astype(float)
-    n, sx, sy = seen_x.T @ seen_y, own_x.T @ seen_y, seen_x.T @ own_y
-    sxx, syy, sxy = (own_x**2).T @ seen_y, seen_x.T @ own_y**2, own_x.T @ own_y
     with np.errstate(invalid="ignore", divide="ignore"):
+        n, sx, sy = seen_x.T @ seen_y, own_x.T @ seen_y, seen_x.T @ own_y
+        sxx, syy, sxy = (own_x**2).T @ seen_y, seen_x.T @ own_y**2, own_x.T @ own_y
         vx, vy = sxx - sx**2 / n, syy - sy**2 / n
         out = np.clip((sxy - sx * sy / n) / np.sqrt(vx * vy), -1, 1)
     out[(n < 2) | ~(vx > 1e-12 * sxx) | ~(vy > 1e-12 * syy)] = np.nan
-    return out
+    return (out, n) if counts else out
 
 
 def correlation_matrix(x: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 """The panel build on small sources, and grouped statistics and models against plain versions of them."""
 
+import itertools
 import zipfile
 import zlib
 from datetime import date
@@ -183,6 +184,34 @@ def test_mean_correlations_by_blocks(spark, monkeypatch):
     assert got == pytest.approx({r.g: r.c for r in pairs}) and len(got) == 3
 
 
+def test_pair_correlations_by_blocks(spark, monkeypatch):
+    from stratapanel.operators import matrix
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 25))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 3] = np.where(np.isnan(x[:, 3]), np.nan, 1.5)
+    x[15:, 5] = x[:15, 6] = np.nan
+    monkeypatch.setattr(matrix, "PAIRS", 7)
+    monkeypatch.setattr(matrix, "STRIP", 40)
+    frame = spark.createDataFrame([(f"e{e}", int(t), float(x[t, e])) for t, e in zip(*np.nonzero(~np.isnan(x)), strict=True)], "e string, t int, v double")
+    got = matrix.pair_correlations(frame, "e", "t", "v", 12)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join [t#" not in plan and "Join [e#" not in plan  # products by time are no rows
+    kept = [e for e in range(25) if (~np.isnan(x[:, e])).sum() >= 12]
+    want = {}
+    for a, b in itertools.combinations(sorted(f"e{e}" for e in kept), 2):
+        u, v = (x[:, int(e[1:])] for e in (a, b))
+        both = ~np.isnan(u) & ~np.isnan(v)
+        if both.any():
+            vary = both.sum() > 1 and "e3" not in (a, b)
+            want[a, b] = (both.sum(), np.corrcoef(u[both], v[both])[0, 1] if vary else None)
+    found = {(r.a, r.b): (r.n, r["corr"]) for r in got.collect()}
+    assert found.keys() == want.keys() and got.count() == len(want)
+    for pair, (n, c) in want.items():
+        assert found[pair][0] == n and found[pair][1] == (c if c is None else pytest.approx(c, abs=1e-9))
+
+
 def test_principal_components_of_embeddings(spark, tmp_path):
     from stratapanel.plans.queries import QUERIES
 
