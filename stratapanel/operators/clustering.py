@@ -11,49 +11,56 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.cache import checkpointed
+from .correlation import Correlations
 from .elastic_net import no_rows
-from .matrix import correlation_matrix, distances, kmeans, mean_silhouette, principal_components
+from .matrix import correlation_matrix, distances, kmeans, principal_components
 
 MIN_MONTHS, MIN_ENTITIES, MAX_COMPONENTS = 36, 5, 10
+#: entities up to which a period's correlation matrix is built, and points whose silhouettes one task takes
+DENSE, ROWS = 2000, 8000
 FIT_SCHEMA = "refit_date date, permno bigint, cluster_id int, k int, silhouette double"
 
 
-def pick_k(x: np.ndarray, grid: tuple[int, ...], seed: int, starts: int = 25) -> tuple[int | None, float | None, list[tuple[int, float, float | None]]]:
-    """The k of ``grid`` with the greatest mean silhouette (the first of ties), and (k, within, silhouette) for each."""
-    scores: list[tuple[int, float, float | None]] = []
-    away = distances(x, x)
-    for k in grid:
-        if k > len(x):
-            continue
-        label, _, within = kmeans(x, k, starts, 100, seed)
-        scores.append((k, within, mean_silhouette(x, label, away) if 2 <= k < len(x) else None))
-    known = [s for s in scores if s[2] is not None]
-    best = max(known, key=lambda s: s[2]) if known else (None, None, None)
-    return best[0], best[2], scores
-
-
-def embed(entities: np.ndarray, times: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entities with enough months, and the principal components of their correlation matrix."""
-    who, row = np.unique(entities, return_inverse=True)
-    when, col = np.unique(times, return_inverse=True)
-    wide = np.full((len(when), len(who)), np.nan)
-    wide[col, row] = values
-    enough = (~np.isnan(wide)).sum(0) >= MIN_MONTHS
-    if enough.sum() < MIN_ENTITIES:
-        return who[:0], np.zeros((0, 0))
-    corr = correlation_matrix(wide[:, enough])
-    return who[enough], principal_components(corr, min(MAX_COMPONENTS, len(corr) - 1))
-
-
-def fit_period(window: pd.DataFrame, grid: tuple[int, ...], force: int | None, seed: int, starts: int = 25) -> pd.DataFrame:
-    """permno, cluster_id (from 1), k and silhouette of one window; no rows if there is too little to go by."""
-    who, x = embed(window["permno"].to_numpy(), window["date_eom"].to_numpy(), window["ret_excess"].to_numpy(float))
-    if not len(who):
-        return no_rows("permno", "cluster_id", "k", "silhouette")
-    k, silhouette, _ = pick_k(x, grid, seed, starts)
-    k = k if force is None else force
-    label, _, _ = kmeans(x, k, 2 * starts, 200, seed)
-    return pd.DataFrame({"permno": who, "cluster_id": label + 1, "k": k, "silhouette": silhouette})
+def embed(window: pd.DataFrame) -> pd.DataFrame:
+    """permno and x, the principal components of the correlation matrix, from one row an entity with its times and values; no rows if there is too little to go by."""
+    window = window.sort_values("permno")
+    if len(window) < MIN_ENTITIES:
+        return no_rows("permno", "x")
+    size = window["t"].str.len().to_numpy()
+    when, row = np.unique(np.concatenate(window["t"].to_list()), return_inverse=True)
+    wide = np.full((len(when), len(window)), np.nan)
+    wide[row, np.repeat(np.arange(len(window)), size)] = np.concatenate(window["v"].to_list())
+    k = min(MAX_COMPONENTS, len(window) - 1)
+    x = principal_components(correlation_matrix(wide), k) if len(window) <= DENSE else Correlations(wide).components(k)
+    return pd.DataFrame({"permno": window["permno"].to_numpy(), "x": list(x)})
+
+
+def silhouette_sums(x: np.ndarray, labels: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sum of the silhouettes of the rows ``own`` among the points ``x``, for each column of ``labels``; distances are taken tile by tile."""
+    sizes = labels.max(0) + 1
+    first = np.cumsum(sizes) - sizes
+    member = np.zeros((len(x), sizes.sum()))
+    for f, label in zip(first, labels.T, strict=True):
+        member[np.arange(len(x)), f + label] = 1
+    count, out = member.sum(0), np.zeros(labels.shape[1])
+    for lo in range(0, len(own), 256):
+        rows = own[lo : lo + 256]
+        sums = np.zeros((len(rows), member.shape[1]))
+        for at in range(0, len(x), 2048):
+            away = distances(x[rows], x[at : at + 2048])
+            mine = (rows >= at) & (rows < at + 2048)
+            away[np.flatnonzero(mine), rows[mine] - at] = 0
+            sums += away @ member[at : at + 2048]
+        for c, (f, k) in enumerate(zip(first, sizes, strict=True)):
+            label, n, each = labels[rows, c], count[f : f + k], sums[:, f : f + k]
+            line = np.arange(len(rows))
+            a = each[line, label] / np.maximum(n[label] - 1, 1)
+            means = np.where(n > 0, each / np.maximum(n, 1), np.inf)
+            means[line, label] = np.inf
+            b = means.min(1)
+            with np.errstate(invalid="ignore"):
+                out[c] += np.nan_to_num(np.where(n[label] > 1, (b - a) / np.maximum(a, b), 0.0)).sum()
+    return out
 
 
 def assignment(gain: np.ndarray) -> list[int]:
@@ -135,23 +142,69 @@ def refit_dates(config: EngineConfig) -> list[date]:
 
 
 def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = tuple(range(2, 11)), force: int | None = None, starts: int = 25) -> DataFrame:
-    """One clustering for each refit date over the months up to it, all in parallel, labels not yet matched.
+    """One clustering for each refit date over the months up to it, all in parallel, labels not yet matched: the k of ``grid`` with the greatest mean silhouette
+    (the first of ties), or ``force``.
 
-    A window holds one period's entities x months: its size is bounded by the number of entities, and its correlation matrix
-    is the memory that a task needs.
+    An entity's window is one row. The task of a refit holds its entities x months and their components; no matrix of entities x entities is held, but blocks of it.
+    Each k is a task, and so is each block of rows whose silhouettes are taken; only k's silhouettes come to the driver.
     """
     spark = panel.sparkSession
     dates = spark.createDataFrame([(d, n + 1) for n, d in enumerate(refit_dates(config))], "refit_date date, number int")
-    first = F.add_months("refit_date", 1 - config.refit_window_months)
-    inside = (F.col("date_eom") <= F.col("refit_date")) & (F.col("date_eom") >= F.last_day(first))
-    rows = panel.select(F.col("permno").cast("bigint").alias("permno"), "date_eom", "ret_excess").where("ret_excess is not null").join(F.broadcast(dates), inside)
-
-    def fit(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
-        found = fit_period(window, grid, force, config.seed + int(window["number"].iloc[0]), starts)
-        found.insert(0, "refit_date", key[0])
-        return found
-
-    return rows.groupBy("refit_date").applyInPandas(fit, FIT_SCHEMA)
+    first = F.last_day(F.add_months("refit_date", 1 - config.refit_window_months))
+    known = panel.select(F.col("permno").cast("bigint").alias("permno"), F.unix_date("date_eom").alias("t"), "date_eom", F.col("ret_excess").cast("double").alias("v")).where("permno is not null and v is not null and not isnan(v)")
+    own = known.groupBy("permno").agg(F.array_sort(F.collect_list(F.struct("t", "date_eom", "v"))).alias("s")).crossJoin(F.broadcast(dates))
+    own = own.withColumn("s", F.filter("s", lambda p: (p["date_eom"] <= F.col("refit_date")) & (p["date_eom"] >= first))).where(F.size("s") >= MIN_MONTHS)
+    series = own.select("refit_date", "number", "permno", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
+
+    def place(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
+        return embed(window).assign(refit_date=key[0], number=key[1])[["refit_date", "number", "permno", "x"]]
+
+    points = checkpointed(series.groupBy("refit_date", "number").applyInPandas(place, "refit_date date, number int, permno bigint, x array<double>"))
+
+    def points_of(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        part = part.sort_values("permno")
+        return part, np.stack(part["x"].to_list())
+
+    def attempt(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if key[2] > len(part):
+            return no_rows("refit_date", "permno", "k", "label")
+        part, x = points_of(part)
+        label, _, _ = kmeans(x, key[2], starts, 100, config.seed + key[1])
+        return pd.DataFrame({"refit_date": key[0], "permno": part["permno"].to_numpy(), "k": key[2], "label": label})
+
+    tried = points.withColumn("k", F.explode(F.array(*[F.lit(k) for k in grid if k >= 2]).cast("array<int>")))
+    tried = tried.groupBy("refit_date", "number", "k").applyInPandas(attempt, "refit_date date, permno bigint, k int, label int")
+    labels = tried.groupBy("refit_date", "permno").agg(F.array_sort(F.collect_list(F.struct("k", "label"))).alias("l"))
+    labels = labels.select("refit_date", "permno", F.transform("l", lambda p: p["k"]).alias("ks"), F.transform("l", lambda p: p["label"]).alias("labels"))
+    labelled = checkpointed(points.join(labels, ["refit_date", "permno"]))
+    sizes = labelled.groupBy("refit_date").agg(F.ceil(F.count("*") / ROWS).alias("parts"))
+    dealt = labelled.join(F.broadcast(sizes), "refit_date").withColumn("own", F.pmod(F.xxhash64("permno"), F.col("parts")))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+
+    def widths(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part, x = points_of(part)
+        own, ks, label = np.flatnonzero(part["own"].to_numpy() == key[1]), np.asarray(part["ks"].iloc[0]), np.stack(part["labels"].to_list())
+        fit = ks < len(x)
+        return pd.DataFrame({"refit_date": key[0], "part": key[1], "k": ks[fit], "s": silhouette_sums(x, label[:, fit], own), "n": len(x)})
+
+    found = dealt.select("refit_date", "part", "permno", "x", "ks", "labels", "own").groupBy("refit_date", "part").applyInPandas(widths, "refit_date date, part bigint, k int, s double, n bigint").collect()
+    scores: dict[date, dict[int, float]] = {}
+    for r in sorted(found):
+        of = scores.setdefault(r.refit_date, {})
+        of[r.k] = of.get(r.k, 0.0) + r.s / r.n
+    chosen = []
+    for day, of in scores.items():
+        best = max((k for k in grid if k in of), key=of.__getitem__, default=None)
+        if best is not None or force is not None:
+            chosen.append((day, best if force is None else force, None if best is None else of[best]))
+
+    def final(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part, x = points_of(part)
+        label, _, _ = kmeans(x, key[2], 2 * starts, 200, config.seed + key[1])
+        return pd.DataFrame({"refit_date": key[0], "permno": part["permno"].to_numpy(), "cluster_id": label + 1, "k": key[2], "silhouette": part["silhouette"].to_numpy()})
+
+    picked = points.join(F.broadcast(spark.createDataFrame(chosen, "refit_date date, k int, silhouette double")), "refit_date")
+    return picked.groupBy("refit_date", "number", "k").applyInPandas(final, FIT_SCHEMA)
 
 
 def clusters_annual(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = tuple(range(2, 11)), force: int | None = None, starts: int = 25) -> tuple[DataFrame, DataFrame]:

@@ -11,10 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: rows, or entities, in a block of pairwise work
-BLOCK = 2000
+from .correlation import Correlations
+
+#: rows in a block of pairwise distances, and entities in one of pairs that are summed up
+NEAR, BLOCK = 2000, 10_000
 #: entities in a block whose pairs are the result, and pairs in a strip of it
 PAIRS, STRIP = 1000, 200_000
+#: distances that k-means holds at once
+PIECE = 1 << 18
 
 # ---- long form: nothing is pivoted, so the number of entities is not a number of columns
 
@@ -27,25 +31,14 @@ def pair_correlations(rows: DataFrame, entity: str, time: str, x: str, least: in
     entity's series is one row, a pair of blocks of entities is a task's matrices, and finished pairs leave them strip by strip.
     """
     by = by or []
-    known = rows.where(F.col(x).isNotNull() & F.col(entity).isNotNull()).select(*by, F.col(entity).alias("e"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
-    series = known.groupBy(*by, "e").agg(F.collect_list(F.struct("t", "v")).alias("s")).where(F.size("s") >= least)
-    series = series.withColumn("s", F.filter("s", lambda p: p["t"].isNotNull()))
-    series = series.select(*by, "e", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
-    sizes = series.groupBy(*by).agg(F.ceil(F.count("*") / PAIRS).alias("blocks"))
-    dealt = (series.join(sizes, by) if by else series.crossJoin(F.broadcast(sizes))).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    dealt = _dealt(_series(rows, entity, time, x, least, by), by, PAIRS)
     shape = dealt.select(*by, F.col("e").alias("a"), F.col("e").alias("b")).schema.add("n", "long").add("corr", "double")
     names = shape.names
 
     def strips(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(batches)
         part = part.take(pc.sort_indices(part, [("e", "ascending")]))  # so that a pair's smaller entity is that of the smaller place
-        who, when = part["e"].combine_chunks(), part["t"].combine_chunks().flatten().dictionary_encode()
-        size = pc.list_value_length(part["t"]).to_numpy().astype(int)
-        column = np.repeat(np.arange(len(part)), size)
-        seen, wide = np.zeros((len(when.dictionary), len(part)), bool), np.zeros((len(when.dictionary), len(part)))
-        at = when.indices.to_numpy(zero_copy_only=False)
-        seen[at, column], wide[at, column] = True, part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        who, (wide, seen) = part["e"].combine_chunks(), _wide(part)
         block = part["block"].to_numpy()
         left, right = np.flatnonzero(block == key[-2].as_py()), np.flatnonzero(block == key[-1].as_py())
         step = max(1, STRIP // max(1, len(right)))
@@ -61,39 +54,55 @@ def pair_correlations(rows: DataFrame, entity: str, time: str, x: str, least: in
             groups = [pa.repeat(k, len(p)) for k in key[: len(by)]]
             yield pa.RecordBatch.from_arrays([*groups, who.take(pa.array(a)), who.take(pa.array(b)), pa.array(n[p, q].astype("int64")), pa.array(corr, mask=np.isnan(corr))], names)
 
-    return dealt.select(*by, "e", "t", "v", "block", "low", "high").groupBy(*by, "low", "high").applyInArrow(strips, shape)
+    return dealt.groupBy(*by, "low", "high").applyInArrow(strips, shape)
 
 
 def mean_correlations(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str]) -> DataFrame:
     """``by`` and ``corr``: the mean correlation of the pairs of each group's entities, over the times that both have; pairs where one doesn't
     vary don't count, nor entities with fewer than ``least`` values. A group without a pair has a null.
 
-    An entity's series is one row; a pair of blocks of entities is a task's matrices, and only its sum and count are shuffled. The work is quadratic in a group's
-    entities by definition.
+    An entity's series is one row; a pair of blocks of entities is a task, and only its sum and count are shuffled. They come from sums by pattern of
+    missing values, so the work is quadratic only in entities whose pattern few others have.
     """
-    known = rows.where(F.col(x).isNotNull()).select(*by, F.col(entity).alias("e"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
-    series = known.groupBy(*by, "e").agg(F.collect_list(F.struct("t", "v")).alias("s")).where(F.size("s") >= least)
-    series = series.select(*by, "e", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
-    blocks = series.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = series.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-
-    def sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        times, place = np.unique(np.concatenate(part["t"].to_list()), return_inverse=True)
-        size = part["t"].str.len().to_numpy()
-        wide = np.full((len(times), len(part)), np.nan)
-        wide[place, np.repeat(np.arange(len(part)), size)] = np.concatenate(part["v"].to_list())
-        left = part["block"].to_numpy() == key[-2]
-        same = key[-2] == key[-1]
-        corr = cross_correlations(wide[:, left], wide[:, left if same else ~left])
-        pairs = corr[np.triu_indices(len(corr), 1)] if same else corr.ravel()
-        return pd.DataFrame([[*key[: len(by)], np.nansum(pairs), int((~np.isnan(pairs)).sum())]], columns=[*by, "s", "n"])
+    dealt = _dealt(_series(rows, entity, time, x, least, by), by, BLOCK)
+
+    def sums(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        wide, seen = _wide(part)
+        left = part["block"].to_numpy() == key[-2].as_py()
+        total, count = Correlations(np.where(seen, wide, np.nan)).pairs(None if key[-2] == key[-1] else left)
+        return pa.table([*[pa.repeat(k, 1) for k in key[: len(by)]], pa.array([total]), pa.array([count])], [*by, "s", "n"])
 
     shape = dealt.select(*by).schema.add("s", "double").add("n", "long")
-    parts = dealt.select(*by, "t", "v", "block", "low", "high").groupBy(*by, "low", "high").applyInPandas(sums, shape)
+    parts = dealt.groupBy(*by, "low", "high").applyInArrow(sums, shape)
     return parts.groupBy(*by).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("corr"))
 
 
+def _series(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str]) -> DataFrame:
+    """``by``, ``e`` and its times ``t`` and values ``v``: one row for each entity with ``least`` values."""
+    known = rows.where(F.col(x).isNotNull() & F.col(entity).isNotNull()).select(*by, F.col(entity).alias("e"), F.col(time).alias("t"), F.col(x).cast("double").alias("v"))
+    series = known.groupBy(*by, "e").agg(F.collect_list(F.struct("t", "v")).alias("s")).where(F.size("s") >= least)
+    series = series.withColumn("s", F.filter("s", lambda p: p["t"].isNotNull()))
+    return series.select(*by, "e", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
+
+
+def _dealt(series: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Each entity in its ``block`` of about ``size``, once for each pair (``low``, ``high``) of blocks of its group that it belongs to."""
+    sizes = series.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("blocks"))
+    own = (series.join(sizes, by) if by else series.crossJoin(F.broadcast(sizes))).withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    return own.withColumn("other", other).select(*by, "e", "t", "v", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _wide(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Times x entities of a table of series, and where there are values."""
+    when = part["t"].combine_chunks().flatten().dictionary_encode()
+    column = np.repeat(np.arange(len(part)), pc.list_value_length(part["t"]).to_numpy().astype(int))
+    row = when.indices.to_numpy(zero_copy_only=False)
+    wide, seen = np.zeros((len(when.dictionary), len(part))), np.zeros((len(when.dictionary), len(part)), bool)
+    wide[row, column], seen[row, column] = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), True
+    return wide, seen
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
@@ -106,7 +115,7 @@ def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame
     and only sums by row and cluster are shuffled. The work is quadratic by definition.
     """
     slim = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("c"))
-    blocks = 1 + slim.count() // BLOCK
+    blocks = 1 + slim.count() // NEAR
     own = slim.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
@@ -186,43 +195,53 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each start its points' nearest centres, the first of ties, and the squared distances; ``centres`` is starts x k x columns."""
     cost = (centres**2).sum(2)[:, :, None] - 2 * (centres @ x.T)
-    best, label = cost[:, 0].copy(), np.zeros((len(centres), len(x)), np.int64)
+    best, label = cost[:, 0].copy(), np.zeros((len(centres), len(x)), np.int32)
     for c in range(1, centres.shape[1]):
         closer = cost[:, c] < best
-        best[closer] = cost[:, c][closer]
-        label[closer] = c
+        np.copyto(best, cost[:, c], where=closer)
+        np.copyto(label, c, where=closer)
     return label, np.maximum(best + (x**2).sum(1), 0)
 
 
 def kmeans(x: np.ndarray, k: int, starts: int = 25, rounds: int = 100, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Labels (from 0), centres and within sum of squares of the best of several k-means++ starts, which are run side by side."""
+    """Labels (from 0), centres and within sum of squares of the best of several k-means++ starts, which are run side by side, over the points piece by piece."""
     rng = np.random.default_rng(seed)
     centres = x[rng.integers(len(x), size=(starts, 1))]
+    gap = np.full((starts, len(x)), np.inf)
     while centres.shape[1] < k:
-        _, gap = _nearest(x, centres)
+        np.minimum(gap, _nearest(x, centres[:, -1:])[1], out=gap)
         total = gap.sum(1, keepdims=True)
         share = np.cumsum(np.where(total > 0, gap, 1) / np.where(total > 0, total, len(x)), 1)
         picked = np.minimum((share < rng.random((starts, 1))).sum(1), len(x) - 1)
         centres = np.concatenate([centres, x[picked][:, None]], 1)
-    labels = np.full((starts, len(x)), -1)
+    labels = np.full((starts, len(x)), -1, np.int32)
     live = np.arange(starts)
     for _ in range(rounds):
-        new, away = _nearest(x, centres[live])
-        member = new[:, None] == np.arange(k)[None, :, None]
-        for n, c in zip(*np.nonzero(~member.any(2)), strict=True):  # an empty cluster takes the point farthest from its centre
-            far = away[n].argmax()
-            member[n, :, far] = False
-            member[n, c, far] = True
-            new[n, far], away[n, far] = c, 0
-        moved = (new != labels[live]).any(1)
-        labels[live] = new
+        moved = np.zeros(len(live), bool)
+        sums, count, away = np.zeros((len(live), k, x.shape[1])), np.zeros((len(live), k), int), gap[: len(live)]
+        step = max(1, PIECE // (len(live) * k))
+        for lo in range(0, len(x), step):
+            part = slice(lo, lo + step)
+            new, away[:, part] = _nearest(x[part], centres[live])
+            moved |= (new != labels[live, part]).any(1)
+            labels[live, part] = new
+            member = new[:, None] == np.arange(k, dtype=np.int32)[None, :, None]
+            count += member.sum(2)
+            sums += member.astype(float) @ x[part]
+        for n in np.flatnonzero((count == 0).any(1)):  # an empty cluster takes the point farthest from its centre
+            for c in np.flatnonzero(count[n] == 0):
+                far = away[n].argmax()
+                labels[live[n], far], away[n, far] = c, 0
+            moved[n] = True
+            member = labels[live[n]] == np.arange(k)[:, None]
+            count[n], sums[n] = member.sum(1), member.astype(float) @ x
+        centres[live[moved]] = sums[moved] / np.maximum(count[moved], 1)[:, :, None]
         live = live[moved]
         if not len(live):
             break
-        centres[live] = (member[moved].astype(float) @ x) / np.maximum(member[moved].sum(2), 1)[:, :, None]
-    within = ((x - np.take_along_axis(centres, labels[:, :, None], 1)) ** 2).sum((1, 2))
+    within = np.array([((x - centres[n][labels[n]]) ** 2).sum() for n in range(starts)])
     best = int(np.flatnonzero(within <= within.min() + 1e-12)[0])
-    return labels[best], centres[best], float(within[best])
+    return labels[best].astype(int), centres[best], float(within[best])
 
 
 def mean_silhouette(x: np.ndarray, label: np.ndarray, away: np.ndarray | None = None) -> float:

@@ -212,6 +212,31 @@ def test_pair_correlations_by_blocks(spark, monkeypatch):
         assert found[pair][0] == n and found[pair][1] == (c if c is None else pytest.approx(c, abs=1e-9))
 
 
+def test_sums_of_correlations_by_pattern(monkeypatch):
+    from stratapanel.operators import correlation, matrix
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20, 90))
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 4] = 2.0
+    x[3, 9] = np.inf
+    x[:9, 11] = x[9:, 12] = np.nan
+    finite = np.where(np.isinf(x), 0, x)
+    plain = matrix.cross_correlations(finite, finite)
+    plain[9] = plain[:, 9] = np.nan
+    side = np.arange(90) % 3 == 0
+    monkeypatch.setattr(correlation, "TILE_ROWS", 7)
+    monkeypatch.setattr(correlation, "TILE_COLUMNS", 16)
+    for big in (1, 5, 1000):
+        monkeypatch.setattr(correlation, "BIG", big)
+        found = correlation.Correlations(x)
+        scaled = [found.scaled(p, p).any() for p in range(found.big)]
+        assert found.pairs()[1] == (~np.isnan(plain[np.triu_indices(90, 1)])).sum() and (big > 999 or any(scaled))
+        assert found.pairs()[0] == pytest.approx(np.nansum(plain[np.triu_indices(90, 1)]))
+        between = plain[side][:, ~side]
+        assert found.pairs(side) == (pytest.approx(np.nansum(between)), (~np.isnan(between)).sum())
+
+
 def test_principal_components_of_embeddings(spark, tmp_path):
     from stratapanel.plans.queries import QUERIES
 

@@ -265,6 +265,34 @@ def test_cache_and_raw_sources(spark, tmp_path):
     assert (link.linkdt, link.linkenddt) == (date(2015, 1, 1), date(9999, 12, 31))
 
 
+def test_clusters_hold_no_matrix_of_entities(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    n, t = 2100, 40
+    x = rng.normal(size=(t, 3)) @ rng.normal(size=(3, n)) + rng.normal(size=(t, n))
+    for e in range(0, n, 3):
+        x[e % 4, e] = np.nan
+    x[7:9, 5] = x[11, 8] = np.nan
+    x[~np.isnan(x[:, 20]), 20] = 1.0
+    times = [np.flatnonzero(~np.isnan(c)) for c in x.T]
+    window = pd.DataFrame({"permno": np.arange(n), "t": times, "v": [c[at] for c, at in zip(x.T, times, strict=True)]})
+    tracemalloc.start()
+    got = clustering.embed(window)
+    points = np.stack(got["x"])
+    label, _, _ = matrix.kmeans(points, 4, 5, 20, 1)
+    sums = clustering.silhouette_sums(points, label[:, None], np.arange(n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n
+    assert sums[0] / n == pytest.approx(matrix.mean_silhouette(points, label), abs=1e-9)
+    monkeypatch.setattr(clustering, "DENSE", n)
+    dense = np.stack(clustering.embed(window)["x"])
+    assert np.abs(points - dense).max() < 1e-8 * np.abs(dense).max()
+    monkeypatch.setattr(matrix, "PIECE", 700)
+    assert (matrix.kmeans(points, 4, 5, 20, 1)[0] == label).all()
+
+
 def test_feature_list_is_built():
     assert len(FEATURE_COLS) == 16 and os.path.exists(os.path.dirname(__file__))
 
