@@ -28,7 +28,7 @@ def snapshot(rows: DataFrame) -> DataFrame:
 
 def composition(rows: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Adjusted Rand index of each pair of groupings, and their contingency tables."""
-    snap = snapshot(rows)
+    snap = checkpointed(snapshot(rows.select("date_eom", "gsector", "gics_sector_name", "ff12_code", "cluster_id")))
     pairs = {"GICS vs FF12": ("gsector", "ff12_code"), "GICS vs Cluster": ("gsector", "cluster_id"), "FF12 vs Cluster": ("ff12_code", "cluster_id")}
     rand = None
     for name, (a, b) in pairs.items():
@@ -89,7 +89,8 @@ def scheme_metrics(groups: DataFrame) -> DataFrame:
 
 def prediction(rows: DataFrame, config: EngineConfig, schemes: dict[str, str] = SCHEMES) -> tuple[DataFrame, DataFrame]:
     """Per group and per scheme, with a pooled model beside; the pooled one keeps rows without a group."""
-    frame = with_folds(modelling_frame(rows, config), config.seed)
+    needed = rows.select("permno", "date_eom", "alpha_fwd_1m", *schemes.values(), *FEATURE_COLS)
+    frame = checkpointed(with_folds(modelling_frame(needed, config), config.seed))
     per_group = group_metrics(predict_groups(long_schemes(frame, schemes), FEATURE_COLS, "alpha_fwd_1m"))
     pooled = group_metrics(predict_pooled(frame, FEATURE_COLS, "alpha_fwd_1m"))
     return per_group, scheme_metrics(per_group.unionByName(pooled))
@@ -97,7 +98,8 @@ def prediction(rows: DataFrame, config: EngineConfig, schemes: dict[str, str] =
 
 def anomalies(rows: DataFrame, config: EngineConfig, schemes: dict[str, str] = SCHEMES, trees: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Flags of each scheme's test rows, their overlap, and forward alpha by flag."""
-    frame = modelling_frame(with_forward_alpha(rows), config, need_label=False)
+    needed = rows.select("permno", "date_eom", "alpha_realized", *schemes.values(), *FEATURE_COLS)
+    frame = checkpointed(modelling_frame(with_forward_alpha(needed), config, need_label=False))
     scores = checkpointed(score_groups(long_schemes(frame, schemes), FEATURE_COLS, trees, seed=config.seed))
     flags = flag_top(scores, "iso_score", ["scheme", "grp"])
     overlap = flag_overlap(flags, ["permno", "date_eom"], "scheme", list(schemes))

@@ -36,11 +36,15 @@ def with_lagged_drivers(rows: DataFrame, config: EngineConfig) -> DataFrame:
     return with_lags(rows, lags)
 
 
-def build_features(panel: DataFrame, config: EngineConfig) -> DataFrame:
-    """All windows along an entity first, over one shuffle and sort, written once; then the cross-section, from sums by month."""
+def build_features(panel: DataFrame, config: EngineConfig, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """All windows along an entity first, over one shuffle and sort, written once; then the cross-section, from sums by month. With ``keep`` only
+    these columns are written and returned."""
     rows = with_lagged_drivers(with_controls(with_loadings(panel, config)), config)
-    rows = checkpointed(with_forward_alpha(with_realised_alpha(rows)))
-    return with_zscores(rows, {b: f"z_{b}" for b in BETAS}, "date_eom")
+    rows = with_forward_alpha(with_realised_alpha(rows))
+    scores = {b: f"z_{b}" for b in BETAS if keep is None or f"z_{b}" in keep}
+    rows = checkpointed(rows if keep is None else rows.select(*[c for c in rows.columns if c in keep or c in scores or c == "date_eom"]))
+    rows = with_zscores(rows, scores, "date_eom") if scores else rows
+    return rows if keep is None else rows.select(*keep)
 
 
 def violations(features: DataFrame, panel: DataFrame, config: EngineConfig, tolerance: float = 1e-10) -> DataFrame:

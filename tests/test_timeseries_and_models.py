@@ -293,6 +293,16 @@ def test_clusters_hold_no_matrix_of_entities(monkeypatch):
     assert (matrix.kmeans(points, 4, 5, 20, 1)[0] == label).all()
 
 
+def test_features_keep_only_what_is_asked_for(spark, synthetic):
+    _, df = synthetic
+    few = df.where("permno < 10004")
+    keep = ("permno", "date_eom", "z_beta_hml", "alpha_fwd_3m")
+    got = features.build_features(few, CONFIG, keep)
+    assert got.columns == list(keep)
+    assert "beta_mkt" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.exceptAll(features.build_features(few, CONFIG).select(*keep)).count() == 0 and got.count() == few.count()
+
+
 def test_feature_list_is_built():
     assert len(FEATURE_COLS) == 16 and os.path.exists(os.path.dirname(__file__))
 
