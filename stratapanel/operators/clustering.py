@@ -21,17 +21,22 @@ DENSE, ROWS = 2000, 8000
 FIT_SCHEMA = "refit_date date, permno bigint, cluster_id int, k int, silhouette double"
 
 
+def months(window: pd.DataFrame) -> np.ndarray:
+    """Times x entities, NaN where missing."""
+    size = window["t"].str.len().to_numpy()
+    when, row = np.unique(np.concatenate(window["t"].to_list()), return_inverse=True)
+    wide = np.full((len(when), len(window)), np.nan)
+    wide[row, np.repeat(np.arange(len(window)), size)] = np.concatenate(window["v"].to_list())
+    return wide
+
+
 def embed(window: pd.DataFrame) -> pd.DataFrame:
     """permno and x, the principal components of the correlation matrix, from one row an entity with its times and values; no rows if there is too little to go by."""
     window = window.sort_values("permno")
     if len(window) < MIN_ENTITIES:
         return no_rows("permno", "x")
-    size = window["t"].str.len().to_numpy()
-    when, row = np.unique(np.concatenate(window["t"].to_list()), return_inverse=True)
-    wide = np.full((len(when), len(window)), np.nan)
-    wide[row, np.repeat(np.arange(len(window)), size)] = np.concatenate(window["v"].to_list())
     k = min(MAX_COMPONENTS, len(window) - 1)
-    x = principal_components(correlation_matrix(wide), k) if len(window) <= DENSE else Correlations(wide).components(k)
+    x = principal_components(correlation_matrix(months(window)), k) if len(window) <= DENSE else Correlations(months(window)).components(k)
     return pd.DataFrame({"permno": window["permno"].to_numpy(), "x": list(x)})
 
 

@@ -131,44 +131,54 @@ class Correlations:
     def components(self, k: int, tolerance: float = 1e-9, blocks: int = 6) -> np.ndarray:
         """Scores on the first ``k`` principal components of the matrix's columns, an entity a row in the order of ``x``; each component's largest loading is positive.
 
-        A block Krylov space of the matrix is begun from the entities' own values, which hold all of it if none is missing, and grown until the
-        scores stay where they are; beyond ``blocks`` blocks it is begun anew from its best vectors.
+        A space is begun from the entities' own values, which hold all of it if none is missing, and grown by what the matrix and its transpose make of the
+        best vectors beyond it, until the scores stay where they are; after ``blocks`` times it is begun anew from its best vectors. It grows by a
+        few vectors at a time, so that a task holds little more than the values; vectors are rows, written in place.
         """
         n = len(self.values)
         length = np.sqrt((self.values**2).sum(1, keepdims=True))
-        basis = new = _orthonormal(self.values / np.where(length > 0, length, 1), np.zeros((n, 0)), 1e-12)
-        wide = max(basis.shape[1], k)
-        ones = self.times(np.ones((n, 1)))  # centring takes this direction out of the matrix's own Krylov space
-        image, last = np.zeros((n, 0)), None
+        new = _orthonormal((self.values / np.where(length > 0, length, 1)).T, np.zeros((0, n)), 1e-12)
+        grow = k + 4
+        basis, image = (np.empty((max(len(new), 2 * grow) + blocks * grow, n)) for _ in range(2))
+        m, last = 0, None
         while True:
-            image = np.concatenate([image, self.times(new)], 1)
-            size, turn = np.linalg.eigh(image.T @ image)
+            basis[m : m + len(new)], image[m : m + len(new)] = new, self.times(new.T).T
+            m += len(new)
+            size, turn = np.linalg.eigh(image[:m] @ image[:m].T)
             size, turn = np.sqrt(np.maximum(size[::-1], 0)), turn[:, ::-1]
-            scores = (basis @ turn[:, :k]) * size[:k]
+            scores = (turn[:, :k] * size[:k]).T @ basis[:m]
             if last is not None and last.shape == scores.shape:
-                same = np.where((scores * last).sum(0) < 0, -1, 1)
+                same = np.where((scores * last).sum(1) < 0, -1, 1)[:, None]
                 if np.abs(scores - last * same).max() <= tolerance * np.abs(scores).max():
                     break
-            last, newest = scores, image[:, image.shape[1] - new.shape[1] :]
-            if basis.shape[1] >= blocks * wide:
-                basis, image = basis @ turn[:, :wide], image @ turn[:, :wide]
-                turn, newest = np.eye(wide), image
-            new = _orthonormal(np.concatenate([newest, ones], 1), basis, 1e-12 * max(size, default=0))
-            if not new.shape[1]:
+            last = scores
+            new = self.times((turn[:, :grow].T @ image[:m]).T).T
+            if m + grow > len(basis):
+                m = min(m, 2 * grow)
+                for rows in (basis, image):
+                    rows[:m] = turn[:, :m].T @ rows[: len(turn)]
+                turn = np.eye(m)
+            new = _orthonormal(new, basis[:m], 1e-12 * max(size, default=0) ** 2)
+            if not len(new):
                 break
-            basis = np.concatenate([basis, new], 1)
         out, loadings = np.zeros((n, k)), np.zeros((n, k))
-        out[self.order, : scores.shape[1]], loadings[self.order, : scores.shape[1]] = scores, image @ turn[:, :k]
+        out[self.order, : len(scores)], loadings[self.order, : len(scores)] = scores.T, (turn[:, :k].T @ image[:m]).T
         return out * np.where(loadings[np.abs(loadings).argmax(0), np.arange(k)] < 0, -1, 1)
 
 
 def _orthonormal(y: np.ndarray, basis: np.ndarray, least: float) -> np.ndarray:
-    """An orthonormal basis of the centred columns of ``y`` beyond ``basis``, without directions of length ``least`` or 1e-7 of the longest one."""
-    for _ in range(3):
-        y = y - y.mean(0)
-        y -= basis @ (basis.T @ y)
-        size, turn = np.linalg.eigh(y.T @ y)
+    """An orthonormal basis of the centred rows of ``y`` beyond ``basis``, without directions of length ``least`` or 1e-7 of the longest one. Each row counts
+    by what it has beyond ``basis``, however little that is."""
+    y = y - y.mean(1, keepdims=True)
+    for rounds in range(4):
+        y -= (y @ basis.T) @ basis
+        y -= y.mean(1, keepdims=True)
+        if not rounds:
+            size = np.sqrt(np.einsum("ij,ij->i", y, y))
+            y = y[size > least] / size[size > least, None]
+            continue
+        size, turn = np.linalg.eigh(y @ y.T)
         size = np.sqrt(np.maximum(size, 0))
-        kept = size > max(least, 1e-7 * max(size, default=0))
-        y, least = (y @ turn[:, kept]) / size[kept], 0.5
+        kept = size > (1e-7 * max(size, default=0) if rounds == 1 else 0.5)
+        y = (turn[:, kept].T @ y) / size[kept, None]
     return y

@@ -237,6 +237,27 @@ def test_sums_of_correlations_by_pattern(monkeypatch):
         assert found.pairs(side) == (pytest.approx(np.nansum(between)), (~np.isnan(between)).sum())
 
 
+def test_components_take_little_more_than_the_values():
+    import tracemalloc
+
+    from stratapanel.operators import correlation, matrix
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 5000))
+    x[(rng.random((40, 25)) < 0.1)[:, np.arange(5000) % 25]] = np.nan
+    found = correlation.Correlations(x)
+    tracemalloc.start()
+    found.components(10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * found.values.nbytes
+    few = x[:, :300]
+    few[rng.random(few.shape) < 0.1] = np.nan
+    want = matrix.principal_components(matrix.correlation_matrix(few), 10)
+    for blocks in (1, 6):  # begun anew again and again, or not
+        assert np.abs(correlation.Correlations(few).components(10, blocks=blocks) - want).max() < 1e-7
+
+
 def test_principal_components_of_embeddings(spark, tmp_path):
     from stratapanel.plans.queries import QUERIES
 
