@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.cache import checkpointed
 from .correlation import Correlations
 
 #: rows in a block of pairwise distances, and entities in one of pairs that are summed up
@@ -57,14 +58,18 @@ def pair_correlations(rows: DataFrame, entity: str, time: str, x: str, least: in
     return dealt.groupBy(*by, "low", "high").applyInArrow(strips, shape)
 
 
-def mean_correlations(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str]) -> DataFrame:
+def mean_correlations(rows: DataFrame, entity: str, time: str, x: str, least: int, by: list[str], members: DataFrame | None = None) -> DataFrame:
     """``by`` and ``corr``: the mean correlation of the pairs of each group's entities, over the times that both have; pairs where one doesn't
     vary don't count, nor entities with fewer than ``least`` values. A group without a pair has a null.
 
     An entity's series is one row; a pair of blocks of entities is a task, and only its sum and count are shuffled. They come from sums by pattern of
-    missing values, so the work is quadratic only in entities whose pattern few others have.
+    missing values, so the work is quadratic only in entities whose pattern few others have. With ``members``, ``by`` and the entity once for each
+    group that it is in, series are made once an entity, however many groups that is, from ``rows`` without ``by``.
     """
-    dealt = _dealt(_series(rows, entity, time, x, least, by), by, BLOCK)
+    series = checkpointed(_series(rows, entity, time, x, least, by if members is None else []))
+    if members is not None:
+        series = members.select(*by, F.col(entity).alias("e")).join(series, "e")
+    dealt = _dealt(series, by, BLOCK)
 
     def sums(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         wide, seen = _wide(part)

@@ -60,9 +60,8 @@ def homogeneity(rows: DataFrame, panel: DataFrame, schemes: dict[str, str] = SCH
     long = long_schemes(rows.where("alpha_realized is not null"), schemes)
     cells = long.groupBy("scheme", "date_eom", "grp").agg(F.stddev_samp("alpha_realized").alias("sd"), F.count("*").alias("n")).where("n >= 5")
     spread = cells.groupBy("scheme").agg(F.avg("sd").alias("mean_alpha_sd"), F.median("sd").alias("median_alpha_sd"))
-    members = long.select("scheme", "grp", "permno").distinct()
-    returns = panel.select("permno", "date_eom", "ret_excess").join(members, "permno")
-    groups = mean_correlations(returns, "permno", "date_eom", "ret_excess", least, ["scheme", "grp"]).where("corr is not null").withColumnRenamed("corr", "c")
+    members = checkpointed(long.select("scheme", "grp", "permno").distinct())
+    groups = mean_correlations(panel, "permno", "date_eom", "ret_excess", least, ["scheme", "grp"], members).where("corr is not null").withColumnRenamed("corr", "c")
     within = groups.groupBy("scheme").agg(F.avg("c").alias("mean_within_corr"), F.median("c").alias("median_within_corr"))
     return spread.join(within, "scheme", "left")
 

@@ -125,6 +125,25 @@ def test_clusters_and_comparisons(spark, synthetic):
     assert {(r.scheme, r.horizon) for r in ahead.collect()} == {(s, h) for s in ("GICS", "FF12", "Cluster") for h in (1, 3, 6)}
 
 
+def test_homogeneity_makes_an_entitys_series_once(spark, synthetic, monkeypatch):
+    made, series = [], matrix._series
+
+    def counted(*args):
+        out = series(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(matrix, "_series", counted)
+    _, df = synthetic
+    built = features.build_features(df, CONFIG)
+    schemes = {"GICS": "gics_sector_name", "FF12": "ff12_code"}
+    got = {r.scheme: r for r in compare.homogeneity(built, df, schemes).collect()}
+    assert made == [60]
+    members = built.where("alpha_realized is not null").select("permno", F.col("gics_sector_name").alias("grp")).distinct()
+    plain = matrix.mean_correlations(df.join(members, "permno"), "permno", "date_eom", "ret_excess", 24, ["grp"])
+    assert got["GICS"].mean_within_corr == pytest.approx(plain.agg(F.avg("corr")).first()[0])
+
+
 def test_label_matching():
     same = {k: k % 4 + 1 for k in range(20)}
     assert clustering.match_labels(same, {k: (v % 4) + 1 for k, v in same.items()}) == same
