@@ -12,8 +12,10 @@ left can make. A group wastes less than one sequence more than a joint packing o
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ STEPS, STEPS_PER_PIECE = 200_000, 100
 VIEWS = 24
 #: distinct word pieces whose ids a worker keeps
 CACHE_PIECES = 600_000
+#: words of Latin letters that the tokenizer is given at a time
+WORDS = 1000
 
 # 0 white space, 1 letters, 2 ASCII marks, 3 all else
 _KIND = np.full(256, 3, np.uint8)
@@ -41,6 +45,8 @@ _KIND[33:48] = _KIND[58:65] = _KIND[91:97] = _KIND[123:127] = 2
 _KIND[39] = 3  # an apostrophe may begin a contraction
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: one word to the tokenizer, whatever stands around it: no mark, no digit, nothing that folding or composing changes to one
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Encoder:
@@ -57,6 +63,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.old, self.new = empty, empty  # sorted hashes, with start and length of their ids
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -73,18 +82,37 @@ class Encoder:
         return np.flatnonzero(missing)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Store the ids of new pieces; where they start and how many there are."""
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        n = np.array([len(x) for x in found], np.int64)
-        total = int(n.sum())
+        """Store the ids of new pieces; where they start and how many there are.
+
+        Words of Latin letters are encoded many at a time, with spaces between, and told apart by the ids that end a word: half the work of one by one.
+        """
+        n = np.zeros(len(pieces), np.int64)
+        alone = np.fromiter((_WORD(p) is None for p in pieces), bool, len(pieces))
+        words = [p for p, one in zip(pieces, alone, strict=True) if not one]
+        flat = self._ids([" ".join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)])[0]
+        ends = np.flatnonzero(self.last[flat])
+        if len(ends) == len(words):
+            n[~alone] = np.diff(ends, prepend=-1)
+        else:  # the vocabulary doesn't mark the ends of words
+            alone[:], flat = True, flat[:0]
+        rest, n[alone] = self._ids([p for p, one in zip(pieces, alone, strict=True) if one])
+        total = len(flat) + len(rest)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-        flat = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.ids[self.used : self.used + total] = flat
-        at = self.used + np.cumsum(n) - n
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.ids[self.used + len(flat) : self.used + total] = rest
+        at = np.zeros(len(pieces), np.int64)
+        for those, start in ((~alone, self.used), (alone, self.used + len(flat))):
+            at[those] = start + np.cumsum(n[those]) - n[those]
         self.used += total
         return at, n
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block, one after the other, and how many each row has."""
         if len(self.old[0]) + len(self.new[0]) > CACHE_PIECES:

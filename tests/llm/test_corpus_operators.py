@@ -542,6 +542,33 @@ def test_ids_equal_the_tokenizers_own(spark, odd, none):
     assert packing.pack_pieces(packing.token_pieces(none, tokenizer_path()).drop("ids")).count() == 0
 
 
+def test_packing_gives_the_tokenizer_latin_words_many_at_a_time():
+    from tokenizers import Tokenizer
+
+    from stratapanel.llm.textbuf import column_bytes
+
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCÀÖØßöøÿñ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(3000)] + ["don't", "l'été", "İstanbul", "ªb", "e\u0301a", "ﬁn", "a×b", "x9y", "</w>", "a</w>b", "<|endoftext|>", "日本", "Ǆa", "ſs", "¹a", "K"]
+    texts = [" ".join(words[k : k + 7]) for k in range(0, len(words), 7)]
+    reference, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    given = []
+
+    class Counted:
+        def encode_batch(self, batch, **options):
+            given.extend(batch)
+            return reference.encode_batch(batch, **options)
+
+    encoder.tokenizer = Counted()
+    ids, n = encoder.encode_rows(*column_bytes(pa.array(texts)))
+    own = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in own] and ids.tolist() == [i for x in own for i in x]
+    assert len(given) < 50
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.last[:] = False  # as of a vocabulary that doesn't mark the ends of words
+    assert encoder.encode_rows(*column_bytes(pa.array(texts)))[0].tolist() == ids.tolist()
+
+
 def test_packing_reaches_the_optimum_of_small_cases():
     def exact(lengths, size):
         best = [len(lengths)]
