@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +24,41 @@ DENSE, ROWS = 2000, 8000
 FIT_SCHEMA = "refit_date date, permno bigint, cluster_id int, k int, silhouette double"
 
 
-def months(window: pd.DataFrame) -> np.ndarray:
-    """Times x entities, NaN where missing."""
-    size = window["t"].str.len().to_numpy()
-    when, row = np.unique(np.concatenate(window["t"].to_list()), return_inverse=True)
-    wide = np.full((len(when), len(window)), np.nan)
-    wide[row, np.repeat(np.arange(len(window)), size)] = np.concatenate(window["v"].to_list())
-    return wide
+def months(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Entities in order, and their times x entities, NaN where missing, from batches of one row an entity: ``permno``, its times ``t`` and values ``v``.
 
-
-def embed(window: pd.DataFrame) -> pd.DataFrame:
+    A batch is held as flat arrays, and no longer than it takes to put it in its place.
+    """
+    parts = [(b["permno"].to_numpy(), pc.list_value_length(b["t"]).to_numpy(zero_copy_only=False), *(b[c].flatten().to_numpy() for c in ("t", "v"))) for b in batches]
+    who = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    place = np.empty(len(who), np.int64)
+    place[np.argsort(who, kind="stable")] = np.arange(len(who))
+    when = np.unique(np.concatenate([np.unique(p[2]) for p in parts])) if parts else np.zeros(0, np.int64)
+    wide, at = np.full((len(when), len(who)), np.nan), 0
+    parts.reverse()
+    while parts:
+        own, size, t, v = parts.pop()
+        wide[np.searchsorted(when, t), np.repeat(place[at : at + len(own)], size)] = v
+        at += len(own)
+    return np.sort(who), wide
+
+
+def embed(batches: pd.DataFrame | Iterable[pa.RecordBatch]) -> pd.DataFrame:
     """permno and x, the principal components of the correlation matrix, from one row an entity with its times and values; no rows if there is too little to go by."""
-    window = window.sort_values("permno")
-    if len(window) < MIN_ENTITIES:
+    if isinstance(batches, pd.DataFrame):
+        batches = [pa.RecordBatch.from_pandas(batches[["permno", "t", "v"]], preserve_index=False)]
+    who, wide = months(batches)
+    if len(who) < MIN_ENTITIES:
         return no_rows("permno", "x")
-    k = min(MAX_COMPONENTS, len(window) - 1)
-    x = principal_components(correlation_matrix(months(window)), k) if len(window) <= DENSE else Correlations(months(window)).components(k)
-    return pd.DataFrame({"permno": window["permno"].to_numpy(), "x": list(x)})
+    k = min(MAX_COMPONENTS, len(who) - 1)
+    if len(who) <= DENSE:
+        x = principal_components(correlation_matrix(wide), k)
+    else:
+        found = Correlations(wide)
+        del wide
+        pa.default_memory_pool().release_unused()  # what the batches took
+        x = found.components(k)
+    return pd.DataFrame({"permno": who, "x": list(x)})
 
 
 def silhouette_sums(x: np.ndarray, labels: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -150,7 +171,7 @@ def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = t
     """One clustering for each refit date over the months up to it, all in parallel, labels not yet matched: the k of ``grid`` with the greatest mean silhouette
     (the first of ties), or ``force``.
 
-    An entity's window is one row. The task of a refit holds its entities x months and their components; no matrix of entities x entities is held, but blocks of it.
+    An entity's window is one row, read batch by batch. The task of a refit holds its entities x months and their components; no matrix of entities x entities is held, but blocks of it.
     Each k is a task, and so is each block of rows whose silhouettes are taken; only k's silhouettes come to the driver.
     """
     spark = panel.sparkSession
@@ -161,10 +182,15 @@ def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = t
     own = own.withColumn("s", F.filter("s", lambda p: (p["date_eom"] <= F.col("refit_date")) & (p["date_eom"] >= first))).where(F.size("s") >= MIN_MONTHS)
     series = own.select("refit_date", "number", "permno", F.transform("s", lambda p: p["t"]).alias("t"), F.transform("s", lambda p: p["v"]).alias("v"))
 
-    def place(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
-        return embed(window).assign(refit_date=key[0], number=key[1])[["refit_date", "number", "permno", "x"]]
+    shape = "refit_date date, number int, permno bigint, x array<double>"
+
+    def place(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = embed(batches)
+        for lo in range(0, len(found), ROWS):
+            part = found.iloc[lo : lo + ROWS]
+            yield pa.RecordBatch.from_arrays([*[pa.repeat(x, len(part)) for x in key], pa.array(part["permno"]), pa.array(part["x"].to_list(), pa.list_(pa.float64()))], ["refit_date", "number", "permno", "x"])
 
-    points = checkpointed(series.groupBy("refit_date", "number").applyInPandas(place, "refit_date date, number int, permno bigint, x array<double>"))
+    points = checkpointed(series.groupBy("refit_date", "number").applyInArrow(place, shape))
 
     def points_of(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         part = part.sort_values("permno")

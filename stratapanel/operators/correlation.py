@@ -34,6 +34,7 @@ class Correlations:
         self.starts = self.ends - count[by_size]
         self.big = int((count >= BIG).sum())
         self.cut = int(self.ends[self.big - 1]) if self.big else 0
+        self.scale: np.ndarray | None = None
 
     def members(self, p: int) -> slice:
         return slice(self.starts[p], self.ends[p])
@@ -80,17 +81,43 @@ class Correlations:
                 j = slice(start, min(start + TILE_COLUMNS, n))
                 yield i, j, *self.tile(i, j)
 
+    def scales(self) -> np.ndarray:
+        """Of each member of a pattern with many: the inverse length of its values over the times that each such pattern has, too, less their mean."""
+        if self.scale is None:
+            self.scale = np.empty((self.cut, self.big))
+            for low in range(0, self.cut, TILE_COLUMNS):
+                rows = slice(low, min(low + TILE_COLUMNS, self.cut))
+                self.scale[rows] = self._against(rows, self.patterns[: self.big])[0]
+        return self.scale
+
     def times(self, v: np.ndarray) -> np.ndarray:
-        """The matrix times ``v``, both in the order of the patterns."""
-        out = np.zeros_like(v)
+        """The matrix times ``v``, both in the order of the patterns.
+
+        ``scaled`` values are products of the values with what has a row a time, so no copy of the values is made for each pair of patterns.
+        """
+        out, scale = np.zeros_like(v), self.scales()
+
+        def sums(x: np.ndarray, size: np.ndarray, mean: np.ndarray, both: np.ndarray, of: np.ndarray) -> np.ndarray:
+            of = size * of
+            return both[:, None] * (x.T @ of - mean @ of)
+
+        def spread(x: np.ndarray, size: np.ndarray, mean: np.ndarray, both: np.ndarray, w: np.ndarray) -> np.ndarray:
+            part = x @ (both[:, None] * w)
+            part -= mean[:, None] * (both @ w)
+            part *= size
+            return part
+
         for p in range(self.big):
             for q in range(p, self.big):
-                i, j = self.members(p), self.members(q)
-                a = self.scaled(p, q)
-                b = a if p == q else self.scaled(q, p)
-                out[i] += a @ (b.T @ v[j])
+                i, j, both = self.members(p), self.members(q), self.patterns[p] * self.patterns[q]
+                if both.sum() < 2:
+                    continue
+                x, y = self.values[i], self.values[j]
+                a = x, scale[i, q, None], x @ both / both.sum(), both
+                b = a if p == q else (y, scale[j, p, None], y @ both / both.sum(), both)
+                out[i] += spread(*a, sums(*b, v[j]))
                 if p != q:
-                    out[j] += b @ (a.T @ v[i])
+                    out[j] += spread(*b, sums(*a, v[i]))
         for i, j, part, _ in self.tiles():
             out[i] += part @ v[j]
             if big := min(max(self.cut - j.start, 0), part.shape[1]):

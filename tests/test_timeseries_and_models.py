@@ -312,6 +312,37 @@ def test_clusters_hold_no_matrix_of_entities(monkeypatch):
     assert (matrix.kmeans(points, 4, 5, 20, 1)[0] == label).all()
 
 
+def test_a_refit_reads_its_entities_batch_by_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, t = 6000, 48
+    x = rng.normal(size=(t, 2)) @ rng.normal(size=(2, n)) + rng.normal(size=(t, n))
+    for e in range(0, n, 9):
+        x[e % 4, e] = np.nan
+    order = rng.permutation(n)
+    times = [np.flatnonzero(~np.isnan(x[:, e])) for e in order]
+    window = pd.DataFrame({"permno": order, "t": times, "v": [x[at, e] for e, at in zip(order, times, strict=True)]})
+    batches = (pa.RecordBatch.from_pandas(window[lo : lo + 700], preserve_index=False) for lo in range(0, n, 700))
+    who, wide = clustering.months(batches)
+    assert (who == np.arange(n)).all() and np.array_equal(wide, x, equal_nan=True)
+    batches = (pa.RecordBatch.from_pandas(window[lo : lo + 700], preserve_index=False) for lo in range(0, n, 700))
+    got, whole = clustering.embed(batches), clustering.embed(window)
+    assert got.permno.tolist() == whole.permno.tolist() and np.array_equal(np.stack(got.x), np.stack(whole.x))
+    assert len(clustering.embed(iter(()))) == 0
+    found, v = clustering.Correlations(x), rng.normal(size=(n, 14))
+    want = matrix.correlation_matrix(x)[np.ix_(found.order, found.order)] @ v
+    found.times(v)
+    tracemalloc.start()
+    times = found.times(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(times - want).max() < 1e-9 * np.abs(want).max()
+    assert peak < x.nbytes  # no copy of the values for a pair of patterns
+
+
 def test_features_keep_only_what_is_asked_for(spark, synthetic):
     _, df = synthetic
     few = df.where("permno < 10004")
