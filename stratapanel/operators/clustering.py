@@ -61,6 +61,29 @@ def embed(batches: pd.DataFrame | Iterable[pa.RecordBatch]) -> pd.DataFrame:
     return pd.DataFrame({"permno": who, "x": list(x)})
 
 
+def entities(batches: Iterable[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """``permno``, in order, and the columns ``names`` of batches of one row an entity, arrays of one length as a matrix: flat numbers, no object for a row."""
+
+    def plain(column: pa.Array) -> np.ndarray:
+        if pa.types.is_list(column.type):
+            return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return column.to_numpy(zero_copy_only=False)
+
+    parts = [[plain(b[c]) for c in ("permno", *names)] for b in batches if len(b)]
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    del parts
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def slices(columns: dict[str, np.ndarray | pa.Scalar]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ROWS`` rows; a scalar is every row's value."""
+    size = next(len(c) for c in columns.values() if isinstance(c, np.ndarray))
+    for lo in range(0, size, ROWS):
+        n = min(ROWS, size - lo)
+        yield pa.RecordBatch.from_arrays([pa.repeat(c, n) if isinstance(c, pa.Scalar) else pa.array(c[lo : lo + n]) for c in columns.values()], list(columns))
+
+
 def silhouette_sums(x: np.ndarray, labels: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Sum of the silhouettes of the rows ``own`` among the points ``x``, for each column of ``labels``; distances are taken tile by tile."""
     sizes = labels.max(0) + 1
@@ -192,19 +215,14 @@ def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = t
 
     points = checkpointed(series.groupBy("refit_date", "number").applyInArrow(place, shape))
 
-    def points_of(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        part = part.sort_values("permno")
-        return part, np.stack(part["x"].to_list())
-
-    def attempt(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        if key[2] > len(part):
-            return no_rows("refit_date", "permno", "k", "label")
-        part, x = points_of(part)
-        label, _, _ = kmeans(x, key[2], starts, 100, config.seed + key[1])
-        return pd.DataFrame({"refit_date": key[0], "permno": part["permno"].to_numpy(), "k": key[2], "label": label})
+    def attempt(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (who, x), (number, k) = entities(batches, "x"), (v.as_py() for v in key[1:])
+        if k <= len(who):
+            label, _, _ = kmeans(x, k, starts, 100, config.seed + number)
+            yield from slices({"refit_date": key[0], "permno": who, "k": key[2], "label": label.astype(np.int32)})
 
     tried = points.withColumn("k", F.explode(F.array(*[F.lit(k) for k in grid if k >= 2]).cast("array<int>")))
-    tried = tried.groupBy("refit_date", "number", "k").applyInPandas(attempt, "refit_date date, permno bigint, k int, label int")
+    tried = tried.groupBy("refit_date", "number", "k").applyInArrow(attempt, "refit_date date, permno bigint, k int, label int")
     labels = tried.groupBy("refit_date", "permno").agg(F.array_sort(F.collect_list(F.struct("k", "label"))).alias("l"))
     labels = labels.select("refit_date", "permno", F.transform("l", lambda p: p["k"]).alias("ks"), F.transform("l", lambda p: p["label"]).alias("labels"))
     labelled = checkpointed(points.join(labels, ["refit_date", "permno"]))
@@ -212,13 +230,13 @@ def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = t
     dealt = labelled.join(F.broadcast(sizes), "refit_date").withColumn("own", F.pmod(F.xxhash64("permno"), F.col("parts")))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
-    def widths(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part, x = points_of(part)
-        own, ks, label = np.flatnonzero(part["own"].to_numpy() == key[1]), np.asarray(part["ks"].iloc[0]), np.stack(part["labels"].to_list())
-        fit = ks < len(x)
-        return pd.DataFrame({"refit_date": key[0], "part": key[1], "k": ks[fit], "s": silhouette_sums(x, label[:, fit], own), "n": len(x)})
+    def widths(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, x, ks, label, own = entities(batches, "x", "ks", "labels", "own")
+        fit = ks[0] < len(x)
+        sums = silhouette_sums(x, label[:, fit], np.flatnonzero(own == key[1].as_py()))
+        yield from slices({"refit_date": key[0], "part": key[1], "k": ks[0][fit], "s": sums, "n": pa.scalar(len(who))})
 
-    found = dealt.select("refit_date", "part", "permno", "x", "ks", "labels", "own").groupBy("refit_date", "part").applyInPandas(widths, "refit_date date, part bigint, k int, s double, n bigint").collect()
+    found = dealt.select("refit_date", "part", "permno", "x", "ks", "labels", "own").groupBy("refit_date", "part").applyInArrow(widths, "refit_date date, part bigint, k int, s double, n bigint").collect()
     scores: dict[date, dict[int, float]] = {}
     for r in sorted(found):
         of = scores.setdefault(r.refit_date, {})
@@ -229,13 +247,13 @@ def fit_refits(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = t
         if best is not None or force is not None:
             chosen.append((day, best if force is None else force, None if best is None else of[best]))
 
-    def final(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part, x = points_of(part)
-        label, _, _ = kmeans(x, key[2], 2 * starts, 200, config.seed + key[1])
-        return pd.DataFrame({"refit_date": key[0], "permno": part["permno"].to_numpy(), "cluster_id": label + 1, "k": key[2], "silhouette": part["silhouette"].to_numpy()})
+    def final(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (who, x), (number, k) = entities(batches, "x"), (v.as_py() for v in key[1:3])
+        label, _, _ = kmeans(x, k, 2 * starts, 200, config.seed + number)
+        yield from slices({"refit_date": key[0], "permno": who, "cluster_id": (label + 1).astype(np.int32), "k": key[2], "silhouette": key[3]})
 
     picked = points.join(F.broadcast(spark.createDataFrame(chosen, "refit_date date, k int, silhouette double")), "refit_date")
-    return picked.groupBy("refit_date", "number", "k").applyInPandas(final, FIT_SCHEMA)
+    return picked.groupBy("refit_date", "number", "k", "silhouette").applyInArrow(final, FIT_SCHEMA)
 
 
 def clusters_annual(panel: DataFrame, config: EngineConfig, grid: tuple[int, ...] = tuple(range(2, 11)), force: int | None = None, starts: int = 25) -> tuple[DataFrame, DataFrame]:

@@ -194,7 +194,10 @@ def principal_components(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0))
+    out = 2 * x @ y.T
+    np.subtract((x**2).sum(1)[:, None], out, out=out)
+    out += (y**2).sum(1)
+    return np.sqrt(np.maximum(out, 0, out=out), out=out)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,16 +212,40 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def kmeans(x: np.ndarray, k: int, starts: int = 25, rounds: int = 100, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Labels (from 0), centres and within sum of squares of the best of several k-means++ starts, which are run side by side, over the points piece by piece."""
+    """Labels (from 0), centres and within sum of squares of the best of several k-means++ starts: few points' starts are run side by side, many points' one by one,
+    of which only the best so far is held."""
     rng = np.random.default_rng(seed)
-    centres = x[rng.integers(len(x), size=(starts, 1))]
-    gap = np.full((starts, len(x)), np.inf)
-    while centres.shape[1] < k:
+    first = rng.integers(len(x), size=(starts, 1))
+    draws = [rng.random((starts, 1)) for _ in range(1, k)]
+    best: tuple[np.ndarray, np.ndarray, float] | None = None
+    side = starts if len(x) * starts <= PIECE else 1
+    for at in range(0, starts, side):
+        own = slice(at, at + side)
+        centres = _spread(x, first[own], [d[own] for d in draws])
+        for label, centre in _side_by_side(x, centres, rounds) if side > 1 else [_bounded(x, centres[0], rounds)]:
+            within = sum(float(((x[lo : lo + PIECE] - centre[label[lo : lo + PIECE]]) ** 2).sum()) for lo in range(0, len(x), PIECE))
+            if best is None or within < best[2] - 1e-12:
+                best = label, centre, within
+    return best[0].astype(int), best[1], best[2]
+
+
+def _spread(x: np.ndarray, first: np.ndarray, draws: list[np.ndarray]) -> np.ndarray:
+    """The centres that k-means++ begins with, starts x k x columns, from each start's first point and its draws."""
+    centres = x[first]
+    gap = np.full((len(first), len(x)), np.inf)
+    for draw in draws:
         np.minimum(gap, _nearest(x, centres[:, -1:])[1], out=gap)
         total = gap.sum(1, keepdims=True)
         share = np.cumsum(np.where(total > 0, gap, 1) / np.where(total > 0, total, len(x)), 1)
-        picked = np.minimum((share < rng.random((starts, 1))).sum(1), len(x) - 1)
+        picked = np.minimum((share < draw).sum(1), len(x) - 1)
         centres = np.concatenate([centres, x[picked][:, None]], 1)
+    return centres
+
+
+def _side_by_side(x: np.ndarray, centres: np.ndarray, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Labels and centres of each start, over the points piece by piece."""
+    starts, k, _ = centres.shape
+    gap = np.empty((starts, len(x)))
     labels = np.full((starts, len(x)), -1, np.int32)
     live = np.arange(starts)
     for _ in range(rounds):
@@ -233,20 +260,66 @@ def kmeans(x: np.ndarray, k: int, starts: int = 25, rounds: int = 100, seed: int
             member = new[:, None] == np.arange(k, dtype=np.int32)[None, :, None]
             count += member.sum(2)
             sums += member.astype(float) @ x[part]
-        for n in np.flatnonzero((count == 0).any(1)):  # an empty cluster takes the point farthest from its centre
-            for c in np.flatnonzero(count[n] == 0):
-                far = away[n].argmax()
-                labels[live[n], far], away[n, far] = c, 0
+        for n in np.flatnonzero((count == 0).any(1)):
+            _refill(x, labels[live[n]], away[n], count[n], sums[n])
             moved[n] = True
-            member = labels[live[n]] == np.arange(k)[:, None]
-            count[n], sums[n] = member.sum(1), member.astype(float) @ x
         centres[live[moved]] = sums[moved] / np.maximum(count[moved], 1)[:, :, None]
         live = live[moved]
         if not len(live):
             break
-    within = np.array([((x - centres[n][labels[n]]) ** 2).sum() for n in range(starts)])
-    best = int(np.flatnonzero(within <= within.min() + 1e-12)[0])
-    return labels[best].astype(int), centres[best], float(within[best])
+    return list(zip(labels, centres, strict=True))
+
+
+def _refill(x: np.ndarray, label: np.ndarray, away: np.ndarray, count: np.ndarray, sums: np.ndarray) -> None:
+    """An empty cluster takes the point farthest from its centre."""
+    for c in np.flatnonzero(count == 0):
+        far = away.argmax()
+        label[far], away[far] = c, 0
+    for c in range(len(count)):
+        count[c], sums[c] = (label == c).sum(), x[label == c].sum(0)
+
+
+def _bounded(x: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of one start. A point is left out of a round while bounds show that no other centre has come nearer than its own (Hamerly);
+    sums are corrected by the points that change."""
+    k, n = len(centres), len(x)
+    label, over, under = np.full(n, -1, np.int32), np.full(n, np.inf), np.zeros(n)
+    count, sums = np.zeros(k, int), np.zeros((k, x.shape[1]))
+    lengths = (x**2).sum(1)
+    slack = 1e-7 * np.sqrt(lengths.max(initial=0))  # more than rounding can do to a distance
+    step = max(1, PIECE // (2 * k))
+    for _ in range(rounds):
+        moved, due = False, np.flatnonzero(over + slack >= under)
+        for lo in range(0, len(due), step):
+            at = due[lo : lo + step]
+            own = x[at]
+            cost = (centres**2).sum(1)[:, None] - 2 * (centres @ own.T)
+            new = cost.argmin(0).astype(np.int32)
+            line = np.arange(len(at))
+            over[at] = np.sqrt(np.maximum(cost[new, line] + lengths[at], 0))
+            cost[new, line] = np.inf
+            under[at] = np.sqrt(np.maximum(cost.min(0) + lengths[at], 0))
+            changed = np.flatnonzero(new != label[at])
+            if len(changed):
+                moved, own, old, to = True, own[changed], label[at[changed]], new[changed]
+                gain = (to == np.arange(k)[:, None]).astype(float) - (old == np.arange(k)[:, None])
+                count += gain.sum(1).astype(int)
+                sums += gain @ own
+                label[at[changed]] = to
+        if (count == 0).any():
+            away = np.concatenate([_nearest(x[lo : lo + step], centres[None])[1][0] for lo in range(0, n, step)])
+            _refill(x, label, away, count, sums)
+            moved, over[:] = True, np.inf
+        if not moved:
+            break
+        fresh = sums / np.maximum(count, 1)[:, None]
+        shift = np.sqrt(((fresh - centres) ** 2).sum(1))
+        centres = fresh
+        if k > 1:
+            far, next_far = np.partition(shift, k - 2)[[k - 1, k - 2]]
+            over += shift[label]
+            under -= np.where(shift == far, next_far, far)[label]
+    return label, centres
 
 
 def mean_silhouette(x: np.ndarray, label: np.ndarray, away: np.ndarray | None = None) -> float:

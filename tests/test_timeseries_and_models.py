@@ -343,6 +343,37 @@ def test_a_refit_reads_its_entities_batch_by_batch():
     assert peak < x.nbytes  # no copy of the values for a pair of patterns
 
 
+def test_kmeans_of_many_points_holds_one_start(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n, starts = 40_000, 25
+    x = rng.normal(size=(n, 5)) + 2 * rng.integers(0, 3, size=(n, 1))
+    tracemalloc.start()
+    label, centres, within = matrix.kmeans(x, 6, starts, 12, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * starts * n  # not a number for each point and start
+    few = np.repeat(rng.normal(size=(3, 2)), 15_000, 0)  # of five centres two stay empty
+    copies, k5 = np.repeat(x[:700], 60, 0), matrix.kmeans(few, 5, 4, 20, 1)
+    k4 = matrix.kmeans(copies, 4, 7, 30, 3)
+    monkeypatch.setattr(matrix, "PIECE", 1 << 21)  # all starts side by side
+    for (a, b, c), points, args in (((label, centres, within), x, (6, starts, 12, 2)), (k5, few, (5, 4, 20, 1)), (k4, copies, (4, 7, 30, 3))):
+        same, at, sum_ = matrix.kmeans(points, *args)
+        assert np.array_equal(a, same) and np.allclose(b, at, rtol=0, atol=1e-9) and c == pytest.approx(sum_, rel=1e-9, abs=1e-12)
+
+
+def test_tasks_of_points_hold_flat_numbers():
+    import pyarrow as pa
+
+    rows = pa.table({"permno": pa.array([5, 2, 9, 4], pa.int64()), "x": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0]], "ks": pa.array([[2, 3]] * 4, pa.list_(pa.int32())), "own": [0, 1, 0, 1]})
+    first, last = rows[:3].to_batches()[0], rows[3:].to_batches()[0]
+    who, x, ks, own = clustering.entities(iter([first, last.slice(0, 0), last]), "x", "ks", "own")
+    assert who.tolist() == [2, 4, 5, 9] and x.tolist() == [[3, 4], [7, 8], [1, 2], [5, 6]] and ks.tolist() == [[2, 3]] * 4 and own.tolist() == [1, 1, 0, 0]
+    parts = list(clustering.slices({"k": pa.scalar(None, pa.float64()), "permno": np.arange(clustering.ROWS + 1)}))
+    assert [len(p) for p in parts] == [clustering.ROWS, 1] and parts[1].to_pylist() == [{"k": None, "permno": clustering.ROWS}]
+
+
 def test_features_keep_only_what_is_asked_for(spark, synthetic):
     _, df = synthetic
     few = df.where("permno < 10004")
